@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import audio, bpe, packing, warc
+from tracewell.llm import audio, bpe, packing, repeats, warc
 from tracewell.llm.common import spread, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), min_bytes=400)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path(), max_tokens=2048, end_id=0)
 
@@ -32,7 +36,7 @@ def op8_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_content_addressed_warc, op7_telephony_audio, op8_segment_tree_bpe)}
+QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op5_best_fit_packing, op6_content_addressed_warc, op7_telephony_audio, op8_segment_tree_bpe)}
 
 ORACLES: dict[str, str] = {
     "op6_content_addressed_warc": """
