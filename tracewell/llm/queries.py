@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import audio, bpe, packing, repeats, warc
-from tracewell.llm.common import spread, table
+from tracewell.llm import audio, bpe, classifier, packing, quality, repeats, simhash, warc
+from tracewell.llm.common import held_out, spread, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,14 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), min_bytes=400)
 
 
+def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
+
+
+def op4_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), words=3, max_bits=3)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path(), max_tokens=2048, end_id=0)
 
@@ -36,7 +44,13 @@ def op8_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op5_best_fit_packing, op6_content_addressed_warc, op7_telephony_audio, op8_segment_tree_bpe)}
+def op10_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(4, 2)
+    model = classifier.fit(docs.where(~out), table(spark, sf_dir, "labels"))
+    return classifier.score(spread(docs), model, out, threshold=0.7)
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op3_robust_outliers, op4_simhash_blocks, op5_best_fit_packing, op6_content_addressed_warc, op7_telephony_audio, op8_segment_tree_bpe, op10_subword_classifier)}
 
 ORACLES: dict[str, str] = {
     "op6_content_addressed_warc": """
