@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import audio, bpe, classifier, packing, quality, repeats, simhash, warc
+from tracewell.llm import audio, bpe, classifier, html, packing, quality, repeats, simhash, warc
 from tracewell.llm.common import held_out, spread, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,13 +44,17 @@ def op8_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path())
 
 
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
 def op10_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(4, 2)
     model = classifier.fit(docs.where(~out), table(spark, sf_dir, "labels"))
     return classifier.score(spread(docs), model, out, threshold=0.7)
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op3_robust_outliers, op4_simhash_blocks, op5_best_fit_packing, op6_content_addressed_warc, op7_telephony_audio, op8_segment_tree_bpe, op10_subword_classifier)}
+QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op3_robust_outliers, op4_simhash_blocks, op5_best_fit_packing, op6_content_addressed_warc, op7_telephony_audio, op8_segment_tree_bpe, op9_wrapper_induction, op10_subword_classifier)}
 
 ORACLES: dict[str, str] = {
     "op6_content_addressed_warc": """
