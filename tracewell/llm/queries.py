@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import audio, bpe, classifier, html, packing, quality, repeats, simhash, warc
+from tracewell.llm import audio, bpe, classifier, html, lm, packing, quality, repeats, simhash, warc
 from tracewell.llm.common import held_out, spread, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), min_bytes=400)
 
@@ -54,7 +58,7 @@ def op10_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(spread(docs), model, out, threshold=0.7)
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op3_robust_outliers, op4_simhash_blocks, op5_best_fit_packing, op6_content_addressed_warc, op7_telephony_audio, op8_segment_tree_bpe, op9_wrapper_induction, op10_subword_classifier)}
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_suffix_array_dedup, op3_robust_outliers, op4_simhash_blocks, op5_best_fit_packing, op6_content_addressed_warc, op7_telephony_audio, op8_segment_tree_bpe, op9_wrapper_induction, op10_subword_classifier)}
 
 ORACLES: dict[str, str] = {
     "op6_content_addressed_warc": """
