@@ -16,6 +16,7 @@ a segment; segments travel as digests, not text.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,14 +136,14 @@ def suffix_array(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
     while length < depth:
         key = rank * (n + 257)
         key[:-length] += rank[length:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
         rank = new
         levels.append(rank)
         length *= 2
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     common = np.zeros(n, np.int64)
     a, b = order[:-1].copy(), order[1:].copy()
     shared = np.zeros(n - 1, np.int64)
@@ -155,21 +156,18 @@ def suffix_array(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
     return symbols, order, common, levels
 
 
-def maximal_repeats(texts: list[bytes], min_bytes: int) -> list[tuple[int, np.ndarray]]:
+def maximal_repeats(texts: list[bytes], min_bytes: int) -> Iterator[tuple[int, np.ndarray]]:
     """(length, positions) of each maximal repeat of min_bytes or more among texts.
 
     Positions are in the texts laid end to end with one place between."""
     if not texts:
-        return []
+        return
     symbols, order, common, _ = suffix_array(texts, max(map(len, texts)))
     n = len(order)
     left = np.where(order > 0, symbols[order - 1], -1)
     left = np.where((left >= 256) | (left < 0), -2 - np.arange(n), left)  # nothing before: differs from all
     high = common >= min_bytes
-    if not high.any():
-        return []
     edges = np.flatnonzero(np.diff(np.concatenate([[False], high, [False]]).astype(np.int8)))
-    found = []
     differs = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
     for lo, hi in zip((edges[::2] - 1).tolist(), (edges[1::2] - 1).tolist(), strict=True):
         if differs[lo] == differs[hi]:  # all are preceded by one byte: the repeat goes on to the left, and so do those inside it
@@ -181,10 +179,56 @@ def maximal_repeats(texts: list[bytes], min_bytes: int) -> list[tuple[int, np.nd
             while stack and stack[-1][0] > now:
                 length, first = stack.pop()
                 if differs[first] != differs[at - 1]:
-                    found.append((length, order[first:at]))
+                    yield length, order[first:at]
             if now >= min_bytes and (not stack or stack[-1][0] < now):
                 stack.append([now, first])
-    return found
+
+
+def candidate_parts(texts: list[bytes], min_bytes: int) -> list[tuple[int, int, int]]:
+    """(text, start, stop) of the runs of windows whose hash occurs twice among texts: no other can repeat."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if len(data) < min_bytes:
+        return []
+    hashes = gram_hashes(data, min_bytes)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.cumsum(sizes) - sizes
+    change = np.zeros(len(data) + 1, np.int64)  # windows that lie in one text
+    whole = sizes >= min_bytes
+    np.add.at(change, first[whole], 1)
+    np.add.at(change, (first + sizes - min_bytes + 1)[whole], -1)
+    starts = np.flatnonzero(np.cumsum(change)[: len(hashes)] > 0)
+    order = np.argsort(hashes[starts])
+    ordered = hashes[starts][order]
+    same = ordered[1:] == ordered[:-1]
+    twice = np.zeros(len(data) + 1, bool)
+    twice[starts[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]] = True
+    edge = np.diff(np.concatenate([[False], twice]).astype(np.int8))
+    edge[first[first > 0]] = np.where(twice[first[first > 0]], 1, edge[first[first > 0]])
+    begins = np.flatnonzero(edge == 1)
+    owner = np.searchsorted(first, begins, side="right") - 1
+    quiet = np.flatnonzero(~twice)
+    ends = np.minimum(quiet[np.searchsorted(quiet, begins)], np.append(first[1:], len(data))[owner])
+    return list(zip(owner.tolist(), (begins - first[owner]).tolist(), (ends - first[owner] + min_bytes - 1).tolist(), strict=True))
+
+
+def repeated_parts(texts: list[bytes], min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text's index, start and stop of each maximal run of bytes that repeats of min_bytes cover."""
+    parts = candidate_parts(texts, min_bytes)
+    cut = [texts[i][a:b] for i, a, b in parts]
+    first = np.cumsum([0, *(len(c) + 1 for c in cut)])
+    reach = np.zeros(first[-1] + 1, np.int64)  # of each place, the longest repeat that starts there
+    for length, positions in maximal_repeats(cut, min_bytes):
+        reach[positions] = np.maximum(reach[positions], length)
+    starts = np.flatnonzero(reach)
+    change = np.bincount(starts, minlength=len(reach) + 1) - np.bincount(starts + reach[starts], minlength=len(reach) + 1)
+    covered = np.concatenate([[False], np.cumsum(change) > 0])
+    edges = np.flatnonzero(np.diff(covered.astype(np.int8)))
+    begins, ends = edges[::2], edges[1::2]
+    at = np.searchsorted(first, begins, side="right") - 1
+    index, base = np.array([i for i, _, _ in parts], np.int64), np.array([a for _, a, _ in parts], np.int64)
+    if not len(begins):
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    return index[at], begins - first[at] + base[at], ends - first[at] + base[at]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -239,17 +283,10 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400, k: int = K, most_kinds
     def scan(part: pa.Table) -> pa.Table:
         data = part.column("bytes").to_pylist()
         start, single = part.column("start").to_numpy(), part.column("n").to_numpy() == 1
-        first = np.cumsum([0, *(len(d) + 1 for d in data)])
-        rows, starts, stops = [], [], []
-        for length, positions in maximal_repeats(data, min_bytes):
-            at = np.searchsorted(first, positions, side="right") - 1
-            keep = single[at]
-            rows.append(at[keep])
-            starts.append((positions - first[at] + start[at])[keep])
-            stops.append(starts[-1] + length)
-        taken = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-        return pa.table({"own": part.column("own").take(pa.array(taken)), "key": part.column("key").take(pa.array(taken)), "start": flat(starts), "stop": flat(stops)})
+        index, begin, end = repeated_parts(data, min_bytes)
+        keep = single[index]
+        index, begin, end = index[keep], begin[keep], end[keep]
+        return pa.table({"own": part.column("own").take(pa.array(index)), "key": part.column("key").take(pa.array(index)), "start": start[index] + begin, "stop": start[index] + end})
 
     spans_schema = "own long, key long, start long, stop long"
     scanned = few.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(scan, spans_schema)
