@@ -30,7 +30,7 @@ K = 64
 #: Kinds of segments that an anchor may have for a suffix array; more are counted by windows.
 MOST_KINDS = 2000
 #: Bytes of segments that a suffix array is made of, about.
-BUCKET_BYTES = 3_000_000
+BUCKET_BYTES = 1_000_000
 #: Bytes that are hashed at a time; longer texts are cut with an overlap, which changes no window's anchor.
 BUFFER = 2_000_000
 _B, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -131,7 +131,7 @@ def suffix_array(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
     symbols = np.concatenate(parts)
     n = len(symbols)
     rank = symbols.copy()
-    levels = [rank]
+    levels = [rank.astype(np.int32)]  # the symbols and ranks of a bucket are far below 2**31
     length = 1
     while length < depth:
         key = rank * (n + 257)
@@ -141,7 +141,7 @@ def suffix_array(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
         rank = new
-        levels.append(rank)
+        levels.append(rank.astype(np.int32))
         length *= 2
     order = np.argsort(rank)
     common = np.zeros(n, np.int64)
