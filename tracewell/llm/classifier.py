@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,6 @@ class Model:
     vectors: np.ndarray  # buckets x size
     layer: np.ndarray  # size x 2
     bias: np.ndarray  # 2
-    known: dict[bytes, float] = field(default_factory=dict, repr=False)
 
     def scalars(self) -> np.ndarray:
         return self.vectors @ (self.layer[:, 1] - self.layer[:, 0])
@@ -130,34 +129,53 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, **option
     return train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64), **options)
 
 
+class Scores(dict):
+    """Each word's difference of logits, computed when it is first met."""
+
+    def __init__(self, scalars: np.ndarray, bias: float):
+        super().__init__()
+        self.scalars, self.bias = scalars, bias
+
+    def __missing__(self, word: bytes) -> float:
+        own = features(word)
+        value = self[word] = float(self.scalars[own].sum()) / len(own)
+        return value
+
+    def score(self, text: str) -> float:
+        if len(self) > REMEMBERED:
+            self.clear()
+        words = words_of(text)
+        logit = self.bias + (sum(map(self.__getitem__, words)) / len(words) if words else 0.0)
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, logit))))
+
+
 def score(docs: DataFrame, model: Model, held_out, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every row's whole text.
 
     Null, empty and wordless texts get the model's score of no evidence; rows that repeat score
     alike; a null id stays null; an empty table gives no rows; other columns aren't read."""
     shared = docs.sparkSession.sparkContext.broadcast((model.scalars(), float(model.bias[1] - model.bias[0])))  # BUCKETS numbers, whatever the input
-    known: dict[bytes, float] = {}
 
     def run(batches):
-        scalars, bias = shared.value
-
-        class Known(dict):
-            def __missing__(self, word):
-                own = features(word)
-                value = self[word] = float(scalars[own].sum()) / len(own)
-                return value
-
-        memory = Known(known)
+        memory = Scores(*shared.value)
         for batch in batches:
-            if len(memory) > REMEMBERED:
-                memory.clear()
-            scores = []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text or "")
-                logit = bias + (sum(map(memory.__getitem__, words)) / len(words) if words else 0.0)
-                scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))))
+            scores = [memory.score(t or "") for t in batch.column("text").to_pylist()]
             predicted = [int(s >= threshold) for s in scores]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """docs without the rows that score below threshold, columns as they are; null texts score as empty ones."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.scalars(), float(model.bias[1] - model.bias[0])))
+
+    def run(batches):
+        memory = Scores(*shared.value)
+        for batch in batches:
+            good = [memory.score(t or "") >= threshold for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns))

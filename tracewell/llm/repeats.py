@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400, text: str = "text", k:
     spans = by_doc.select(F.col("own").alias("__own"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
     value = F.col(text).cast("string")
     joined = docs.join(spans, (F.xxhash64(F.col("doc_id").cast("long"), value) == F.col("__key")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__own")), "left").drop("__own", "__key")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kinds, names = {f.name: f.dataType.simpleString() for f in docs.schema.fields}, docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept = []
@@ -377,6 +377,6 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400, text: str = "text", k:
                     at = stop
                 value = b"".join([*out, data[at:]]).decode()
             kept.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == text else batch.column(c) for c in docs.columns], docs.columns)
+        return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == text else batch.column(c) for c in names], names)
 
-    return map_batches(joined, run, ", ".join(f"`{c}` {'string' if c == text else kinds[c]}" for c in docs.columns))
+    return map_batches(joined, run, ", ".join(f"`{c}` {'string' if c == text else kinds[c]}" for c in names))
