@@ -1,4 +1,6 @@
-"""Registered queries over the supplied tables."""
+"""Registered queries over the supplied tables, each with the SQL that another engine answers alike."""
+
+from __future__ import annotations
 
 from collections.abc import Callable
 
@@ -6,3 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+from tracewell.plans import attribution, identity, ledger, reduction, timeline  # noqa: E402, F401
