@@ -1,0 +1,109 @@
+"""Full-match patterns of a subset that every engine matches in linear time, as Spark's rlike.
+
+Literals, ., classes, escapes and the quantifiers ? * + {m,n}; no groups, alternatives, back references, lazy or possessive quantifiers."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+
+MOST_CHARACTERS, MOST_VARIABLE, MOST_REPEATS = 8192, 64, 1000
+#: What the letter escapes stand for, by code point sets that engines agree on; fixed values.
+CLASSES = {"d": r"\p{Nd}", "D": r"\P{Nd}", "w": r"[\p{L}\p{N}_]", "W": r"[^\p{L}\p{N}_]", "s": r"[\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85]", "S": r"[^\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85]"}
+_INSIDE = {"d": r"\p{Nd}", "w": r"\p{L}\p{N}_", "s": r"\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85"}
+
+
+class UnsafePattern(ValueError):
+    pass
+
+
+def translate(pattern: str) -> str:
+    """The pattern as Java has it; what isn't in the subset is refused."""
+    if len(pattern) > MOST_CHARACTERS:
+        raise UnsafePattern("the pattern is too long")
+    out, at, variable, atom = [], 0, 0, False
+    while at < len(pattern):
+        c = pattern[at]
+        if c in "()|^$":
+            raise UnsafePattern(f"{c} at {at}")
+        if c in "?*+{":
+            if not atom:
+                raise UnsafePattern(f"nothing to repeat at {at}")
+            if c == "{":
+                found = re.compile(r"\{(\d{1,4})(,(\d{0,4}))?\}").match(pattern, at)
+                if not found or int(found[1]) > MOST_REPEATS or found[3] and not int(found[1]) <= int(found[3]) <= MOST_REPEATS:
+                    raise UnsafePattern(f"repeat at {at}")
+                piece, changes = found[0], found[2] is not None and found[3] != found[1]
+            else:
+                piece, changes = c, True
+            variable += changes
+            if variable > MOST_VARIABLE:
+                raise UnsafePattern("too many variable repeats")
+            out.append(piece)
+            at += len(piece)
+            atom = False
+            continue
+        if c == "[":
+            piece, at = _class(pattern, at)
+        elif c == "\\":
+            piece, at = _escape(pattern, at)
+        elif c == ".":
+            piece, at = r"[^\n]", at + 1
+        elif c in "]}":
+            piece, at = "\\" + c, at + 1
+        else:
+            piece, at = re.escape(c) if c.isascii() and not c.isalnum() else c, at + 1
+        out.append(piece)
+        atom = True
+    return "".join(out)
+
+
+def _escape(pattern: str, at: int) -> tuple[str, int]:
+    if at + 1 >= len(pattern):
+        raise UnsafePattern("an escape of nothing")
+    c = pattern[at + 1]
+    if c in CLASSES:
+        return CLASSES[c], at + 2
+    if c in "nrtfv":
+        return {"v": r"\x0B"}.get(c, "\\" + c), at + 2
+    if c.isalnum():
+        raise UnsafePattern(f"escape \\{c}")
+    return "\\" + c, at + 2
+
+
+def _class(pattern: str, at: int) -> tuple[str, int]:
+    out, at = ["["], at + 1
+    if pattern[at : at + 1] == "^":
+        out.append("^")
+        at += 1
+    first = True
+    while at < len(pattern) and (pattern[at] != "]" or first):
+        c = pattern[at]
+        if c == "\\":
+            n = pattern[at + 1 : at + 2]
+            if n in _INSIDE:
+                out.append(_INSIDE[n])
+            elif n and (not n.isalnum() or n in "nrtf"):
+                out.append("\\" + n)
+            else:
+                raise UnsafePattern(f"escape \\{n} in a class")
+            at += 2
+        elif c == "-":
+            out.append("-" if not first and pattern[at + 1 : at + 2] not in ("]", "") else r"\-")
+            at += 1
+        else:
+            out.append("\\" + c if c in "[]&~^" else c)
+            at += 1
+        first = False
+    if at >= len(pattern):
+        raise UnsafePattern("a class isn't closed")
+    made = "".join(out) + "]"
+    for a, b in re.findall(r"(?<!\\)([^\\\[\]])-([^\\\[\]])", made):
+        if ord(a) > ord(b):
+            raise UnsafePattern(f"range {a}-{b}")
+    return made, at + 1
+
+
+def full_match(text: Column, pattern: str) -> Column:
+    return text.rlike(f"\\A(?:{translate(pattern)})\\z")

@@ -165,4 +165,4 @@ def average_ranks(rows: DataFrame, value: str, out: str, by: list[str]) -> DataF
 def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """by, rho: correlation of average ranks; zero where either is constant."""
     both = average_ranks(average_ranks(rows, a, "__ra", by), b, "__rb", by)
-    return both.groupBy(*by).agg(F.when((F.stddev_pop("__ra") > 0) & (F.stddev_pop("__rb") > 0), F.corr("__ra", "__rb")).otherwise(0.0).alias("rho"))
+    return both.groupBy(*by).agg(F.coalesce(F.try_divide(F.covar_pop("__ra", "__rb"), F.stddev_pop("__ra") * F.stddev_pop("__rb")), F.lit(0.0)).alias("rho"))

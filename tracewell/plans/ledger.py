@@ -51,7 +51,7 @@ def deterministic_packing(spark, sf_dir):
     return L.pack_lengths(rows, context=2048, sequences=300)
 
 
-@query(f"WITH {X.EXAMPLES}, o AS (SELECT source_row, strlen(completion) + 1 AS c, sample_weight AS w FROM examples) SELECT source_row, round(c * w, 6) AS kept, 0.0 AS removed, round(c * w * 0.5, 6) AS halved FROM o WHERE source_row < 60")
+@query(f"WITH {X.EXAMPLES}, o AS (SELECT source_row, strlen(completion) + 1 AS c, sample_weight AS w FROM examples) SELECT source_row, round(c * w, 6) AS kept, CAST(0 AS DOUBLE) AS removed, round(c * w * 0.5, 6) AS halved FROM o WHERE source_row < 60")
 def token_interventions(spark, sf_dir):
     """Weight sums before and after a removal and a halving of the whole span."""
     rows = X.examples(spark, sf_dir).where("source_row < 60").withColumn("w", W.sft_weights(F.col("prompt"), F.col("completion"), F.col("sample_weight")))
@@ -93,7 +93,7 @@ def batch_invariants(spark, sf_dir):
     return L.batch_issues(_batches(spark, sf_dir)).select("source_row", F.array_join("issues", ",").alias("issues"))
 
 
-@query(f"WITH {X.EXAMPLES} SELECT 'left' AS side, count(*) AS n FROM examples WHERE length(prompt) < 400 AND length(completion) < 400 AND source_row % 10 = 3 UNION ALL SELECT 'right', count(*) FROM examples WHERE length(prompt) < 400 AND length(completion) < 400 AND source_row % 10 = 3")
+@query(f"WITH {X.EXAMPLES} SELECT 'left' AS side, count(*) AS n FROM examples WHERE length(prompt) < 400 AND length(completion) < 400 AND source_row % 10 = 3 HAVING count(*) > 0 UNION ALL SELECT 'right', count(*) FROM examples WHERE length(prompt) < 400 AND length(completion) < 400 AND source_row % 10 = 3 HAVING count(*) > 0")
 def ledger_validation(spark, sf_dir):
     """Spans of the occurrence table against those of the batches; every tenth was changed."""
     b = _batches(spark, sf_dir).select(F.col("source_row").alias("step"), F.lit(0).alias("microbatch"), F.transform("spans", lambda s: F.struct(s["start"].alias("token_start"), s["end"].alias("token_end"))).alias("spans"))
