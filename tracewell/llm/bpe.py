@@ -29,7 +29,7 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SP
 ASCII_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 NEVER = np.int64(1) << 40
 #: Pieces that a worker remembers; beyond it the memory starts afresh, results are the same.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 WIDTHS = (8, 16, 32)
 
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import ROWS
+
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4)
@@ -25,7 +27,7 @@ AGAIN = b"\x00again"
 #: Labelled rows that the model learns from at most, those with the least hash of their id.
 MOST_ROWS = 4000
 #: Words that a worker remembers; beyond it the memory starts afresh, results are the same.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def features(word: bytes) -> list[int]:
@@ -159,7 +161,7 @@ def score(docs: DataFrame, model: Model, held_out, threshold: float = 0.7) -> Da
     def run(batches):
         memory = Scores(*shared.value)
         for batch in batches:
-            scores = [memory.score(t or "") for t in batch.column("text").to_pylist()]
+            scores = [memory.score(t or "") for start in range(0, batch.num_rows, ROWS) for t in batch.column("text").slice(start, ROWS).to_pylist()]
             predicted = [int(s >= threshold) for s in scores]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -174,8 +176,10 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     def run(batches):
         memory = Scores(*shared.value)
         for batch in batches:
-            good = [memory.score(t or "") >= threshold for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(good, pa.bool_()))
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                good = [memory.score(t or "") >= threshold for t in part.column("text").to_pylist()]
+                yield part.filter(pa.array(good, pa.bool_()))
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,28 +64,23 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the tables that written() made df from, once nothing reads them again."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for entry in [w for w in _written if path.endswith(w[1].removeprefix("file://"))]:
-            _delete(*entry)
-            _written.remove(entry)
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing holds any more; they go as the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
-def text_bytes(column: pa.Array) -> Iterator[bytes]:
-    """Each row's UTF-8 bytes; null is empty."""
-    for value in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()):
-        yield value.as_py() or b""
+#: Rows that a worker turns into Python objects at a time.
+ROWS = 1000
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """function on each Arrow batch of df."""
+    """function on each Arrow batch of df, in slices that bound a worker's memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+            for start in range(0, batch.num_rows, ROWS):
+                yield function(batch.slice(start, ROWS))
 
     return df.mapInArrow(run, schema)
 

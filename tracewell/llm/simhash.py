@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_batches, written
+from tracewell.llm.common import ROWS, map_batches, written
 
 BITS = 64
 #: Fingerprints of a bucket that meet in one task; larger buckets are cut into chunks of half of it.
@@ -201,10 +201,10 @@ def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
         known = Known()
         power = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(words)], np.uint64)
         for batch in batches:
-            if len(known) > 500_000:
+            if len(known) > 250_000:
                 known.clear()
             blocks, prints = [], []
-            for text in batch.column("text").to_pylist():
+            for text in (t for start in range(0, batch.num_rows, ROWS) for t in batch.column("text").slice(start, ROWS).to_pylist()):
                 found = text.encode().lower().split()
                 own = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
                 if len(own) >= words:
