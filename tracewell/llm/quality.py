@@ -119,10 +119,10 @@ def judged(docs: DataFrame) -> DataFrame:
 
     def vectors(rows: DataFrame) -> DataFrame:
         rows = rows.join(pool, keys, "left").join(centre, P + "pool", "left")
-        n = c("n_words").cast("double")
+        n = F.greatest(c("n_words"), F.lit(1)).cast("double")  # a text without words has failed; its vector only mustn't divide by zero
         return (
             rows.withColumn("__qx_length", (c("word_chars") - n * F.col("__q_centre")) / F.sqrt(n)).withColumn("__qx_symbols", F.log1p(100 * c("n_symbols") / F.greatest(c("word_chars"), F.lit(1))))
-            .withColumn("__qx_lines", c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1))).withColumn("__qx_repeats", c("n_repeat_words") / F.greatest(n, F.lit(1.0))).drop("__q_centre")
+            .withColumn("__qx_lines", c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1))).withColumn("__qx_repeats", c("n_repeat_words") / n).drop("__q_centre")
         )
 
     xs = [f"__qx_{a}" for a in NAMES]
