@@ -173,3 +173,34 @@ def test_parameters():
         select_parameters(initial(c), ["nothing"])
     one = np.zeros(2)
     assert alias_groups({"a": one, "b": one, "c": np.zeros(2)}) == [["a", "b"]]
+
+
+def test_saved_runs(spark, recording, tmp_path):
+    from tracewell.replay import store
+
+    store.save(spark, recording, str(tmp_path / "run"))
+    back = store.load(spark, str(tmp_path / "run"))
+    assert back.run_hash() == recording.run_hash() and R.audit(back, 0, 4)["grade"] == "BITWISE"
+    tensors = spark.read.parquet(str(tmp_path / "run/checkpoints"))
+    from pyspark.sql import functions as F
+
+    changed = tensors.withColumn("data", F.when((F.col("name") == "head") & (F.col("part") == "model"), F.unhex(F.regexp_replace(F.hex("data"), "^..", "7F"))).otherwise(F.col("data")))
+    changed.write.parquet(str(tmp_path / "changed"))
+    import shutil
+
+    shutil.rmtree(tmp_path / "run/checkpoints")
+    shutil.move(tmp_path / "changed", tmp_path / "run/checkpoints")
+    with pytest.raises(ValueError, match="was changed"):
+        store.load(spark, str(tmp_path / "run"))
+
+
+def test_replays_are_run_once(spark, recording, tmp_path):
+    from tracewell.replay.store import ReplayCache
+
+    c = contract(recording)
+    ids = [s["occurrence_id"] for e in recording.events for s in e["spans"]]
+    cache = ReplayCache(spark, str(tmp_path / "cache"))
+    first, known = cache.branches(recording, c, [{ids[0]: ("remove", 0.0)}])
+    assert known == 0 and first.count() == 1
+    second, known = cache.branches(recording, c, [{ids[0]: ("remove", 0.0)}, {ids[1]: ("remove", 0.0)}])
+    assert known == 1 and second.count() == 2 and cache.stale().count() == 0
