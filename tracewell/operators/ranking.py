@@ -50,7 +50,7 @@ def random_score(seed: Column, key: Column) -> Column:
 def temporal(events: DataFrame, windows: DataFrame, step: str = "step") -> DataFrame:
     """events with distance and raw_score 1 / (1 + distance) to the nearest window (start, stop; closed).
 
-    Windows are few: their count is checked, then they travel as one array; more than that meet by bucket search on the sorted starts."""
+    Windows are few: their count is checked, then they travel as one array."""
     spans = windows.agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     if windows.count() > 10_000:
         raise ValueError("more windows than a run has checkpoints")
