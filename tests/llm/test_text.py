@@ -319,3 +319,14 @@ def test_training_learns_a_word():
     model = classifier.train(texts, np.array([1, 0] * 40))
     score = classifier.Scores(model.scalars(), float(model.bias[1] - model.bias[0])).score
     assert score("good word here") > 0.9 and score("bad word here") < 0.1
+
+
+def test_copies_that_lack_a_passage(spark):
+    random = np.random.default_rng(9)
+    docs = []
+    for i in range(60):
+        words = [f"w{x}" for x in random.integers(0, 5000, 300)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:100] + words[130:]))]
+    left = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    kept = [r["doc_id"] for r in left.collect()]
+    assert all(2 * i in kept for i in range(60)) and len(kept) <= 62
