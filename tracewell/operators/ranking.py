@@ -34,7 +34,7 @@ def bm25(documents: DataFrame, queries: DataFrame, doc: str = "doc_id", text: st
     few = asked.count() <= 200_000
     small = F.broadcast if few else (lambda x: x)
     tf = listed.select(doc, F.size("w").alias("len"), F.explode("w").alias("term")).join(small(terms), "term").groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = listed.select(F.explode(F.array_distinct("w")).alias("term")).join(small(terms), "term").groupBy("term").agg(F.count("*").alias("df"))  # a row a term leaves each task
     weighed = tf.join(df, "term").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
