@@ -12,7 +12,6 @@ a time. Pieces find their place by their rank among pieces of their size.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from functools import lru_cache
 
@@ -23,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.bpe import chunks, tokenizer
+from tracewell.llm.bpe import PATTERN, chunks, tokenizer
 from tracewell.llm.common import map_batches, written
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -34,8 +33,6 @@ def fast_encoder(path: str) -> tiktoken.Encoding:
     """The library's encoder over the tokenizer's own ranks: ids of tokens in order of merging."""
     bpe = tokenizer(path)
     ranks = {b: i for i, b in enumerate(bpe.token_bytes) if b and i not in bpe.special.values()}
-    from tracewell.llm.bpe import PATTERN
-
     return tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=bpe.special)
 
 
@@ -58,7 +55,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: in
                         rows.append((doc_id, piece, start, stop - start, zlib.crc32(data[start:stop].tobytes()), part, int(seen[stop - start])))
                         seen[stop - start] += 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]) if rows else pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
 
