@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 #: Bytes that separate words: space and \t \n \v \f \r; bytes.split() splits at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -52,22 +55,49 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go as soon as it is; no other plan reads them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
 
     The table goes when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing holds any more; they go as the driver collects its garbage."""
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """The same, bucketed by key, so that what groups by it later reads the table without a shuffle."""
+    spark = df.sparkSession
+    made = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{made}"
+    with tidy(spark):
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(made)
+    _written.append((spark, path))
+    return spark.table(made)
+
+
+def trim() -> None:
+    """Gives memory that Python has freed back to the system, where the C library can; workers live on between tasks."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if _trim is not None:
+        _trim(0)
 
 
 #: Rows that a worker turns into Python objects at a time.
