@@ -330,3 +330,39 @@ def test_copies_that_lack_a_passage(spark):
     left = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
     kept = [r["doc_id"] for r in left.collect()]
     assert all(2 * i in kept for i in range(60)) and len(kept) <= 62
+
+
+def test_every_pair_at_the_similarity_is_linked(spark):
+    random = np.random.default_rng(4)
+    docs, pairs = [], []
+    for i in range(240):
+        words = [f"w{x}" for x in random.integers(0, 9000, int(random.integers(100, 300)))]
+        cut, at = len(words) // 5 - 1, int(random.integers(0, len(words) // 2))
+        change = [words[cut:], words[: len(words) - cut], words[:at] + words[at + cut - 4 :], words[:at] + [f"n{x}" for x in range(cut // 2 - 4)] + words[at + cut // 2 - 4 :]][i % 4]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(change))]
+        pairs.append(jaccard(docs[-2][1], docs[-1][1]))
+    want = {i for i, j in enumerate(pairs) if j >= 0.8}
+    assert len(want) > 150 and sum(j < 0.83 for j in pairs) > 100
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i for i in range(240) if 2 * i + 1 not in kept} == want and all(2 * i in kept for i in range(240))
+
+
+def test_a_group_about_the_similarity_links_as_brute_force(spark):
+    random = np.random.default_rng(5)
+    base, texts = [f"l{i}" for i in range(100)], []
+    for i in range(150):
+        words = list(base)
+        for at in random.integers(0, 95, int(random.integers(1, 4))):
+            words[at : at + 3] = [f"n{i}", f"m{random.integers(0, 3)}", "x"]
+        texts.append(" ".join(words))
+    want = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if want[i] != want[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert 5 < len(set(want)) < 145
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for together in (16, 2048):
+        roots = {r["node"]: r["root"] for r in simhash.near_components(frame, together=together).collect()}
+        assert [roots.get(i, i) for i in range(150)] == want

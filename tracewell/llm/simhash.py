@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ROWS, map_batches, written
+from tracewell.llm.common import ROWS, map_batches, trim, written
 
 BITS = 64
 #: Fingerprints of a bucket that meet in one task; larger buckets are cut into chunks of half of it.
@@ -158,119 +158,154 @@ def classes(docs: DataFrame, words: int = 3, max_bits: int = 3, agree: int = 3,
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Bits of the wide fingerprints: of words, in blocks that are joined on, and of shingles, whose Hamming distance decides.
-WORD_BITS, SHINGLE_BITS, BLOCK_BYTES = 1536, 512, 3
+#: Longs of a shingle set's parity bitmap. Documents whose shingles are counted for the order of prefixes, and shingles that it tells apart.
+PARITY, COUNTED, COMMON = 8, 20_000, 50_000
 
 
-def lanes(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """bits / 64 further hashes of each hash."""
-    n = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = hashes[:, None] + n[None, :]
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+class Shingles:
+    """Distinct 64-bit hashes of a text's runs of words, ascending; of all words as one where there are fewer."""
 
+    def __init__(self, words: int):
+        self.words, self.known = words, {}
+        self.power = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(words)], np.uint64)
 
-def wide_fingerprint(hashes: np.ndarray, bits: int) -> bytes:
-    counts = np.zeros(bits, np.int64)
-    step = max(1, 4_000_000 // bits)
-    for start in range(0, len(hashes), step):
-        part = lanes(hashes[start : start + step], bits)
-        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+    def __call__(self, text: str) -> np.ndarray:
+        found, known, words = text.encode().lower().split(), self.known, self.words
+        if len(found) < words:
+            return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)], np.uint64)
+        if len(known) > 250_000:
+            known.clear()
+        for word in set(found).difference(known):
+            known[word] = xxhash.xxh64_intdigest(word, SEED)
+        own = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+        return np.unique(sum((own[i : len(own) - words + 1 + i] * self.power[i] for i in range(words)), np.zeros(len(own) - words + 1, np.uint64)))
 
 
-def most_differing(bits: int, similarity: float) -> int:
-    """Bits in which sets of at least this Jaccard similarity differ, and a standard deviation more: the angle between
-    sets of one size that share 2s/(1+s) of their members."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+def arrays(parts: list[np.ndarray]) -> pa.Array:
+    """A column of lists of longs."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """id (as given), blocks (of the set of words), print (of the set of shingles; of all words as one where fewer)."""
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) of shingles that several of some COUNTED texts have, and in how many they are.
+
+    They only order the prefixes, and any order finds the same pairs."""
 
     def run(batches):
-        known: dict[bytes, int] = {}
+        of = Shingles(words)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                found = [of(t) for t in batch.column("text").slice(start, ROWS).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    total = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // COUNTED))) == 0).select("text")
+    rows = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 8").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    hashes = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r["n"] for r in rows], np.int64)[order]
+
+
+def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of a set's hashes, so many that sets of at least this Jaccard similarity share one: such a set
+    has ceil(similarity * n) of the n, so they can't all be outside."""
+    most = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+    if not len(common):
+        return own[:most]
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    rank = np.where(common[at] == own, counts[at], 0)
+    return own[np.argsort(rank, kind="stable")[:most]] if rank.any() else own[:most]
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    """Bitmap that each hash flips a bit of; two differ in no more bits than their sets in members."""
+    flips = np.bincount((own % np.uint64(PARITY * 64)).astype(np.int64), minlength=PARITY * 64) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+
 
-        class Known(dict):
-            def __missing__(self, word):
-                value = self[word] = xxhash.xxh64_intdigest(word, SEED)
-                return value
+def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """id, n (shingles), p0, p1, ... (the parity bitmap) and prefix of every row's whole text."""
+    common, counts = common_shingles(docs, words)
+    names = [f"p{i}" for i in range(PARITY)]
 
-        known = Known()
-        place = np.int32(256) ** np.arange(BLOCK_BYTES, dtype=np.int32)
-        power = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(words)], np.uint64)
+    def run(batches):
+        of = Shingles(words)
         for batch in batches:
-            if len(known) > 250_000:
-                known.clear()
-            blocks, prints = [], []
-            for text in (t for start in range(0, batch.num_rows, ROWS) for t in batch.column("text").slice(start, ROWS).to_pylist()):
-                found = text.encode().lower().split()
-                own = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-                if len(own) >= words:
-                    runs = sum((own[i : len(own) - words + 1 + i] * power[i] for i in range(words)), np.zeros(len(own) - words + 1, np.uint64))
-                else:
-                    runs = np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)], np.uint64)
-                blocks.append((np.frombuffer(wide_fingerprint(np.unique(own), WORD_BITS), np.uint8).reshape(-1, BLOCK_BYTES) @ place).tolist())
-                prints.append(wide_fingerprint(np.unique(runs), SHINGLE_BITS))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(blocks, pa.list_(pa.int32())), pa.array(prints, pa.binary())], ["id", "blocks", "print"])
-
-    return docs.select("id", "text").mapInArrow(run, "id long, blocks array<int>, print binary")
-
-
-def wide_forest(ids: list[int], prints: list[bytes], more_ids: list[int], more_prints: list[bytes], limit: int) -> list[tuple[int, int]]:
-    """Edges that connect what pairs of at most limit differing bits connect, within ids or (if there are more) between the two."""
-    a = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
-    b = np.frombuffer(b"".join(more_prints), np.uint64).reshape(len(more_prints), -1) if more_ids else a
-    other = more_ids or ids
-    place = {x: i for i, x in enumerate(dict.fromkeys([*ids, *more_ids]))}
-    label = list(range(len(place)))
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                sizes, maps, firsts = [], [], []
+                for text in part.column("text").to_pylist():
+                    own = of(text)
+                    sizes.append(len(own))
+                    maps.append(parity(own))
+                    firsts.append(prefix(own, common, counts, similarity))
+                bits = np.array(maps, np.int64).reshape(-1, PARITY)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int32()), *(pa.array(bits[:, i].copy()) for i in range(PARITY)), arrays(firsts)], ["id", "n", *names, "prefix"])
+        of.known.clear()
+        trim()
 
-    def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
+    return docs.select("id", "text").mapInArrow(run, "id long, n int, " + ", ".join(f"{x} long" for x in names) + ", prefix array<long>")
 
-    edges, rows = [], max(1, 200_000 // max(1, len(b)))
-    for start in range(0, len(a), rows):
-        apart = np.bitwise_count(a[start : start + rows, None, :] ^ b[None, :, :]).sum(2, dtype=np.int32)
-        for x, y in zip(*(z.tolist() for z in np.nonzero(apart <= limit)), strict=True):
-            i, j = ids[start + x], other[y]
-            u, v = root(place[i]), root(place[j])
-            if u != v:
-                label[max(u, v)] = min(u, v)
-                edges.append((i, j))
-    return edges
 
+def sets(docs: DataFrame, words: int) -> DataFrame:
+    """id, own: every row's shingles."""
 
-def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER) -> DataFrame:
-    """node, root: texts (by their hash) linked by similarity of their sets of word shingles.
-
-    The 1536-bit fingerprints of words are split into 64 blocks of 24 bits. Texts that share a block are compared by the
-    Hamming distance of their 512-bit fingerprints of shingles. A pair that differs in under 64 word bits shares a block for sure;
-    of pairs at similarity 0.8 nearly all do where single words were changed (some 2 % of them), about 98 % where
-    the shorter lacks a passage of a ninth of the words."""
-    limit = most_differing(SHINGLE_BITS, similarity)
-    prints = written(wide_fingerprints(docs, words), "wide-fingerprints")
-    distinct = written(prints.groupBy("id").agg(F.first("blocks").alias("blocks"), F.first("print").alias("print")), "wide-distinct")
-    keyed = distinct.select("id", F.posexplode("blocks").alias("t", "key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.when(F.col("n") <= together, 1).otherwise(F.ceil(F.col("n") * 2 / together)).cast("int")
-    members = keyed.join(sizes, ["t", "key"]).withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    met = members.select("id", "t", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    met = met.join(distinct.select("id", "print"), "id").select("t", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", F.struct("id", "print").alias("m"))
-    groups = met.groupBy("t", "key", "i", "j").agg(F.collect_list(F.when(F.col("mine") == F.col("i"), F.col("m"))).alias("left"), F.collect_list(F.when(F.col("mine") != F.col("i"), F.col("m"))).alias("right"))
+    def run(batches):
+        of = Shingles(words)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column("id"), arrays([of(t) for t in part.column("text").to_pylist()])], ["id", "own"])
+        of.known.clear()
+        trim()
+
+    return docs.select("id", "text").mapInArrow(run, "id long, own array<long>")
+
+
+def may_be_close(similarity: float):
+    """Condition on x and y that each pair of at least this similarity meets, by sizes and parity bitmaps."""
+    apart = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITY)), F.lit(0))
+    both = F.col("x.n") + F.col("y.n")
+    return (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity - 1e-9) & (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-9)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple[int, int]] = []
-        for i, j, left, right in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "left", "right")), strict=True):
-            if left and (right or i == j):
-                out += wide_forest([m["id"] for m in left], [m["print"] for m in left], [m["id"] for m in right], [m["print"] for m in right], limit)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    return components(map_batches(groups.select("i", "j", "left", "right"), run, "a long, b long"))
+def close(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets have at least this Jaccard similarity."""
+    pairs = written(pairs.distinct(), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = written(sets(docs.join(needed, "id", "left_semi").dropDuplicates(["id"]), words), "sets")
+    met = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return written(met.where(common >= (F.size("x") + F.size("y") - common) * similarity - 1e-9).select("a", "b"), "close")
+
+
+def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER) -> DataFrame:
+    """node, root: texts (by their hash) linked by Jaccard similarity of their sets of word shingles, exactly.
+
+    Sets of at least this similarity share a member of their prefixes. First each text meets the least that has the same prefix
+    shingle, which links most of a group; then those texts meet that share one and aren't linked yet. Sizes and parity bitmaps
+    leave out only pairs that can't be close; the sets themselves decide."""
+    first = [F.first(c).alias(c) for c in ("n", *(f"p{i}" for i in range(PARITY)), "prefix")]
+    distinct = written(written(prefixes(docs, words, similarity), "prefixes").groupBy("id").agg(*first), "prefixes-distinct")
+    prints, keyed = distinct.drop("prefix"), distinct.select("id", F.explode("prefix").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("least")).where("members > 1")
+    shared = written(keyed.join(sizes.select("key", "least"), "key"), "shared-shingles")
+    stars = shared.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stars.join(prints.alias("x"), F.col("a") == F.col("x.id")).join(prints.alias("y"), F.col("b") == F.col("y.id")).where(may_be_close(similarity)).select("a", "b")
+    edges = close(stars, docs, words, similarity)
+    roots = components(edges)
+    known = shared.select("id", "key").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+    known = written(known, "linked-shingles")
+    mixed = known.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    # of few enough members one chunk; else each member meets all, a chunk of them in a task
+    mixed = mixed.select("key", F.ceil(F.col("members") / together).cast("int").alias("chunks"))
+    members = written(known.join(mixed, "key").join(prints, "id"), "unlinked-shingles")
+    left = members.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).alias("x")
+    right = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") == F.col("y.chunk"))
+    rest = left.join(right, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_be_close(similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return components(edges.unionByName(close(rest, docs, words, similarity)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
