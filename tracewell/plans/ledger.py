@@ -32,6 +32,12 @@ def left_truncated_tokens(spark, sf_dir):
     return rows.select("source_row", F.array_join(W.left_truncate(F.col("t"), 64).cast("array<string>"), ",").alias("tokens"))
 
 
+@query(f"WITH {X.EXAMPLES}, t AS (SELECT source_row, [1] || {_BYTES.format('prompt')} || [3] || {_BYTES.format('completion')} || [2] AS t FROM examples), c AS (SELECT source_row, CASE WHEN len(t) > 64 THEN [t[1]] || t[-63:] ELSE t END AS t FROM t) SELECT source_row, array_to_string(t, ',') AS tokens FROM c")
+def left_truncated_tokens_all(spark, sf_dir):
+    rows = X.examples(spark, sf_dir).withColumn("t", W.sft_tokens(F.col("prompt"), F.col("completion")))
+    return rows.select("source_row", F.array_join(W.left_truncate(F.col("t"), 64).cast("array<string>"), ",").alias("tokens"))
+
+
 @query(f"WITH {X.EXAMPLES} SELECT source_row, round((strlen(completion) + 1) * sample_weight, 6) AS denominator, CAST(strlen(completion) + 1 AS BIGINT) AS active FROM examples")
 def loss_denominators(spark, sf_dir):
     rows = X.examples(spark, sf_dir).withColumn("w", W.sft_weights(F.col("prompt"), F.col("completion"), F.col("sample_weight")))
@@ -60,6 +66,15 @@ def token_interventions(spark, sf_dir):
     return rows.select("source_row", total(F.col("w")).alias("kept"), total(L.intervene(F.col("w"), *whole, "remove")).alias("removed"), total(L.intervene(F.col("w"), *whole, "scale", 0.5)).alias("halved"))
 
 
+@query(f"WITH {X.EXAMPLES}, o AS (SELECT source_row, strlen(completion) + 1 AS c, sample_weight AS w FROM examples) SELECT source_row, round(c * w, 6) AS kept, CAST(0 AS DOUBLE) AS removed, round(c * w * 0.5, 6) AS halved FROM o")
+def token_interventions_all(spark, sf_dir):
+    """Weight sums before and after a removal and a halving of the whole span."""
+    rows = X.examples(spark, sf_dir).withColumn("w", W.sft_weights(F.col("prompt"), F.col("completion"), F.col("sample_weight")))
+    total = lambda w: F.round(F.aggregate(w, F.lit(0.0), lambda s, x: s + x), 6)
+    whole = (F.lit(0), F.size("w"))
+    return rows.select("source_row", total(F.col("w")).alias("kept"), total(L.intervene(F.col("w"), *whole, "remove")).alias("removed"), total(L.intervene(F.col("w"), *whole, "scale", 0.5)).alias("halved"))
+
+
 @query("WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE))) AS l, list_transform(range(0, len(embedding)), lambda i: CASE WHEN i % 3 = 0 THEN 0.0 ELSE 1.0 END) AS w FROM embeddings), t AS (SELECT vec_id, list_sum(list_transform(range(1, len(l) + 1), lambda i: l[i] * w[i])) AS s, list_sum(w) AS d FROM x) SELECT vec_id, round(s / d, 8) AS renormalized, round(s / 64.0, 8) AS fixed FROM t")
 def normalized_losses(spark, sf_dir):
     v = X.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("l"), F.transform("embedding", lambda x, i: F.when(i % 3 == 0, 0.0).otherwise(1.0)).alias("w"))
@@ -118,3 +133,9 @@ def run_inspection(spark, sf_dir):
 def patch_conflicts(spark, sf_dir):
     a = X.table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_partkey").alias("occurrence_id"))
     return L.conflicts(a.unionByName(X.table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("occurrence_id"))))
+
+
+@query("SELECT occurrence_id, count(*) AS n FROM (SELECT l_partkey AS occurrence_id FROM lineitem UNION ALL SELECT p_partkey FROM part) GROUP BY 1 HAVING count(*) > 1")
+def patch_conflicts_all(spark, sf_dir):
+    a = X.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("occurrence_id"))
+    return L.conflicts(a.unionByName(X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("occurrence_id"))))

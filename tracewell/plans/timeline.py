@@ -101,6 +101,17 @@ def bootstrap_interval(spark, sf_dir):
     return out.select("g", F.round("low", 8).alias("low"), F.round("high", 8).alias("high"))
 
 
+@query(_BOOT.replace(" WHERE l_orderkey <= 100", "") + "SELECT g, round(quantile_cont(m, 0.025), 8) AS low, round(quantile_cont(m, 0.975), 8) AS high FROM m GROUP BY 1")
+def bootstrap_interval_all(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = X.table(spark, sf_dir, "lineitem")
+    at = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) - 1
+    d = rows.select(F.col("l_returnflag").alias("g"), at.cast("long").alias("i"), (F.col("l_discount") - F.col("l_tax")).alias("v"))
+    out = S.hashed_bootstrap(d, ["g"], "i", "v", draws=50, seed=5)
+    return out.select("g", F.round("low", 8).alias("low"), F.round("high", 8).alias("high"))
+
+
 _HOLM = "WITH t AS (SELECT p_brand AS family, p_partkey AS test_id, (p_partkey * 37 % 1000) / 1000.0 AS p FROM part), a AS (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, test_id) + 1) * p AS a FROM t) "
 
 
@@ -142,6 +153,13 @@ def tensor_differences(spark, sf_dir):
     return S.tensor_difference(v.select("name", "values"), other).select("name", "equal", F.round("max_abs", 8).alias("max_abs"), F.round("max_rel", 8).alias("max_rel"))
 
 
+@query("WITH x AS (SELECT vec_id, label, unnest(embedding) AS v FROM embeddings), d AS (SELECT CAST(vec_id AS VARCHAR) AS name, CAST(v AS DOUBLE) AS a, CAST(v AS DOUBLE) * CASE WHEN label = 0 THEN 1.5 ELSE 1 END AS b, label FROM x) SELECT name, bool_and(a = b) AS equal, round(max(abs(a - b)), 8) AS max_abs, round(max(abs(a - b) / greatest(abs(b), 2.2250738585072014e-308)), 8) AS max_rel FROM d GROUP BY 1")
+def tensor_differences_all(spark, sf_dir):
+    v = X.table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").cast("string").alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+    other = v.select("name", F.transform("values", lambda x: x * F.when(F.col("label") == 0, 1.5).otherwise(1.0)).alias("values"))
+    return S.tensor_difference(v.select("name", "values"), other).select("name", "equal", F.round("max_abs", 8).alias("max_abs"), F.round("max_rel", 8).alias("max_rel"))
+
+
 @query("WITH a AS (SELECT vec_id, label, embedding AS x, list_transform(embedding, lambda v: CAST(v + CASE WHEN label = 3 THEN 0.000001 WHEN label = 4 THEN 1 ELSE 0 END AS DOUBLE)) AS y FROM embeddings) SELECT label, CASE WHEN label < 3 THEN 'BITWISE' WHEN label = 3 THEN 'NUMERIC' ELSE CASE WHEN label = 4 THEN 'FAILED' ELSE 'BITWISE' END END AS grade FROM a GROUP BY 1")
 def audit_grades(spark, sf_dir):
     v = X.table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").cast("string").alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
