@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def pack_lengths(examples: DataFrame, context: int, sequences: int, run: str = "run_id") -> DataFrame:
-    """Greedy cyclic packing of each run: its next sequences of at most context tokens.
+def pack_lengths(examples: DataFrame, context: int, sequences: int | None, run: str = "run_id") -> DataFrame:
+    """Greedy cyclic packing of each run: its next sequences of at most context tokens; where sequences is None, those that hold one epoch.
 
     examples: run, source_row, length (before truncation). Rows go in order, over and over; one that doesn't fit begins
     the next sequence, one of the whole context ends its own. A run is folded in one task, on lengths alone.
@@ -20,8 +20,9 @@ def pack_lengths(examples: DataFrame, context: int, sequences: int, run: str = "
         rows, lengths = group["source_row"].tolist(), [min(int(n), context) for n in group["length"]]
         cut = [max(0, int(n) - context) for n in group["length"]]
         name, out, at, epoch = group[run].iloc[0], [], 0, 0
-        for sequence in range(sequences):
-            filled = 0
+        sequence = -1
+        while epoch == 0 if sequences is None else sequence + 1 < sequences:
+            sequence, filled = sequence + 1, 0
             while filled < context:
                 size = lengths[at]
                 if filled and filled + size > context:

@@ -57,6 +57,16 @@ def deterministic_packing(spark, sf_dir):
     return L.pack_lengths(rows, context=2048, sequences=300)
 
 
+_EPOCH = _PACK.replace("p.sequence <= 300", "p.i < 2 * k.rows").replace("sequence < 300", "sequence <= (SELECT max(sequence) FROM p, k WHERE p.i < k.rows)")
+
+
+@query(_EPOCH)
+def deterministic_packing_all(spark, sf_dir):
+    """The sequences that one epoch of the table needs."""
+    rows = X.examples(spark, sf_dir).select(F.lit("run").alias("run_id"), "source_row", W.sft_length(F.col("prompt"), F.col("completion")).alias("length"))
+    return L.pack_lengths(rows, context=2048, sequences=None)
+
+
 @query(f"WITH {X.EXAMPLES}, o AS (SELECT source_row, strlen(completion) + 1 AS c, sample_weight AS w FROM examples) SELECT source_row, round(c * w, 6) AS kept, CAST(0 AS DOUBLE) AS removed, round(c * w * 0.5, 6) AS halved FROM o WHERE source_row < 60")
 def token_interventions(spark, sf_dir):
     """Weight sums before and after a removal and a halving of the whole span."""
@@ -88,9 +98,9 @@ def occurrence_losses(spark, sf_dir):
     return v.select("vec_id", F.round(loss, 8).alias("loss"), active.alias("active"))
 
 
-def _batches(spark, sf_dir):
-    """Packed single-example sequences; some of them broken in known ways."""
-    e = X.examples(spark, sf_dir).where("length(prompt) < 400 AND length(completion) < 400")
+def _batches(spark, sf_dir, whole=False):
+    """Packed single-example sequences, of all examples or the short ones; some of them broken in known ways."""
+    e = X.examples(spark, sf_dir) if whole else X.examples(spark, sf_dir).where("length(prompt) < 400 AND length(completion) < 400")
     n = W.sft_length(F.col("prompt"), F.col("completion")).cast("int")
     e = e.withColumn("n", n).withColumn("pad", F.when(F.col("source_row") % 4 == 0, 5).otherwise(0)).withColumn("w", W.sft_weights(F.col("prompt"), F.col("completion")))
     prompt = F.concat(F.array(F.lit(False)), F.array_repeat(F.lit(True), F.octet_length("prompt")), F.array_repeat(F.lit(False), F.col("n") - 1 - F.octet_length("prompt")))
@@ -108,6 +118,11 @@ def batch_invariants(spark, sf_dir):
     return L.batch_issues(_batches(spark, sf_dir)).select("source_row", F.array_join("issues", ",").alias("issues"))
 
 
+@query(f"WITH {X.EXAMPLES} SELECT source_row, concat_ws(',', CASE WHEN source_row % 9 = 0 THEN 'span outside' END, CASE WHEN source_row % 9 = 0 THEN 'mask length' END, CASE WHEN source_row % 7 = 0 THEN 'denominator' END) AS issues FROM examples")
+def batch_invariants_all(spark, sf_dir):
+    return L.batch_issues(_batches(spark, sf_dir, whole=True)).select("source_row", F.array_join("issues", ",").alias("issues"))
+
+
 @query(f"WITH {X.EXAMPLES} SELECT 'left' AS side, count(*) AS n FROM examples WHERE length(prompt) < 400 AND length(completion) < 400 AND source_row % 10 = 3 HAVING count(*) > 0 UNION ALL SELECT 'right', count(*) FROM examples WHERE length(prompt) < 400 AND length(completion) < 400 AND source_row % 10 = 3 HAVING count(*) > 0")
 def ledger_validation(spark, sf_dir):
     """Spans of the occurrence table against those of the batches; every tenth was changed."""
@@ -116,6 +131,14 @@ def ledger_validation(spark, sf_dir):
     return L.ledger_mismatches(occurrences, b)
 
 
+@query(f"WITH {X.EXAMPLES} SELECT 'left' AS side, count(*) AS n FROM examples WHERE source_row % 10 = 3 HAVING count(*) > 0 UNION ALL SELECT 'right', count(*) FROM examples WHERE source_row % 10 = 3 HAVING count(*) > 0")
+def ledger_validation_all(spark, sf_dir):
+    """Spans of the occurrence table against those of the batches; every tenth was changed."""
+    b = _batches(spark, sf_dir, whole=True).select(F.col("source_row").alias("step"), F.lit(0).alias("microbatch"), F.transform("spans", lambda s: F.struct(s["start"].alias("token_start"), s["end"].alias("token_end"))).alias("spans"))
+    occurrences = b.select("step", "microbatch", F.explode("spans").alias("s")).select("step", "microbatch", (F.col("s.token_start") + F.when(F.col("step") % 10 == 3, 1).otherwise(0)).alias("token_start"), F.col("s.token_end").alias("token_end"))
+    return L.ledger_mismatches(occurrences, b)
+
+
 @query(f"WITH {X.OCCURRENCES} SELECT step, count(*) AS occurrences, count(*) FILTER (source = 'error') AS reserved, round(avg(value), 8) AS mean_loss FROM occurrences GROUP BY 1")
 def step_summary(spark, sf_dir):
     return X.occurrences(spark, sf_dir).groupBy("step").agg(F.count("*").alias("occurrences"), F.count_if(F.col("source") == "error").alias("reserved"), F.round(F.avg("value"), 8).alias("mean_loss"))
