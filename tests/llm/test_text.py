@@ -258,6 +258,14 @@ def test_links_of_crowded_prints(spark, together):
     assert all(len(g) == 1 for g in groups.values()) and len({g.pop() for g in groups.values()}) == len(set(want))
 
 
+def test_pairs_of_unlike_signs(spark):
+    """Two that share a bucket alone: their difference as a signed number has few bits, as 64 bits many."""
+    far, near = -(8 << 32), -(1 << 63)
+    for other, want in ((far, 0), (near, 1)):
+        frame = spark.createDataFrame([(0,), (other,)], "fp long")
+        assert simhash.links(frame, 3, 3).distinct().count() == want
+
+
 def test_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}

@@ -114,7 +114,7 @@ def links(distinct: DataFrame, max_bits: int, agree: int, together: int = TOGETH
         out: list[tuple[int, int]] = []
         for i, j, left, right in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "left", "right")), strict=True):
             if i == j and len(left) == 2:
-                if (left[0] ^ left[1]).bit_count() <= max_bits or ((left[0] ^ left[1]) & (2**64 - 1)).bit_count() <= max_bits:
+                if ((left[0] ^ left[1]) & (2**64 - 1)).bit_count() <= max_bits:  # signed, so masked to their 64 bits
                     out.append((left[0], left[1]))
             elif left and (right or i == j):
                 out += forest(np.array(left, np.int64), None if i == j else np.array(right, np.int64), max_bits)
