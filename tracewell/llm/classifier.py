@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ROWS
+from tracewell.llm.common import slices
 
 
 BUCKETS = 1 << 17
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Model, held_out, threshold: float = 0.7) -> Da
     def run(batches):
         memory = Scores(*shared.value)
         for batch in batches:
-            scores = [memory.score(t or "") for start in range(0, batch.num_rows, ROWS) for t in batch.column("text").slice(start, ROWS).to_pylist()]
+            scores = [memory.score(t or "") for part in slices(batch) for t in part.column("text").to_pylist()]
             predicted = [int(s >= threshold) for s in scores]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -176,8 +176,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     def run(batches):
         memory = Scores(*shared.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
+            for part in slices(batch):
                 good = [memory.score(t or "") >= threshold for t in part.column("text").to_pylist()]
                 yield part.filter(pa.array(good, pa.bool_()))
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-_written: list[tuple[SparkSession, str]] = []
+#: Tables of this driver that are there still: path, and the name in the catalogue of those that have one.
+_written: dict[str, tuple[SparkSession, str | None]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,30 +27,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that the context was given.
+
+    Without either a local master gets checkpoints beside its warehouse; a cluster must name a folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+        path = spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/")
+
+
+def _drop(path: str) -> None:
+    spark, name = _written.pop(path)
+    if name is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for t in tables:
+        path = getattr(t, "written_path", None)
+        if path in _written:
+            _drop(path)
+
+
+def tables_there() -> set[str]:
+    """Paths of the written tables that haven't been released."""
+    return set(_written)
+
+
+def release_unread(paths: set[str], docs: DataFrame) -> None:
+    """Deletes those of the written tables at paths that docs doesn't read."""
+    here = paths & _written.keys()
+    read = docs.inputFiles() if here else ()
+    for path in here:
+        if not any(path in f for f in read):
+            _drop(path)
+
+
 def _clean() -> None:
-    while _written:
-        spark, path = _written.pop()
+    for path in list(_written):
         try:
-            _delete(spark, path)
-        except Exception:  # the session may be gone at exit
-            return
+            _drop(path)
+        except Exception:  # noqa: S112  the session may be gone at exit; the other tables may have another
+            continue
 
 
 atexit.register(_clean)
@@ -73,13 +98,14 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
 
-    The table goes when the driver's Python ends."""
+    The table goes when it is released, or else when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with tidy(spark):
         df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[path], out.written_path = (spark, None), path
+    return out
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
@@ -89,8 +115,9 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     path = f"{shared_dir(spark)}/{made}"
     with tidy(spark):
         df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(made)
-    _written.append((spark, path))
-    return spark.table(made)
+    out = spark.table(made)
+    _written[path], out.written_path = (spark, made), path
+    return out
 
 
 def trim() -> None:
@@ -100,8 +127,29 @@ def trim() -> None:
         _trim(0)
 
 
-#: Rows that a worker turns into Python objects at a time.
-ROWS = 1000
+#: Rows, and bytes of a text column, that a worker turns into Python objects at a time; a longer text goes alone.
+ROWS, BYTES = 1000, 8_000_000
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in slices of at most ROWS rows and about BYTES bytes."""
+    if batch.num_rows <= ROWS and batch.nbytes <= BYTES:
+        if batch.num_rows:
+            yield batch
+        return
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_list(column.type):
+            offsets = np.frombuffer(column.buffers()[1], np.int32, batch.num_rows + 1, column.offset * 4).astype(np.int64)
+            width = 1 if not pa.types.is_list(column.type) else max(1, column.values.nbytes // max(1, len(column.values)))
+            size += np.diff(offsets) * width
+    total = np.cumsum(size)
+    start = 0
+    while start < batch.num_rows:
+        before = total[start - 1] if start else 0
+        stop = min(start + ROWS, max(start + 1, int(np.searchsorted(total, before + BYTES, side="right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -109,8 +157,8 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                yield function(batch.slice(start, ROWS))
+            for part in slices(batch):
+                yield function(part)
 
     return df.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ROWS, bucketed, held_out, trim, written
+from tracewell.llm.common import bucketed, held_out, release, slices, trim, written
 
 START, END = 0, 1  # hashes of the two marks
 #: Bits of a word's hash: of V words two share one with a chance of V**2 / 2**57.
@@ -137,7 +137,7 @@ def deal(docs: DataFrame, shards: int, hot: dict[int, int]) -> DataFrame:
     def run(batches):
         codes, tokens, lengths, keys, train, total = Codes(), [], [], [], [], 0
         for batch in batches:
-            for key, learn, text in (row for start in range(0, batch.num_rows, ROWS) for row in zip(*(batch.column(c).slice(start, ROWS).to_pylist() for c in ("key", "train", "text")), strict=True)):
+            for key, learn, text in (row for part in slices(batch) for row in zip(*(part.column(c).to_pylist() for c in ("key", "train", "text")), strict=True)):
                 words = text.encode().lower().split()
                 words.append(b" ")
                 tokens.append(np.fromiter(map(codes.__getitem__, words), np.int32, len(words)))

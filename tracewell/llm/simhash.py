@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ROWS, map_batches, trim, written
+from tracewell.llm.common import map_batches, release, slices, trim, written
 
 BITS = 64
 #: Fingerprints of a bucket that meet in one task; larger buckets are cut into chunks of half of it.
@@ -135,10 +135,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        current = written(small.distinct(), "links")
+        last, current = current, written(small.distinct(), "links")
+        release(last)
         state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
-            return current.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+            found = written(current.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root"), "roots")
+            release(current)
+            return found
         before = state
     raise RuntimeError(f"links still change after {most_rounds} rounds")
 
@@ -195,8 +198,8 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     def run(batches):
         of = Shingles(words)
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                found = [of(t) for t in batch.column("text").slice(start, ROWS).to_pylist()]
+            for part in slices(batch):
+                found = [of(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
     total = docs.count()
@@ -219,33 +222,39 @@ def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity:
 
 
 def parity(own: np.ndarray) -> np.ndarray:
-    """Bitmap that each hash flips a bit of; two differ in no more bits than their sets in members."""
-    flips = np.bincount((own % np.uint64(PARITY * 64)).astype(np.int64), minlength=PARITY * 64) & 1
+    """Bitmap that each hash flips a bit of, of a power of two bits, as many as hashes at least; two differ in no more bits than their sets in members."""
+    bits = np.uint64(max(PARITY * 64, 1 << (len(own) - 1).bit_length()))
+    flips = np.bincount((own % bits).astype(np.int64), minlength=int(bits)) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def folded(bitmap: np.ndarray, longs: int) -> np.ndarray:
+    """The bitmap that fewer bits would have had."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, longs), axis=0)
+
+
 def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """id, n (shingles), p0, p1, ... (the parity bitmap) and prefix of every row's whole text."""
+    """id, n (shingles), map (the parity bitmap), p0, p1, ... (the same folded) and prefix of every row's whole text."""
     common, counts = common_shingles(docs, words)
     names = [f"p{i}" for i in range(PARITY)]
 
     def run(batches):
         of = Shingles(words)
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                sizes, maps, firsts = [], [], []
+            for part in slices(batch):
+                sizes, small, maps, firsts = [], [], [], []
                 for text in part.column("text").to_pylist():
                     own = of(text)
                     sizes.append(len(own))
                     maps.append(parity(own))
+                    small.append(folded(maps[-1], PARITY))
                     firsts.append(prefix(own, common, counts, similarity))
-                bits = np.array(maps, np.int64).reshape(-1, PARITY)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int32()), *(pa.array(bits[:, i].copy()) for i in range(PARITY)), arrays(firsts)], ["id", "n", *names, "prefix"])
+                bits = np.array(small, np.int64).reshape(-1, PARITY)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int32()), *(pa.array(bits[:, i].copy()) for i in range(PARITY)), pa.array([m.tobytes() for m in maps], pa.binary()), arrays(firsts)], ["id", "n", *names, "map", "prefix"])
         of.known.clear()
         trim()
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n int, " + ", ".join(f"{x} long" for x in names) + ", prefix array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n int, " + ", ".join(f"{x} long" for x in names) + ", map binary, prefix array<long>")
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
@@ -254,8 +263,7 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         of = Shingles(words)
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
+            for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("id"), arrays([of(t) for t in part.column("text").to_pylist()])], ["id", "own"])
         of.known.clear()
         trim()
@@ -270,42 +278,72 @@ def may_be_close(similarity: float):
     return (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity - 1e-9) & (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-9)
 
 
+def sieve(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose whole parity bitmaps don't rule out this similarity."""
+    left, right = (maps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("map").alias(f"m{c}")) for c in "ab")
+    most = (1 - similarity) / (1 + similarity)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        limit = (batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()) * most + 1e-9
+        apart = []
+        for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True):
+            one, two = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+            least = min(len(one), len(two))
+            apart.append(int(np.bitwise_count((folded(one, least) ^ folded(two, least)).view(np.uint64)).sum()))
+        good = pa.array(np.array(apart, np.int64) <= limit)
+        return batch.select(["a", "b"]).filter(good)
+
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb"), run, "a long, b long")
+
+
 def close(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose sets have at least this Jaccard similarity."""
-    pairs = written(pairs.distinct(), "pairs")
+    """Those of pairs (a, b), a written table, whose sets have at least this Jaccard similarity."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     own = written(sets(docs.join(needed, "id", "left_semi").dropDuplicates(["id"]), words), "sets")
     met = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return written(met.where(common >= (F.size("x") + F.size("y") - common) * similarity - 1e-9).select("a", "b"), "close")
+    found = written(met.where(common >= (F.size("x") + F.size("y") - common) * similarity - 1e-9).select("a", "b"), "close")
+    release(own, pairs)
+    return found
 
 
 def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER) -> DataFrame:
     """node, root: texts (by their hash) linked by Jaccard similarity of their sets of word shingles, exactly.
 
-    Sets of at least this similarity share a member of their prefixes. First each text meets the least that has the same prefix
+    Sets of at least this similarity share a member of their prefixes. First each text meets a least one that has the same prefix
     shingle, which links most of a group; then those texts meet that share one and aren't linked yet. Sizes and parity bitmaps
-    leave out only pairs that can't be close; the sets themselves decide."""
-    first = [F.first(c).alias(c) for c in ("n", *(f"p{i}" for i in range(PARITY)), "prefix")]
-    distinct = written(written(prefixes(docs, words, similarity), "prefixes").groupBy("id").agg(*first), "prefixes-distinct")
-    prints, keyed = distinct.drop("prefix"), distinct.select("id", F.explode("prefix").alias("key"))
+    leave out only pairs that can't be close; the sets themselves decide. Rows that repeat an id are one text; an empty table gives no rows."""
+    first = [F.first(c).alias(c) for c in ("n", *(f"p{i}" for i in range(PARITY)), "map", "prefix")]
+    made = written(prefixes(docs, words, similarity), "prefixes")
+    distinct = written(made.groupBy("id").agg(*first), "prefixes-distinct")
+    release(made)
+    prints, maps, keyed = distinct.drop("prefix", "map"), distinct.select("id", "n", "map"), distinct.select("id", F.explode("prefix").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("least")).where("members > 1")
     shared = written(keyed.join(sizes.select("key", "least"), "key"), "shared-shingles")
     stars = shared.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(prints.alias("x"), F.col("a") == F.col("x.id")).join(prints.alias("y"), F.col("b") == F.col("y.id")).where(may_be_close(similarity)).select("a", "b")
-    edges = close(stars, docs, words, similarity)
+    # one star a text is enough here: what else it is close to it meets below, if they aren't linked by then
+    edges = close(written(sieve(stars, maps, similarity).groupBy("b").agg(F.min("a").alias("a")), "stars"), docs, words, similarity)
     roots = components(edges)
     known = shared.select("id", "key").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
     known = written(known, "linked-shingles")
+    release(shared, roots)
     mixed = known.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     # of few enough members one chunk; else each member meets all, a chunk of them in a task
     mixed = mixed.select("key", F.ceil(F.col("members") / together).cast("int").alias("chunks"))
     members = written(known.join(mixed, "key").join(prints, "id"), "unlinked-shingles")
+    release(known)
     left = members.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).alias("x")
     right = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") == F.col("y.chunk"))
     rest = left.join(right, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_be_close(similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    return components(edges.unionByName(close(rest, docs, words, similarity)))
+    rest = written(rest.distinct(), "unlinked-pairs")
+    release(members)
+    more = close(written(sieve(rest, maps, similarity), "sieved-pairs"), docs, words, similarity)
+    release(rest, distinct)
+    found = components(edges.unionByName(more))
+    release(edges, more)
+    return found
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
