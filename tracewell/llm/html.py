@@ -10,9 +10,12 @@ without the parts that are menus, notices and the like wherever they stand.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +35,26 @@ ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td",
 #: Where the search for such an element, or for a p, stops; fixed values.
 SCOPE = {"li": {"ul", "ol"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 #: Elements that are never main text; fixed values.
-ASIDE = frozenset("nav footer aside form button dialog menu".split())
-#: Words of class, id and role that mark what isn't main text; fixed values.
-ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement alert alertdialog banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus disclaimer footer gdpr login menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
+ASIDE = frozenset("nav footer aside button dialog menu".split())
+#: Parts of a class, id or role that say what a block is; fixed values.
+SAYS_ASIDE = frozenset(
+    "ad ads advert adverts advertisement alert alertdialog banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer gdpr menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar".split()
 )
+#: Parts that only say how a block is laid out; fixed values.
+SAYS_LAYOUT = frozenset(
+    "area bar block bottom box button buttons col column container content div end first fixed form group holder icon icons inner item items last left link links list main module outer page panel post pre primary region right row secondary section site slot small sticky thread top unit widget widgets wrap wrapper".split()
+)
+#: Blocks that such words can mark; others are text, whose id is an anchor.
+MARKED = frozenset("div section aside ul ol dl table header footer form nav menu article span details dialog figure".split())
+#: Descendants that make a block the frame of a page, whatever it is called; a form frames an article too.
+FRAMES = frozenset("main h1".split())
 #: Comments; elements whose content is not text of the page, whole; tags with their attributes; declarations.
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(?P<raw>script|style|title|noscript|template|textarea|iframe|object|svg|math|select|canvas|audio|video)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>",
     re.S | re.I,
 )
-MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
+MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 #: Share of a host's varying text that a child must hold to be descended into.
 HOLDS = 0.7
@@ -51,11 +62,29 @@ HOLDS = 0.7
 CONSTANT, LEAST_PAGES = 0.5, 4
 
 
+NOTHING, ALWAYS, SAYS, FORM = range(4)
+
+
+def says_aside(rest: str) -> bool:
+    """Whether a class, id or role names an aside: one of its names has an aside's part and else only parts of layout or digits,
+    so that share-buttons counts and share-price doesn't."""
+    for mark in MARK.finditer(rest):
+        for name in mark[1].strip("\"'").split():
+            parts = [p for p in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if p]
+            if any(p in SAYS_ASIDE for p in parts) and all(p in SAYS_ASIDE or p in SAYS_LAYOUT for p in parts):
+                return True
+    return False
+
+
 class Page:
-    """The tree of a page: tag, parent, children and aside of each node, and blocks (node, text)."""
+    """The tree of a page: tag, parent, children and aside of each node, and blocks (node, text).
+
+    Asides are hidden blocks, elements that never hold main text, blocks that say so unless a main part or a first heading
+    stands inside them, and forms unless these or an article do, or half of the text that stands in no other aside."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.children, self.aside = ["#"], [-1], [[]], [False]
+        self.tag, self.parent, self.children = ["#"], [-1], [[]]
+        self._mark = [0]  # of each node
         self.blocks: list[tuple[int, str]] = []
         self._open, self._text = [0], []
         at = 0
@@ -73,6 +102,25 @@ class Page:
                 self._start(tag, found["rest"])
         self._text.append(source[at:])
         self._flush()
+        self.aside = self._asides()
+
+    def _asides(self) -> list[bool]:
+        n = len(self.tag)
+        frames, article, size, aside = [False] * n, [False] * n, [0] * n, [False] * n
+        for node, text in self.blocks:
+            size[node] += len(text)
+        for node in range(n - 1, 0, -1):  # children have higher numbers than their parents
+            mark, parent = self._mark[node], self.parent[node]
+            aside[node] = mark == ALWAYS or mark == SAYS and not frames[node]
+            if not aside[node]:
+                frames[parent] |= frames[node] or self.tag[node] in FRAMES
+                article[parent] |= article[node] or self.tag[node] == "article"
+                size[parent] += size[node]
+        for node in range(1, n):
+            if self._mark[node] == FORM and not (frames[node] or article[node]) and 2 * size[node] < size[0]:
+                aside[node] = True
+            aside[node] = aside[node] or aside[self.parent[node]]
+        return aside
 
     def _flush(self) -> None:
         if self._text:
@@ -105,18 +153,18 @@ class Page:
         self.parent.append(parent)
         self.children.append([])
         self.children[parent].append(node)
-        inside_main = tag in ("article", "main", "body", "html")
-        aside = self.aside[parent] or tag in ASIDE or tag == "header" and not self._within("article")
-        if rest and not aside and not inside_main:
-            aside = bool(HIDDEN.search(rest)) or any(w in ASIDE_WORDS for m in MARK.finditer(rest) for w in re.split(r"[^a-z0-9]+", m[1].lower()))
-        elif rest and tag == "article":
-            aside = aside or any(w in ("comment", "comments", "reply", "replies") for m in MARK.finditer(rest) for w in re.split(r"[^a-z0-9]+", m[1].lower()))
-        self.aside.append(aside)
+        if tag in ASIDE or tag == "header" and not self._within("article", "main") or rest and tag not in ("html", "body") and HIDDEN.search(rest):
+            mark = ALWAYS
+        elif tag == "form":
+            mark = FORM
+        else:
+            mark = SAYS if rest and tag in MARKED and says_aside(rest) else NOTHING
+        self._mark.append(mark)
         if tag not in VOID and not rest.endswith("/"):
             self._open.append(node)
 
-    def _within(self, tag: str) -> bool:
-        return any(self.tag[n] == tag for n in self._open)
+    def _within(self, *tags: str) -> bool:
+        return any(self.tag[n] in tags for n in self._open)
 
     def _end(self, tag: str) -> None:
         for depth in range(len(self._open) - 1, 0, -1):
@@ -136,49 +184,112 @@ class Page:
         return out
 
 
-#: Rows times columns of children beyond which a node's children are aligned in bands of equal rank.
-BAND = 250_000
-
-
 class Matching:
-    """Simple tree matching of pages with one reference; scores of equal subtrees are remembered."""
+    """Simple tree matching of pages with one reference; scores of equal pairs of subtrees are remembered.
+
+    A pair of subtrees of one tag scores one and the best sum of scores over matched children in their order. Equal children
+    at both ends are matched as they are, which no other matching beats; of the rest a row of scores is made at a time, and
+    every so many rows one is kept, from which those between are made again on the way back: whole results in little memory."""
 
     def __init__(self, reference: Page):
         self.reference, self.shapes, self.scores = reference, {}, {}
         self.shape = reference.shape(self.shapes)
+        self.size = [1] * len(reference.tag)
+        for node in range(len(reference.tag) - 1, 0, -1):
+            self.size[reference.parent[node]] += self.size[node]
+
+    def _known(self, a: int, b: int) -> int | None:
+        if self.page.tag[a] != self.reference.tag[b]:
+            return 0
+        if self.sa[a] == self.shape[b]:
+            return self.size[b]
+        return self.scores.get((self.sa[a], self.shape[b]))
 
     def score(self, a: int, b: int) -> int:
-        key = (self.sa[a], self.shape[b])
-        known = self.scores.get(key)
-        if known is None:
-            if self.page.tag[a] != self.reference.tag[b]:
-                known = 0
-            elif key[0] == key[1]:
-                known = self._size(b)
-            else:
-                known = 1 + self._table(self.page.children[a], self.reference.children[b])[-1][-1]
-            self.scores[key] = known
-        return known
-
-    def _size(self, b: int) -> int:
-        return 1 + sum(self._size(c) for c in self.reference.children[b])
-
-    def _table(self, xs: list[int], ys: list[int]) -> list[list[int]]:
-        before = [0] * (len(ys) + 1)
-        table = [before]
-        for x in xs:
-            row, left = [0], 0
-            for j, y in enumerate(ys):
-                best = before[j] + self.score(x, y)
-                if before[j + 1] > best:
-                    best = before[j + 1]
-                if left > best:
-                    best = left
-                row.append(best)
-                left = best
-            table.append(row)
-            before = row
-        return table
+        """Of a page's and a reference's node; pairs that it rests on are scored first, on a stack of our own."""
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if self._known(x, y) is None:
+                xs, ys, same = self._rest(x, y)
+                missing = [(c, d) for c, d in self._pairs(xs, ys) if self._known(c, d) is None]
+                if missing:
+                    todo += missing
+                    continue
+                self.scores[self.sa[x], self.shape[y]] = 1 + same + self._best(xs, ys)
+            todo.pop()
+        return self._known(a, b)
+
+    def _ends(self, xs: list[int], ys: list[int]) -> tuple[int, int]:
+        """How many children are equal at the start and at the end."""
+        start, stop, most = 0, 0, min(len(xs), len(ys))
+        while start < most and self.sa[xs[start]] == self.shape[ys[start]]:
+            start += 1
+        while stop < most - start and self.sa[xs[-1 - stop]] == self.shape[ys[-1 - stop]]:
+            stop += 1
+        return start, stop
+
+    def _rest(self, a: int, b: int) -> tuple[list[int], list[int], int]:
+        """Children without the equal ones at both ends, and how much those score."""
+        xs, ys = self.page.children[a], self.reference.children[b]
+        start, stop = self._ends(xs, ys)
+        return xs[start : len(xs) - stop], ys[start : len(ys) - stop], sum(self.size[y] for y in ys[:start]) + sum(self.size[y] for y in ys[len(ys) - stop :])
+
+    def _pairs(self, xs: list[int], ys: list[int]) -> Iterator[tuple[int, int]]:
+        """One of each kind of pair with equal tags."""
+        kinds_x, kinds_y = {self.sa[x]: x for x in xs}, {self.shape[y]: y for y in ys}
+        return ((x, y) for x in kinds_x.values() for y in kinds_y.values() if self.page.tag[x] == self.reference.tag[y])
+
+    def _gains(self, xs: list[int], ys: list[int]) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """Scores of kinds of pairs, and the kind of each of xs and ys."""
+        kinds_x = {self.sa[x]: x for x in xs}
+        kinds_y = {self.shape[y]: y for y in ys}
+        table = np.array([[self._known(x, y) for y in kinds_y.values()] for x in kinds_x.values()], np.int64).reshape(len(kinds_x), len(kinds_y))
+        at_x, at_y = {k: i for i, k in enumerate(kinds_x)}, {k: i for i, k in enumerate(kinds_y)}
+        return table, [at_x[self.sa[x]] for x in xs], np.array([at_y[self.shape[y]] for y in ys], np.int64)
+
+    @staticmethod
+    def _row(before: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        """The next row of best sums: a column each for so many of ys."""
+        row = before.copy()
+        row[1:] = np.maximum(before[1:], before[:-1] + gain)
+        return np.maximum.accumulate(row)
+
+    def _best(self, xs: list[int], ys: list[int]) -> int:
+        if not xs or not ys:
+            return 0
+        table, at_x, at_y = self._gains(xs, ys)
+        row = np.zeros(len(ys) + 1, np.int64)
+        for x in at_x:
+            row = self._row(row, table[x][at_y])
+        return int(row[-1])
+
+    def _matched(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
+        """Pairs of a matching with the best sum."""
+        if not xs or not ys:
+            return []
+        table, at_x, at_y = self._gains(xs, ys)
+        every = math.isqrt(len(xs) - 1) + 1
+        kept, row = [], np.zeros(len(ys) + 1, np.int64)
+        for i, x in enumerate(at_x):
+            if i % every == 0:
+                kept.append(row)
+            row = self._row(row, table[x][at_y])
+        pairs, j = [], len(ys)
+        for part in range(len(kept) - 1, -1, -1):
+            rows = [kept[part]]
+            for x in at_x[part * every : (part + 1) * every]:
+                rows.append(self._row(rows[-1], table[x][at_y]))
+            i = len(rows) - 1
+            while i and j:
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                elif rows[i][j] == rows[i][j - 1]:
+                    j = int(np.searchsorted(rows[i], rows[i][j]))
+                else:
+                    i, j = i - 1, j - 1
+                    pairs.append((xs[part * every + i], ys[j]))
+        return pairs
 
     def align(self, page: Page) -> dict[int, int]:
         """Reference node of each node of page that is matched."""
@@ -191,19 +302,11 @@ class Matching:
             xs, ys = page.children[a], self.reference.children[b]
             if self.sa[a] == self.shape[b]:
                 pairs = list(zip(xs, ys, strict=True))
-            elif len(xs) * len(ys) > BAND:
-                pairs = [(x, y) for x, y in zip(xs, ys, strict=False) if page.tag[x] == self.reference.tag[y]]
             else:
-                table, pairs = self._table(xs, ys), []
-                i, j = len(xs), len(ys)
-                while i and j:
-                    if table[i][j] == table[i - 1][j]:
-                        i -= 1
-                    elif table[i][j] == table[i][j - 1]:
-                        j -= 1
-                    else:
-                        i, j = i - 1, j - 1
-                        pairs.append((xs[i], ys[j]))
+                self.score(a, b)  # so that all pairs below are known
+                start, stop = self._ends(xs, ys)
+                tail, end = len(xs) - stop, len(ys) - stop
+                pairs = [*zip(xs[:start], ys[:start], strict=True), *self._matched(xs[start:tail], ys[start:end]), *zip(xs[tail:], ys[end:], strict=True)]
             for x, y in pairs:
                 found[x] = y
                 todo.append((x, y))
@@ -225,17 +328,34 @@ def join_hosts(pages: DataFrame, hosts: DataFrame, size) -> DataFrame:
     return pages.join(F.broadcast(hosts) if total <= SENT else hosts, "host", "left")
 
 
-BLOCKS = "array<struct<node:int,path:array<int>,main:boolean,aside:boolean,hash:long,text:string>>"
+BLOCKS = "array<struct<node:int,at:int,main:boolean,aside:boolean,hash:long,text:string>>"
 
 
-def aligned(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, blocks: of each block the reference node that it matches, and those (paragraphs and the like left out)
-    that it and its ancestors match, innermost first; whether it is in an article, or aside; its text."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host_of(F.col("url")))
-    first = pages.where(F.col("html") != "").groupBy("host").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.xxhash64("html").alias("h"))).alias("k"))
-    ids = first.select(F.col("host").alias("rhost"), F.col("k.page_id").alias("rid"), F.col("k.h").alias("rh"))
-    reference = pages.join(ids, (F.col("host") == F.col("rhost")) & F.col("page_id").eqNullSafe(F.col("rid")) & (F.xxhash64("html") == F.col("rh"))).groupBy("host").agg(F.min("html").alias("reference"))
-    both = join_hosts(pages, written(reference, "html-references"), F.octet_length("reference"))
+def references(pages: DataFrame) -> DataFrame:
+    """host, reference (the html of its page of least page_id that has any), ends (of each node, the number after its subtree's)."""
+    own = F.xxhash64("html")
+    first = pages.where(F.col("html") != "").groupBy("host").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", own.alias("h"))).alias("k"))
+    ids = first.select("host", F.col("k.page_id").alias("rid"), F.col("k.h").alias("rh"))
+    chosen = join_hosts(pages, written(ids, "html-hosts"), F.lit(64) + F.octet_length("host")).where(F.col("page_id").eqNullSafe(F.col("rid")) & (own == F.col("rh")))
+    one = chosen.groupBy("host").agg(F.min("html").alias("reference"))  # rows that repeat
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ends = []
+        for source in batch.column("reference").to_pylist():
+            page = Page(source)
+            last = list(range(1, len(page.tag) + 1))
+            for node in range(len(page.tag) - 1, 0, -1):
+                last[page.parent[node]] = max(last[page.parent[node]], last[node])
+            ends.append(last)
+        return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("reference"), pa.array(ends, pa.list_(pa.int32()))], ["host", "reference", "ends"])
+
+    return map_batches(one, run, "host string, reference string, ends array<int>")
+
+
+def aligned(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """page_id, url, host, blocks: of each block the reference node that it matches, or else (at) that of its innermost matched
+    ancestor, paragraphs and the like left out; whether it is in an article or main part, or aside; its text."""
+    both = join_hosts(pages, found.select("host", "reference"), F.octet_length("reference"))
 
     def run(batches):
         known: dict[str, Matching] = {}
@@ -250,57 +370,69 @@ def aligned(pages: DataFrame) -> DataFrame:
                         known.clear()
                     known[reference] = Matching(Page(reference))
                 page = Page(source)
-                match, rows = known[reference].align(page), []
-                for node, text in page.blocks:
-                    path, main, n = [], False, node
-                    while n >= 0:
-                        if n in match and page.tag[n] not in LEAF:
-                            path.append(match[n])
-                        main = main or page.tag[n] in ("article", "main")
-                        n = page.parent[n]
-                    rows.append({"node": match.get(node, path[0]), "path": path, "main": main, "aside": page.aside[node], "hash": zlib.crc32(text.encode()) | len(text) << 32, "text": text})
-                out.append(rows)
-            kind = pa.list_(pa.struct([("node", pa.int32()), ("path", pa.list_(pa.int32())), ("main", pa.bool_()), ("aside", pa.bool_()), ("hash", pa.int64()), ("text", pa.string())]))
+                match, at, main = known[reference].align(page), [0], [False]
+                for node in range(1, len(page.tag)):
+                    tag, parent = page.tag[node], page.parent[node]
+                    at.append(match[node] if node in match and tag not in LEAF else at[parent])
+                    main.append(main[parent] or tag == "article" or tag == "main")
+                out.append([{"node": match.get(n, at[n]), "at": at[n], "main": main[n], "aside": page.aside[n], "hash": zlib.crc32(text.encode()) | len(text) << 32, "text": text} for n, text in page.blocks])
+            kind = pa.list_(pa.struct([("node", pa.int32()), ("at", pa.int32()), ("main", pa.bool_()), ("aside", pa.bool_()), ("hash", pa.int64()), ("text", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(out, kind)], ["page_id", "url", "host", "blocks"])
 
     return both.mapInArrow(run, f"page_id long, url string, host string, blocks {BLOCKS}")
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, slot (the reference node of the content slot), template (nodes and hashes of constant texts), from all of a host's pages."""
-    blocks = pages.select("host", "page_id", F.explode("blocks").alias("b")).where(~F.col("b.aside")).select("host", "b.node", "b.path", "b.hash", F.char_length("b.text").alias("size"))
-    counts = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    texts = blocks.groupBy("host", "node", "path", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("size")).join(counts, "host")
+def wrappers(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """host, slot and stop (the reference nodes of the content slot), template (nodes and hashes of constant texts), from all of a host's pages.
+
+    A node's mass is the varying text in its subtree; the slot is the innermost node that holds enough of the whole."""
+    blocks = pages.select("host", F.explode("blocks").alias("b")).where(~F.col("b.aside")).select("host", "b.node", "b.at", "b.hash", F.char_length("b.text").cast("long").alias("size"))
+    counts = written(pages.groupBy("host").agg(F.count("*").alias("pages")), "html-counts")
+    texts = blocks.groupBy("host", "node", "at", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     constant = (F.col("pages") >= LEAST_PAGES) & (F.col("n") >= CONSTANT * F.col("pages"))
-    template = texts.where(constant).groupBy("host").agg(F.collect_set(F.struct("node", "hash")).alias("template"))
-    mass = texts.where(~constant).select("host", F.explode("path").alias("at"), "size").groupBy("host", "at").agg(F.sum("size").alias("size"))
-    whole = mass.where("at = 0").select("host", F.col("size").alias("whole"))
-    # reference nodes are numbered parents first, so of those that hold enough the deepest on the way down has the highest number
-    slot = mass.join(whole, "host").where(F.col("size") >= HOLDS * F.col("whole")).groupBy("host").agg(F.collect_set("at").alias("slots"))
-    return counts.join(slot, "host", "left").join(template, "host", "left").select("host", "slots", "template")
+    told = join_hosts(written(texts, "html-texts"), counts, F.lit(16) + F.octet_length("host")).withColumn("constant", constant)
+    template = told.where("constant").groupBy("host").agg(F.collect_set(F.struct("node", "hash")).alias("template"))  # of a page's texts at most twice as many
+    mass = told.where("NOT constant").groupBy("host", "at").agg(F.sum("size").alias("size")).groupBy("host").agg(F.collect_list(F.struct("at", "size")).alias("masses"))  # a reference's nodes at most
+    rows = found.select("host", "ends").join(mass, "host", "left").join(template, "host", "left")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        slots, stops = [], []
+        for ends, masses in zip(batch.column("ends").to_pylist(), batch.column("masses").to_pylist(), strict=True):
+            before = np.zeros(len(ends) + 1, np.int64)
+            for m in masses or ():
+                before[m["at"] + 1] += m["size"]
+            before = np.cumsum(before)
+            held = before[np.array(ends)] - before[:-1]
+            slot = int(np.flatnonzero(held >= HOLDS * held[0])[-1]) if held[0] else None
+            slots.append(slot)
+            stops.append(None if slot is None else ends[slot])
+        return pa.RecordBatch.from_arrays([batch.column("host"), pa.array(slots, pa.int32()), pa.array(stops, pa.int32()), batch.column("template")], ["host", "slot", "stop", "template"])
+
+    return map_batches(rows, run, "host string, slot int, stop int, template array<struct<node:int,hash:long>>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page's whole html.
 
     Null and empty html give empty text; null urls share one wrapper; a host's only page is its own
-    reference, with nothing constant; rows that repeat count each; an empty table gives no rows."""
-    parsed = written(aligned(pages), "html-blocks")
-    found = written(wrappers(parsed), "html-wrappers")
-    joined = join_hosts(parsed, found, 64 + 4 * F.coalesce(F.size("slots"), F.lit(0)) + 16 * F.coalesce(F.size("template"), F.lit(0)))
+    reference, with nothing constant; rows that repeat count each; an empty table gives no rows; other columns aren't read."""
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host_of(F.col("url")))
+    found = written(references(pages), "html-references")
+    parsed = written(aligned(pages, found), "html-blocks")
+    induced = written(wrappers(parsed, found), "html-wrappers")
+    joined = join_hosts(parsed, induced, 64 + 16 * F.coalesce(F.size("template"), F.lit(0)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for blocks, slots, template in zip(*(batch.column(c).to_pylist() for c in ("blocks", "slots", "template")), strict=True):
+        for blocks, slot, stop, template in zip(*(batch.column(c).to_pylist() for c in ("blocks", "slot", "stop", "template")), strict=True):
             constant = {(t["node"], t["hash"]) for t in template or ()}
             usable = [b for b in blocks or () if not b["aside"]]
             varying = [b for b in usable if (b["node"], b["hash"]) not in constant]
-            slot = max(slots) if slots else None
             # constant lines of an article are its own; elsewhere in the slot they are template
-            chosen = [b for b in usable if slot in b["path"] and (b["main"] or (b["node"], b["hash"]) not in constant)]
+            chosen = [] if slot is None else [b for b in usable if slot <= b["at"] < stop and (b["main"] or (b["node"], b["hash"]) not in constant)]
             # without a slot, or on a page that lacks it: nothing varies on this host, or this page is of another make
             chosen = chosen or [b for b in usable if b["main"]] or varying or usable
             texts.append("\n\n".join(b["text"] for b in chosen))
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return map_batches(joined.select("page_id", "url", "blocks", "slots", "template"), run, "page_id long, url string, text string, n_chars long")
+    return map_batches(joined.select("page_id", "url", "blocks", "slot", "stop", "template"), run, "page_id long, url string, text string, n_chars long")
