@@ -169,6 +169,13 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= parallel else df.repartition(parallel)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or what of it with underscores no column of df is called."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def held_out(modulus: int, remainder: int, column: str = "doc_id"):
     """crc32 of the id's text against a remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus == remainder

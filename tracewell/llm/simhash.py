@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_batches, release, slices, trim, written
+from tracewell.llm.common import map_batches, release, slices, trim, unused, written
 
 BITS = 64
 #: Fingerprints of a bucket that meet in one task; larger buckets are cut into chunks of half of it.
@@ -307,26 +307,45 @@ def close(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> D
     return found
 
 
-def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER) -> DataFrame:
+#: Rounds in which a text meets one other; what they leave is linked exactly after them.
+ROUNDS = 3
+
+
+def centred(known: DataFrame, turn: int) -> DataFrame:
+    """a, b: for each text b that shares a key with texts of another root, one of them: of every key's centres (a text by hash,
+    of a root by hash) the one that most of the text's keys have."""
+    own = F.struct(F.xxhash64("root", F.lit(turn)), "root", F.xxhash64("id", F.lit(turn)), "id")
+    centres = known.groupBy("key").agg(F.min(own).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key", F.col("c.root").alias("centre"), F.col("c.id").alias("a"))
+    met = known.join(centres, "key").where("root != centre").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n"))
+    best = met.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best"))
+    return best.select(F.col("best.a").alias("a"), "b")
+
+
+def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER, rounds: int = ROUNDS) -> DataFrame:
     """node, root: texts (by their hash) linked by Jaccard similarity of their sets of word shingles, exactly.
 
-    Sets of at least this similarity share a member of their prefixes. First each text meets a least one that has the same prefix
-    shingle, which links most of a group; then those texts meet that share one and aren't linked yet. Sizes and parity bitmaps
-    leave out only pairs that can't be close; the sets themselves decide. Rows that repeat an id are one text; an empty table gives no rows."""
+    Sets of at least this similarity share a member of their prefixes. In a few rounds each text meets one that shares such a
+    shingle and isn't linked yet, which links most of a group; then all those texts meet that share one and aren't linked yet. Sizes
+    and parity bitmaps leave out only pairs that can't be close; the sets themselves decide. Rows that repeat an id are one text; an
+    empty table gives no rows."""
     first = [F.first(c).alias(c) for c in ("n", *(f"p{i}" for i in range(PARITY)), "map", "prefix")]
     made = written(prefixes(docs, words, similarity), "prefixes")
     distinct = written(made.groupBy("id").agg(*first), "prefixes-distinct")
     release(made)
     prints, maps, keyed = distinct.drop("prefix", "map"), distinct.select("id", "n", "map"), distinct.select("id", F.explode("prefix").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("least")).where("members > 1")
-    shared = written(keyed.join(sizes.select("key", "least"), "key"), "shared-shingles")
-    stars = shared.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(prints.alias("x"), F.col("a") == F.col("x.id")).join(prints.alias("y"), F.col("b") == F.col("y.id")).where(may_be_close(similarity)).select("a", "b")
-    # one star a text is enough here: what else it is close to it meets below, if they aren't linked by then
-    edges = close(written(sieve(stars, maps, similarity).groupBy("b").agg(F.min("a").alias("a")), "stars"), docs, words, similarity)
-    roots = components(edges)
-    known = shared.select("id", "key").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
-    known = written(known, "linked-shingles")
+    shared = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "key"), "shared-shingles")
+    known, edges, roots = written(shared.select("id", "key", F.col("id").alias("root")), "linked-shingles"), None, None
+    for turn in range(rounds):
+        pairs = written(centred(known, turn), "centres")
+        near = pairs.join(prints.alias("x"), F.col("a") == F.col("x.id")).join(prints.alias("y"), F.col("b") == F.col("y.id")).where(may_be_close(similarity)).select("a", "b")
+        more = close(written(sieve(near, maps, similarity), "sieved-centres"), docs, words, similarity)
+        release(pairs)
+        edges = more if edges is None else written(edges.unionByName(more), "close")
+        last, roots = (known, roots), components(edges)
+        known = written(shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("root")), "linked-shingles")
+        release(*(t for t in last if t is not None))
+        if more.isEmpty():
+            break
     release(shared, roots)
     mixed = known.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     # of few enough members one chunk; else each member meets all, a chunk of them in a task
@@ -341,8 +360,8 @@ def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, to
     release(members)
     more = close(written(sieve(rest, maps, similarity), "sieved-pairs"), docs, words, similarity)
     release(rest, distinct)
-    found = components(edges.unionByName(more))
-    release(edges, more)
+    found = components(more if edges is None else edges.unionByName(more))
+    release(*(t for t in (edges, more) if t is not None))
     return found
 
 
@@ -350,11 +369,12 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     """docs with one row of each group of near copies: the one of least doc_id (null counts as greatest; one of rows that repeat).
 
     Null texts count as empty, and are copies of each other; columns stay as they are."""
-    ids = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    roots = near_components(docs.select(ids.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), words, similarity)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
-    first = docs.select(ids.alias("__id"), order.alias("__own")).groupBy("__id").agg(F.min("__own").alias("__own"))
-    grouped = first.join(roots.select(F.col("node").alias("__id"), "root"), "__id", "left").withColumn("__group", F.coalesce("root", "__id"))
-    best = grouped.groupBy("__group").agg(F.min(F.struct("__own", "__id")).alias("__best")).select(F.col("__best.__id").alias("__id"), F.col("__best.__own").alias("__own"))
-    kept = docs.withColumn("__id", ids).withColumn("__mine", order).join(best, "__id").where(F.col("__mine").eqNullSafe(F.col("__own")))
-    return kept.dropDuplicates(["__id"]).select(*docs.columns)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    mine, order = unused(docs, "__id"), unused(docs, "__own")
+    keyed = docs.withColumn(mine, F.xxhash64(text)).withColumn(order, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id")))
+    roots = near_components(docs.select(F.xxhash64(text).alias("id"), text.alias("text")), words, similarity)
+    first = keyed.select(F.col(mine).alias("id"), F.col(order).alias("own")).groupBy("id").agg(F.min("own").alias("own"))
+    grouped = first.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    best = grouped.groupBy("root").agg(F.min(F.struct("own", "id")).alias("best")).select(F.col("best.id").alias(mine), F.col("best.own").alias(unused(keyed, "__best")))
+    kept = keyed.join(best, mine).where(F.col(order).eqNullSafe(F.col(unused(keyed, "__best"))))
+    return kept.dropDuplicates([mine]).select(*docs.columns)
