@@ -1,40 +1,87 @@
-"""Substrings of min_bytes or more that occur twice or more, by suffix arrays.
-
-Every window of min_bytes belongs to the least k-gram hash inside it (its anchor), so
-equal windows meet under one anchor. Windows that follow each other with one anchor make
-a segment; segments travel as digests, not text.
-
-1. Segments of one digest are equal texts: all their windows repeat.
-2. Anchors with several different segments: one of each kind is read, and an enhanced
-   suffix array over them (order, common prefixes, preceding bytes) is scanned with a stack for
-   the intervals of its common-prefix tree; those whose occurrences differ on the left are
-   the maximal repeats. Anchors are dealt into buckets of bounded size.
-3. Anchors with more kinds than a bucket takes (a very common line): their windows' digests
-   are counted instead, with partial sums before the shuffle.
+"""Strings that occur twice or more, by enhanced suffix arrays.
+
+A text is a string of symbols: its bytes, or the hashes of its words. Every window of a unit's size
+belongs to the least k-gram hash inside it (its anchor), so equal windows meet under one anchor.
+Windows that follow each other with one anchor make a segment; segments travel as digests, not text.
+
+1. Segments of one digest are equal: a kind, of which one is read; a kind of several is a repeat as a whole.
+2. Where an anchor has several kinds, an enhanced suffix array is made of them (order of the suffixes that
+   windows start, common prefixes of neighbours, preceding symbols) and scanned with a stack for the intervals of its
+   common-prefix tree. Those whose occurrences differ on the left are the maximal repeats, each with all its occurrences.
+3. Anchors with more text than one array takes (a very common line) are told apart by a further hash of their
+   windows, the least of those that few of their kinds have, and so on, until the parts are small enough: equal windows have equal hashes at every step.
+
+A repeat that is longer than a segment is told piece by piece, in groups that overlap by all of a window but a symbol.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_batches, written
-
-K = 64
-#: Kinds of segments that an anchor may have for a suffix array; more are counted by windows.
-MOST_KINDS = 2000
-#: Bytes of segments that a suffix array is made of, about.
-BUCKET_BYTES = 1_000_000
-#: Bytes that are hashed at a time; longer texts are cut with an overlap, which changes no window's anchor.
-BUFFER = 2_000_000
+from tracewell.llm.common import WORD, map_batches, release, trim, unused, written
+
+#: Bytes of an anchor's kinds that go into one suffix array; beyond it the anchor is told apart further.
+ANCHOR_BYTES = 400_000
+#: Kinds of an anchor in which hashes are counted, and the share of them from which a hash is common: both only shape its parts.
+COUNTED, COMMON = 200, 0.05
+#: Pieces of an anchor that are told apart in one task, about.
+TOGETHER = 1000
+#: Bytes of kinds that a suffix array is made of, about, and that a task gets.
+ARRAY_BYTES, BUCKET_BYTES = 100_000, 2_000_000
+#: Symbols that are hashed at a time; longer texts are cut with an overlap, which changes no window's anchor.
+BUFFER = 1_000_000
+#: Words that a worker remembers the hashes of.
+REMEMBERED = 250_000
 _B, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_POSITION = np.uint64((1 << 24) - 1)
+_POSITION, _LAST = np.uint64((1 << 24) - 1), np.uint64((1 << 64) - 1)
+
+
+class Unit(NamedTuple):
+    """What texts are strings of, symbols of a window, and of the grams by whose hashes windows meet."""
+
+    words: bool
+    size: int
+    k: int
+
+    @property
+    def width(self) -> int:
+        """Bytes of a symbol."""
+        return 8 if self.words else 1
+
+
+def byte_unit(size: int) -> Unit:
+    return Unit(False, size, max(1, size * 3 // 10))
+
+
+def word_unit(size: int) -> Unit:
+    return Unit(True, size, max(1, size * 3 // 10))
+
+
+class Words(dict):
+    """The hash of each word, computed when it is first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def symbols(text: bytes, unit: Unit, known: Words) -> np.ndarray:
+    if not unit.words:
+        return np.frombuffer(text, np.uint8)
+    words = text.split()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 class _Powers:
@@ -52,7 +99,7 @@ class _Powers:
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A mixed 64-bit hash of each k bytes that start at a position."""
+    """A mixed 64-bit hash of each k symbols that start at a position."""
     n = len(data)
     up, down = _Powers.of(n + 1)
     total = np.zeros(n + 1, np.uint64)
@@ -69,7 +116,7 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each width values, by block prefixes and suffixes."""
     n = len(values)
-    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    padded = np.full(-(-n // width) * width, _LAST, np.uint64)
     padded[:n] = values
     blocks = padded.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
@@ -77,31 +124,31 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(texts: list[bytes], min_bytes: int, k: int) -> tuple[np.ndarray, ...]:
+def segments(texts: list[np.ndarray], unit: Unit) -> tuple[np.ndarray, ...]:
     """Text's index, start, window count, anchor hash and digest of each segment of texts."""
+    size, k = unit.size, unit.k
     found: list[tuple[np.ndarray, ...]] = []
-    step = BUFFER - min_bytes + 1
-    batch: list[tuple[int, int, bytes]] = []
+    step = BUFFER - size + 1
+    batch: list[tuple[int, int, np.ndarray]] = []
 
     def flush() -> None:
-        data = b"".join(t for _, _, t in batch)
-        array = np.frombuffer(data, np.uint8)
-        grams = gram_hashes(array, k)
+        data = np.concatenate([t for _, _, t in batch])
+        grams = gram_hashes(data, k)
         keyed = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
-        least = (sliding_least(keyed, min_bytes - k + 1) & _POSITION).astype(np.int64)
+        least = (sliding_least(keyed, size - k + 1) & _POSITION).astype(np.int64)
         sizes = np.array([len(t) for _, _, t in batch])
         first = np.cumsum(sizes) - sizes
         changed = np.ones(len(least) + 1, bool)
         changed[1:-1] = least[1:] != least[:-1]
         changed[first[first < len(changed)]] = True
-        changed[np.minimum(first + sizes - min_bytes + 1, len(least))] = True
+        changed[np.minimum(first + sizes - size + 1, len(least))] = True
         starts = np.flatnonzero(changed[:-1])
         ends = np.append(starts[1:], len(least))
         owner = np.searchsorted(first, starts, side="right") - 1
-        inside = starts <= first[owner] + sizes[owner] - min_bytes
+        inside = starts <= first[owner] + sizes[owner] - size
         starts, ends, owner = starts[inside], ends[inside], owner[inside]
-        digest = xxhash.xxh3_64_intdigest
-        digests = np.array([digest(data[a : b + min_bytes - 1]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+        digest, raw, width = xxhash.xxh3_64_intdigest, memoryview(data).cast("B"), unit.width
+        digests = np.array([digest(raw[a:b]) for a, b in zip((starts * width).tolist(), ((ends + size - 1) * width).tolist(), strict=True)], np.uint64)
         index = np.array([i for i, _, _ in batch])[owner]
         base = np.array([b for _, b, _ in batch])[owner]
         found.append((index, starts - first[owner] + base, ends - starts, grams[least[starts]].view(np.int64), digests.view(np.int64)))
@@ -109,9 +156,9 @@ def segments(texts: list[bytes], min_bytes: int, k: int) -> tuple[np.ndarray, ..
 
     total = 0
     for i, text in enumerate(texts):
-        for base in range(0, max(1, len(text) - min_bytes + 1), step):
+        for base in range(0, max(1, len(text) - size + 1), step):
             part = text[base : base + BUFFER]
-            if len(part) >= min_bytes:
+            if len(part) >= size:
                 if batch and total + len(part) > BUFFER:
                     flush()
                     total = 0
@@ -122,113 +169,126 @@ def segments(texts: list[bytes], min_bytes: int, k: int) -> tuple[np.ndarray, ..
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
-def suffix_array(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of texts, each with an end of its own: symbols, order of suffixes, common prefixes
-    of neighbours in that order, and the ranks at each doubling up to depth, the longest text's size."""
-    parts, n = [], 0
-    for i, text in enumerate(texts):
-        parts += [np.frombuffer(text, np.uint8).astype(np.int64), np.array([256 + i], np.int64)]
-    symbols = np.concatenate(parts)
-    n = len(symbols)
-    rank = symbols.copy()
-    levels = [rank.astype(np.int32)]  # the symbols and ranks of a bucket are far below 2**31
-    length = 1
-    while length < depth:
-        key = rank * (n + 257)
-        key[:-length] += rank[length:] + 1
-        order = np.argsort(key)
-        ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        rank = new
-        levels.append(rank.astype(np.int32))
-        length *= 2
-    order = np.argsort(rank)
-    common = np.zeros(n, np.int64)
-    a, b = order[:-1].copy(), order[1:].copy()
-    shared = np.zeros(n - 1, np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        inside = (a < n) & (b < n)
-        same = inside & (levels[level][np.minimum(a, n - 1)] == levels[level][np.minimum(b, n - 1)])
-        shared += same << level
-        a, b = a + (same << level), b + (same << level)
-    common[1:] = shared
-    return symbols, order, common, levels
-
-
-def maximal_repeats(texts: list[bytes], min_bytes: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, positions) of each maximal repeat of min_bytes or more among texts.
-
-    Positions are in the texts laid end to end with one place between."""
-    if not texts:
-        return
-    symbols, order, common, _ = suffix_array(texts, max(map(len, texts)))
-    n = len(order)
-    left = np.where(order > 0, symbols[order - 1], -1)
-    left = np.where((left >= 256) | (left < 0), -2 - np.arange(n), left)  # nothing before: differs from all
-    high = common >= min_bytes
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], high, [False]]).astype(np.int8)))
-    differs = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
-    for lo, hi in zip((edges[::2] - 1).tolist(), (edges[1::2] - 1).tolist(), strict=True):
-        if differs[lo] == differs[hi]:  # all are preceded by one byte: the repeat goes on to the left, and so do those inside it
-            continue
-        stack: list[list[int]] = []  # [common prefix, first place] of the open intervals
-        for at in range(lo + 1, hi + 2):
-            now = int(common[at]) if at <= hi else 0
-            first = at - 1
-            while stack and stack[-1][0] > now:
-                length, first = stack.pop()
-                if differs[first] != differs[at - 1]:
-                    yield length, order[first:at]
-            if now >= min_bytes and (not stack or stack[-1][0] < now):
-                stack.append([now, first])
-
-
-def candidate_parts(texts: list[bytes], min_bytes: int) -> list[tuple[int, int, int]]:
-    """(text, start, stop) of the runs of windows whose hash occurs twice among texts: no other can repeat."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    if len(data) < min_bytes:
-        return []
-    hashes = gram_hashes(data, min_bytes)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    first = np.cumsum(sizes) - sizes
-    change = np.zeros(len(data) + 1, np.int64)  # windows that lie in one text
-    whole = sizes >= min_bytes
-    np.add.at(change, first[whole], 1)
-    np.add.at(change, (first + sizes - min_bytes + 1)[whole], -1)
-    starts = np.flatnonzero(np.cumsum(change)[: len(hashes)] > 0)
-    order = np.argsort(hashes[starts])
-    ordered = hashes[starts][order]
-    same = ordered[1:] == ordered[:-1]
-    twice = np.zeros(len(data) + 1, bool)
-    twice[starts[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]] = True
-    edge = np.diff(np.concatenate([[False], twice]).astype(np.int8))
-    edge[first[first > 0]] = np.where(twice[first[first > 0]], 1, edge[first[first > 0]])
-    begins = np.flatnonzero(edge == 1)
-    owner = np.searchsorted(first, begins, side="right") - 1
-    quiet = np.flatnonzero(~twice)
-    ends = np.minimum(quiet[np.searchsorted(quiet, begins)], np.append(first[1:], len(data))[owner])
-    return list(zip(owner.tolist(), (begins - first[owner]).tolist(), (ends - first[owner] + min_bytes - 1).tolist(), strict=True))
-
-
-def repeated_parts(texts: list[bytes], min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text's index, start and stop of each maximal run of bytes that repeats of min_bytes cover."""
-    parts = candidate_parts(texts, min_bytes)
-    cut = [texts[i][a:b] for i, a, b in parts]
-    first = np.cumsum([0, *(len(c) + 1 for c in cut)])
-    reach = np.zeros(first[-1] + 1, np.int64)  # of each place, the longest repeat that starts there
-    for length, positions in maximal_repeats(cut, min_bytes):
-        reach[positions] = np.maximum(reach[positions], length)
-    starts = np.flatnonzero(reach)
-    change = np.bincount(starts, minlength=len(reach) + 1) - np.bincount(starts + reach[starts], minlength=len(reach) + 1)
-    covered = np.concatenate([[False], np.cumsum(change) > 0])
-    edges = np.flatnonzero(np.diff(covered.astype(np.int8)))
-    begins, ends = edges[::2], edges[1::2]
-    at = np.searchsorted(first, begins, side="right") - 1
-    index, base = np.array([i for i, _, _ in parts], np.int64), np.array([a for _, a, _ in parts], np.int64)
-    if not len(begins):
-        return tuple(np.zeros(0, np.int64) for _ in range(3))
-    return index[at], begins - first[at] + base[at], ends - first[at] + base[at]
+def apart(data: np.ndarray, unit: Unit, common: np.ndarray) -> Iterator[tuple[int, int, int | None]]:
+    """(start, windows, hash) of the parts of a segment by the least of its hashes that aren't common; None for windows that have only those."""
+    grams = gram_hashes(data, unit.k)
+    keyed = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
+    keyed[np.isin(grams.view(np.int64), common)] = _LAST
+    least = sliding_least(keyed, unit.size - unit.k + 1)
+    edges = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1], [True]]))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield a, b - a, None if least[a] == _LAST else int(grams[int(least[a] & _POSITION)])
+
+
+class Intervals(NamedTuple):
+    """Maximal repeats of an enhanced suffix array: symbols, first and last rank, the least that encloses each (or -1)."""
+
+    length: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    parent: np.ndarray
+
+
+class SuffixArray:
+    """The enhanced suffix array of the suffixes that start windows of kinds (their bytes), in order, with common prefixes."""
+
+    def __init__(self, kinds: list[bytes], unit: Unit):
+        width = unit.width
+        self.unit, self.kinds = unit, kinds
+        counts = [max(0, len(d) // width - unit.size + 1) for d in kinds]
+        suffixes = [d[at : at + len(d)] for d, n in zip(kinds, counts, strict=True) for at in range(0, n * width, width)]
+        order = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__), np.int64)
+        del suffixes
+        n = np.array(counts, np.int64)
+        self.kind = np.repeat(np.arange(len(kinds)), n)[order]
+        self.start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[order]
+        raw = b"".join(kinds) + bytes(8)
+        size = np.array([len(d) for d in kinds], np.int64)
+        self._place = (np.cumsum(size) - size)[self.kind] + self.start * width
+        self._rest = size[self.kind] - self.start * width
+        self._raw = raw
+        self.common = self._common_prefixes()
+        before = np.frombuffer(raw, np.uint8) if width == 1 else None
+        left = self._place - width
+        inside = self.start > 0
+        self.left = np.full(len(order), 0, np.int64)
+        if len(order):
+            at = np.where(inside, left, 0)
+            self.left = before[at].astype(np.int64) if before is not None else self._eights()[at].view(np.int64)
+        self.none = ~inside  # nothing before in the segment: differs from all
+
+    def _eights(self) -> np.ndarray:
+        """The eight bytes that start at each place."""
+        return np.ndarray((len(self._raw) - 7,), "<u8", self._raw, strides=(1,))
+
+    def _common_prefixes(self) -> np.ndarray:
+        """Symbols that each suffix shares with the one before it; eight bytes of all pairs that still agree at a time."""
+        n = len(self.kind)
+        common = np.zeros(n, np.int64)
+        if n < 2:
+            return common
+        eights = self._eights()
+        shortest = np.minimum(self._rest[1:], self._rest[:-1])
+        one, two = self._place[:-1], self._place[1:]
+        same, active, at = shortest.copy(), np.arange(n - 1), 0
+        while len(active):
+            differ = eights[one[active] + at] ^ eights[two[active] + at]
+            found = differ != 0
+            low = differ[found]
+            same[active[found]] = at + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3)
+            at += 8
+            active = active[~found]
+            active = active[shortest[active] > at]
+        common[1:] = np.minimum(same, shortest) // self.unit.width
+        return common
+
+    def maximal(self) -> Intervals:
+        """Intervals of the common-prefix tree of a window or more whose occurrences differ on the left, by length."""
+        common, n = self.common, len(self.kind)
+        high = common >= self.unit.size
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], high, [False]]).astype(np.int8)))
+        change = np.concatenate([[False], (self.left[1:] != self.left[:-1]) | self.none[1:] | self.none[:-1]]) if n else np.zeros(0, bool)
+        differs = np.cumsum(change)
+        low, top = edges[::2] - 1, edges[1::2] - 1
+        # where all are preceded by one symbol the repeat goes on to the left, and so do those inside it
+        diverse = differs[low] != differs[top] if len(low) else np.zeros(0, bool)
+        found: list[tuple[int, int, int]] = []
+        for lo, hi in zip(low[diverse].tolist(), top[diverse].tolist(), strict=True):
+            stack: list[list[int]] = []  # [common prefix, first rank] of the open intervals
+            for at, now in enumerate([*common[lo + 1 : hi + 1].tolist(), 0], lo + 1):
+                first = at - 1
+                while stack and stack[-1][0] > now:
+                    length, first = stack.pop()
+                    if differs[first] != differs[at - 1]:
+                        found.append((length, first, at - 1))
+                if now >= self.unit.size and (not stack or stack[-1][0] < now):
+                    stack.append([now, first])
+        found.sort()
+        length, first, last = (np.array([f[i] for f in found], np.int64) for i in range(3))
+        self.deepest = np.full(n, -1, np.int64)
+        parent = np.full(len(found), -1, np.int64)
+        for i, (_, a, b) in enumerate(found):
+            parent[i] = self.deepest[a]
+            self.deepest[a : b + 1] = i
+        return Intervals(length, first, last, parent)
+
+    def text(self, rank: int, length: int) -> bytes:
+        return self._raw[self._place[rank] : self._place[rank] + length * self.unit.width]
+
+
+def maximal_repeats(texts: list[bytes], unit: Unit) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(symbols, (text, start) of all occurrences) of each maximal repeat of a window or more among texts."""
+    array = SuffixArray(texts, unit)
+    for length, first, last, _ in zip(*array.maximal(), strict=True):
+        yield int(length), sorted(zip(array.kind[first : last + 1].tolist(), array.start[first : last + 1].tolist(), strict=True))
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+PIECES = "unit int, anchor long, stuck int, digest long, n long, several boolean, own long, key long, start long, windows int, data binary"
+FOUND = "unit int, anchor long, digest long, n long, own long, key long, start long, stop long, repeat long, parent long, occurrences long, across boolean"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -237,76 +297,198 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("own"))
 
 
-SEGMENTS = "own long, key long, start long, windows int, anchor long, digest long"
+def _segment_rows(keyed: DataFrame, units: list[Unit]) -> DataFrame:
+    """unit, anchor, digest, own, key, start, windows of each segment; starts and windows count symbols."""
 
-
-def _segment_rows(keyed: DataFrame, min_bytes: int, k: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.encode() for t in batch.column("text").to_pylist()]
-        index, start, windows, anchor, digest = segments(texts, min_bytes, k)
-        taken = pa.array(index)
-        return pa.RecordBatch.from_arrays([batch.column("own").take(taken), batch.column("key").take(taken), pa.array(start), pa.array(windows.astype(np.int32)), pa.array(anchor), pa.array(digest)], ["own", "key", "start", "windows", "anchor", "digest"])
+        known, parts = Words(), []
+        for u, unit in enumerate(units):
+            index, start, windows, anchor, digest = segments([symbols(t, unit, known) for t in texts], unit)
+            taken = pa.array(index, pa.int64())
+            parts.append(pa.record_batch([pa.array(np.full(len(index), u, np.int32)), pa.array(anchor), pa.array(digest), batch.column("own").take(taken), batch.column("key").take(taken), pa.array(start), pa.array(windows.astype(np.int32))], ["unit", "anchor", "digest", "own", "key", "start", "windows"]))
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else parts[0]
 
-    return map_batches(keyed.select("own", "key", "text").where(F.octet_length("text") >= min_bytes), run, SEGMENTS)
+    least = min(u.size if not u.words else 2 * u.size - 1 for u in units)  # a word has a byte, and one before the next
+    return map_batches(keyed.select("own", "key", "text").where(F.octet_length("text") >= least), run, "unit int, anchor long, digest long, own long, key long, start long, windows int")
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = 400, k: int = K, most_kinds: int = MOST_KINDS) -> DataFrame:
-    """own, key, start, stop: byte spans of texts (see _keyed) that together cover just the
-    bytes of repeated windows of min_bytes. Spans overlap and may be told more than once."""
-    k = min(k, max(1, min_bytes // 4))
-    keyed = _keyed(docs)
-    rows = written(_segment_rows(keyed, min_bytes, k), "repeat-segments")
-    kinds = rows.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("own", "key", "start", "windows")).alias("one"))
-    kinds = written(kinds.where(F.lit(True)), "repeat-kinds")
-    stop = F.col("start") + F.col("windows") + min_bytes - 1
-    equal = rows.join(kinds.where(F.col("n") > 1).select("anchor", "digest"), ["anchor", "digest"]).select("own", "key", "start", stop.alias("stop"))
-
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.sum(F.col("one.windows") + min_bytes - 1).alias("bytes")).where((F.col("kinds") > 1) & (F.col("least") == 1))
-    size = several.where(F.col("kinds") <= most_kinds).agg(F.sum("bytes")).first()[0] or 0
-    wanted = kinds.join(several.select("anchor", "kinds"), "anchor").select("one.*", "anchor", "n", "kinds")
-    by_doc = wanted.groupBy("own", "key").agg(F.collect_list(F.struct("start", "windows", "anchor", "n", "kinds")).alias("wanted"))
+def _kinds(rows: DataFrame) -> DataFrame:
+    """unit, anchor, digest, n (of rows, in which n is one where it isn't there), several (texts), one (row of each kind)."""
+    text = F.struct("own", "key")
+    kinds = rows.groupBy("unit", "anchor", "digest").agg(F.count("*").alias("n"), (F.min(text) != F.max(text)).alias("several"), F.min(F.struct("own", "key", "start", "windows")).alias("one"))
+    return written(kinds, "repeat-kinds")
+
+
+def _mixed(kinds: DataFrame, units: list[Unit], n: str = "n") -> DataFrame:
+    """unit, anchor, kinds, bytes of the anchors that have several kinds, one of which alone: only there can more be found."""
+    size, width = (F.element_at(F.array(*(F.lit(x) for x in xs)), F.col("unit") + 1) for xs in ([u.size for u in units], [u.width for u in units]))
+    sums = kinds.groupBy("unit", "anchor").agg(F.count("*").alias("kinds"), F.min(n).alias("least"), F.sum((F.col("windows") + size - 1) * width).alias("bytes"))
+    return sums.where("kinds > 1 AND least = 1").select("unit", "anchor", "kinds", "bytes")
+
+
+def _pieces(keyed: DataFrame, kinds: DataFrame, units: list[Unit]) -> DataFrame:
+    """The text of one segment of each kind of mixed anchors."""
+    flat = kinds.select("unit", "anchor", "digest", "n", "several", "one.*")
+    wanted = flat.join(_mixed(flat, units).select("unit", "anchor"), ["unit", "anchor"])
+    by_doc = wanted.groupBy("own", "key").agg(F.collect_list(F.struct("unit", "anchor", "digest", "n", "several", "start", "windows")).alias("wanted"))
     texts = keyed.select("own", "key", "text").join(by_doc, ["own", "key"])
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        wanted, known, data = batch.column("wanted"), Words(), []
+        bounds = np.diff(wanted.offsets.to_numpy())
+        rows = wanted.flatten()
+        unit, start, windows = (rows.field(c).to_numpy() for c in ("unit", "start", "windows"))
+        at = 0
+        for text, many in zip(batch.column("text").to_pylist(), bounds.tolist(), strict=True):
+            raw = [None] * len(units)
+            for i in range(at, at + many):
+                u = units[unit[i]]
+                if raw[unit[i]] is None:
+                    raw[unit[i]] = memoryview(symbols(text.encode(), u, known)).cast("B")
+                data.append(bytes(raw[unit[i]][start[i] * u.width : (start[i] + windows[i] + u.size - 1) * u.width]))
+            at += many
+        owner = pa.array(np.repeat(np.arange(batch.num_rows), bounds))
+        columns = [rows.field("unit"), rows.field("anchor"), pa.array(np.zeros(len(rows), np.int32)), rows.field("digest"), rows.field("n"), rows.field("several"), batch.column("own").take(owner), batch.column("key").take(owner), rows.field("start"), rows.field("windows"), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECES.split(", ")])
+
+    return written(map_batches(texts, run, PIECES).dropDuplicates(["unit", "anchor", "digest"]), "repeat-texts")  # rows that repeat tell theirs twice
+
+
+def _deeper(pieces: DataFrame, hot: DataFrame, units: list[Unit]) -> DataFrame:
+    """Parts of the pieces of hot anchors (unit, anchor, kinds), by a hash more.
+
+    Windows that have common hashes alone stay together; when they are too many again, each goes by its own digest."""
+    by = ["unit", "anchor"]
+    pieces = pieces.join(hot.select(*by, "kinds"), by)
+
+    def count(part: pa.Table) -> pa.Table:
+        unit = units[part.column("unit")[0].as_py()]
+        data = [np.unique(gram_hashes(np.frombuffer(d, np.uint64 if unit.words else np.uint8), unit.k)) for d in part.column("data").to_pylist()]
+        hashes, n = np.unique(np.concatenate(data), return_counts=True)
+        common = hashes[n > max(1, COMMON * len(data))].view(np.int64)
+        return pa.table({"unit": pa.array([part.column("unit")[0].as_py()], pa.int32()), "anchor": pa.array([part.column("anchor")[0].as_py()], pa.int64()), "common": pa.array([common], pa.list_(pa.int64()))})
+
+    counted = pieces.where(F.pmod(F.xxhash64("digest"), F.ceil(F.col("kinds") / COUNTED)) == 0).select(*by, "data").groupBy(*by).applyInArrow(count, "unit int, anchor long, common array<long>")
+    salts = F.ceil(F.col("kinds") / TOGETHER).cast("int")
+    told = hot.join(counted, by, "left").select(*by, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "common")
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("digest", F.lit(1)), salts).cast("int")).drop("kinds")
+    names = [c.split()[0] for c in PIECES.split(", ")]
+
+    def split(part: pa.Table, told: pa.Table) -> pa.Table:
+        common = np.array(told.column("common")[0].as_py() or [], np.int64)
         out: list[tuple] = []
-        for own, key, text, want in zip(*(batch.column(c).to_pylist() for c in ("own", "key", "text", "wanted")), strict=True):
-            data = text.encode()
-            out += [(own, key, w["start"], w["windows"], w["anchor"], w["n"], w["kinds"], data[w["start"] : w["start"] + w["windows"] + min_bytes - 1]) for w in want]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["own", "key", "start", "windows", "anchor", "n", "kinds", "bytes"])
-
-    # a repeated row has one key and may meet its wants twice: what is told twice does no harm
-    pieces = written(map_batches(texts, cut, "own long, key long, start long, windows int, anchor long, n long, kinds long, bytes binary"), "repeat-texts")
-    few, many = pieces.where(F.col("kinds") <= most_kinds), pieces.where(F.col("kinds") > most_kinds)
-    buckets = max(1, size // BUCKET_BYTES)
-
-    def scan(part: pa.Table) -> pa.Table:
-        data = part.column("bytes").to_pylist()
-        start, single = part.column("start").to_numpy(), part.column("n").to_numpy() == 1
-        index, begin, end = repeated_parts(data, min_bytes)
-        keep = single[index]
-        index, begin, end = index[keep], begin[keep], end[keep]
-        return pa.table({"own": part.column("own").take(pa.array(index)), "key": part.column("key").take(pa.array(index)), "start": start[index] + begin, "stop": start[index] + end})
-
-    spans_schema = "own long, key long, start long, stop long"
-    scanned = few.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(scan, spans_schema)
-
-    def window_digests(batch: pa.RecordBatch) -> pa.RecordBatch:
-        index, at, one, two = [], [], [], []
-        for i, (start, windows, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "windows", "bytes")), strict=True)):
-            for p in range(windows):
-                digest = xxhash.xxh3_128_intdigest(data[p : p + min_bytes])
-                index.append(i)
-                at.append(start + p)
-                one.append((digest >> 64) - (1 << 63))
-                two.append((digest & ((1 << 64) - 1)) - (1 << 63))
-        taken = pa.array(index, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("own").take(taken), batch.column("key").take(taken), batch.column("n").take(taken), pa.array(at, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["own", "key", "n", "start", "one", "two"])
-
-    windows = map_batches(many, window_digests, "own long, key long, n long, start long, one long, two long")
-    twice = windows.groupBy("one", "two").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where((F.col("total") > 1) & (F.col("least") == 1)).select("one", "two")
-    counted = windows.where(F.col("n") == 1).join(twice, ["one", "two"]).select("own", "key", "start", (F.col("start") + min_bytes).alias("stop"))
-    return equal.unionByName(scanned).unionByName(counted)
+        for u, anchor, stuck, n, several, own, key, start, windows, data in zip(*(part.column(c).to_pylist() for c in ("unit", "anchor", "stuck", "n", "several", "own", "key", "start", "windows", "data")), strict=True):
+            unit = units[u]
+            array = np.frombuffer(data, np.uint64 if unit.words else np.uint8)
+            parts = ((a, 1, None) for a in range(windows)) if stuck > 1 else apart(array, unit, common)
+            for at, many, hashed in parts:
+                own_data = data[at * unit.width : (at + many + unit.size - 1) * unit.width]
+                digest = _signed(xxhash.xxh3_64_intdigest(own_data))
+                by = digest if stuck > 1 else 0 if hashed is None else _signed(hashed)
+                chained = _signed(xxhash.xxh3_64_intdigest(anchor.to_bytes(8, "little", signed=True) + by.to_bytes(8, "little", signed=True)))
+                out.append((u, chained, stuck + 1 if hashed is None else 0, digest, n, several, own, key, start + at, many, own_data))
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.table({c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(zip(names, kinds, strict=True))})
+
+    return salted.groupBy(*by, "salt").cogroup(told.groupBy(*by, "salt")).applyInArrow(split, PIECES)
+
+
+def _scan(pieces: DataFrame, units: list[Unit], total: int) -> DataFrame:
+    """FOUND: occurrences of maximal repeats among the pieces of each anchor, each under the longest that starts at its place."""
+
+    def arrays(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        part = part.sort_by([("unit", "ascending"), ("anchor", "ascending")])
+        unit, anchor = part.column("unit").to_numpy(), part.column("anchor").to_numpy()
+        size = np.cumsum(pc.binary_length(part.column("data")).to_numpy().astype(np.int64))
+        edges = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (unit[1:] != unit[:-1]), [True]]))
+        start = 0
+        for i in range(1, len(edges)):
+            a, b = edges[start], edges[i]
+            if i + 1 == len(edges) or unit[b] != unit[a] or size[edges[i + 1] - 1] - (size[a - 1] if a else 0) > ARRAY_BYTES:
+                yield one(part.slice(a, b - a), units[unit[a]])
+                start = i
+
+    def one(part: pa.Table, unit: Unit) -> pa.Table:
+        data = part.column("data").to_pylist()
+        array = SuffixArray(data, unit)
+        found = array.maximal()
+        ranks = np.flatnonzero(array.deepest >= 0)
+        group, kind = array.deepest[ranks], array.kind[ranks]
+        own, key, many = (part.column(c).to_numpy() for c in ("own", "key", "n"))
+        several = part.column("several").to_numpy(zero_copy_only=False)
+        sums = np.concatenate([[0], np.cumsum(many[array.kind])])
+        o, k, s = own[array.kind], key[array.kind], several[array.kind]
+        texts = np.cumsum(np.concatenate([[0], ((o[1:] != o[:-1]) | (k[1:] != k[:-1])).astype(np.int64)])) if len(o) else np.zeros(0, np.int64)
+        spread = np.cumsum(s.astype(np.int64))
+        across = (texts[found.last] != texts[found.first]) | (spread[found.last] - spread[found.first] + s[found.first] > 0) if len(found.length) else np.zeros(0, bool)
+        names = np.array([_signed(xxhash.xxh3_64_intdigest(array.text(a, n))) for a, n in zip(found.first.tolist(), found.length.tolist(), strict=True)], np.int64)
+        parent = np.where(found.parent >= 0, names[found.parent], 0) if len(names) else names
+        taken = pa.array(kind)
+        begin = part.column("start").to_numpy()[kind] + array.start[ranks]
+        columns = [part.column(c).take(taken) for c in ("unit", "anchor", "digest", "n", "own", "key")]
+        return pa.table([*columns, pa.array(begin), pa.array(begin + found.length[group]), pa.array(names[group]), pa.array(parent[group]), pa.array((sums[found.last + 1] - sums[found.first])[group]), pa.array(across[group])], [c.split()[0] for c in FOUND.split(", ")])
+
+    def run(part: pa.Table) -> pa.Table:
+        out = pa.concat_tables(arrays(part.combine_chunks()))
+        trim()
+        return out
+
+    buckets = max(1, total // BUCKET_BYTES)
+    return pieces.withColumn("bucket", F.pmod(F.xxhash64("unit", "anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda part: run(part.drop_columns(["bucket"])), FOUND)
+
+
+def found_repeats(docs: DataFrame, units: list[Unit], anchor_bytes: int = ANCHOR_BYTES) -> tuple[DataFrame, list[DataFrame]]:
+    """(found, tables): occurrences of maximal repeats in one segment of each kind, and of whole segments that repeat, as FOUND
+    (a row of the former with n above 1 stands for all segments of its kind); and the written tables that found reads."""
+    keyed = _keyed(docs)
+    rows = written(_segment_rows(keyed, units), "repeat-segments")
+    kinds = _kinds(rows)
+    size = F.element_at(F.array(*(F.lit(u.size) for u in units)), F.col("unit") + 1)
+
+    def whole(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+        """Segments of kinds of several, as repeats."""
+        met = rows.join(kinds.where("n > 1").select("unit", "anchor", "digest", F.col("n").alias("occurrences"), F.col("several").alias("across")), ["unit", "anchor", "digest"])
+        return met.select("unit", "anchor", "digest", F.col("occurrences").alias("n"), "own", "key", "start", (F.col("start") + F.col("windows") + size - 1).alias("stop"), F.xxhash64("unit", "anchor", "digest").alias("repeat"), F.lit(0).cast("long").alias("parent"), "occurrences", "across")
+
+    found, tables = [whole(rows, kinds)], [rows, kinds]
+    pieces = _pieces(keyed, kinds, units)
+    while True:
+        mixed = written(_mixed(pieces, units), "repeat-anchors")
+        total, hot = mixed.agg(F.sum(F.when(F.col("bytes") <= anchor_bytes, F.col("bytes"))), F.count_if(F.col("bytes") > anchor_bytes)).first()
+        few = pieces.join(mixed.where(F.col("bytes") <= anchor_bytes).select("unit", "anchor"), ["unit", "anchor"], "left_semi")
+        tables.append(written(_scan(few, units, total or 0), "repeat-found"))
+        found.append(tables[-1])
+        if not hot:
+            release(mixed, pieces)
+            break
+        # a part that several pieces have is a repeat; of each kind of parts one goes on
+        parts = written(_deeper(pieces, mixed.where(F.col("bytes") > anchor_bytes), units), "repeat-parts")
+        text = F.struct("own", "key")
+        kinds = written(parts.groupBy("unit", "anchor", "digest").agg(F.sum("n").alias("n"), (F.bool_or("several") | (F.min(text) != F.max(text))).alias("several"), F.min(F.struct("own", "key", "start", "windows")).alias("one")), "repeat-kinds")
+        found.append(whole(parts.where("n = 1").drop("n", "several"), kinds))
+        tables += [parts, kinds]
+        chosen = kinds.select("unit", "anchor", "digest", F.col("n").alias("all"), F.col("several").alias("others"), F.col("one.own").alias("own"), F.col("one.key").alias("key"), F.col("one.start").alias("start"))
+        chosen = parts.join(chosen, ["unit", "anchor", "digest", "own", "key", "start"]).withColumn("n", F.col("all")).withColumn("several", F.col("others")).drop("all", "others")
+        release(mixed, pieces)
+        pieces = written(chosen.dropDuplicates(["unit", "anchor", "digest"]), "repeat-texts")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out, tables
+
+
+def repeat_groups(docs: DataFrame, unit: Unit) -> DataFrame:
+    """repeat, parent, length, occurrences, across, doc_id, start, stop, copies, segment: maximal repeats of a window of unit or more, a
+    row for each occurrence, under the longest repeat that starts there; those that enclose it in the tree (parent, 0 where none
+    does) have it too. Symbols count from 0; across tells whether several texts have it.
+
+    A repeat is told within segments (see above). A segment that several texts have whole is a repeat with all its occurrences; what
+    else repeats in it is told for one of them, with how many copies there are and the repeat (segment) that lists them.
+    Null and empty texts have none; rows that repeat are one text, each other's copies; a null id is told as null; an empty table gives none."""
+    found, _ = found_repeats(docs, [unit])
+    doc_id = F.when(F.col("own") != -(2**63), F.col("own")).alias("doc_id")
+    return found.select("repeat", "parent", (F.col("stop") - F.col("start")).alias("length"), "occurrences", "across", doc_id, "start", "stop", F.col("n").alias("copies"), F.xxhash64("unit", "anchor", "digest").alias("segment"))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -328,55 +510,82 @@ def whole_characters(data: bytes, start: int, stop: int) -> tuple[int, int]:
     return start, stop
 
 
-def _with_spans(docs: DataFrame, min_bytes: int, k: int, most_kinds: int) -> DataFrame:
-    spans = repeated_spans(docs, min_bytes, k, most_kinds)
-    by_doc = spans.groupBy("own", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return written(by_doc, "repeat-spans")
+def spans_by_text(docs: DataFrame, units: list[Unit], **options) -> DataFrame:
+    """own, key, spans (unit, start, stop) of each text that has any; spans overlap and may be told more than once."""
+    found, tables = found_repeats(docs, units, **options)
+    # in segments that repeat whole nothing else counts
+    own = found.where((F.col("n") == 1) | (F.col("repeat") == F.xxhash64("unit", "anchor", "digest")))
+    by_doc = own.groupBy("own", "key").agg(F.collect_set(F.struct("unit", "start", "stop")).alias("spans"))
+    out = written(by_doc, "repeat-spans")
+    release(*tables)
+    return out
+
 
+def _spans_of(column: pa.Array) -> Iterator[list[tuple[int, int, int]]]:
+    """(unit, start, stop) of each row's spans, a row's at a time."""
+    offsets, rows = column.offsets.to_numpy(), column.values
+    fields = [rows.field(c) for c in ("unit", "start", "stop")]
+    for i in range(len(column)):
+        a, b = int(offsets[i]), int(offsets[i + 1])
+        yield list(zip(*(f.slice(a, b - a).to_pylist() for f in fields), strict=True)) if b > a and column[i].is_valid else []
 
-def digest_repeats(docs: DataFrame, min_bytes: int = 400, k: int = K, most_kinds: int = MOST_KINDS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
+def digest_repeats(docs: DataFrame, min_bytes: int = 400, passage_words: int = 50, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, n_passages of every row.
+
+    The last two: words that stand in passages of passage_words or more which occur anywhere else, and the runs that they make.
     Null texts are empty; texts of fewer than min_bytes keep all; rows that repeat count as each
     other's copies; a null id stays null; an empty table gives no rows; other columns aren't read."""
-    by_doc = _with_spans(docs, min_bytes, k, most_kinds)
+    by_doc = spans_by_text(docs, [byte_unit(min_bytes), word_unit(passage_words)], **options)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), _spans_of(batch.column("spans")), strict=True):
             data = text.encode()
-            merged = merge([(s["start"], s["stop"]) for s in spans or ()])
+            merged = merge([(a, b) for u, a, b in spans if u == 0])
+            passages = merge([(a, b) for u, a, b in spans if u == 1])
             digest, at = hashlib.sha256(), 0
             for start, stop in merged:
                 digest.update(data[at:start])
                 at = stop
             digest.update(data[at:])
-            rows.append((len(data), sum(b - a for a, b in merged), len(merged), digest.hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            rows.append((len(data), sum(b - a for a, b in merged), len(merged), digest.hexdigest(), sum(b - a for a, b in passages), len(passages)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "n_passages"]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
     joined = _keyed(docs).join(by_doc, ["own", "key"], "left").select("doc_id", "text", "spans")
-    return map_batches(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_batches(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, n_passages long")
+
 
+def remove_repeats(docs: DataFrame, unit: Unit, text: str = "text", **options) -> DataFrame:
+    """docs with repeats of a window of unit or more cut from the text, every occurrence; bytes are widened to whole characters,
+    words go from the first's first byte to the last's last.
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 400, text: str = "text", k: int = K, most_kinds: int = MOST_KINDS) -> DataFrame:
-    """docs with repeated spans cut from the text, widened to whole characters; null texts stay null."""
-    by_doc = _with_spans(docs.withColumn("text", F.col(text)), min_bytes, k, most_kinds)
-    spans = by_doc.select(F.col("own").alias("__own"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    Null texts stay null, empty ones empty; rows that repeat are each other's copies; an empty table stays empty; other columns stay as they are."""
+    by_doc = spans_by_text(docs.withColumn("text", F.col(text)), [unit], **options)
+    own, key, told = (unused(docs, c) for c in ("__own", "__key", "__spans"))
+    spans = by_doc.select(F.col("own").alias(own), F.col("key").alias(key), F.col("spans").alias(told))
     value = F.col(text).cast("string")
-    joined = docs.join(spans, (F.xxhash64(F.col("doc_id").cast("long"), value) == F.col("__key")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__own")), "left").drop("__own", "__key")
+    joined = docs.join(spans, (F.xxhash64(F.col("doc_id").cast("long"), value) == F.col(key)) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col(own)), "left").drop(own, key)
     kinds, names = {f.name: f.dataType.simpleString() for f in docs.schema.fields}, docs.columns
+    word = re.compile(WORD.encode())
+
+    def cut(data: bytes, spans: list[tuple[int, int, int]]) -> bytes:
+        found = merge([(a, b) for _, a, b in spans])
+        if unit.words:
+            bounds = [m.span() for m in word.finditer(data)]
+            found = [(bounds[a][0], bounds[b - 1][1]) for a, b in found]
+        else:
+            found = merge([whole_characters(data, a, b) for a, b in found])
+        out, at = [], 0
+        for start, stop in found:
+            out.append(data[at:start])
+            at = stop
+        return b"".join([*out, data[at:]])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = []
-        for value, spans in zip(batch.column(text).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-            if spans:
-                data, out, at = value.encode(), [], 0
-                for start, stop in merge([whole_characters(data, s["start"], s["stop"]) for s in spans]):
-                    out.append(data[at:start])
-                    at = stop
-                value = b"".join([*out, data[at:]]).decode()
-            kept.append(value)
+        kept = [cut(value.encode(), spans).decode() if spans else value for value, spans in zip(batch.column(text).to_pylist(), _spans_of(batch.column(told)), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == text else batch.column(c) for c in names], names)
 
     return map_batches(joined, run, ", ".join(f"`{c}` {'string' if c == text else kinds[c]}" for c in names))
