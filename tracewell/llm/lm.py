@@ -1,26 +1,28 @@
 """Hierarchical Pitman-Yor language model over word pairs.
 
 Restaurants: one for each context word, all with one parent, whose own parent is uniform. A
-table in a child sends a customer to the parent. A Gibbs sweep draws, for each word of each
-restaurant, its number of tables given all others: exactly from generalised Stirling numbers
-where it has few customers, by Metropolis steps with their saddle-point form where it has many.
-Predictive probabilities are averaged over sweeps.
-
-Pairs are dealt into shards by context (a very common context by its next word too), so that
-a shard holds whole restaurants, and for each pair the documents that have it. What shards
-need of the parent, they get by a join on their words; nothing grows with the
-vocabulary on the driver.
+table in a child sends a customer to the parent. A round of Gibbs sampling draws, for each word of each
+restaurant, its number of tables given all other tables of the round before and the parent; then the parent's
+given all tables. Draws are exact from generalised Stirling numbers where a word has few customers, and
+Metropolis steps with their saddle-point form where it has many. Every draw takes its random numbers from a
+hash of restaurant, word and round, so it doesn't matter where it is made. Predictive probabilities
+are averaged over rounds, each with its tables and its parent.
+
+Pairs are dealt into shards by context; a common context is dealt by its next word too, and a common pair by its
+documents. Shards hear of what they share with others by joins: the parent's tables of their words, the
+customers and tables of whole contexts, the customers of whole pairs. Nothing grows with the vocabulary on the driver.
 """
 
 from __future__ import annotations
 
 import math
 import struct
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,22 +30,22 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import bucketed, held_out, release, slices, trim, written
 
-START, END = 0, 1  # hashes of the two marks
-#: Bits of a word's hash: of V words two share one with a chance of V**2 / 2**57.
-HASHED = (1 << 56) - 1
+START, END = 0, 1  # hashes of the two marks; of V words two share one with a chance of V**2 / 2**65
 SHARD_BYTES = 12_000_000
 #: Shards of a pack, which a task takes one after another, summing each document's parts; buckets of the table of shards, at most.
 TOGETHER, MOST_BUCKETS = 2, 20_000
 #: Documents whose sums are put together in one task.
 RANGE = 20_000
-#: Contexts that make up more than this share of a shard's load are split; found in some SAMPLE texts, which only shapes the shards.
-SPLIT, SAMPLE, LEAST_SHARE = 0.25, 1000, 1e-4
+#: A context or pair whose load is more than this share of a shard's is dealt to several, so there are at most shards / SPLIT of them. They are
+#: found in a sample of about so many tokens a shard, which shapes the shards and no score.
+SPLIT, SAMPLED = 0.25, 1600
 #: Tokens gathered before a map task deals them out.
 DEAL = 1_500_000
 #: Customers of a word up to which its tables are drawn exactly.
 EXACT = 48
 STRENGTH, ROOT_STRENGTH, ROOT_DISCOUNT = 10.0, 1.0, 0.1
-BURN_IN, SAMPLES, METROPOLIS = 2, 3, 3
+#: Rounds before those that are averaged, and those; Metropolis steps of a draw.
+BURN_IN, SAMPLES, METROPOLIS = 1, 2, 3
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -75,6 +77,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def uniform(u: np.ndarray, w: np.ndarray, turn: int) -> np.ndarray:
+    """A number in (0, 1) for each restaurant and word, another for each turn."""
+    h = mixed(u * np.uint64(0x9E3779B97F4A7C15) + mixed(w + np.uint64((turn * 0xD1342543DE82EF95) % (1 << 64))))
+    return ((mixed(h) >> np.uint64(12)).astype(float) + 0.5) / (1 << 52)
+
+
 class Codes(dict):
     """A number for each word, in order of appearance; 0 and 1 are the marks."""
 
@@ -89,21 +97,76 @@ class Codes(dict):
         return self[word]
 
 
-def deal(docs: DataFrame, shards: int, hot: dict[int, int]) -> DataFrame:
+class Common(NamedTuple):
+    """Common contexts and pairs (hashes, ascending) and into how many parts they are dealt."""
+
+    contexts: np.ndarray
+    context_parts: np.ndarray
+    pairs: np.ndarray
+    pair_parts: np.ndarray
+
+    @staticmethod
+    def parts_of(known: np.ndarray, parts: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.ones(len(asked), np.uint64)
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        return np.where(known[at] == asked, parts[at], np.uint64(1))
+
+
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(u * np.uint64(0x9E3779B97F4A7C15) + w)
+
+
+def common(docs: DataFrame, size: int, shards: int) -> Common:
+    """What a sample of texts, counted in the cluster, tells to be common; only that comes to the driver."""
+
+    def run(batches):
+        codes: dict[bytes, int] = {}
+        for batch in batches:
+            found = []
+            for part in slices(batch):
+                for text in part.column("text").to_pylist():
+                    words = text.encode().lower().split()
+                    for w in words:
+                        if w not in codes:
+                            codes[w] = xxhash.xxh3_64_intdigest(w)
+                    h = np.array([START, *(codes[w] for w in words), END], np.uint64)
+                    found += [(h[:-1], pair_hash(h[:-1], h[1:]))]
+                codes.clear()
+            for kind in (0, 1):
+                hashes, n = np.unique(np.concatenate([f[kind] for f in found]) if found else np.zeros(0, np.uint64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), kind, np.int32)), pa.array(hashes.view(np.int64)), pa.array(n)], ["kind", "h", "n"])
+
+    none = np.zeros(0, np.uint64)
+    if shards == 1:
+        return Common(none, none, none, none)
+    every = max(1, size // (8 * SAMPLED * shards))
+    counts = docs.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(every)) == 0).select("text").mapInArrow(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    counts = written(counts, "lm-sample")
+    total = counts.where("kind = 0").agg(F.sum("n")).first()[0] or 1
+    many = counts.where(F.col("n") > max(8, SPLIT * total / shards)).orderBy("h").collect()  # at most shards / SPLIT of a kind
+    release(counts)
+    out = []
+    for kind in (0, 1):
+        rows = sorted((int(r["h"]) % (1 << 64), math.ceil(r["n"] * shards / total / SPLIT)) for r in many if r["kind"] == kind)
+        out += [np.array([h for h, _ in rows], np.uint64), np.array([n for _, n in rows], np.uint64)]
+    return Common(*out)
+
+
+def deal(docs: DataFrame, shards: int, known: Common) -> DataFrame:
     """shard, blob: (words' hashes, documents' keys, train flags, contexts, next words, documents, counts) of its pairs."""
-    hot_hash = np.array(sorted(hot), np.uint64)
-    hot_parts = np.array([hot[h] for h in sorted(hot)], np.uint64)
-
-    def shard_of(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        place = mixed(u)
-        if len(hot_hash):
-            at = np.minimum(np.searchsorted(hot_hash, u), len(hot_hash) - 1)
-            place = place + np.where(hot_hash[at] == u, mixed(w) % hot_parts[at], np.uint64(0))
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most shards / SPLIT of contexts and of pairs
+
+    def shard_of(u: np.ndarray, w: np.ndarray, key: np.ndarray) -> np.ndarray:
+        k = shared.value
+        place = mixed(u) + mixed(w) % Common.parts_of(k.contexts, k.context_parts, u)
+        if len(k.pairs):
+            place = place + mixed(key) % Common.parts_of(k.pairs, k.pair_parts, pair_hash(u, w))
         return (place % np.uint64(shards)).astype(np.int64)
 
     def flush(codes: Codes, tokens: list[np.ndarray], lengths: list[int], keys: list[int], train: list[bool]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        hashes = np.array([START, END, *map(digest, codes.words[2:])], np.uint64) & np.uint64(HASHED)
+        hashes = np.array([START, END, *map(digest, codes.words[2:])], np.uint64)
         w = np.concatenate(tokens)
         tokens.clear()
         n_docs, n_words = len(keys), len(hashes)
@@ -122,12 +185,12 @@ def deal(docs: DataFrame, shards: int, hot: dict[int, int]) -> DataFrame:
         triple //= n_docs
         w, u = (triple % n_words).astype(np.int32), (triple // n_words).astype(np.int32)
         del triple, first
-        shard = shard_of(hashes[u], hashes[w]).astype(np.int32)
+        all_keys, all_train = np.array(keys, np.int64), np.array(train, np.uint8)
+        shard = shard_of(hashes[u], hashes[w], all_keys.view(np.uint64)[d]).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         u, w, d, count, shard = u[order], w[order], d[order], count[order], shard[order]
         del order
         edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-        all_keys, all_train = np.array(keys, np.int64), np.array(train, np.uint8)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             words, place = np.unique(np.concatenate([u[a:b], w[a:b]]), return_inverse=True)
             own, dd = np.unique(d[a:b], return_inverse=True)
@@ -157,13 +220,13 @@ def deal(docs: DataFrame, shards: int, hot: dict[int, int]) -> DataFrame:
     return docs.select("key", "train", "text").mapInArrow(run, "shard int, blob binary")
 
 
-STATE = "pack int, shard int, pairs binary, uses binary, train_tokens long, known_words long, ends long, once long, twice long, hot array<struct<u:long,customers:long,kinds:long>>"
+STATE = "pack int, shard int, pairs binary, uses binary, train_tokens long, known_words long, ends long, once long, twice long, contexts array<struct<u:long,customers:long,kinds:long>>, common array<struct<u:long,w:long,customers:long>>"
 
 
-def gather(dealt: DataFrame, hot: set[int]) -> DataFrame:
-    """A row per shard. pairs: (words, first pair of each context, contexts, next words, training counts), by context;
-    uses: (documents' keys, uses of each pair, documents, counts)."""
-    split = np.array(sorted(hot), np.uint64)
+def gather(dealt: DataFrame, known: Common) -> DataFrame:
+    """A row per shard. pairs: (words, contexts, next words, training counts, whether they are common), by context;
+    uses: (documents' keys, uses of each pair, documents, counts). contexts and common: its parts of what several shards may have."""
+    shared = dealt.sparkSession.sparkContext.broadcast(known)
 
     def run(part: pa.Table) -> pa.Table:
         blobs = [unpack(b) for b in part.column("blob").to_pylist()]
@@ -186,16 +249,22 @@ def gather(dealt: DataFrame, hot: set[int]) -> DataFrame:
         uses = np.diff(first, append=len(pair))
         del pair
         learned = np.add.reduceat(np.where(train[docs], counts, np.uint32(0)), first, dtype=np.int64)
+        k = shared.value
+        is_common = np.isin(pair_hash(words[u], words[w]), k.pairs)
+        alone = np.where(is_common, 0, learned)
         edge = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-        customers, kinds = np.add.reduceat(learned, edge), np.add.reduceat((learned > 0).astype(np.int64), edge)
+        customers, kinds = np.add.reduceat(learned, edge), np.add.reduceat((alone > 0).astype(np.int64), edge)
         context = words[u[edge]]
-        is_hot = np.isin(context, split)
+        parted = np.isin(context, k.contexts)  # a common pair's context is common too
+        signed = lambda h: int(np.int64(h.view(np.int64)))
         row = {
-            "pack": part.column("shard")[0].as_py() // TOGETHER, "shard": part.column("shard")[0].as_py(), "pairs": pack(words, u, w, learned), "uses": pack(keys, uses, docs, counts), "train_tokens": int(learned.sum()),
-            "known_words": int(((customers > 0) & ~is_hot & (context != START)).sum()), "ends": int(learned[words[w] == END].sum()), "once": int((learned == 1).sum()), "twice": int((learned == 2).sum()),
-            "hot": [{"u": int(np.int64(h.view(np.int64))), "customers": int(c), "kinds": int(k)} for h, c, k in zip(context[is_hot], customers[is_hot], kinds[is_hot], strict=True)],
+            "pack": part.column("shard")[0].as_py() // TOGETHER, "shard": part.column("shard")[0].as_py(), "pairs": pack(words, u, w, learned, is_common.astype(np.uint8)), "uses": pack(keys, uses, docs, counts), "train_tokens": int(learned.sum()),
+            "known_words": int(((customers > 0) & ~parted & (context != START)).sum()), "ends": int(learned[words[w] == END].sum()), "once": int((alone == 1).sum()), "twice": int((alone == 2).sum()),
+            "contexts": [{"u": signed(h), "customers": int(c), "kinds": int(n)} for h, c, n in zip(context[parted], customers[parted], kinds[parted], strict=True)],
+            "common": [{"u": signed(words[u[i]]), "w": signed(words[w[i]]), "customers": int(learned[i])} for i in np.flatnonzero(is_common)],
         }
-        kind = pa.schema([("pack", pa.int32()), ("shard", pa.int32()), ("pairs", pa.binary()), ("uses", pa.binary()), *((n, pa.int64()) for n in ("train_tokens", "known_words", "ends", "once", "twice")), ("hot", pa.list_(pa.struct([(n, pa.int64()) for n in ("u", "customers", "kinds")])))])
+        numbers = lambda *names: pa.list_(pa.struct([(n, pa.int64()) for n in names]))
+        kind = pa.schema([("pack", pa.int32()), ("shard", pa.int32()), ("pairs", pa.binary()), ("uses", pa.binary()), *((n, pa.int64()) for n in ("train_tokens", "known_words", "ends", "once", "twice")), ("contexts", numbers("u", "customers", "kinds")), ("common", numbers("u", "w", "customers"))])
         return pa.Table.from_pylist([row], kind)
 
     return dealt.groupBy("shard").applyInArrow(run, STATE)
@@ -239,19 +308,22 @@ def saddle_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return log_gamma(c + 1.0) - log_gamma(t + 1.0) - t * np.log(d) + t * np.log(-np.expm1(-d * x)) - c * np.log(z) - 0.5 * np.log(2 * math.pi * spread)
 
 
-def draw_tables(c: np.ndarray, t: np.ndarray, others: np.ndarray, prior: np.ndarray, strength: float, discount: float, stirling: np.ndarray, random: np.random.Generator) -> np.ndarray:
-    """New numbers of tables of words with c customers, given their restaurants' other tables and the parent's probability."""
+def draw_tables(c: np.ndarray, t: np.ndarray, others: np.ndarray, prior: np.ndarray, strength: float, discount: float, stirling: np.ndarray, random: Callable[[int], np.ndarray]) -> np.ndarray:
+    """New numbers of tables of words with c customers, given their restaurants' other tables and the parent's probability.
+
+    random: uniform numbers for the words, others for each turn."""
     t = t.copy()
     few = np.flatnonzero((c > 1) & (c < len(stirling)))
     order = few[np.argsort(c[few], kind="stable")]
     edges = np.flatnonzero(np.concatenate([[True], np.diff(c[order]) > 0, [True]])) if len(order) else np.zeros(1, np.int64)
+    told = random(0)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         for start in range(a, b, 100_000):
             rows = order[start : min(b, start + 100_000)]
             n = int(c[rows[0]])
             grow = np.cumsum(np.log((strength + discount * (others[rows, None] + np.arange(n))) * prior[rows, None]), axis=1) + stirling[n, 1 : n + 1]
             weight = np.cumsum(np.exp(grow - grow.max(1, keepdims=True)), axis=1)
-            t[rows] = 1 + (weight < random.random(len(rows))[:, None] * weight[:, -1:]).sum(1)
+            t[rows] = 1 + (weight < told[rows][:, None] * weight[:, -1:]).sum(1)
     many = np.flatnonzero(c >= len(stirling))
     if len(many):
         cc, base, rate = c[many].astype(float), strength / discount + others[many], np.log(prior[many] * discount)
@@ -259,50 +331,128 @@ def draw_tables(c: np.ndarray, t: np.ndarray, others: np.ndarray, prior: np.ndar
         a = (strength + discount * others[many]) * prior[many]
         now = np.where(t[many] > 1, t[many], np.clip(np.rint(a * np.log1p(cc / np.maximum(a, 1e-9))), 1, cc)).astype(float)
         level = weight(now)
-        for _ in range(METROPOLIS):
-            step = 1 + random.geometric(1 / (1 + np.sqrt(cc) / 4)) * random.integers(0, 2, len(cc))
-            new = now + np.where(random.random(len(cc)) < 0.5, step, -step)
+        stay = np.log1p(-1 / (1 + np.sqrt(cc) / 4))  # steps are geometric, of one at least
+        for turn in range(METROPOLIS):
+            step = 1 + np.floor(np.log(random(3 * turn + 1)[many]) / stay)
+            new = now + np.where(random(3 * turn + 2)[many] < 0.5, step, -step)
             inside = (new >= 1) & (new <= cc)
             new = np.where(inside, new, now)
             value = weight(new)
-            take = inside & (np.log(random.random(len(cc))) < value - level)
+            take = inside & (np.log(random(3 * turn + 3)[many]) < value - level)
             now, level = np.where(take, new, now), np.where(take, value, level)
         t[many] = now.astype(np.int64)
     return t
 
 
+#: Kinds of rows that shards get: a word's customers and tables in the parent, a parted context's customers and tables, a common
+#: pair's customers and whether this shard sends its tables, a shard's own tables. Turn: the round that they are of.
+WORD, CONTEXT, PAIR, TABLES = range(4)
+FACTS = "pack int, shard int, kind int, turn int, a long, b long, x long, y long, tables binary"
+
+
+class Facts:
+    """What a pack's shards get from elsewhere, and the parent's numbers of each round: (customers, tables)."""
+
+    def __init__(self, rows: pa.Table, parent: dict[int, tuple[float, float]], vocabulary: int):
+        self.parent, self.vocabulary = parent, vocabulary
+        whole = lambda c: pc.fill_null(rows.column(c), -1).to_numpy()
+        kind, turn = whole("kind"), whole("turn")
+        self._rows, self._shard = {}, whole("shard")
+        for k in np.unique(kind):
+            for n in np.unique(turn[kind == k]):
+                self._rows[int(k), int(n)] = np.flatnonzero((kind == k) & (turn == n))
+        self._columns = {c: whole(c) for c in ("a", "b", "x", "y")}
+        self._tables = rows.column("tables")
+
+    def numbers(self, kind: int, turn: int, *columns: str) -> list[np.ndarray]:
+        rows = self._rows.get((kind, turn), np.zeros(0, np.int64))
+        return [self._columns[c][rows] for c in columns]
+
+    def pairs(self, shard: int) -> dict[tuple[int, int], tuple[int, int]]:
+        """Customers of common pairs of a shard, and whether it sends their tables."""
+        rows = self._rows.get((PAIR, 0), np.zeros(0, np.int64))
+        a, b, x, y = (self._columns[c][rows[self._shard[rows] == shard]].tolist() for c in ("a", "b", "x", "y"))
+        return dict(zip(zip(a, b, strict=True), zip(x, y, strict=True), strict=True))
+
+    def tables(self, shard: int, turn: int) -> np.ndarray:
+        rows = self._rows[TABLES, turn]
+        return unpack(self._tables[int(rows[self._shard[rows] == shard][0])].as_py())[0].astype(np.int64)
+
+    def prior(self, words: np.ndarray, turn: int) -> np.ndarray:
+        """The parent's probability of each word, as of a round."""
+        customers, tables = self.parent[turn]
+        fresh = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (self.vocabulary + 1)
+        w, c, t = self.numbers(WORD, turn, "a", "x", "y")
+        out = np.full(len(words), fresh)
+        own, place = w.view(np.uint64), np.searchsorted(words, w.view(np.uint64))
+        here = place < len(words)
+        here[here] = words[place[here]] == own[here]  # a pack's shards have other words too
+        out[place[here]] += c[here] - ROOT_DISCOUNT * t[here]
+        return out / (ROOT_STRENGTH + customers)
+
+
 class Restaurants:
-    """The restaurants of a shard; split contexts count the tables that other shards have of them."""
+    """The restaurants of a shard, or parts of them, with what it was told of the whole."""
 
-    def __init__(self, pairs: bytes, prior_of: tuple[np.ndarray, np.ndarray], unseen: float, hot: dict[int, tuple[int, int]], strength: float, discount: float, seed: int):
-        self.words, u, w, c = unpack(pairs)
+    def __init__(self, shard: int, pairs: bytes, facts: Facts, strength: float, discount: float):
+        self.words, u, w, c, shared = unpack(pairs)
         self.u, self.w, self.c = u.astype(np.int32), w.astype(np.int32), c.astype(np.int64)
-        self.strength, self.discount, self.random = strength, discount, np.random.default_rng(seed)
+        self.strength, self.discount, self.facts = strength, discount, facts
         self.edge = np.flatnonzero(np.concatenate([[True], self.u[1:] != self.u[:-1]]))
         self.of = np.repeat(np.arange(len(self.edge), dtype=np.int32), np.diff(self.edge, append=len(self.u)))
-        self.t = (self.c > 0).astype(np.int64)
+        self.context = self.words[self.u[self.edge]]
         self.customers = np.add.reduceat(self.c, self.edge)
-        self.elsewhere = np.zeros(len(self.edge), float)
-        kinds = np.add.reduceat(self.t, self.edge)
-        context = self.words[self.u[self.edge]]
-        for i in np.flatnonzero(np.isin(context, np.array(sorted(hot), np.uint64))) if hot else ():
-            customers, tables, all_kinds = hot[int(context[i])]
-            self.elsewhere[i] = tables * (1 - kinds[i] / max(1, all_kinds))
-            self.customers[i] = customers
-        prior = np.full(len(self.words), unseen)
-        prior[np.searchsorted(self.words, prior_of[0])] = prior_of[1]
-        self.prior = prior[self.w]
+        #: whether the shard sends a pair's tables on: of a common pair one shard does
+        self.mine = np.ones(len(self.c), bool)
+        at = np.flatnonzero(shared == 1)
+        if len(at):
+            whole = facts.pairs(shard)
+            for i in at.tolist():
+                self.c[i], self.mine[i] = whole[int(self.words[self.u[i]].view(np.int64)), int(self.words[self.w[i]].view(np.int64))]
         self.stirling = log_stirling(discount, EXACT)
 
-    def sweep(self) -> None:
+    def _parted(self, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of parted contexts, and their customers and tables as of a round."""
+        u, customers, tables = self.facts.numbers(CONTEXT, turn, "a", "x", "y")
+        order = np.argsort(u.view(np.uint64))
+        known = u.view(np.uint64)[order]
+        at = np.minimum(np.searchsorted(known, self.context), max(0, len(known) - 1))
+        here = np.flatnonzero(known[at] == self.context) if len(known) else np.zeros(0, np.int64)
+        return here, customers[order][at[here]], tables[order][at[here]]
+
+    def totals(self, t: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each whole restaurant, as of a round in which pairs here have t tables."""
+        customers, tables = self.customers.copy(), np.add.reduceat(t, self.edge)
+        here, c, n = self._parted(turn)
+        customers[here], tables[here] = c, n
+        return customers, tables
+
+    def first(self) -> np.ndarray:
+        return (self.c > 0).astype(np.int64)
+
+    def sweep(self, t: np.ndarray, turn: int, seed: int) -> np.ndarray:
+        """Tables of the round after turn."""
+        out = t.copy()
         seated = np.flatnonzero(self.c > 0)
-        tables = np.add.reduceat(self.t, self.edge) + self.elsewhere
-        others = tables[self.of[seated]] - self.t[seated]
-        self.t[seated] = draw_tables(self.c[seated], self.t[seated], others, self.prior[seated], self.strength, self.discount, self.stirling, self.random)
-
-    def predictive(self) -> np.ndarray:
-        tables = (np.add.reduceat(self.t, self.edge) + self.elsewhere)[self.of]
-        return (np.maximum(self.c - self.discount * self.t, 0) + (self.strength + self.discount * tables) * self.prior) / (self.strength + self.customers[self.of])
+        _, tables = self.totals(t, turn)
+        u, w = self.words[self.u[seated]], self.words[self.w[seated]]
+        prior = self.facts.prior(self.words, turn)[self.w[seated]]
+        random = lambda k: uniform(u, w, seed + 16 * (turn + 1) + k)
+        out[seated] = draw_tables(self.c[seated], t[seated], tables[self.of[seated]] - t[seated], prior, self.strength, self.discount, self.stirling, random)
+        return out
+
+    def predictive(self, t: np.ndarray, turn: int) -> np.ndarray:
+        customers, tables = self.totals(t, turn)
+        prior = self.facts.prior(self.words, turn)[self.w]
+        return (self.c - self.discount * t + (self.strength + self.discount * tables[self.of]) * prior) / (self.strength + customers[self.of])
+
+    def told(self, t: np.ndarray, parted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Kind, hashes and tables: those that go to the parent by word, and those of parted contexts."""
+        sent = np.where(self.mine, t, 0)
+        used = np.unique(self.w)
+        yield WORD, self.words[used], np.bincount(self.w, sent, len(self.words)).astype(np.int64)[used]
+        here = np.flatnonzero(np.isin(self.context, parted))
+        yield CONTEXT, self.context[here], np.add.reduceat(sent, self.edge)[here]
 
 
 def _shards(part: pa.Table) -> Iterator[tuple[int, bytes]]:
@@ -310,121 +460,150 @@ def _shards(part: pa.Table) -> Iterator[tuple[int, bytes]]:
         yield part.column("shard")[i].as_py(), part.column("pairs")[i].as_py()
 
 
-def _prior_of(prior: pa.Table, shard: int) -> tuple[np.ndarray, np.ndarray]:
-    own = np.flatnonzero(prior.column("shard").to_numpy() == shard)
-    return prior.column("w").to_numpy()[own].view(np.uint64), prior.column("p").to_numpy()[own]
-
-
 class Model:
-    """A fitted model: the written shards and what the driver knows of the whole (numbers, and the split contexts, of which
-    there are at most 1 / LEAST_SHARE)."""
+    """A fitted model: written shards, tables and parents; the driver knows a few numbers and what is common."""
 
-    def __init__(self, docs: DataFrame, strength: float = STRENGTH, samples: int = SAMPLES, burn_in: int = BURN_IN, seed: int = 11):
+    def __init__(self, docs: DataFrame, strength: float = STRENGTH, samples: int = SAMPLES, burn_in: int = BURN_IN, seed: int = 11, shard_bytes: int | None = None):
         """docs: key, train, text (no nulls)."""
-        self.samples, self.burn_in, self.seed, self.strength = samples, burn_in, seed, strength
+        self.samples, self.burn_in, self.seed, self.strength = samples, burn_in, seed * 1_000_003, strength
         size, rows = (x or 0 for x in docs.agg(F.sum(F.octet_length("text") + 1), F.count("*")).first())
-        self.shards = max(1, math.ceil(size / SHARD_BYTES))
-        counted: Counter[bytes] = Counter()
-        for row in docs.where((F.octet_length("text") < 1_000_000) & (F.pmod(F.xxhash64("key"), F.lit(max(1, rows // SAMPLE))) == 0)).select("text").limit(4 * SAMPLE).toLocalIterator():
-            words = row["text"].encode().lower().split()
-            counted.update(words)
-            counted[b""] += 1
-        total, least = sum(counted.values()), max(LEAST_SHARE, SPLIT / self.shards)
-        split = {xxhash.xxh3_64_intdigest(w) & HASHED if w else START: math.ceil(n / total * self.shards / SPLIT) for w, n in counted.items() if n > least * total and self.shards > 1}
-        self.state = bucketed(gather(deal(docs, self.shards, split), set(split)), "lm-shards", "pack", min(4 * math.ceil(self.shards / TOGETHER), MOST_BUCKETS))  # of more buckets than packs fewer hold two
+        self.shards = max(1, math.ceil(size / (shard_bytes or SHARD_BYTES)))
+        self.common = common(docs, size, self.shards)
+        self.state = bucketed(gather(deal(docs, self.shards, self.common), self.common), "lm-shards", "pack", min(4 * math.ceil(self.shards / TOGETHER), MOST_BUCKETS))  # of more buckets than packs fewer hold two
         self.ranges = max(1, rows // RANGE)
+        self.parent: dict[int, tuple[float, float]] = {}
+        self._wholes()
+        facts, last, old = self.static, None, ()
+        for turn in range(burn_in + samples + 1):
+            told = self._round(facts, turn)
+            words = self._parent(told, last, turn)
+            contexts = self._contexts(told, turn)
+            own = told.where(F.col("kind") == TABLES)
+            now = words.unionByName(contexts).unionByName(own.select(*(c.split()[0] for c in FACTS.split(", "))))
+            facts = self.static.unionByName(now)
+            if turn > burn_in:
+                self.kept = now if turn == burn_in + 1 else self.kept.unionByName(now)
+            if turn <= burn_in + 1:  # of the round before no more is needed
+                release(*old)
+            old, last = (told, self.roots, contexts), self.roots
+
+    def _wholes(self) -> None:
+        """Whole contexts and pairs of those that are parted, and what follows from them: counts, discount, the facts that no round changes."""
         sums = self.state.agg(*(F.sum(n).alias(n) for n in ("train_tokens", "known_words", "ends", "once", "twice"))).first()
+        pairs = self.state.select("pack", "shard", F.explode("common").alias("h")).select("pack", "shard", "h.*")
+        whole = pairs.groupBy("u", "w").agg(F.sum("customers").alias("c"), F.min("shard").alias("sender"))
+        self.pairs = written(whole, "lm-pairs")
+        contexts = self.state.select("pack", F.explode("contexts").alias("h")).select("pack", "h.*")
+        extra = self.pairs.where("c > 0").groupBy("u").agg(F.count("*").alias("more"))
+        whole = contexts.groupBy("u").agg(F.sum("customers").alias("c"), F.sum("kinds").alias("kinds")).join(extra, "u", "left").select("u", "c", (F.col("kinds") + F.coalesce("more", F.lit(0))).alias("kinds"))
+        self.contexts = written(whole, "lm-contexts")
+        self.members = written(contexts.select("pack", "u").distinct(), "lm-members")
+        none = lambda kind: F.lit(None).cast(kind)
+        told = pairs.join(self.pairs, ["u", "w"]).select("pack", "shard", F.lit(PAIR).alias("kind"), F.lit(0).alias("turn"), F.col("u").alias("a"), F.col("w").alias("b"), F.col("c").alias("x"), (F.col("shard") == F.col("sender")).cast("long").alias("y"), none("binary").alias("tables"))
+        self.static = written(told, "lm-facts")
+        common_pairs = self.pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+        parted = self.contexts.agg(F.count_if((F.col("c") > 0) & (F.col("u") != START))).first()[0]
+        once, twice = (sums["once"] or 0) + common_pairs[0], (sums["twice"] or 0) + common_pairs[1]
         self.train_tokens, self.ends = sums["train_tokens"] or 0, sums["ends"] or 0
-        rows = self.state.select(F.explode("hot").alias("h")).groupBy("h.u").agg(F.sum("h.customers").alias("c"), F.sum("h.kinds").alias("k")).collect() if split else []
-        self.hot = {int(r["u"]) % (1 << 64): (int(r["c"]), int(r["k"]), int(r["k"])) for r in rows}
-        self.vocabulary = (sums["known_words"] or 0) + sum(1 for h, x in self.hot.items() if x[0] > 0 and h != START) + (self.ends > 0)
-        once, twice = sums["once"] or 0, sums["twice"] or 0
+        self.vocabulary = (sums["known_words"] or 0) + parted + (self.ends > 0)
         self.discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-        self.unseen = 1 / (self.vocabulary + 1)
-        self._root(self._tables(None))
-        self._root(self._tables(self.prior))
 
-    def _tables(self, prior: DataFrame | None) -> DataFrame:
-        """shard, w, t: tables of each word in each shard (one for each kind of pair without a prior), and of split contexts with w null."""
-        make = self._maker()
-        burn_in = self.burn_in
+    def _round(self, facts: DataFrame, turn: int) -> DataFrame:
+        """FACTS of a round: tables by word and by parted context for others, and the shard's own; one for each kind of pair at first."""
+        strength, discount, seed, parent, vocabulary = self.strength, self.discount, self.seed, dict(self.parent), self.vocabulary
+        shared = self.state.sparkSession.sparkContext.broadcast(self.common.contexts)
 
-        def out(shard: int, r: Restaurants) -> pa.Table:
-            t = np.bincount(r.w, r.t, len(r.words)).astype(np.int64)
-            used = np.unique(r.w)
-            return pa.table({"shard": pa.array(np.full(len(used), shard, np.int32)), "w": pa.array(r.words[used].view(np.int64)), "t": pa.array(t[used])})
-
-        def first(part: pa.Table) -> pa.Table:
-            return pa.concat_tables([out(shard, make(shard, pairs, (np.zeros(0, np.uint64), np.zeros(0)))) for shard, pairs in _shards(part)])
+        def run(part: pa.Table, own: pa.Table) -> pa.Table:
+            told, out = Facts(own, parent, vocabulary), []
+            sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], CONTEXT: []}
+            for shard, pairs in _shards(part):
+                r = Restaurants(shard, pairs, told, strength, discount)
+                t = r.sweep(told.tables(shard, turn - 1), turn - 1, seed) if turn else r.first()
+                for kind, a, x in r.told(t, shared.value):
+                    sums[kind].append((a, x))
+                out.append({"pack": shard // TOGETHER, "shard": shard, "kind": TABLES, "turn": turn, "tables": pack(t)})
+                del r, t
+                trim()
+            tables = [pa.Table.from_pylist(out, schema)]
+            for kind, parts in sums.items():
+                a, place = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+                x = np.bincount(place, np.concatenate([y for _, y in parts]), len(a)).astype(np.int64)
+                n = len(a)
+                same = lambda v: pa.array(np.full(n, v, np.int32))  # noqa: B023, E731
+                tables.append(pa.table([same(part.column("pack")[0].as_py()), pa.nulls(n, pa.int32()), same(kind), same(turn), pa.array(a.view(np.int64)), pa.nulls(n, pa.int64()), pa.array(x), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema))
+            return pa.concat_tables(tables)
+
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in FACTS.split(", "))])
+        state = self.state.select("pack", "shard", "pairs")
+        return written(state.groupBy("pack").cogroup(facts.groupBy("pack")).applyInArrow(run, FACTS), "lm-round")
 
-        def swept(shard: int, r: Restaurants) -> pa.Table:
-            for _ in range(burn_in + 1):
-                r.sweep()
-            return out(shard, r)
+    def _contexts(self, told: DataFrame, turn: int) -> DataFrame:
+        """Whole tables of parted contexts, for each pack that has a part."""
+        sums = told.where(F.col("kind") == CONTEXT).groupBy(F.col("a").alias("u")).agg(F.sum("x").alias("t"))
+        rows = self.members.join(self.contexts, "u").join(sums, "u")
+        none = lambda kind: F.lit(None).cast(kind)
+        return written(rows.select("pack", none("int").alias("shard"), F.lit(CONTEXT).alias("kind"), F.lit(turn).alias("turn"), F.col("u").alias("a"), none("long").alias("b"), F.col("c").alias("x"), F.col("t").alias("y"), none("binary").alias("tables")), "lm-contexts")
 
-        def sweep(part: pa.Table, own: pa.Table) -> pa.Table:
-            return pa.concat_tables([swept(shard, make(shard, pairs, _prior_of(own, shard))) for shard, pairs in _shards(part)])
+    def _parent(self, told: DataFrame, last: DataFrame | None, turn: int) -> DataFrame:
+        """Seats all tables as customers of the parent; its customers and tables go to the packs that have the word.
 
-        state = self.state.select("pack", "shard", "pairs")
-        if prior is None:
-            tables = state.groupBy("pack").applyInArrow(first, "shard int, w long, t long")
-        else:
-            tables = state.groupBy("pack").cogroup(prior.groupBy("pack")).applyInArrow(sweep, "shard int, w long, t long")
-        return written(tables, "lm-tables")
-
-    def _maker(self):
-        unseen, hot, strength, discount, seed = self.unseen, self.hot, self.strength, self.discount, self.seed
-        return lambda shard, pairs, prior: Restaurants(pairs, prior, unseen, hot, strength, discount, seed + shard)
-
-    def _root(self, tables: DataFrame) -> None:
-        """Seats the tables as customers of the parent, whose words' probabilities go to the shards that have them."""
+        Words come in order, each with its tables of the round before, and a task holds a batch at a time."""
         vocabulary, seed = self.vocabulary, self.seed
         stirling = log_stirling(ROOT_DISCOUNT, EXACT)
-        customers = float(tables.agg(F.sum("t")).first()[0] or 0)
-        # seen from one word, each other word has a table at least; with a uniform parent of so many words more are rare
-        seats = float(vocabulary)
-        fresh = (ROOT_STRENGTH + ROOT_DISCOUNT * seats) / (vocabulary + 1)
-        self.unseen = fresh / (ROOT_STRENGTH + customers)
+        before = self.parent[turn - 1][1] if turn else float(vocabulary)
 
-        def seat(w: np.ndarray, t: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+        def seat(w: np.ndarray, x: np.ndarray, where: np.ndarray, old: np.ndarray) -> pa.RecordBatch:
             first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            c = np.add.reduceat(t, first)
-            own = (c > 0).astype(np.int64)
-            seated = np.flatnonzero(c > 0)
-            own[seated] = draw_tables(c[seated], own[seated], np.full(len(seated), max(0.0, seats - 1)), np.full(len(seated), 1 / (vocabulary + 1)), ROOT_STRENGTH, ROOT_DISCOUNT, stirling, np.random.default_rng(seed))
-            p = (np.maximum(c - ROOT_DISCOUNT * own, 0) + fresh) / (ROOT_STRENGTH + customers)
-            return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(w), pa.array(np.repeat(p, np.diff(first, append=len(w))))], ["shard", "w", "p"])
+            c = np.add.reduceat(x, first)
+            t = np.maximum(np.add.reduceat(old, first), 0)
+            t = np.where(c > 0, np.maximum(t, 1), 0)
+            own = w[first].view(np.uint64)
+            random = lambda k: uniform(np.zeros(len(own), np.uint64), own, seed + 16 * turn + k)
+            drawn = draw_tables(c, t, np.maximum(0.0, before - t), np.full(len(c), 1 / (vocabulary + 1)), ROOT_STRENGTH, ROOT_DISCOUNT, stirling, random)
+            once = np.zeros(len(w), bool)
+            once[first] = True
+            many = np.diff(first, append=len(w))
+            here = where >= 0  # rows of the round before have no pack
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (np.where(here, where, -1).astype(np.int32), w, np.repeat(c, many), np.repeat(drawn, many), once)], ["pack", "a", "x", "y", "once"])
 
         def run(batches):
-            held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]  # rows of the last word, which may go on
+            held = [np.zeros(0, np.int64) for _ in range(4)]  # rows of the last word, which may go on
             for batch in batches:
-                rows = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("w", "t", "shard"), strict=True)]
+                rows = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("a", "x", "pack", "old"), strict=True)]
                 if len(rows[0]):
-                    last = int(np.searchsorted(rows[0], rows[0][-1]))
-                    if last:
-                        yield seat(*(r[:last] for r in rows))
-                    held = [r[last:] for r in rows]
+                    end = int(np.searchsorted(rows[0], rows[0][-1]))
+                    if end:
+                        yield seat(*(r[:end] for r in rows))
+                    held = [r[end:] for r in rows]
             if len(held[0]):
                 yield seat(*held)
 
-        self.prior = tables.repartition("w").sortWithinPartitions("w").mapInArrow(run, "shard int, w long, p double").withColumn("pack", F.floor(F.col("shard") / TOGETHER).cast("int"))
+        rows = told.where(F.col("kind") == WORD).select("a", "x", F.col("pack").cast("long").alias("pack"), F.lit(0).cast("long").alias("old"))
+        if last is not None:
+            rows = rows.unionByName(last.where("once AND y > 1").select("a", F.lit(0).cast("long").alias("x"), F.lit(-1).cast("long").alias("pack"), F.col("y").alias("old")))
+        self.roots = written(rows.repartition("a").sortWithinPartitions("a").mapInArrow(run, "pack int, a long, x long, y long, once boolean"), "lm-parent")
+        customers, tables = self.roots.where("once").agg(F.sum("x"), F.sum("y")).first()
+        self.parent[turn] = (float(customers or 0), float(tables or 0))
+        none = lambda kind: F.lit(None).cast(kind)
+        return self.roots.where("pack >= 0").select("pack", none("int").alias("shard"), F.lit(WORD).alias("kind"), F.lit(turn).alias("turn"), "a", none("long").alias("b"), "x", "y", none("binary").alias("tables"))
 
     def scores(self) -> DataFrame:
         """key, n_words, n_known, ends, base, score: sums over the words of each key's texts."""
-        make, burn_in, samples = self._maker(), self.burn_in, self.samples
+        strength, discount, parent, vocabulary = self.strength, self.discount, dict(self.parent), self.vocabulary
+        turns = range(self.burn_in + 1, self.burn_in + self.samples + 1)
         norm = self.train_tokens + 0.1 * (self.vocabulary + 1)
 
-        def scored(r: Restaurants, uses: bytes) -> tuple[np.ndarray, ...]:
-            for _ in range(burn_in):
-                r.sweep()
+        def scored(r: Restaurants, shard: int, uses: bytes) -> tuple[np.ndarray, ...]:
             p = np.zeros(len(r.u))
-            for _ in range(samples):
-                r.sweep()
-                p += r.predictive()
-            p /= samples
+            for turn in turns:
+                t = r.facts.tables(shard, turn)
+                p += r.predictive(t, turn)
+            p /= len(turns)
             log = np.log10(p, out=p)
             is_word, is_end = r.words[r.u] != START, r.words[r.w] == END
-            u_known, u_base = (r.customers > 0)[r.of] & is_word, np.log10((r.customers + 0.1) / norm)[r.of]
+            customers, _ = r.totals(t, turns[-1])
+            u_known, u_base = (customers > 0)[r.of] & is_word, np.log10((customers + 0.1) / norm)[r.of]
             del r
             keys, used, docs, counts = unpack(uses)
             pair = np.repeat(np.arange(len(log), dtype=np.int32), used)
@@ -439,9 +618,9 @@ class Model:
             return keys, total(is_word), total(u_known), total(is_end), total(np.where(is_word, u_base, 0.0)), total(log)
 
         def run(part: pa.Table, own: pa.Table) -> pa.Table:
-            sums = None
+            sums, told = None, Facts(own, parent, vocabulary)
             for i, (shard, pairs) in enumerate(_shards(part)):
-                now = scored(make(shard, pairs, _prior_of(own, shard)), part.column("uses")[i].as_py())
+                now = scored(Restaurants(shard, pairs, told, strength, discount), shard, part.column("uses")[i].as_py())
                 sums = merged([now] if sums is None else [sums, now])
                 trim()
             return _part_rows(ranges, *sums)
@@ -452,7 +631,8 @@ class Model:
             return pa.table({"key": pa.array(sums[0].view(np.int64))} | {n: pa.array(x.astype(k)) for n, x, k in zip(SUMS, sums[1:], kinds, strict=True)})
 
         ranges = self.ranges
-        parts = self.state.select("pack", "shard", "pairs", "uses").groupBy("pack").cogroup(self.prior.groupBy("pack")).applyInArrow(run, PARTS)
+        facts = self.static.unionByName(self.kept)
+        parts = self.state.select("pack", "shard", "pairs", "uses").groupBy("pack").cogroup(facts.groupBy("pack")).applyInArrow(run, PARTS)
         return parts.groupBy("range").applyInArrow(whole, "key long, n_words long, n_known long, ends long, base double, score double")
 
 
@@ -481,7 +661,7 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def score(docs: DataFrame, out=None, **options) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row's whole text,
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row's whole text,
     by a model of the rows that aren't held out (out; by default where crc32 of the id mod 10 is 0).
 
     Null texts are empty: their one token is the end. A null id counts as the empty text, whose
@@ -495,5 +675,5 @@ def score(docs: DataFrame, out=None, **options) -> DataFrame:
     each = lambda c: (F.col(c) / F.col("ends")).cast("long")  # noqa: E731  rows that repeat share a key
     return joined.select(
         "doc_id", "held_out", (each("n_words") + 1).alias("n_tokens"), (each("n_known") + int(model.ends > 0)).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("ends") + F.lit(math.log10((model.ends + 0.1) / norm))).alias("base_score"), (F.col("score") / F.col("ends")).alias("score"),
+        (F.col("base") / F.col("ends") + F.lit(math.log10((model.ends + 0.1) / norm))).alias("base_score"), (F.col("score") / F.col("ends")).alias("score"), F.pow(F.lit(10.0), -F.col("score") / (F.col("n_words") + F.col("ends"))).alias("perplexity"),
     )
