@@ -3,7 +3,10 @@
 Each text's counts give a vector of transformed statistics. Per language and source,
 minimum-covariance-determinant estimates (location and scatter of the densest part)
 come from concentration steps: keep the share of rows nearest the last estimate, estimate
-again. A text is rejected by its Mahalanobis distance. Quantiles come from counts per bin,
+again, as long as the determinant falls. Steps go from three deterministic starts (spreads alone, correlations of
+bounded scores, correlations of directions), and a group takes the one with the least determinant. Scatters are
+regularised: to each statistic's variance that of chance is added, so that a statistic that hardly varies can't
+make a determinant of zero. A text is rejected by its Mahalanobis distance. Quantiles come from counts per bin,
 so that no group is gathered anywhere: a group sends at most its bins.
 """
 
@@ -14,23 +17,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import written
+from tracewell.llm.common import release, written
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
-#: The statistics, and the spread that each has at least: what any text may show by chance.
-FLOORS = {"length": 1.0, "symbols": 0.3, "lines": 0.15, "repeats": 0.1}
+#: The statistics, and the spread that chance gives each in any text.
+CHANCE = {"length": 1.0, "symbols": 0.3, "lines": 0.14, "repeats": 0.1}
+#: Bins a unit of each statistic, for medians: fifty to the spread of chance.
+BINS = {a: round(50 / s) for a, s in CHANCE.items()}
 #: Share of a group that the estimates rest on; fewer outliers than the rest can't move them far.
 SHARE = 0.6
 #: Makes the scatter of the nearest 0.6 of four-dimensional normal rows that of all: 0.6 / P(chi2_6 < chi2_4 quantile of 0.6).
 CONSISTENT = 1.824
 #: Squared distance of a rejected text: the chi2_4 quantile of 1 - 1e-9.
 CUT = 48.1
-STEPS = 4
+#: Steps end when no group's log determinant falls by more than this (bins let the share vary by as much), or after so many.
+SETTLED, MOST_STEPS = 0.02, 30
 #: Rows that a language and source need for estimates of their own; smaller ones share their language's, then one for all.
 LEAST_ROWS = 50
 P = "__q_"
-NAMES = list(FLOORS)
+NAMES = list(CHANCE)
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
@@ -86,20 +92,77 @@ def distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn(P + "d2", reduce(lambda a, b: a + b, [y * y for y in solved])).drop(*(f"__qy_{i}" for i in range(len(NAMES))))
 
 
-def factors(moments: DataFrame) -> DataFrame:
-    """__q_pool, m_i, l_ij from means m_i and covariances c_ij: spread floors on the diagonal, then Cholesky."""
+def factors(moments: DataFrame, by: list[str]) -> DataFrame:
+    """by, m_i, l_ij, __q_logdet from means m_i and covariances c_ij: chance on the diagonal, Cholesky, log determinant."""
     for i, a in enumerate(NAMES):
-        floor = FLOORS[a] ** 2
-        moments = moments.withColumn(f"__qc_{i}{i}", F.greatest(F.coalesce(F.col(f"__qc_{i}{i}"), F.lit(0.0)) * CONSISTENT, F.lit(floor)))
-        for j in range(i):
-            moments = moments.withColumn(f"__qc_{i}{j}", F.coalesce(F.col(f"__qc_{i}{j}"), F.lit(0.0)) * CONSISTENT)
+        for j in range(i + 1):
+            own = F.coalesce(F.col(f"__qc_{i}{j}"), F.lit(0.0)) * CONSISTENT
+            moments = moments.withColumn(f"__qc_{i}{j}", own + CHANCE[a] ** 2 if i == j else own)
     for i in range(len(NAMES)):
         for j in range(i + 1):
             left = F.col(f"__qc_{i}{j}")
             for k in range(j):
                 left = left - F.col(f"__ql_{i}{k}") * F.col(f"__ql_{j}{k}")
             moments = moments.withColumn(f"__ql_{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-6))) if i == j else left / F.col(f"__ql_{j}{j}"))
-    return moments.select(P + "pool", *(f"__qm_{a}" for a in NAMES), *(f"__ql_{i}{j}" for i in range(len(NAMES)) for j in range(i + 1)))
+    logdet = reduce(lambda a, b: a + b, [2 * F.ln(f"__ql_{i}{i}") for i in range(len(NAMES))])
+    return moments.select(*by, *(f"__qm_{a}" for a in NAMES), *(f"__ql_{i}{j}" for i in range(len(NAMES)) for j in range(i + 1)), logdet.alias(P + "logdet"))
+
+
+def _pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """__q_pool, __q_start, m_i, c_ij of rows (__q_pool, __qx_*): medians, with three scatters from scores by median distances:
+    independent; of tanh of the scores; of the scores' directions."""
+    pool = [P + "pool"]
+    middle = written(reduce(lambda a, b: a.join(b, P + "pool"), [binned_quantile(rows, pool, F.col(f"__qx_{a}"), 0.5, BINS[a], f"__qm_{a}") for a in NAMES]), "quality-start")
+    spread = reduce(lambda a, b: a.join(b, P + "pool"), [binned_quantile(rows.join(middle, P + "pool"), pool, F.abs(F.col(f"__qx_{a}") - F.col(f"__qm_{a}")), 0.5, BINS[a], f"__qs_{a}") for a in NAMES])
+    spread = spread.select(*pool, *(F.sqrt(F.pow(1.4826 * F.col(f"__qs_{a}"), 2) + CHANCE[a] ** 2).alias(f"__qs_{a}") for a in NAMES))
+    both = written(middle.join(spread, P + "pool"), "quality-start")
+    scored = rows.join(both, P + "pool")
+    for a in NAMES:
+        scored = scored.withColumn(f"__qz_{a}", (F.col(f"__qx_{a}") - F.col(f"__qm_{a}")) / F.col(f"__qs_{a}"))
+    norm = F.greatest(F.sqrt(reduce(lambda a, b: a + b, [F.col(f"__qz_{a}") ** 2 for a in NAMES])), F.lit(1e-9))
+    turned = scored.withColumn(P + "norm", norm)
+    bounded = [F.avg(F.tanh(f"__qz_{NAMES[i]}") * F.tanh(f"__qz_{NAMES[j]}")).alias(f"__qb_{i}{j}") for i, j in _pairs()]
+    pointed = [F.avg(F.col(f"__qz_{NAMES[i]}") * F.col(f"__qz_{NAMES[j]}") / F.col(P + "norm") ** 2).alias(f"__qd_{i}{j}") for i, j in _pairs()]
+    told = turned.groupBy(P + "pool").agg(*bounded, *pointed).join(both, P + "pool")
+    scale = lambda i, j: F.col(f"__qs_{NAMES[i]}") * F.col(f"__qs_{NAMES[j]}")
+    shapes = [lambda i, j: F.lit(1.0 if i == j else 0.0), lambda i, j: F.col(f"__qb_{i}{j}"), lambda i, j: F.col(f"__qd_{i}{j}")]
+    parts = [told.select(*pool, F.lit(n).alias(P + "start"), *(f"__qm_{a}" for a in NAMES), *((shape(i, j) * scale(i, j)).alias(f"__qc_{i}{j}") for i, j in _pairs())) for n, shape in enumerate(shapes)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def determinants(rows: DataFrame) -> DataFrame:
+    """__q_pool, __q_start, m_i, l_ij, __q_logdet: of each pool of rows (__q_pool, __qx_*) the estimates with the least determinant found.
+
+    A pool's best is kept at every step, so a step whose determinant rises (bins let the share vary) does no harm."""
+    by = [P + "pool", P + "start"]
+    xs = [f"__qx_{a}" for a in NAMES]
+    estimate = written(factors(starts(rows), by), "quality-estimate")
+    best = None
+    for _ in range(MOST_STEPS):
+        measured = distance(rows.join(estimate, P + "pool")).select(*by, *xs, F.log2(F.col(P + "d2") + 1e-6).alias("log"))
+        limit = binned_quantile(measured, by, F.col("log"), SHARE, 64, "limit")
+        nearest = measured.join(limit, by).where("log < limit")
+        moments = nearest.groupBy(*by).agg(*(F.avg(f"__qx_{a}").alias(f"__qm_{a}") for a in NAMES), *(F.covar_pop(f"__qx_{NAMES[i]}", f"__qx_{NAMES[j]}").alias(f"__qc_{i}{j}") for i, j in _pairs()))
+        now = written(factors(moments, by), "quality-estimate")
+        fallen = 1.0
+        if best is None:
+            kept = now
+        else:
+            new, old = (x.select(*by, F.struct(P + "logdet", *(c for c in x.columns if c not in (*by, P + "logdet"))).alias(n)) for x, n in ((now, "new"), (best, "old")))
+            met = new.join(old, by)
+            fallen = met.agg(F.max(F.col(f"old.{P}logdet") - F.col(f"new.{P}logdet"))).first()[0] or 0.0
+            kept = written(met.select(*by, F.least("old", "new").alias("s")).select(*by, "s.*").select(*now.columns), "quality-best")
+        if best is not None and best is not estimate:
+            release(best)
+        best, estimate = kept, now
+        if fallen <= SETTLED:
+            break
+    least = best.groupBy(P + "pool").agg(F.min(F.struct(P + "logdet", P + "start", *(c for c in best.columns if c not in (*by, P + "logdet")))).alias("s"))
+    return written(least.select(P + "pool", "s.*"), "quality-least")
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -127,37 +190,22 @@ def judged(docs: DataFrame) -> DataFrame:
 
     xs = [f"__qx_{a}" for a in NAMES]
     rows = written(vectors(good).select(P + "pool", *xs), "quality-vectors")
-    # the start: bin medians, and median distances from them as independent spreads
-    start = reduce(lambda a, b: a.join(b, P + "pool"), [binned_quantile(rows, [P + "pool"], F.col(f"__qx_{a}"), 0.5, 1000, f"__qm_{a}") for a in NAMES])
-    start = written(start, "quality-start")
-    apart = reduce(lambda a, b: a.join(b, P + "pool"), [binned_quantile(rows.join(start, P + "pool"), [P + "pool"], F.abs(F.col(f"__qx_{a}") - F.col(f"__qm_{a}")), 0.5, 1000, f"__qs_{a}") for a in NAMES])
-    first = start.join(apart, P + "pool")
-    for i, a in enumerate(NAMES):
-        for j in range(i):
-            first = first.withColumn(f"__qc_{i}{j}", F.lit(0.0))
-        first = first.withColumn(f"__qc_{i}{i}", (1.4826 * F.col(f"__qs_{a}")) ** 2 / CONSISTENT)
-    estimate = written(factors(first), "quality-estimate")
-    for _ in range(STEPS):
-        measured = distance(rows.join(estimate, P + "pool")).select(P + "pool", *xs, F.log2(F.col(P + "d2") + 1e-6).alias("log"))
-        limit = binned_quantile(measured, [P + "pool"], F.col("log"), SHARE, 64, "limit")
-        nearest = measured.join(limit, P + "pool").where("log < limit")
-        moments = nearest.groupBy(P + "pool").agg(
-            *(F.avg(f"__qx_{a}").alias(f"__qm_{a}") for a in NAMES), *(F.covar_pop(f"__qx_{a}", f"__qx_{b}").alias(f"__qc_{i}{j}") for i, a in enumerate(NAMES) for j, b in enumerate(NAMES[: i + 1]))
-        )
-        estimate = written(factors(moments), "quality-estimate")
+    estimate = determinants(rows)
     told = distance(vectors(docs).join(estimate, P + "pool", "left"))
     verdict = ~c("base_failed") & (F.coalesce(c("d2"), F.lit(0.0)) <= CUT)
     counts = [P + x for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-    return told.withColumn(P + "kept", verdict).select(*kept, *counts, P + "d2", P + "kept")
+    return told.withColumn(P + "kept", verdict).select(*kept, *counts, P + "d2", P + "logdet", P + "kept")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance of every row.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, log_determinant of every row.
 
-    distance is the Mahalanobis distance, null where the base rule failed and its group has no estimate."""
+    distance is the Mahalanobis distance, log_determinant that of the group's scatter; both are null where the base rule failed and the
+    group has no estimate. Null texts have no words and fail; null languages and sources are groups; rows that repeat count each;
+    a null id stays null; an empty table gives no rows; other columns aren't read."""
     rows = judged(docs.select("doc_id", F.col("text"), F.col("lang"), F.col("source"))).drop("text")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(P + n).alias(n) for n in names), F.sqrt(P + "d2").alias("distance"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(P + n).alias(n) for n in names), F.sqrt(P + "d2").alias("distance"), F.col(P + "logdet").alias("log_determinant"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
