@@ -56,7 +56,9 @@ def verified(payloads: DataFrame) -> DataFrame:
 
 
 def records(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """record: the original record's bytes; a revisit has its header alone. payload: the full payload either way."""
+    """record: the original record's bytes; a revisit has its header alone. payload: the full payload either way.
+
+    A header whose payload is missing has no row; headers that repeat give a record each."""
     head = F.decode("header", "UTF-8")
     body = F.when(head.contains("\r\nWARC-Type: revisit\r\n"), F.lit(b"")).otherwise(F.col("payload"))
     return headers.join(verified(payloads), "key").select("key", "header", "payload", F.concat("header", body, F.lit(END.encode())).alias("record"))
@@ -74,15 +76,19 @@ def page_id_of(uri):
 def read(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of an archive.
 
-    The digest and length come from each stored payload, once, after the check of its key, and
-    join the headers; a header whose digest or length differs from its payload's fails the read."""
-    facts = verified(payloads).select("key", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    parsed = headers.select("key", F.substring_index(F.decode("header", "UTF-8"), END, 1).alias("head"))
+    Each record is rebuilt and cut at its header's end again; one whose body isn't as long as it says, or whose full payload
+    hasn't the digest that it names, or that doesn't end as records do, fails the read."""
+    ended = F.octet_length("record") - len(END)
+    at = F.octet_length("header")
+    parsed = records(headers, payloads).select(
+        "key", F.substring_index(F.decode("header", "UTF-8"), END, 1).alias("head"), F.col("record").substr(at + 1, ended - at).alias("body"),
+        (F.col("record").substr(ended + 1, F.lit(len(END))) == F.lit(END.encode())).alias("whole"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("full"),
+    )
     parsed = parsed.select(
-        "key", page_id_of(_field("head", "WARC-Record-ID")).alias("page_id"), _field("head", "WARC-Type").alias("record_type"),
+        "key", "whole", "payload_bytes", "full", F.octet_length("body").cast("long").alias("body_bytes"), page_id_of(_field("head", "WARC-Record-ID")).alias("page_id"), _field("head", "WARC-Type").alias("record_type"),
         page_id_of(_field("head", "WARC-Refers-To")).alias("refers_to"), _field("head", "WARC-Payload-Digest").alias("said"), _field("head", "Content-Length").cast("long").alias("length"),
     )
-    both = parsed.join(facts, "key")
-    good = (F.col("said") == F.concat(F.lit("sha1:"), "payload_digest")) & (F.col("length") == F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes")))
-    digest = F.when(good, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a header doesn't match its payload "), F.col("key"))).cast("string"))
-    return both.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    body = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
+    good = F.col("whole") & (F.col("said") == F.concat(F.lit("sha1:"), "full")) & (F.col("length") == F.col("body_bytes")) & (F.col("body_bytes") == body)
+    digest = F.when(good, F.col("full")).otherwise(F.raise_error(F.concat(F.lit("a header doesn't match its payload "), F.col("key"))).cast("string"))
+    return parsed.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
