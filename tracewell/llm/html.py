@@ -13,6 +13,7 @@ import html as entities
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +87,7 @@ class Page:
         self.tag, self.parent, self.children = ["#"], [-1], [[]]
         self._mark = [0]  # of each node
         self.blocks: list[tuple[int, str]] = []
-        self._open, self._text = [0], []
+        self._open, self._live, self._text = [0], Counter(), []
         at = 0
         for found in TOKEN.finditer(source):
             if found.start() > at:
@@ -130,12 +131,18 @@ class Page:
                 self.blocks.append((node, text))
             self._text = []
 
+    def _close(self, depth: int) -> None:
+        self._live.subtract(self.tag[n] for n in self._open[depth:])
+        del self._open[depth:]
+
     def _pop_to(self, names: set[str], scope: set[str]) -> None:
+        if not any(self._live[n] for n in names):
+            return
         for depth in range(len(self._open) - 1, 0, -1):
             name = self.tag[self._open[depth]]
             if name in names:
                 self._flush()
-                del self._open[depth:]
+                self._close(depth)
                 return
             if name in scope:
                 return
@@ -162,16 +169,19 @@ class Page:
         self._mark.append(mark)
         if tag not in VOID and not rest.endswith("/"):
             self._open.append(node)
+            self._live[tag] += 1
 
     def _within(self, *tags: str) -> bool:
-        return any(self.tag[n] in tags for n in self._open)
+        return any(self._live[t] for t in tags)
 
     def _end(self, tag: str) -> None:
+        if not self._live[tag]:
+            return
         for depth in range(len(self._open) - 1, 0, -1):
             if self.tag[self._open[depth]] == tag:
                 if tag in BLOCK:
                     self._flush()
-                del self._open[depth:]
+                self._close(depth)
                 return
             if tag not in BLOCK and self.tag[self._open[depth]] in BLOCK:
                 return
