@@ -131,8 +131,8 @@ def test_adpcm_against_scalar():
                 value = max(-32768, min(32767, value - change if code & 8 else value + change))
                 index = max(0, min(88, index + int(audio.INDEX_CHANGE[code])))
                 out.append(value)
-    assert audio.decode_ima(bytes(data), 36).tolist() == out
-    assert len(audio.decode_ima(b"", 36)) == 0
+    got = audio.decode_ima([bytes(data), b"", bytes(data[:72]), b"abc"], 36)
+    assert got[0].tolist() == out and len(got[1]) == 0 and got[2].tolist() == out[:130] and len(got[3]) == 0
 
 
 def test_media_column(spark):
@@ -152,3 +152,7 @@ def test_audio_of_odd_rows(odd, empty):
             padded = data + bytes(-len(data) % 64 or (0 if data else 64))
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
             assert r["media_sha256"] == hashlib.sha256(audio.wav(padded, audio.MULAW)).hexdigest()
+            pcm = audio.resample(audio.TABLES[audio.MULAW][np.frombuffer(padded, np.uint8)], 8000, 16000).astype("<i2")
+            assert (r["pcm_bytes"], r["pcm_sha256"]) == (2 * len(pcm), hashlib.sha256(pcm.tobytes()).hexdigest())
+            (adpcm,) = audio.decode_ima([padded], 64)
+            assert r["feature"] == f"pcm {audio.feature(pcm)} alaw {audio.feature(audio.TABLES[audio.ALAW][np.frombuffer(padded, np.uint8)])} ima {audio.feature(adpcm)}"

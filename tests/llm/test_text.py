@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def test_tables_as_seated_one_by_one():
     """Drawn tables of a word against a sampler that moves single customers between explicit tables."""
     strength, discount, prior, others, c = 2.0, 0.5, 0.3, 4, 6
     random = np.random.default_rng(5)
-    drawn = lm.draw_tables(np.full(20000, c), np.ones(20000, np.int64), np.full(20000, float(others)), np.full(20000, prior), strength, discount, lm.log_stirling(discount, 20), random)
+    drawn = lm.draw_tables(np.full(20000, c), np.ones(20000, np.int64), np.full(20000, float(others)), np.full(20000, prior), strength, discount, lm.log_stirling(discount, 20), lambda _: random.random(20000))
     tables, counts = [c], Counter()
     for step in range(60000):
         at = random.choice(len(tables), p=np.array(tables) / c)
@@ -90,21 +91,69 @@ def test_tables_as_seated_one_by_one():
 def test_many_customers_move_as_few_do():
     random, n = np.random.default_rng(2), 4000
     args = (np.full(n, 5.0), np.full(n, 0.01), 5.0, 0.6)
-    exact = lm.draw_tables(np.full(n, 60), np.ones(n, np.int64), *args, lm.log_stirling(0.6, 64), random)
+    exact = lm.draw_tables(np.full(n, 60), np.ones(n, np.int64), *args, lm.log_stirling(0.6, 64), lambda _: random.random(n))
     t = np.ones(n, np.int64)
     for _ in range(40):
-        t = lm.draw_tables(np.full(n, 60), t, *args, lm.log_stirling(0.6, 8), random)
+        t = lm.draw_tables(np.full(n, 60), t, *args, lm.log_stirling(0.6, 8), lambda _: random.random(n))
     assert t.mean() == pytest.approx(exact.mean(), rel=0.06)
 
 
-def test_predictive_sums_to_one():
-    words = np.array([lm.START, lm.END, 10, 20, 30], np.uint64)
-    pairs = lm.pack(words, np.array([2, 2, 2]), np.array([1, 3, 4]), np.array([3, 1, 0]))
-    prior = np.array([0.1, 0.4, 0.2])
-    r = lm.Restaurants(pairs, (words[[1, 3, 4]], prior), 0.05, {}, 10.0, 0.7, 1)
-    r.sweep()
-    rest = (r.strength + r.discount * r.t.sum()) * (1 - prior.sum()) / (r.strength + 4)
-    assert r.predictive().sum() + rest == pytest.approx(1)
+def keyed(docs):
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), (~held_out(10, 0)).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def sums_by_context(model):
+    """Each context's predictive probabilities, summed over all words, for the rounds that are averaged; customers and parts of each."""
+    facts = model.static.unionByName(model.kept).toArrow()
+    out = {}
+    for turn in range(model.burn_in + 1, model.burn_in + model.samples + 1):
+        found: dict[int, dict] = {}
+        for row in model.state.select("pack", "shard", "pairs").collect():
+            told = lm.Facts(facts.filter(pa.compute.equal(facts["pack"], row["pack"])), model.parent, model.vocabulary)
+            r = lm.Restaurants(row["shard"], bytes(row["pairs"]), told, model.strength, model.discount)
+            t = told.tables(row["shard"], turn)
+            p, prior, (customers, tables) = r.predictive(t, turn), told.prior(r.words, turn)[r.w], r.totals(t, turn)
+            for i in range(len(r.c)):
+                u, w = int(r.context[r.of[i]]), int(r.words[r.w[i]])
+                own = found.setdefault(u, {"words": {}, "whole": set(), "shards": set()})
+                assert own["words"].setdefault(w, (p[i], prior[i])) == (p[i], prior[i])  # a common pair is told alike everywhere
+                own["whole"].add((int(customers[r.of[i]]), int(tables[r.of[i]])))
+                own["shards"].add(row["shard"])
+        for u, own in found.items():
+            ((customers, tables),) = own["whole"]
+            back = (model.strength + model.discount * tables) / (model.strength + customers)
+            out[u, turn] = (sum(x for x, _ in own["words"].values()) + back * (1 - sum(y for _, y in own["words"].values())), customers, len(own["shards"]))
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [20_000, 10**9])
+def test_predictive_sums_to_one(spark, shard_bytes):
+    random = np.random.default_rng(1)
+    texts = [" ".join(["the", f"w{int(x)}"] * 1 + (["of", "the"] if x % 3 else ["and"])) for x in random.zipf(1.3, 6000) % 400]
+    docs = spark.createDataFrame([(i, " ".join(texts[20 * i : 20 * i + 20])) for i in range(300)], "doc_id long, text string")
+    model = lm.Model(keyed(docs).drop("doc_id"), shard_bytes=shard_bytes)
+    found = sums_by_context(model)
+    assert all(total == pytest.approx(1, abs=1e-9) for total, _, _ in found.values())
+    parts = {n for _, customers, n in found.values() if customers > 1500}
+    assert parts and (max(parts) > 2) == (shard_bytes < 10**6) and (len(model.common.pairs) > 0) == (shard_bytes < 10**6)
+    customers, tables = model.parent[model.burn_in + model.samples]
+    rows = model.roots.where("once AND x > 0").collect()
+    fresh = (lm.ROOT_STRENGTH + lm.ROOT_DISCOUNT * tables) / (model.vocabulary + 1)
+    mass = sum(r["x"] - lm.ROOT_DISCOUNT * r["y"] + fresh for r in rows) + (model.vocabulary + 1 - len(rows)) * fresh
+    assert len(rows) == model.vocabulary and mass / (lm.ROOT_STRENGTH + customers) == pytest.approx(1, abs=1e-9)
+
+
+def test_scores_do_not_depend_on_shards(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    whole, cut = ({r["doc_id"]: r for r in lm.score(docs, shard_bytes=n).collect()} for n in (10**9, 30_000))
+    for d, r in whole.items():
+        assert r["score"] == pytest.approx(cut[d]["score"], rel=1e-9) and r["perplexity"] == pytest.approx(10 ** (-r["score"] / r["n_tokens"]))
+
+
+def test_scores_of_few_rounds_are_near_those_of_many(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    few, many = (lm.score(docs, burn_in=b, samples=s).agg(F.sum("score"), F.sum("n_tokens")).first() for b, s in ((lm.BURN_IN, lm.SAMPLES), (6, 4)))
+    assert abs(few[0] - many[0]) / few[1] < 2e-3
 
 
 def test_packed_arrays():
@@ -116,27 +165,100 @@ def test_packed_arrays():
 # repeats
 
 
-def brute_repeats(texts, size):
+def brute_repeats(texts, size, words):
     seen = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
+    parts = [t.split() for t in texts]
+    windows = Counter(tuple(p[i : i + words]) for p in parts for i in range(len(p) - words + 1))
     out = []
-    for t in texts:
+    for n, t in enumerate(texts):
         covered = bytearray(len(t))
         for i in range(len(t) - size + 1):
             if seen[t[i : i + size]] > 1:
                 covered[i : i + size] = b"\1" * size
         spans = sum(1 for i, c in enumerate(covered) if c and (not i or not covered[i - 1]))
-        out.append((len(t), sum(covered), spans, hashlib.sha256(bytes(b for b, c in zip(t, covered, strict=True) if not c)).hexdigest()))
+        told = bytearray(len(parts[n]))
+        for i in range(len(parts[n]) - words + 1):
+            if windows[tuple(parts[n][i : i + words])] > 1:
+                told[i : i + words] = b"\1" * words
+        runs = sum(1 for i, c in enumerate(told) if c and (not i or not told[i - 1]))
+        out.append((len(t), sum(covered), spans, hashlib.sha256(bytes(b for b, c in zip(t, covered, strict=True) if not c)).hexdigest(), sum(told), runs))
     return out
 
 
-@pytest.mark.parametrize(("size", "kinds", "letters"), [(12, 2000, 2), (12, 1, 2), (24, 2000, 3), (24, 2, 3), (40, 2000, 2)])
-def test_repeats_of_random_texts(spark, size, kinds, letters):
-    random = np.random.default_rng(size + kinds)
-    base = [bytes(random.integers(97, 97 + letters, random.integers(0, 300), dtype=np.uint8)) for _ in range(40)]
-    texts = [*base, *(b[5:60] + base[(i + 1) % 40][:50] for i, b in enumerate(base)), b"a" * 200, base[0]]
+@pytest.mark.parametrize(("size", "words", "most", "letters"), [(12, 3, 400_000, 2), (12, 2, 30, 2), (24, 4, 400_000, 3), (24, 4, 60, 3), (40, 6, 1, 2)])
+def test_repeats_of_random_texts(spark, size, words, most, letters):
+    """most: bytes of an anchor's texts beyond which it is told apart by further hashes."""
+    random = np.random.default_rng(size + most)
+    alphabet = np.array([*range(97, 97 + letters), 32], np.uint8)
+    base = [bytes(random.choice(alphabet, random.integers(0, 300))) for _ in range(40)]
+    texts = [*base, *(b[5:60] + base[(i + 1) % 40][:50] for i, b in enumerate(base)), b"a" * 200, b"ab " * 70, base[0]]
     docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = [tuple(r)[1:] for r in repeats.digest_repeats(docs, size, most_kinds=kinds).orderBy("doc_id").collect()]
-    assert got == brute_repeats(texts, size)
+    got = [tuple(r)[1:] for r in repeats.digest_repeats(docs, size, words, anchor_bytes=most).orderBy("doc_id").collect()]
+    assert got == brute_repeats(texts, size, words)
+
+
+def test_a_very_common_line_and_passage(spark):
+    """One line and one passage in 2000 documents of their own words: the anchors that they share are told apart."""
+    random = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{x}" for x in random.integers(0, 10**6, n))
+    line, passage = word(14), word(150)
+    texts = [f"{word(40)}\n{line}\n{word(40)} {passage} {word(30)}" for _ in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = repeats.digest_repeats(docs, 400, anchor_bytes=20_000).collect()
+    start = {i: len(t.encode()) - len(t[t.index(passage) :].encode()) for i, t in enumerate(texts)}
+    for r in rows:
+        data = texts[r["doc_id"]].encode()
+        at = start[r["doc_id"]]
+        assert 0 <= r["n_removed"] - len(passage) <= 16 and r["n_spans"] == 1 and 150 <= r["n_passage_words"] <= 153
+        near = [hashlib.sha256(data[: at - a] + data[at + len(passage) + b :]).hexdigest() for a in range(17) for b in range(17) if a + b == r["n_removed"] - len(passage)]  # chance lets neighbours agree
+        assert r["kept_sha256"] in near
+
+
+def test_groups_tell_all_occurrences(spark):
+    random = np.random.default_rng(6)
+    passage = bytes(random.integers(97, 123, 60, dtype=np.uint8)).decode()
+    texts = [f"{chr(65 + i) * 7}{passage}{chr(75 + i) * 9}" for i in range(5)] + [f"zz{passage[:45]}yy", passage[20:] + "x", "nothing here " * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = repeats.repeat_groups(docs, repeats.byte_unit(30)).collect()
+    seen: dict[bytes, set] = {}
+    for t, text in enumerate(texts):
+        for i in range(len(text) - 29):
+            seen.setdefault(text[i : i + 30].encode(), set()).add((t, i))
+    told = set()
+    for r in rows:
+        text = texts[r["doc_id"]][r["start"] : r["stop"]]
+        same = [(t, i) for t, x in enumerate(texts) for i in range(len(x)) if x.startswith(text, i)]
+        assert r["length"] == len(text) >= 30 and r["occurrences"] == len(same) > 1 and r["across"]
+        told |= {(r["doc_id"], i) for i in range(r["start"], r["stop"] - 29)}
+    assert {p for places in seen.values() if len(places) > 1 for p in places if texts[p[0]]} >= told
+    assert {p[0] for places in seen.values() if len(places) > 1 for p in places} == {r["doc_id"] for r in rows}
+
+
+def brute_maximal(texts, size):
+    """(string, occurrences) of every string of size or more whose occurrences differ, or end, on both sides."""
+    places: dict[bytes, list] = {}
+    for t, text in enumerate(texts):
+        for i in range(len(text)):
+            for j in range(i + size, len(text) + 1):
+                places.setdefault(text[i:j], []).append((t, i))
+    out = set()
+    for string, own in places.items():
+        left = [texts[t][i - 1 : i] or (t, i) for t, i in own]
+        right = [texts[t][i + len(string) : i + len(string) + 1] or (t, i) for t, i in own]
+        if len(own) > 1 and len(set(left)) > 1 and len(set(right)) > 1:
+            out.add((len(string), tuple(sorted(own))))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_maximal_repeats_by_brute_force(seed):
+    random = np.random.default_rng(seed)
+    texts = [bytes(random.integers(97, 99 + seed % 2, random.integers(0, 40), dtype=np.uint8)) for _ in range(6)]
+    unit = repeats.Unit(False, 3, 1)
+    found = {(n, tuple(at)) for n, at in repeats.maximal_repeats(texts, unit)}
+    assert found == brute_maximal(texts, 3)
+    words = [np.frombuffer(t, np.uint8).astype(np.uint64).tobytes() for t in texts]
+    assert {(n, tuple(at)) for n, at in repeats.maximal_repeats(words, repeats.Unit(True, 3, 1))} == found
 
 
 def test_repeats_of_odd_rows(odd, empty):
@@ -144,7 +266,9 @@ def test_repeats_of_odd_rows(odd, empty):
     assert len(got) == odd.count() and repeats.digest_repeats(empty, 400).count() == 0
     by = {r["doc_id"]: r for r in got}
     assert by[5]["n_removed"] == by[5]["n_bytes"] and by[4]["n_removed"] == 50000 and by[1]["n_removed"] == 0 and by[2]["n_bytes"] == 0
-    cut = repeats.remove_repeats(odd, 400)
+    assert by[5]["n_passage_words"] == by[6]["n_passage_words"] == 20000 and by[4]["n_passage_words"] == 0
+    assert repeats.repeat_groups(empty, repeats.byte_unit(400)).count() == 0 and repeats.repeat_groups(odd, repeats.word_unit(50)).where("doc_id = 5").count() > 0
+    cut = repeats.remove_repeats(odd, repeats.byte_unit(400))
     assert cut.columns == odd.columns
     texts = {r["doc_id"]: r["text"] for r in cut.collect()}
     assert texts[5] == "" and texts[2] is None and texts[7] == {r["doc_id"]: r["text"] for r in odd.collect()}[7]
@@ -153,12 +277,13 @@ def test_repeats_of_odd_rows(odd, empty):
 def test_removal_keeps_whole_characters(spark):
     same = "é" * 200
     docs = spark.createDataFrame([(1, "ab" + same + "cd"), (2, "xy" + same + "z")], "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in repeats.remove_repeats(docs, 101).collect()} == {1: "abcd", 2: "xyz"}
+    assert {r["doc_id"]: r["text"] for r in repeats.remove_repeats(docs, repeats.byte_unit(101)).collect()} == {1: "abcd", 2: "xyz"}
 
 
-def test_maximal_repeats():
-    found = {(length, tuple(sorted(p.tolist()))) for length, p in repeats.maximal_repeats([b"xabcdey", b"zabcdew", b"qabcr"], 3)}
-    assert (5, (1, 9)) in found and (3, (1, 9, 17)) in found and all(n >= 3 for n, _ in found)
+def test_removal_of_words(spark):
+    same = " ".join(f"é{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"one\n{same}\ttwo"), (2, "three " + same.replace(" ", "\n") + "  four")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in repeats.remove_repeats(docs, repeats.word_unit(50)).collect()} == {1: "one\n\ttwo", 2: "three   four"}
 
 
 # quality rules

@@ -5,6 +5,7 @@ import hashlib
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,66 @@ def test_main_text_of_odd_pages(spark, pages):
     assert html.main_text(frame).count() == frame.count() and html.main_text(frame.where("false")).count() == 0
 
 
+def test_names_of_blocks(spark):
+    """Blocks go by whole names alone, anchors and frames stay, and a form that frames the page isn't one to fill in."""
+    body = (
+        '<article class="post comments-open"><h1>Title {0}</h1><div class="share-price">Price {0}</div><section id="related-work"><p>Work {0}</p></section><h2 id="search">Search {0}</h2>'
+        '<p>Text {0} of it.</p><div class="share-buttons">Tweet {0}</div><aside>Aside {0}</aside></article><div id="comment-list"><article class="comment">Reader {0}</article></div>'
+        '<div class="adSlot left">Buy {0}</div><form class="newsletter"><p>Mail {0}</p></form><div hidden>Secret {0}</div>'
+    )
+    want = "Title {0}\n\nPrice {0}\n\nWork {0}\n\nSearch {0}\n\nText {0} of it."
+    whole = "<html><body><form id=aspnet><div class=page-sidebar-right>" + body + "</div></form></body></html>"
+    bare = "<body><form action=x><div><p>Long text {0} without an article, in a form.</p><p>And more {0}.</p></div></form><nav>menu</nav></body>"
+    rows = [(i, "http://a.example", body.format(i)) for i in range(6)] + [(10 + i, "http://b.example", whole.format(i)) for i in range(6)] + [(20 + i, "http://c.example", bare.format(i)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == got[10 + i] == want.format(i) and got[20 + i] == f"Long text {i} without an article, in a form.\n\nAnd more {i}."
+
+
+def slow_score(a, b, x=0, y=0):
+    """Simple tree matching as it is written down."""
+    if a.tag[x] != b.tag[y]:
+        return 0
+    xs, ys = a.children[x], b.children[y]
+    table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i in range(len(xs)):
+        for j in range(len(ys)):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + slow_score(a, b, xs[i], ys[j]))
+    return 1 + table[-1][-1]
+
+
+def random_page(random, depth=0):
+    tags = ("div", "ul", "b", "i")
+    return "".join(f"<{t}>{random_page(random, depth + 1) if depth < 4 else ''}</{t}>" for t in random.choice(tags, random.integers(0, 5)))
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_matching_by_brute_force(seed):
+    random = np.random.default_rng(seed)
+    a, b = html.Page(random_page(random)), html.Page(random_page(random))
+    m = html.Matching(b)
+    found = m.align(a)
+    assert len(found) == slow_score(a, b) and len(set(found.values())) == len(found)
+    for x, y in found.items():
+        assert a.tag[x] == b.tag[y] and (x == 0 or found[a.parent[x]] == b.parent[y])
+    for node in range(1, len(a.tag)):  # order is kept
+        own = [found[c] for c in a.children[node] if c in found]
+        assert own == sorted(own)
+    assert len(html.Matching(b).align(html.Page(random_page(random)))) >= 1
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 3000
+    wide = lambda n, odd: "".join(f"<p>{i}</p>" if i % odd else "<ul><li>x</ul>" for i in range(n))
+    a, b = html.Page(deep + "<p>one</p>"), html.Page(deep + "<p>two</p><b>x</b><ul></ul>")
+    assert len(html.Matching(a).align(b)) == 3002
+    a, b = html.Page(wide(3000, 7)), html.Page(wide(2500, 9))
+    assert len(html.Matching(a).align(b)) > 2400
+    rows = [(i, "http://deep.example", deep + f"<p>Story {i}</p>" + "<i>" * i) for i in range(5)] + [(5, "http://deep.example", "<div>" * 50_000 + "</p>" * 50_000 + "end")]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == [f"Story {i}" for i in range(5)] and got[5] == "end"
+
+
 def test_matching():
     a = html.Page("<body><ul><li>1<li>2</ul><p>x</p></body>")
     m = html.Matching(a)
@@ -112,7 +173,27 @@ def test_pipeline(spark, data):
 
 
 def test_pipeline_of_nothing_and_odd_rows(spark, data, odd):
-    rows = odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    rows = odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("own"), F.lit("k").alias("__id"), F.lit(2.5).alias("spans"))
     for docs in (rows.where("false"), rows):
         for name, stage in corpus_pipeline.STAGES:
-            docs = written(stage(spark, docs, data), name)
+            last, docs = docs, written(stage(spark, docs, data), name)
+            assert docs.count() <= last.count() or name == "best_fit_packing"
+            if name != "best_fit_packing":
+                assert docs.columns == rows.columns and docs.dtypes == rows.dtypes
+                assert docs.select("doc_id").exceptAll(last.select("doc_id")).count() == 0
+
+
+def test_stages_on_planted_rows(spark, data):
+    """Each stage alone against what was planted: near copies, a passage, junk."""
+    random = np.random.default_rng(12)
+    word = lambda n: " ".join(f"w{x}" for x in random.integers(0, 10**5, n))
+    passage, base = word(55), word(120)
+    texts = {0: base, 1: base.replace(" ", "  ", 3), 2: base.rsplit(" ", 10)[0], 3: f"{word(40)} {passage} {word(20)}", 4: f"{word(70)}\n{passage}\n{word(30)}", 5: word(90), 6: None, 7: "", 8: "### $$$ " * 200}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup(spark, docs, data).collect()}
+    assert set(kept) == {0, 3, 4, 5, 6, 8}
+    cut = {r["doc_id"]: r for r in corpus_pipeline.suffix_array_dedup(spark, docs.where("doc_id in (3, 4, 5, 6)"), data).collect()}
+    assert passage not in cut[3]["text"] and cut[3]["text"].split() == texts[3].replace(passage, "").split() and cut[4]["n_chars"] == len(cut[4]["text"]) and cut[5]["text"] == texts[5] and cut[6]["text"] is None
+    assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, data).collect()} & {6, 7, 8} == set()
+    pieces = corpus_pipeline.best_fit_packing(spark, docs, data).collect()
+    assert {r["doc_id"] for r in pieces} == set(texts) and sum(r["length"] for r in pieces if r["doc_id"] in (6, 7)) == 2
