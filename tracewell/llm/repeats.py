@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import WORD, map_batches, release, trim, unused, written
@@ -60,11 +60,11 @@ class Unit(NamedTuple):
 
 
 def byte_unit(size: int) -> Unit:
-    return Unit(False, size, max(1, size * 3 // 10))
+    return Unit(False, size, max(1, size // 4))
 
 
 def word_unit(size: int) -> Unit:
-    return Unit(True, size, max(1, size * 3 // 10))
+    return Unit(True, size, max(1, size // 4))
 
 
 class Words(dict):
@@ -313,11 +313,13 @@ def _segment_rows(keyed: DataFrame, units: list[Unit]) -> DataFrame:
     return map_batches(keyed.select("own", "key", "text").where(F.octet_length("text") >= least), run, "unit int, anchor long, digest long, own long, key long, start long, windows int")
 
 
-def _kinds(rows: DataFrame) -> DataFrame:
-    """unit, anchor, digest, n (of rows, in which n is one where it isn't there), several (texts), one (row of each kind)."""
-    text = F.struct("own", "key")
-    kinds = rows.groupBy("unit", "anchor", "digest").agg(F.count("*").alias("n"), (F.min(text) != F.max(text)).alias("several"), F.min(F.struct("own", "key", "start", "windows")).alias("one"))
-    return written(kinds, "repeat-kinds")
+def _kinds(rows: DataFrame, n: Column, several: Column) -> DataFrame:
+    """unit, anchor, digest, n, several (texts), own, key, start, windows (of one row of each kind): all fixed-width, so that rows meet in hash tables.
+
+    The row is that whose place has the least hash; windows of a kind are equally many."""
+    place = F.xxhash64("key", "start")
+    one = (F.min_by(c, place).alias(c) for c in ("own", "key", "start"))
+    return rows.groupBy("unit", "anchor", "digest").agg(F.sum(n).alias("n"), (several | (F.min("key") != F.max("key"))).alias("several"), *one, F.max("windows").alias("windows"))
 
 
 def _mixed(kinds: DataFrame, units: list[Unit], n: str = "n") -> DataFrame:
@@ -327,10 +329,19 @@ def _mixed(kinds: DataFrame, units: list[Unit], n: str = "n") -> DataFrame:
     return sums.where("kinds > 1 AND least = 1").select("unit", "anchor", "kinds", "bytes")
 
 
+#: Anchors that are sent to every task, at most; more meet their kinds by a shuffle.
+SENT = 500_000
+
+
+def _few(anchors: DataFrame) -> DataFrame:
+    """anchors, a written table, for a broadcast where they are few enough."""
+    return F.broadcast(anchors) if anchors.count() <= SENT else anchors
+
+
 def _pieces(keyed: DataFrame, kinds: DataFrame, units: list[Unit]) -> DataFrame:
     """The text of one segment of each kind of mixed anchors."""
-    flat = kinds.select("unit", "anchor", "digest", "n", "several", "one.*")
-    wanted = flat.join(_mixed(flat, units).select("unit", "anchor"), ["unit", "anchor"])
+    mixed = written(_mixed(kinds, units).select("unit", "anchor"), "repeat-anchors")
+    wanted = kinds.join(_few(mixed), ["unit", "anchor"])
     by_doc = wanted.groupBy("own", "key").agg(F.collect_list(F.struct("unit", "anchor", "digest", "n", "several", "start", "windows")).alias("wanted"))
     texts = keyed.select("own", "key", "text").join(by_doc, ["own", "key"])
 
@@ -352,7 +363,9 @@ def _pieces(keyed: DataFrame, kinds: DataFrame, units: list[Unit]) -> DataFrame:
         columns = [rows.field("unit"), rows.field("anchor"), pa.array(np.zeros(len(rows), np.int32)), rows.field("digest"), rows.field("n"), rows.field("several"), batch.column("own").take(owner), batch.column("key").take(owner), rows.field("start"), rows.field("windows"), pa.array(data, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECES.split(", ")])
 
-    return written(map_batches(texts, run, PIECES).dropDuplicates(["unit", "anchor", "digest"]), "repeat-texts")  # rows that repeat tell theirs twice
+    pieces = written(map_batches(texts, run, PIECES).dropDuplicates(["unit", "anchor", "digest"]), "repeat-texts")  # rows that repeat tell theirs twice
+    release(mixed)
+    return pieces
 
 
 def _deeper(pieces: DataFrame, hot: DataFrame, units: list[Unit]) -> DataFrame:
@@ -443,7 +456,7 @@ def found_repeats(docs: DataFrame, units: list[Unit], anchor_bytes: int = ANCHOR
     (a row of the former with n above 1 stands for all segments of its kind); and the written tables that found reads."""
     keyed = _keyed(docs)
     rows = written(_segment_rows(keyed, units), "repeat-segments")
-    kinds = _kinds(rows)
+    kinds = written(_kinds(rows, F.lit(1), F.lit(False)), "repeat-kinds")
     size = F.element_at(F.array(*(F.lit(u.size) for u in units)), F.col("unit") + 1)
 
     def whole(rows: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -451,12 +464,15 @@ def found_repeats(docs: DataFrame, units: list[Unit], anchor_bytes: int = ANCHOR
         met = rows.join(kinds.where("n > 1").select("unit", "anchor", "digest", F.col("n").alias("occurrences"), F.col("several").alias("across")), ["unit", "anchor", "digest"])
         return met.select("unit", "anchor", "digest", F.col("occurrences").alias("n"), "own", "key", "start", (F.col("start") + F.col("windows") + size - 1).alias("stop"), F.xxhash64("unit", "anchor", "digest").alias("repeat"), F.lit(0).cast("long").alias("parent"), "occurrences", "across")
 
-    found, tables = [whole(rows, kinds)], [rows, kinds]
+    tables = [written(whole(rows, kinds), "repeat-whole")]
+    found = tables[:]
+    release(rows)
     pieces = _pieces(keyed, kinds, units)
+    release(kinds)
     while True:
         mixed = written(_mixed(pieces, units), "repeat-anchors")
         total, hot = mixed.agg(F.sum(F.when(F.col("bytes") <= anchor_bytes, F.col("bytes"))), F.count_if(F.col("bytes") > anchor_bytes)).first()
-        few = pieces.join(mixed.where(F.col("bytes") <= anchor_bytes).select("unit", "anchor"), ["unit", "anchor"], "left_semi")
+        few = pieces.join(_few(mixed.where(F.col("bytes") <= anchor_bytes).select("unit", "anchor")), ["unit", "anchor"], "left_semi")
         tables.append(written(_scan(few, units, total or 0), "repeat-found"))
         found.append(tables[-1])
         if not hot:
@@ -464,11 +480,10 @@ def found_repeats(docs: DataFrame, units: list[Unit], anchor_bytes: int = ANCHOR
             break
         # a part that several pieces have is a repeat; of each kind of parts one goes on
         parts = written(_deeper(pieces, mixed.where(F.col("bytes") > anchor_bytes), units), "repeat-parts")
-        text = F.struct("own", "key")
-        kinds = written(parts.groupBy("unit", "anchor", "digest").agg(F.sum("n").alias("n"), (F.bool_or("several") | (F.min(text) != F.max(text))).alias("several"), F.min(F.struct("own", "key", "start", "windows")).alias("one")), "repeat-kinds")
+        kinds = written(_kinds(parts, F.col("n"), F.bool_or("several")), "repeat-kinds")
         found.append(whole(parts.where("n = 1").drop("n", "several"), kinds))
         tables += [parts, kinds]
-        chosen = kinds.select("unit", "anchor", "digest", F.col("n").alias("all"), F.col("several").alias("others"), F.col("one.own").alias("own"), F.col("one.key").alias("key"), F.col("one.start").alias("start"))
+        chosen = kinds.select("unit", "anchor", "digest", F.col("n").alias("all"), F.col("several").alias("others"), "own", "key", "start")
         chosen = parts.join(chosen, ["unit", "anchor", "digest", "own", "key", "start"]).withColumn("n", F.col("all")).withColumn("several", F.col("others")).drop("all", "others")
         release(mixed, pieces)
         pieces = written(chosen.dropDuplicates(["unit", "anchor", "digest"]), "repeat-texts")
