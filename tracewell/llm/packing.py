@@ -37,7 +37,10 @@ def fast_encoder(path: str) -> tiktoken.Encoding:
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int) -> DataFrame:
-    """A row per piece: a document's ids then end_id, cut into max_tokens, the remainder first."""
+    """A row per piece: a document's ids then end_id, cut into max_tokens, the remainder first.
+
+    Null and empty texts are end_id alone; rows that repeat are cut each; a null id stays null; an empty table gives no rows;
+    nth tells pieces of a length of one task apart, so ties have an order within a run."""
 
     def run(batches):
         seen = np.zeros(max_tokens + 1, np.int64)
@@ -61,7 +64,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
 
 
-def plan(sizes: dict[int, int], max_tokens: int, max_docs: int, max_cost: int, score: str = "residual_norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> np.ndarray:
+def plan(sizes: dict[int, int], max_tokens: int, max_docs: int, max_cost: int, score: str = "residual_norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> np.ndarray:
     """Rows (size, first rank, pieces, first sequence, offset, pieces per sequence), by size and rank.
 
     score: residual_norm (smallest after placement wins) or dot_product (largest wins)."""
@@ -120,12 +123,11 @@ def plan(sizes: dict[int, int], max_tokens: int, max_docs: int, max_cost: int, s
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0, max_docs: int | None = None, max_cost: int | None = None, score: str = "residual_norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0, max_docs: int | None = None, max_cost: int | None = None, score: str = "residual_norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row.
 
-    max_docs pieces and max_cost of squared tokens a sequence; by default neither can bind
-    (max_tokens pieces, max_tokens squared), so that there are as few sequences as best fit
-    finds. Null and empty texts are the one token end_id; rows that repeat are packed each;
+    max_docs pieces and max_cost of squared tokens a sequence; by default neither binds before the tokens do
+    (max_tokens pieces, max_tokens squared), but what is left of each weighs in the score. Null and empty texts are the one token end_id; rows that repeat are packed each;
     a null id stays null; an empty table gives no rows; other columns aren't read."""
     pieces = written(cut_pieces(docs, tokenizer_path, max_tokens, end_id), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
