@@ -125,3 +125,64 @@ def test_hash_bound_ranks(spark):
 def test_spearman_of_a_constant(spark):
     t = spark.createDataFrame([("g", 1, 1), ("g", 1, 2)], "g string, a int, b int")
     assert K.spearman(t, "a", "b", ["g"]).first()["rho"] == 0
+
+
+def test_long_rankings_are_cut_and_numbered(spark):
+    rows = [(m, f"o{i % 97:03d}{i}", float((i * 7919) % 40)) for m in ("a", "b", "ties") for i in range(3000 if m != "b" else 5)]
+    rows = [(m, k, 1.0 if m == "ties" else s) for m, k, s in rows]
+    scores = spark.createDataFrame(rows, "method_id string, occurrence_id string, raw_score double")
+    want = {(r["method_id"], r["occurrence_id"]): r["rank"] for r in K.ranked(scores, ["method_id"]).collect()}
+    cut = K.ranked(scores, ["method_id"], sorted_rows=500)
+    assert {(r["method_id"], r["occurrence_id"]): r["rank"] for r in cut.collect()} == want and cut.columns == K.ranked(scores, ["method_id"]).columns
+
+
+def test_nearest_windows_by_halving(spark):
+    windows = [(3, 5), (4, 9), (20, 20), (30, 41), (33, 35)]
+    events = spark.range(60).select(F.col("id").alias("step"))
+    frame = spark.createDataFrame(windows, "start long, stop long")
+    got = {r["step"]: r["distance"] for r in K.temporal(events, frame).collect()}
+    assert got == {s: min(max(0, a - s, s - b) for a, b in windows) for s in range(60)}
+    assert K.temporal(events, frame.where("false")).where("distance IS NOT NULL").count() == 0
+    for some in (windows, [(3, 5), (5, 9), (20, 20), (30, 41)]):
+        frame = spark.createDataFrame([(a, b, f"w{a}") for a, b in some], "start long, stop long, kind string")
+        rows = sorted((r["step"], r["start"], r["stop"], r["kind"]) for r in T.window_members(events, frame).collect())
+        assert rows == sorted((s, a, b, f"w{a}") for s in range(60) for a, b in some if a <= s < b)
+
+
+@pytest.mark.parametrize("dim", [256, 8, 100])
+def test_hashed_vectors_by_brute_force(spark, dim):
+    import hashlib
+    import math
+    import re
+
+    texts = ["The cat sat on the mat", "a a a", "", "Straße élan", "word"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {}
+    for r in K.hashed_embedding(frame, "id", "text", dim).collect():
+        got.setdefault(r["id"], {})[r["bucket"]] = r["value"]
+    for i, t in enumerate(texts):
+        w = re.findall(r"\w+", t.casefold())
+        sums: dict[int, int] = {}
+        for f in [*w, *(f"{a}\x1f{b}" for a, b in zip(w, w[1:], strict=False))]:
+            d = hashlib.sha256(f.encode()).hexdigest()
+            b = int(d[8:16] if dim & (dim - 1) == 0 else d[:16], 16) % dim
+            sums[b] = sums.get(b, 0) + (1 if int(d[17], 16) % 2 else -1)
+        norm = math.sqrt(sum(v * v for v in sums.values()))
+        assert got.get(i, {}) == pytest.approx({b: v / norm for b, v in sums.items() if v})
+    scores = {(r["id"], r["q"]): r["raw_score"] for r in K.hashed_cosine(frame, frame.select(F.col("id").alias("q"), "text"), "id", "q", dim=dim).collect()}
+    slow = {(r["id"], r["q"]): r["raw_score"] for r in K.sparse_dot(K.hashed_embedding(frame, "id", "text", dim), K.hashed_embedding(frame, "id", "text", dim).withColumnRenamed("id", "q"), "id", "q").collect()}
+    assert scores == pytest.approx(slow) and (2, 2) not in scores
+
+
+def test_digests_are_streamed(spark):
+    import hashlib
+
+    frame = spark.createDataFrame([(g, i, f"v{i}") for g in ("x", "y", None) for i in range(50)] + [("x", 99, None)], "g string, i int, v string")
+    want = hashlib.sha256("".join(f"v{i}\n" for i in range(50)).encode()).hexdigest()
+    assert {(r["g"], r["digest"], r["n"]) for r in R.ordered_digest(frame, ["g"], ["i"], "v").collect()} == {(g, want, 50) for g in ("x", "y", None)}
+
+
+def test_average_ranks_with_nulls(spark):
+    frame = spark.createDataFrame([(g, v) for g in ("a", None) for v in (3, 1, 1, None, 2)], "g string, v int")
+    got = sorted((str(r["g"]), -1 if r["v"] is None else r["v"], float(r["r"])) for r in K.average_ranks(frame, "v", "r", ["g"]).collect())
+    assert got == sorted((g, v, r) for g in ("a", "None") for v, r in ((-1, 1.0), (1, 2.5), (1, 2.5), (2, 4.0), (3, 5.0)))

@@ -17,18 +17,25 @@ from tracewell.sources import datasets as D
 from tracewell.sources import files
 
 
+#: Fields of a contract file besides its probes; those of the second line may be left out.
+LEVELS = ("threshold", "required_effect", "drift_limit")
+OPTIONS = ("scorer", "aggregation", "direction", "monotonicity", "confidence", "draws", "seed")
+
+
 def contract_from(path: str) -> R.Contract:
-    """search, holdout and controls are probes or names of probe files; threshold, required_effect and drift_limit are numbers."""
+    """search, holdout and controls are probes or names of probe files; the rest as a contract has it, which checks them."""
     value = files.read_config(path)
 
     def probes(name: str) -> tuple[dict, ...]:
         own = value.get(name, [])
-        return tuple(files.read_probes(files.confined(Path(path).parent, own)) if isinstance(own, str) else own)
+        own = files.read_probes(files.confined(Path(path).parent, own)) if isinstance(own, str) else own
+        return tuple({"prompt": p} if isinstance(p, str) else p for p in own)
 
-    unknown = set(value) - {"search", "holdout", "controls", "threshold", "required_effect", "drift_limit"}
-    if unknown or not value.get("search"):
-        raise ValueError(f"a contract has search probes and no fields {sorted(unknown)}")
-    return R.Contract(probes("search"), probes("holdout"), probes("controls"), float(value["threshold"]), float(value["required_effect"]), float(value["drift_limit"]))
+    unknown = set(value) - {"search", "holdout", "controls", *LEVELS, *OPTIONS}
+    missing = {"search", *LEVELS} - set(value)
+    if unknown or missing:
+        raise ValueError(f"a contract has no fields {sorted(unknown)} and needs {sorted(missing)}")
+    return R.Contract(probes("search"), probes("holdout"), probes("controls"), *(float(value[x]) for x in LEVELS), **{x: value[x] for x in OPTIONS if x in value})
 
 
 def experiment_from(spark, path: str) -> tuple[Any, ModelConfig, R.TrainingConfig]:
@@ -65,6 +72,12 @@ def main(arguments: list[str] | None = None) -> int:
         if verb == "blame":
             own.add_argument("--budget", type=int, default=64)
             own.add_argument("--candidates", type=int, default=8)
+            own.add_argument("--normalization", choices=("fixed", "renormalized"), default="fixed")
+        if verb == "init":
+            own.add_argument("--template", choices=sorted(files.TEMPLATES), default="false_fact")
+        if verb == "verify":
+            own.add_argument("--run")
+            own.add_argument("--contract")
         if verb in ("blame", "index"):
             own.add_argument("--methods", default=",".join(api.METHODS))
         if verb == "report":
@@ -72,9 +85,9 @@ def main(arguments: list[str] | None = None) -> int:
     a = parser.parse_args(arguments)
     tell = lambda value: print(json.dumps(value, sort_keys=True, default=str))
     if a.verb == "init":
-        tell({"path": str(api.init(a.path))})
+        tell({"path": str(api.init(a.path, a.template))})
         return 0
-    if a.verb == "verify":
+    if a.verb == "verify" and not a.run:
         tell(api.verify(a.bundle))
         return 0
     if a.verb == "report":
@@ -88,10 +101,13 @@ def main(arguments: list[str] | None = None) -> int:
         return 0
     recording = store.load(spark, a.run)
     if a.verb == "inspect":
-        tell(api.inspect(spark, recording))
+        tell(api.inspect(spark, recording) | {"audit": store.latest_audit(a.run)})
+    elif a.verb == "verify":
+        tell(api.verify(a.bundle, recording, contract_from(a.contract)))
     elif a.verb == "audit":
         steps = sorted(recording.checkpoints)
         found = [R.audit(recording, x, y) for x, y in zip(steps, steps[1:], strict=False)]
+        store.save_audit(a.run, found)
         tell(found)
         return 0 if all(f["grade"] != "FAILED" for f in found) else 2
     else:
@@ -105,10 +121,10 @@ def main(arguments: list[str] | None = None) -> int:
             tell({"points": [r.asDict() for r in points.orderBy("step").collect()], "windows": [r.asDict() for r in windows.orderBy("start").collect()]})
         elif a.verb == "index":
             files.outside(a.output, a.run)
-            api.index(spark, recording, contract, tuple(a.methods.split(","))).write.partitionBy("method_id").parquet(a.output)
+            api.write_index(api.index(spark, recording, contract, tuple(a.methods.split(","))), a.output)
         elif a.verb == "blame":
             files.outside(a.output, a.run)
-            certificate = api.blame(spark, recording, contract, a.output, a.candidates, a.budget, methods=tuple(a.methods.split(",")))
+            certificate = api.blame(spark, recording, contract, a.output, a.candidates, a.budget, methods=tuple(a.methods.split(",")), normalization=a.normalization, lease=f"{a.run}/leases")
             tell(certificate)
             return 0 if certificate else 1
         elif a.verb == "replay":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import unicodedata
@@ -94,6 +95,13 @@ def packed_id(run_id: Column, step: Column, microbatch: Column, position: Column
     return F.concat(F.lit("pack_"), F.sha2(text, 256))
 
 
+def packed_sequence_id(run_id: str, step: int, microbatch: int, position: int, count: int, examples: list[str], reserved: bool = False) -> str:
+    """The same on the driver; a reserved row that does nothing has one example and an id of its own kind."""
+    own = {"reserved_noop": True, "example": examples[0]} if reserved else {"examples": examples}
+    seed = {"run_id": run_id, "step": step, "microbatch": microbatch, "batch_position": position, "packed_sequence_count": count, **own}
+    return ("noop_" if reserved else "pack_") + hashlib.sha256(json.dumps(seed, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
 def cache_key(**fields: Column) -> Column:
     """SHA-256 of string fields as a JSON object of sorted keys."""
     parts: list[Column] = []

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import re
 
+import regex
 from pyspark.sql import Column
 
 MOST_CHARACTERS, MOST_VARIABLE, MOST_REPEATS = 8192, 64, 1000
@@ -105,5 +106,10 @@ def _class(pattern: str, at: int) -> tuple[str, int]:
     return made, at + 1
 
 
+def compiled(pattern: str) -> regex.Pattern:
+    """The same for one text in Python; only its fullmatch is meant."""
+    return regex.compile(translate(pattern))
+
+
 def full_match(text: Column, pattern: str) -> Column:
     return text.rlike(f"\\A(?:{translate(pattern)})\\z")

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PAD, BOS, EOS, SEP, OFFSET, VOCAB = 0, 1, 2, 3, 4, 260
 
 
+def fingerprint() -> str:
+    """SHA-256 of what the byte tokenizer is: its kind, its version and its special ids; fixed names."""
+    value = {"type": "utf8-byte", "schema_version": 1, "special_tokens": {"pad": PAD, "bos": BOS, "eos": EOS, "separator": SEP}}
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
 def words(text: Column) -> Column:
     """Case-folded runs of letters, digits and underscores. lower() leaves the sharp s, so it is spelled out."""
     return F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit(r"[\p{L}\p{N}_]+"), 0)

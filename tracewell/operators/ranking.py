@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracewell.functions.tokens import words
+from tracewell.operators.timeline import last_at_most, small
 
 RRF_CONSTANT = 60
 
 
-def ranked(scores: DataFrame, by: list[str], score: str = "raw_score", key: str = "occurrence_id", most: int | None = None) -> DataFrame:
+#: Rows of a ranking that one task sorts, about; parts of a method at most.
+SORTED, MOST_PARTS = 1_000_000, 4096
+
+
+def ranked(scores: DataFrame, by: list[str], score: str = "raw_score", key: str = "occurrence_id", most: int | None = None, sorted_rows: int = SORTED) -> DataFrame:
     """rank 1..n by falling score, then key; without ties.
 
-    With most, only ranks up to it: a filter on row_number that Spark pushes below the shuffle as a group limit."""
+    With most, only ranks up to it: a filter on row_number that Spark pushes below the shuffle as a group limit. Without, a
+    ranking that is too long for a task is cut at places that a sample tells (ties by key), each part is numbered apart, and what
+    comes before it is added: whatever the sample, ranks are the same."""
     order = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(key))
-    out = scores.withColumn("rank", F.row_number().over(order))
-    return out if most is None else out.where(F.col("rank") <= most)
+    if most is not None:
+        return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    parts = min(MOST_PARTS, scores.count() // sorted_rows + 1)
+    if parts == 1:
+        return scores.withColumn("rank", F.row_number().over(order))
+    place = F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"))
+    some = scores.where(F.pmod(F.xxhash64(key), F.lit(max(1, sorted_rows // 100))) == 0)
+    listed = some.groupBy(*by).agg(F.sort_array(F.collect_list(place)).alias("__all"))  # a hundred for each part
+    step = F.greatest(F.lit(1), F.ceil(F.size("__all") / parts)).cast("int")
+    cuts = listed.select(*by, F.filter("__all", lambda x, i: (i % step == 0) & (i > 0)).alias("__cuts"))
+    dealt = scores.join(F.broadcast(cuts), by, "left").withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda c: c <= place)), F.lit(0))).drop("__cuts")
+    counts = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(F.col(score).desc(), F.col(key)))
+    met = dealt.withColumn("__in", inside).join(F.broadcast(counts.select(*by, "__part", before.alias("__before"))), [*by, "__part"])  # a row a part
+    return met.withColumn("rank", (F.col("__before") + F.col("__in")).cast("int")).drop("__part", "__in", "__before")
 
 
 def bm25(documents: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text", query: str = "query_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -34,7 +59,7 @@ def bm25(documents: DataFrame, queries: DataFrame, doc: str = "doc_id", text: st
     few = asked.count() <= 200_000
     small = F.broadcast if few else (lambda x: x)
     tf = listed.select(doc, F.size("w").alias("len"), F.explode("w").alias("term")).join(small(terms), "term").groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = listed.select(F.explode(F.array_distinct("w")).alias("term")).join(small(terms), "term").groupBy("term").agg(F.count("*").alias("df"))  # a row a term leaves each task
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # from the same exchange
     weighed = tf.join(df, "term").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
@@ -48,36 +73,88 @@ def random_score(seed: Column, key: Column) -> Column:
 
 
 def temporal(events: DataFrame, windows: DataFrame, step: str = "step") -> DataFrame:
-    """events with distance and raw_score 1 / (1 + distance) to the nearest window (start, stop; closed).
+    """events with distance and raw_score 1 / (1 + distance) to the nearest window (start, stop; closed); null without windows.
 
-    Windows are few: their count is checked, then they travel as one array."""
-    spans = windows.agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    if windows.count() > 10_000:
-        raise ValueError("more windows than a run has checkpoints")
-    apart = F.aggregate(
-        "spans", F.lit(None).cast("long"),
-        lambda best, w: F.least(best, F.when(F.col(step) < w["start"], w["start"] - F.col(step)).when(F.col(step) > w["stop"], F.col(step) - w["stop"]).otherwise(F.lit(0)).cast("long")),
-    )
-    return events.crossJoin(F.broadcast(spans)).withColumn("distance", apart).withColumn("raw_score", 1 / (1 + F.col("distance"))).drop("spans")
+    Windows are few: their count is checked. Those that overlap are merged, which changes no distance; then the nearest is that
+    which starts last at or before the step, or the next one, found by halving."""
+    before = Window.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    apart = small(windows).select("start", "stop").withColumn("__new", (F.col("start") > F.coalesce(F.max("stop").over(before), F.col("start") - 1)).cast("int"))
+    merged = apart.withColumn("__g", F.sum("__new").over(Window.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0))).groupBy("__g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    spans = merged.agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
+    joined = events.crossJoin(F.broadcast(spans))
+    at = last_at_most("__spans", "start", F.col(step))
+    last, after = F.get("__spans", F.col("__at") - 1), F.get("__spans", F.col("__at"))
+    nearest = F.least(F.when(last.isNotNull(), F.greatest(F.lit(0), F.col(step) - last["stop"])), after["start"] - F.col(step)).cast("long")
+    return joined.withColumn("__at", at).withColumn("distance", nearest).withColumn("raw_score", 1 / (1 + F.col("distance"))).drop("__spans", "__at")
 
 
-def hashed_embedding(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
-    """key, bucket, value: unit vectors of signed hashed words and adjacent pairs, sparse.
+def hashed_vectors(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
+    """key, vector: array of (bucket, value), the unit vector of each row's signed hashed words and adjacent pairs, by bucket.
 
-    Each distinct feature is hashed once, after the counts are summed."""
+    A row is folded where it stands: features' hashes are sorted and summed by bucket, without a shuffle."""
     unit = "\x1f"
-    w = rows.select(key, words(F.col(text)).alias("w"))
-    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(unit), F.get("w", i + 1)))
-    counts = w.select(key, F.explode(F.concat("w", pairs)).alias("f")).groupBy(key, "f").agg(F.count("*").alias("n"))
-    digest = F.sha2("f", 256)
+    w = rows.select(key, words(F.col(text)).alias("__w"))
+    pairs = F.transform(F.slice("__w", 1, F.greatest(F.size("__w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(unit), F.get("__w", i + 1)))
     if dim & (dim - 1) == 0 and dim <= 1 << 32:
-        bucket = F.conv(F.substring(digest, 9, 8), 16, 10).cast("long") % dim
+        digits = -(-(dim.bit_length() - 1) // 4) or 1  # hex digits that tell the bucket
+        bucket = lambda d: F.conv(F.substring(d, 17 - digits, digits), 16, 10).cast("long") % dim
     else:
-        bucket = (F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % dim).cast("long")
-    sign = F.when(F.conv(F.substring(digest, 18, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
-    hashed = counts.select(key, bucket.alias("bucket"), (F.col("n") * sign).alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("v")).where("v <> 0")
-    norms = hashed.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return hashed.join(norms, key).select(key, "bucket", (F.col("v") / F.col("norm")).alias("value"))
+        bucket = lambda d: (F.conv(F.substring(d, 1, 16), 16, 10).cast("decimal(20,0)") % dim).cast("long")
+    odd = lambda d: F.conv(F.substring(d, 18, 1), 16, 10).cast("long") % 2
+    hashed = w.select(key, F.transform(F.concat("__w", pairs), lambda f: F.sha2(f, 256)).alias("__d")).select(key, F.sort_array(F.transform("__d", lambda d: bucket(d) * 2 + odd(d))).alias("__h"))
+    none = F.array().cast("array<struct<bucket:bigint,value:bigint>>")
+    state = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("v"), none.alias("out"))
+    told = lambda s: F.when((s["b"] >= 0) & (s["v"] != 0), F.concat(s["out"], F.array(F.struct(s["b"].alias("bucket"), s["v"].alias("value"))))).otherwise(s["out"])
+
+    def fold(s: Column, h: Column) -> Column:
+        b, v = F.floor(h / 2).cast("long"), (h % 2) * 2 - 1
+        same = s["b"] == b
+        return F.struct(b.alias("b"), F.when(same, s["v"] + v).otherwise(v).alias("v"), F.when(same, s["out"]).otherwise(told(s)).alias("out"))
+
+    sums = hashed.select(key, F.aggregate("__h", state, fold, told).alias("__s"))
+    norm = F.sqrt(F.aggregate("__s", F.lit(0).cast("long"), lambda t, x: t + x["value"] * x["value"]))
+    return sums.withColumn("__norm", norm).select(key, F.transform("__s", lambda x: F.struct(x["bucket"].alias("bucket"), (x["value"] / F.col("__norm")).alias("value"))).alias("vector"))
+
+
+def hashed_embedding(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
+    """key, bucket, value: the same, a row for each bucket that isn't zero."""
+    return hashed_vectors(rows, key, text, dim).select(key, F.explode("vector").alias("e")).select(key, "e.bucket", "e.value")
+
+
+#: Numbers of a matrix of asked vectors that goes to every task, at most.
+MOST_ASKED = 8_000_000
+
+
+def hashed_cosine(rows: DataFrame, asked: DataFrame, key: str, asked_key: str, text: str = "text", dim: int = 256) -> DataFrame:
+    """key, asked_key, raw_score: dot products of the rows' vectors with all asked ones that share a bucket with them.
+
+    Asked vectors are few: after a check of their number they go to the tasks as a matrix, and a batch of rows is multiplied by it;
+    more than that meet by a join on buckets."""
+    left, right = hashed_vectors(rows, key, text, dim), hashed_vectors(asked, asked_key, text, dim)
+    few = right.limit(MOST_ASKED // dim + 1).collect()
+    if len(few) * dim > MOST_ASKED:
+        return sparse_dot(hashed_embedding(rows, key, text, dim), hashed_embedding(asked, asked_key, text, dim), key, asked_key)
+    kind, asked_kind = dict(rows.dtypes)[key], dict(asked.dtypes)[asked_key]
+    matrix = np.zeros((dim, len(few)))
+    for i, r in enumerate(few):
+        for e in r["vector"]:
+            matrix[e["bucket"], i] = e["value"]
+    names = pa.array([r[asked_key] for r in few], to_arrow_type(asked.schema[asked_key].dataType))
+    there = (matrix != 0).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                vectors = batch.column("vector")
+                flat = vectors.flatten()
+                dense = np.zeros((batch.num_rows, dim))
+                at = np.repeat(np.arange(batch.num_rows), np.diff(vectors.offsets.to_numpy()))
+                dense[at, flat.field("bucket").to_numpy()] = flat.field("value").to_numpy()
+                x, y = np.nonzero((dense != 0).astype(np.float32) @ there > 0)
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(x)), names.take(pa.array(y)), pa.array((dense @ matrix)[x, y])], [key, asked_key, "raw_score"])
+
+    return left.select(key, "vector").mapInArrow(run, f"`{key}` {kind}, `{asked_key}` {asked_kind}, raw_score double")
 
 
 def sparse_dot(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -93,9 +170,10 @@ def dot(a: Column, b: Column) -> Column:
 def tracin(gradients: DataFrame, behaviors: DataFrame, rates: DataFrame, key: str = "key") -> DataFrame:
     """key, raw_score: sum over checkpoints of rate times <gradient, behavior gradient>; checkpoints that all three have.
 
-    behaviors and rates have a row a checkpoint and are broadcast."""
+    behaviors and rates have a row a checkpoint; they are broadcast where their numbers are few enough, else joined."""
     per = behaviors.withColumnRenamed("gradient", "behavior").join(rates, "checkpoint")
-    return gradients.join(F.broadcast(per), "checkpoint").groupBy(key).agg(F.sum(F.col("rate") * dot(F.col("gradient"), F.col("behavior"))).alias("raw_score"))
+    numbers = behaviors.agg(F.sum(F.size("gradient"))).first()[0] or 0
+    return gradients.join(F.broadcast(per) if numbers <= MOST_ASKED else per, "checkpoint").groupBy(key).agg(F.sum(F.col("rate") * dot(F.col("gradient"), F.col("behavior"))).alias("raw_score"))
 
 
 def adam_precondition(gradient: Column, second: Column, step: Column, beta2: float = 0.999, eps: float = 1e-8) -> Column:
@@ -119,7 +197,9 @@ def projection_matrix(spark, seed: str, source: int, target: int) -> DataFrame:
 
 
 def project(rows: DataFrame, matrix: DataFrame, vector: str, out: str) -> DataFrame:
-    """rows with out, the matrix times vector; the matrix is one row of a stated size."""
+    """rows with out, the matrix times vector; the matrix is one row, refused beyond MOST_ASKED numbers."""
+    if (matrix.select(F.size("matrix") * F.size(F.get("matrix", F.lit(0)))).first()[0] or 0) > MOST_ASKED:
+        raise ValueError("a projection of this size can't be sent to every task")
     return rows.crossJoin(F.broadcast(matrix)).withColumn(out, F.transform("matrix", lambda r: dot(r, F.col(vector)))).drop("matrix")
 
 
@@ -156,10 +236,14 @@ def precision_recall(ranking: DataFrame, relevant: DataFrame, k: int, key: str =
 
 
 def average_ranks(rows: DataFrame, value: str, out: str, by: list[str]) -> DataFrame:
-    """rows with out: the mean of the ranks that ties share, from the least value."""
-    ordered = Window.partitionBy(*by).orderBy(value)
-    same = Window.partitionBy(*by, value)
-    return rows.withColumn(out, F.rank().over(ordered) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    """rows with out: the mean of the ranks that ties share, from the least value; nulls are the least.
+
+    Only the distinct values of a group and how often each occurs are put in order; rows meet theirs by a join."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = counts.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate([*by, value])), (before + (F.col("__n") + 1) / 2).alias(out))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate([*by, value])])
+    return rows.join(told, same, "left").drop(*(f"__{i}" for i in range(len(by) + 1)))
 
 
 def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:

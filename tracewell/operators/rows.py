@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def numbered(rows: DataFrame, bucket: Column, order: list[Column], out: str = "source_row") -> DataFrame:
@@ -49,9 +54,30 @@ def grouped(occurrences: DataFrame, policy: str, window: int = 1) -> DataFrame:
 
 
 def ordered_digest(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """by, digest: SHA-256 of each group's values in order, each ended by a newline."""
-    listed = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("__v")))), lambda x: x["__v"])
-    return rows.groupBy(*by).agg(F.sha2(F.concat(F.array_join(listed, "\n"), F.lit("\n")), 256).alias("digest"), F.count("*").alias("n"))
+    """by, digest, n: SHA-256 of each group's values in order, each ended by a newline; n of them. Null values are left out.
+
+    A digest takes its input in order, so a group goes through one task; sorted, as a stream of batches, and never as a whole."""
+    kinds = dict(rows.dtypes)
+    listed = rows.where(F.col(value).isNotNull()).select(*by, *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), F.col(value).cast("string").alias("__v"))
+    placed = listed.repartition(*by).sortWithinPartitions(*by, *(f"__o{i}" for i in range(len(order))), "__v")
+
+    schema = pa.schema([*(pa.field(c, to_arrow_type(listed.schema[c].dataType)) for c in by), ("digest", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, n, done = None, hashlib.sha256(), 0, []
+        for batch in batches:
+            for *own, v in zip(*(batch.column(c).to_pylist() for c in (*by, "__v")), strict=True):
+                if own != now:
+                    if now is not None:
+                        done.append((*now, digest.hexdigest(), n))
+                    now, digest, n = own, hashlib.sha256(), 0
+                digest.update(v.encode() + b"\n")
+                n += 1
+        if now is not None:
+            done.append((*now, digest.hexdigest(), n))
+        yield pa.RecordBatch.from_pylist([dict(zip((*by, "digest", "n"), r, strict=True)) for r in done], schema)
+
+    return placed.select(*by, "__v").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "digest string", "n long"]))
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:

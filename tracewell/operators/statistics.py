@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.safe_regex import full_match
+
 AGGREGATES = {"mean": F.avg, "min": F.min, "max": F.max, "median": F.median}
 
 
@@ -124,12 +126,12 @@ def tensor_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("name", F.coalesce(F.col("values") == F.col("other"), F.lit(False)).alias("equal"), F.when(same, F.array_max(apart)).alias("max_abs"), F.when(same, F.array_max(ratio)).alias("max_rel"))
 
 
-def scorer(kind: str, **log_probs: Column) -> Column:
-    """A probe's score from its log-probabilities (or loss, or output) by scorer type."""
+def scorer(kind: str, **log_probs: Column | str) -> Column:
+    """A probe's score from its log-probabilities or output by scorer type; a pattern is one of the safe subset, as text."""
     value = log_probs.get("value")
-    if kind in ("token_log_probability", "sequence_log_probability", "scalar_loss"):
+    if kind in ("token_log_probability", "sequence_log_probability"):
         return value
-    if kind == "sequence_nll":
+    if kind in ("sequence_nll", "scalar_loss"):
         return -value
     if kind == "sequence_logprob_margin":
         return log_probs["preferred"] - log_probs["alternative"]
@@ -138,5 +140,5 @@ def scorer(kind: str, **log_probs: Column) -> Column:
     if kind == "greedy_exact_match_rate":
         return (log_probs["output"] == log_probs["expected"]).cast("double")
     if kind == "greedy_regex_match_rate":
-        return log_probs["output"].rlike(log_probs["pattern"]).cast("double")
+        return full_match(log_probs["output"], log_probs["pattern"]).cast("double")
     raise ValueError(f"scorer {kind}")

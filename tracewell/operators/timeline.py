@@ -52,9 +52,31 @@ def monotone(points: DataFrame, by: list[str], rising: bool = True, step: str =
     return points.withColumn("__good", good).groupBy(*by).agg(F.bool_and("__good").alias("monotone"))
 
 
+def last_at_most(array: str, field: str, value: Column) -> Column:
+    """How many members of a sorted array have a field of at most value: the last of them is at one less. By halving."""
+    state = F.struct(F.lit(0).alias("lo"), F.size(array).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        at = F.get(array, mid)[field]
+        go_on = s["lo"] < s["hi"]
+        return F.struct(F.when(go_on & (at <= value), mid + 1).otherwise(s["lo"]).alias("lo"), F.when(go_on & (at > value), mid).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(FEW.bit_length())), state, halve, lambda s: s["lo"])
+
+
 def window_members(occurrences: DataFrame, windows: DataFrame, step: str = "step") -> DataFrame:
-    """occurrences joined with the windows [start, stop) that they fall in; windows are few and broadcast."""
-    return occurrences.join(small(windows), (F.col(step) >= F.col("start")) & (F.col(step) < F.col("stop")))
+    """occurrences joined with the windows [start, stop) that they fall in.
+
+    Windows are few. Those of one timeline don't overlap, and an occurrence's is found by halving; where some do, by a range join."""
+    few = small(windows)
+    overlap = windows.select("start", "stop", F.lead("start").over(Window.orderBy("start", "stop")).alias("next")).where("next < stop")
+    if not overlap.isEmpty():
+        return occurrences.join(few, (F.col(step) >= F.col("start")) & (F.col(step) < F.col("stop")))
+    listed = windows.agg(F.sort_array(F.collect_list(F.struct("start", "stop", *(c for c in windows.columns if c not in ("start", "stop"))))).alias("__w"))
+    found = occurrences.crossJoin(F.broadcast(listed)).withColumn("__at", last_at_most("__w", "start", F.col(step)))
+    own = found.withColumn("__own", F.get("__w", F.col("__at") - 1)).where(F.col(step) < F.col("__own.stop"))
+    return own.select(*occurrences.columns, *(F.col(f"__own.{c}").alias(c) for c in windows.columns))
 
 
 def window_summary(occurrences: DataFrame, windows: DataFrame) -> DataFrame:
@@ -68,15 +90,7 @@ def as_of(rows: DataFrame, checkpoints: DataFrame, step: str = "step") -> DataFr
     Checkpoints travel sorted in one array and are found by halving."""
     listed = small(checkpoints).groupBy("step").agg(F.max("hash").alias("hash")).agg(F.sort_array(F.collect_list(F.struct("step", "hash"))).alias("__cp"))
     joined = rows.crossJoin(F.broadcast(listed))
-    state = F.struct(F.lit(0).alias("lo"), F.size("__cp").alias("hi"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        at = F.get("__cp", mid)["step"]
-        go_on = s["lo"] < s["hi"]
-        return F.struct(F.when(go_on & (at <= F.col(step)), mid + 1).otherwise(s["lo"]).alias("lo"), F.when(go_on & (at > F.col(step)), mid).otherwise(s["hi"]).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(FEW.bit_length())), state, halve, lambda s: F.get("__cp", s["lo"] - 1))
+    found = F.get("__cp", last_at_most("__cp", "step", F.col(step)) - 1)
     out = joined.withColumn("__found", found)
     return out.withColumn("checkpoint_step", F.col("__found.step")).withColumn("checkpoint_hash", F.col("__found.hash")).drop("__cp", "__found")
 

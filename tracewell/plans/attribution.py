@@ -8,13 +8,11 @@ from tracewell.plans import fixtures as X
 from tracewell.plans import query
 
 
-def _queries(spark, sf_dir, n):
-    """Benchmark items of less than n, or all where n is None."""
-    items = X.table(spark, sf_dir, "benchmark")
-    return (items if n is None else items.where(F.col("item_id") < n)).select(F.col("item_id").alias("query_id"), "text")
+def _queries(spark, sf_dir):
+    return X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-_BM25 = f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({X.TERMS.format("text")}) AS term FROM benchmark WHERE item_id < 5),
+_BM25 = f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({X.TERMS.format("text")}) AS term FROM benchmark),
 d AS (SELECT doc_id, {X.TERMS.format("text")} AS w FROM documents),
 c AS (SELECT count(*) AS n, greatest(avg(len(w)), 1.0) AS a FROM d),
 tf AS (SELECT doc_id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
@@ -23,8 +21,8 @@ s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * t
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, doc_id) AS rank FROM s) """
 
 
-def _scored(spark, sf_dir, n=5):
-    return K.bm25(X.table(spark, sf_dir, "documents"), _queries(spark, sf_dir, n)).withColumn("raw_score", F.round("raw_score", 8))
+def _scored(spark, sf_dir):
+    return K.bm25(X.table(spark, sf_dir, "documents"), _queries(spark, sf_dir)).withColumn("raw_score", F.round("raw_score", 8))
 
 
 @query(_BM25 + "SELECT query_id, doc_id, raw_score, rank FROM r WHERE rank <= 20")
@@ -32,21 +30,11 @@ def bm25_topk(spark, sf_dir):
     return K.ranked(_scored(spark, sf_dir), ["query_id"], key="doc_id", most=20)
 
 
-@query(_BM25.replace(" WHERE item_id < 5", "") + "SELECT query_id, doc_id, raw_score, rank FROM r WHERE rank <= 20")
-def bm25_topk_all(spark, sf_dir):
-    return K.ranked(_scored(spark, sf_dir, None), ["query_id"], key="doc_id", most=20)
-
-
 @query(_BM25 + "SELECT query_id, doc_id, raw_score FROM s")
 def bm25_scores(spark, sf_dir):
     return _scored(spark, sf_dir)
 
 
-@query(_BM25.replace(" WHERE item_id < 5", "") + "SELECT query_id, doc_id, raw_score FROM s")
-def bm25_scores_all(spark, sf_dir):
-    return _scored(spark, sf_dir, None)
-
-
 @query(f"SELECT count(*) AS n_docs, round(greatest(avg(len({X.TERMS.format('text')})), 1.0), 8) AS avg_len FROM documents")
 def bm25_corpus(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").agg(F.count("*").alias("n_docs"), F.round(F.greatest(F.avg(F.size(words(F.col("text")))), F.lit(1.0)), 8).alias("avg_len"))
@@ -84,18 +72,10 @@ def hashed_embedding(spark, sf_dir):
     return K.hashed_embedding(X.table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("value", F.round("value", 9))
 
 
-@query(f"WITH t AS (SELECT doc_id AS k, {X.TERMS.format('text')} AS w FROM documents UNION ALL SELECT -1 - item_id, {X.TERMS.format('text')} FROM benchmark WHERE item_id < 3)" + _HASHED.format(_FEATURES) + "SELECT -1 - b.k AS query_id, a.k AS doc_id, round(sum(a.value * b.value), 8) + 0.0 AS raw_score FROM e a JOIN e b USING (bucket) WHERE a.k >= 0 AND b.k < 0 GROUP BY 1, 2")
-def hashed_cosine(spark, sf_dir):
-    left = K.hashed_embedding(X.table(spark, sf_dir, "documents"), "doc_id", "text")
-    right = K.hashed_embedding(_queries(spark, sf_dir, 3), "query_id", "text")
-    return K.sparse_dot(left, right, "doc_id", "query_id").withColumn("raw_score", F.round("raw_score", 8) + 0.0)
-
-
 @query(f"WITH t AS (SELECT doc_id AS k, {X.TERMS.format('text')} AS w FROM documents UNION ALL SELECT -1 - item_id, {X.TERMS.format('text')} FROM benchmark)" + _HASHED.format(_FEATURES) + "SELECT -1 - b.k AS query_id, a.k AS doc_id, round(sum(a.value * b.value), 8) + 0.0 AS raw_score FROM e a JOIN e b USING (bucket) WHERE a.k >= 0 AND b.k < 0 GROUP BY 1, 2")
-def hashed_cosine_all(spark, sf_dir):
-    left = K.hashed_embedding(X.table(spark, sf_dir, "documents"), "doc_id", "text")
-    right = K.hashed_embedding(_queries(spark, sf_dir, None), "query_id", "text")
-    return K.sparse_dot(left, right, "doc_id", "query_id").withColumn("raw_score", F.round("raw_score", 8) + 0.0)
+def hashed_cosine(spark, sf_dir):
+    scores = K.hashed_cosine(X.table(spark, sf_dir, "documents"), _queries(spark, sf_dir), "doc_id", "query_id")
+    return scores.withColumn("raw_score", F.round("raw_score", 8) + 0.0)
 
 
 def _gradients(spark, sf_dir):

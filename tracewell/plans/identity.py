@@ -32,6 +32,15 @@ def occurrence_identity(spark, sf_dir):
     return rows.select("source_row", made.alias("occurrence_id"))
 
 
+@query(f"""WITH {X.EXAMPLES} SELECT source_row // 4 AS step, 'pack_' || sha256('{{"batch_position":0,"examples":["' || string_agg('ex_' || sha256({_JSON}), '","' ORDER BY source_row) || '"],"microbatch":0,"packed_sequence_count":' || (source_row // 4) || ',"run_id":"run","step":' || (source_row // 4) || '}}') AS packed_id FROM examples GROUP BY source_row // 4""")
+def packed_identity(spark, sf_dir):
+    """Ids of sequences of four examples, a sequence a step."""
+    step = F.floor(F.col("source_row") / 4)
+    own = F.transform(F.sort_array(F.collect_list(F.struct("source_row", "example_id"))), lambda x: x["example_id"])
+    rows = _identified(spark, sf_dir).groupBy(step.alias("step")).agg(own.alias("examples"))  # four a group
+    return rows.select("step", C.packed_id(F.lit("run"), F.col("step"), F.lit(0), F.lit(0), F.col("step"), F.col("examples")).alias("packed_id"))
+
+
 @query(f"WITH {X.EXAMPLES} SELECT count(*) AS n, count(*) FILTER (regexp_full_match('ex_' || sha256({_JSON}), 'ex_[0-9a-f]{{64}}')) AS valid FROM examples")
 def identity_pattern(spark, sf_dir):
     return _identified(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("example_id").rlike(C.EXAMPLE_ID)).alias("valid"))

@@ -26,14 +26,8 @@ def byte_tokens(spark, sf_dir):
     return b.select("item_id", F.sha2(F.array_join(F.col("t").cast("array<string>"), ","), 256).alias("tokens"), F.size("t").cast("long").alias("n"))
 
 
-@query(f"WITH {X.EXAMPLES}, t AS (SELECT source_row, [1] || {_BYTES.format('prompt')} || [3] || {_BYTES.format('completion')} || [2] AS t FROM examples WHERE source_row < 40), c AS (SELECT source_row, CASE WHEN len(t) > 64 THEN [t[1]] || t[-63:] ELSE t END AS t FROM t) SELECT source_row, array_to_string(t, ',') AS tokens FROM c")
-def left_truncated_tokens(spark, sf_dir):
-    rows = X.examples(spark, sf_dir).where("source_row < 40").withColumn("t", W.sft_tokens(F.col("prompt"), F.col("completion")))
-    return rows.select("source_row", F.array_join(W.left_truncate(F.col("t"), 64).cast("array<string>"), ",").alias("tokens"))
-
-
 @query(f"WITH {X.EXAMPLES}, t AS (SELECT source_row, [1] || {_BYTES.format('prompt')} || [3] || {_BYTES.format('completion')} || [2] AS t FROM examples), c AS (SELECT source_row, CASE WHEN len(t) > 64 THEN [t[1]] || t[-63:] ELSE t END AS t FROM t) SELECT source_row, array_to_string(t, ',') AS tokens FROM c")
-def left_truncated_tokens_all(spark, sf_dir):
+def left_truncated_tokens(spark, sf_dir):
     rows = X.examples(spark, sf_dir).withColumn("t", W.sft_tokens(F.col("prompt"), F.col("completion")))
     return rows.select("source_row", F.array_join(W.left_truncate(F.col("t"), 64).cast("array<string>"), ",").alias("tokens"))
 
@@ -47,37 +41,19 @@ def loss_denominators(spark, sf_dir):
 _PACK = f"""WITH RECURSIVE {X.EXAMPLES}, e AS (SELECT source_row, least(strlen(prompt) + strlen(completion) + 3, 2048) AS n, greatest(0, strlen(prompt) + strlen(completion) + 3 - 2048) AS cut FROM examples), k AS (SELECT count(*) AS rows FROM e),
 p AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS sequence, CAST(0 AS BIGINT) AS token_start, n AS token_end FROM e WHERE source_row = 0
 UNION ALL SELECT p.i + 1, p.sequence + CASE WHEN p.token_end + e.n > 2048 THEN 1 ELSE 0 END, CASE WHEN p.token_end + e.n > 2048 THEN 0 ELSE p.token_end END, CASE WHEN p.token_end + e.n > 2048 THEN e.n ELSE p.token_end + e.n END
-FROM p, k, e WHERE e.source_row = (p.i + 1) % k.rows AND p.sequence <= 300)
-SELECT 'run' AS run_id, sequence, p.i % k.rows AS source_row, p.i // k.rows AS epoch, CAST(token_start AS BIGINT) AS token_start, CAST(token_end AS BIGINT) AS token_end, CAST(cut AS BIGINT) AS left_truncated FROM p, k, e WHERE e.source_row = p.i % k.rows AND sequence < 300"""
+FROM p, k, e WHERE e.source_row = (p.i + 1) % k.rows AND p.i < 2 * k.rows)
+SELECT 'run' AS run_id, sequence, p.i % k.rows AS source_row, p.i // k.rows AS epoch, CAST(token_start AS BIGINT) AS token_start, CAST(token_end AS BIGINT) AS token_end, CAST(cut AS BIGINT) AS left_truncated FROM p, k, e WHERE e.source_row = p.i % k.rows AND sequence <= (SELECT max(sequence) FROM p, k WHERE p.i < k.rows)"""
 
 
 @query(_PACK)
 def deterministic_packing(spark, sf_dir):
-    rows = X.examples(spark, sf_dir).select(F.lit("run").alias("run_id"), "source_row", W.sft_length(F.col("prompt"), F.col("completion")).alias("length"))
-    return L.pack_lengths(rows, context=2048, sequences=300)
-
-
-_EPOCH = _PACK.replace("p.sequence <= 300", "p.i < 2 * k.rows").replace("sequence < 300", "sequence <= (SELECT max(sequence) FROM p, k WHERE p.i < k.rows)")
-
-
-@query(_EPOCH)
-def deterministic_packing_all(spark, sf_dir):
     """The sequences that one epoch of the table needs."""
     rows = X.examples(spark, sf_dir).select(F.lit("run").alias("run_id"), "source_row", W.sft_length(F.col("prompt"), F.col("completion")).alias("length"))
     return L.pack_lengths(rows, context=2048, sequences=None)
 
 
-@query(f"WITH {X.EXAMPLES}, o AS (SELECT source_row, strlen(completion) + 1 AS c, sample_weight AS w FROM examples) SELECT source_row, round(c * w, 6) AS kept, CAST(0 AS DOUBLE) AS removed, round(c * w * 0.5, 6) AS halved FROM o WHERE source_row < 60")
-def token_interventions(spark, sf_dir):
-    """Weight sums before and after a removal and a halving of the whole span."""
-    rows = X.examples(spark, sf_dir).where("source_row < 60").withColumn("w", W.sft_weights(F.col("prompt"), F.col("completion"), F.col("sample_weight")))
-    total = lambda w: F.round(F.aggregate(w, F.lit(0.0), lambda s, x: s + x), 6)
-    whole = (F.lit(0), F.size("w"))
-    return rows.select("source_row", total(F.col("w")).alias("kept"), total(L.intervene(F.col("w"), *whole, "remove")).alias("removed"), total(L.intervene(F.col("w"), *whole, "scale", 0.5)).alias("halved"))
-
-
 @query(f"WITH {X.EXAMPLES}, o AS (SELECT source_row, strlen(completion) + 1 AS c, sample_weight AS w FROM examples) SELECT source_row, round(c * w, 6) AS kept, CAST(0 AS DOUBLE) AS removed, round(c * w * 0.5, 6) AS halved FROM o")
-def token_interventions_all(spark, sf_dir):
+def token_interventions(spark, sf_dir):
     """Weight sums before and after a removal and a halving of the whole span."""
     rows = X.examples(spark, sf_dir).withColumn("w", W.sft_weights(F.col("prompt"), F.col("completion"), F.col("sample_weight")))
     total = lambda w: F.round(F.aggregate(w, F.lit(0.0), lambda s, x: s + x), 6)
@@ -98,9 +74,9 @@ def occurrence_losses(spark, sf_dir):
     return v.select("vec_id", F.round(loss, 8).alias("loss"), active.alias("active"))
 
 
-def _batches(spark, sf_dir, whole=False):
-    """Packed single-example sequences, of all examples or the short ones; some of them broken in known ways."""
-    e = X.examples(spark, sf_dir) if whole else X.examples(spark, sf_dir).where("length(prompt) < 400 AND length(completion) < 400")
+def _batches(spark, sf_dir):
+    """Packed single-example sequences; some of them broken in known ways."""
+    e = X.examples(spark, sf_dir)
     n = W.sft_length(F.col("prompt"), F.col("completion")).cast("int")
     e = e.withColumn("n", n).withColumn("pad", F.when(F.col("source_row") % 4 == 0, 5).otherwise(0)).withColumn("w", W.sft_weights(F.col("prompt"), F.col("completion")))
     prompt = F.concat(F.array(F.lit(False)), F.array_repeat(F.lit(True), F.octet_length("prompt")), F.array_repeat(F.lit(False), F.col("n") - 1 - F.octet_length("prompt")))
@@ -113,17 +89,12 @@ def _batches(spark, sf_dir, whole=False):
     )
 
 
-@query(f"WITH {X.EXAMPLES} SELECT source_row, concat_ws(',', CASE WHEN source_row % 9 = 0 THEN 'span outside' END, CASE WHEN source_row % 9 = 0 THEN 'mask length' END, CASE WHEN source_row % 7 = 0 THEN 'denominator' END) AS issues FROM examples WHERE length(prompt) < 400 AND length(completion) < 400")
+@query(f"WITH {X.EXAMPLES} SELECT source_row, concat_ws(',', CASE WHEN source_row % 9 = 0 THEN 'span outside' END, CASE WHEN source_row % 9 = 0 THEN 'mask length' END, CASE WHEN source_row % 7 = 0 THEN 'denominator' END) AS issues FROM examples")
 def batch_invariants(spark, sf_dir):
     return L.batch_issues(_batches(spark, sf_dir)).select("source_row", F.array_join("issues", ",").alias("issues"))
 
 
-@query(f"WITH {X.EXAMPLES} SELECT source_row, concat_ws(',', CASE WHEN source_row % 9 = 0 THEN 'span outside' END, CASE WHEN source_row % 9 = 0 THEN 'mask length' END, CASE WHEN source_row % 7 = 0 THEN 'denominator' END) AS issues FROM examples")
-def batch_invariants_all(spark, sf_dir):
-    return L.batch_issues(_batches(spark, sf_dir, whole=True)).select("source_row", F.array_join("issues", ",").alias("issues"))
-
-
-@query(f"WITH {X.EXAMPLES} SELECT 'left' AS side, count(*) AS n FROM examples WHERE length(prompt) < 400 AND length(completion) < 400 AND source_row % 10 = 3 HAVING count(*) > 0 UNION ALL SELECT 'right', count(*) FROM examples WHERE length(prompt) < 400 AND length(completion) < 400 AND source_row % 10 = 3 HAVING count(*) > 0")
+@query(f"WITH {X.EXAMPLES} SELECT 'left' AS side, count(*) AS n FROM examples WHERE source_row % 10 = 3 HAVING count(*) > 0 UNION ALL SELECT 'right', count(*) FROM examples WHERE source_row % 10 = 3 HAVING count(*) > 0")
 def ledger_validation(spark, sf_dir):
     """Spans of the occurrence table against those of the batches; every tenth was changed."""
     b = _batches(spark, sf_dir).select(F.col("source_row").alias("step"), F.lit(0).alias("microbatch"), F.transform("spans", lambda s: F.struct(s["start"].alias("token_start"), s["end"].alias("token_end"))).alias("spans"))
@@ -131,14 +102,6 @@ def ledger_validation(spark, sf_dir):
     return L.ledger_mismatches(occurrences, b)
 
 
-@query(f"WITH {X.EXAMPLES} SELECT 'left' AS side, count(*) AS n FROM examples WHERE source_row % 10 = 3 HAVING count(*) > 0 UNION ALL SELECT 'right', count(*) FROM examples WHERE source_row % 10 = 3 HAVING count(*) > 0")
-def ledger_validation_all(spark, sf_dir):
-    """Spans of the occurrence table against those of the batches; every tenth was changed."""
-    b = _batches(spark, sf_dir, whole=True).select(F.col("source_row").alias("step"), F.lit(0).alias("microbatch"), F.transform("spans", lambda s: F.struct(s["start"].alias("token_start"), s["end"].alias("token_end"))).alias("spans"))
-    occurrences = b.select("step", "microbatch", F.explode("spans").alias("s")).select("step", "microbatch", (F.col("s.token_start") + F.when(F.col("step") % 10 == 3, 1).otherwise(0)).alias("token_start"), F.col("s.token_end").alias("token_end"))
-    return L.ledger_mismatches(occurrences, b)
-
-
 @query(f"WITH {X.OCCURRENCES} SELECT step, count(*) AS occurrences, count(*) FILTER (source = 'error') AS reserved, round(avg(value), 8) AS mean_loss FROM occurrences GROUP BY 1")
 def step_summary(spark, sf_dir):
     return X.occurrences(spark, sf_dir).groupBy("step").agg(F.count("*").alias("occurrences"), F.count_if(F.col("source") == "error").alias("reserved"), F.round(F.avg("value"), 8).alias("mean_loss"))
@@ -152,13 +115,7 @@ def run_inspection(spark, sf_dir):
     )
 
 
-@query("SELECT occurrence_id, count(*) AS n FROM (SELECT l_partkey AS occurrence_id FROM lineitem WHERE l_orderkey % 50 = 0 UNION ALL SELECT p_partkey FROM part WHERE p_size = 1) GROUP BY 1 HAVING count(*) > 1")
-def patch_conflicts(spark, sf_dir):
-    a = X.table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_partkey").alias("occurrence_id"))
-    return L.conflicts(a.unionByName(X.table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("occurrence_id"))))
-
-
 @query("SELECT occurrence_id, count(*) AS n FROM (SELECT l_partkey AS occurrence_id FROM lineitem UNION ALL SELECT p_partkey FROM part) GROUP BY 1 HAVING count(*) > 1")
-def patch_conflicts_all(spark, sf_dir):
+def patch_conflicts(spark, sf_dir):
     a = X.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("occurrence_id"))
     return L.conflicts(a.unionByName(X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("occurrence_id"))))

@@ -84,7 +84,7 @@ def linear_quantiles(spark, sf_dir):
     return X.table(spark, sf_dir, "events").groupBy("event_type").agg(*(F.round(S.quantile(v, p), 8).alias(n) for n, p in (("low", 0.025), ("mid", 0.5), ("high", 0.975))))
 
 
-_BOOT = """WITH d AS (SELECT l_returnflag AS g, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS i, l_discount - l_tax AS v FROM lineitem WHERE l_orderkey <= 100),
+_BOOT = """WITH d AS (SELECT l_returnflag AS g, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS i, l_discount - l_tax AS v FROM lineitem),
 n AS (SELECT g, count(*) AS n FROM d GROUP BY 1),
 p AS (SELECT d.g, k, CAST('0x' || substr(sha256('5:' || k || ':' || i), 1, 8) AS UBIGINT) % n AS j FROM d JOIN n ON d.g = n.g, range(0, 50) t(k)),
 m AS (SELECT p.g, k, avg(v) AS m FROM p JOIN d ON d.g = p.g AND d.i = p.j GROUP BY 1, 2) """
@@ -94,17 +94,6 @@ m AS (SELECT p.g, k, avg(v) AS m FROM p JOIN d ON d.g = p.g AND d.i = p.j GROUP
 def bootstrap_interval(spark, sf_dir):
     from pyspark.sql import Window
 
-    rows = X.table(spark, sf_dir, "lineitem").where("l_orderkey <= 100")
-    at = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) - 1
-    d = rows.select(F.col("l_returnflag").alias("g"), at.cast("long").alias("i"), (F.col("l_discount") - F.col("l_tax")).alias("v"))
-    out = S.hashed_bootstrap(d, ["g"], "i", "v", draws=50, seed=5)
-    return out.select("g", F.round("low", 8).alias("low"), F.round("high", 8).alias("high"))
-
-
-@query(_BOOT.replace(" WHERE l_orderkey <= 100", "") + "SELECT g, round(quantile_cont(m, 0.025), 8) AS low, round(quantile_cont(m, 0.975), 8) AS high FROM m GROUP BY 1")
-def bootstrap_interval_all(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = X.table(spark, sf_dir, "lineitem")
     at = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) - 1
     d = rows.select(F.col("l_returnflag").alias("g"), at.cast("long").alias("i"), (F.col("l_discount") - F.col("l_tax")).alias("v"))
@@ -146,15 +135,8 @@ def replay_verdicts(spark, sf_dir):
     return rows.select("id", F.round("effect", 8).alias("effect"), F.round(S.relative_effect(F.col("effect"), F.col("original")), 8).alias("relative_effect"), "accepted", "status", claim.alias("claim"))
 
 
-@query("WITH x AS (SELECT vec_id, label, unnest(embedding) AS v FROM embeddings), d AS (SELECT CAST(vec_id AS VARCHAR) AS name, CAST(v AS DOUBLE) AS a, CAST(v AS DOUBLE) * CASE WHEN label = 0 THEN 1.5 ELSE 1 END AS b, label FROM x) SELECT name, bool_and(a = b) AS equal, round(max(abs(a - b)), 8) AS max_abs, round(max(abs(a - b) / greatest(abs(b), 2.2250738585072014e-308)), 8) AS max_rel FROM d WHERE label < 2 GROUP BY 1")
-def tensor_differences(spark, sf_dir):
-    v = X.table(spark, sf_dir, "embeddings").where("label < 2").select("label", F.col("vec_id").cast("string").alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
-    other = v.select("name", F.transform("values", lambda x: x * F.when(F.col("label") == 0, 1.5).otherwise(1.0)).alias("values"))
-    return S.tensor_difference(v.select("name", "values"), other).select("name", "equal", F.round("max_abs", 8).alias("max_abs"), F.round("max_rel", 8).alias("max_rel"))
-
-
 @query("WITH x AS (SELECT vec_id, label, unnest(embedding) AS v FROM embeddings), d AS (SELECT CAST(vec_id AS VARCHAR) AS name, CAST(v AS DOUBLE) AS a, CAST(v AS DOUBLE) * CASE WHEN label = 0 THEN 1.5 ELSE 1 END AS b, label FROM x) SELECT name, bool_and(a = b) AS equal, round(max(abs(a - b)), 8) AS max_abs, round(max(abs(a - b) / greatest(abs(b), 2.2250738585072014e-308)), 8) AS max_rel FROM d GROUP BY 1")
-def tensor_differences_all(spark, sf_dir):
+def tensor_differences(spark, sf_dir):
     v = X.table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").cast("string").alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
     other = v.select("name", F.transform("values", lambda x: x * F.when(F.col("label") == 0, 1.5).otherwise(1.0)).alias("values"))
     return S.tensor_difference(v.select("name", "values"), other).select("name", "equal", F.round("max_abs", 8).alias("max_abs"), F.round("max_rel", 8).alias("max_rel"))
@@ -175,11 +157,15 @@ def learning_rates(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("SELECT vec_id, round(embedding[1] - embedding[2], 8) AS margin, round(-embedding[1], 8) AS nll, round(embedding[1] - greatest(embedding[2], embedding[3], embedding[4]), 8) AS choice, CAST(label = 1 AS DOUBLE) AS exact FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding FROM embeddings)")
+@query("""SELECT vec_id, round(embedding[1], 8) AS token, round(embedding[1], 8) AS sequence, round(-embedding[1], 8) AS nll, round(-embedding[2], 8) AS loss, round(embedding[1] - embedding[2], 8) AS margin,
+round(embedding[1] - greatest(embedding[2], embedding[3], embedding[4]), 8) AS choice, CAST(label = 1 AS DOUBLE) AS exact, CAST(regexp_full_match('label ' || label, 'label [0-2]') AS DOUBLE) AS pattern FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding FROM embeddings)""")
 def probe_scorers(spark, sf_dir):
+    """All eight kinds, from log-probabilities and outputs that the vectors stand in for."""
     v = X.table(spark, sf_dir, "embeddings")
     e = lambda i: F.col("embedding")[i].cast("double")
     return v.select(
-        "vec_id", F.round(S.scorer("sequence_logprob_margin", preferred=e(0), alternative=e(1)), 8).alias("margin"), F.round(S.scorer("sequence_nll", value=e(0)), 8).alias("nll"),
+        "vec_id", F.round(S.scorer("token_log_probability", value=e(0)), 8).alias("token"), F.round(S.scorer("sequence_log_probability", value=e(0)), 8).alias("sequence"),
+        F.round(S.scorer("sequence_nll", value=e(0)), 8).alias("nll"), F.round(S.scorer("scalar_loss", value=e(1)), 8).alias("loss"), F.round(S.scorer("sequence_logprob_margin", preferred=e(0), alternative=e(1)), 8).alias("margin"),
         F.round(S.scorer("multiple_choice_margin", correct=e(0), others=F.array(e(1), e(2), e(3))), 8).alias("choice"), S.scorer("greedy_exact_match_rate", output=F.col("label"), expected=F.lit(1)).alias("exact"),
+        S.scorer("greedy_regex_match_rate", output=F.concat(F.lit("label "), F.col("label").cast("string")), pattern="label [0-2]").alias("pattern"),
     )

@@ -6,12 +6,17 @@ import hashlib
 import html
 import json
 import platform
+import re
 import subprocess
 import sys
 from dataclasses import dataclass
 from pathlib import Path
 
+import numpy as np
+
 from tracewell.functions.canonical import canonical_json
+from tracewell.functions.tokens import fingerprint
+from tracewell.replay.model import alias_groups, tensor_hash
 from tracewell.sources.files import write_directory
 
 OPERATIONS = ("remove", "scale", "inject")
@@ -67,17 +72,25 @@ class PatchDocument:
 
 CERTIFICATE = {
     "schema_version", "run_hash", "contract_hash", "patch_hash", "patch", "audit_grade", "original_state", "counterfactual_state", "effect", "required_effect", "controls_passed", "holdout_passed",
-    "status", "minimality_grade", "replay_budget", "replay_count", "speculative_replays", "claim", "environment",
+    "status", "minimality_grade", "replay_budget", "replay_count", "speculative_replays", "claim", "environment", "original_score", "counterfactual_score", "controls", "removals", "complete_subsets", "warnings",
 }
+AUDITS, STATUSES = ("BITWISE", "NUMERIC", "FAILED", "UNAUDITED"), ("TARGET_PASSED", "TARGET_FAILED", "CONTROLS_FAILED", "INCONCLUSIVE")
+MINIMALITIES = ("NO_ACCEPTED_PATCH", "BUDGET_MINIMAL", "ONE_MINIMAL", "GLOBAL_MINIMUM", "UNREDUCED")
 
 
 def environment() -> dict:
-    """Python, NumPy and Spark versions, and the commit of the working folder where git tells it."""
+    """Python, NumPy and Spark versions, the tokenizer, a hash of this package's sources, and where git tells it the commit of the working folder and whether it has changes."""
     import numpy
     import pyspark
 
-    said = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=False)
-    return {"python": platform.python_version(), "numpy": numpy.__version__, "spark": pyspark.__version__, "platform": sys.platform, "commit": said.stdout.strip() if said.returncode == 0 else ""}
+    said = lambda *a: subprocess.run(["git", *a], capture_output=True, text=True, check=False)
+    commit, changes = said("rev-parse", "HEAD"), said("status", "--porcelain")
+    root = Path(__file__).resolve().parent.parent
+    sources = hashlib.sha256("".join(f"{f.relative_to(root)} {hashlib.sha256(f.read_bytes()).hexdigest()}\n" for f in sorted(root.rglob("*.py"))).encode()).hexdigest()
+    return {
+        "python": platform.python_version(), "numpy": numpy.__version__, "spark": pyspark.__version__, "platform": sys.platform, "tokenizer": fingerprint(), "sources": sources,
+        "commit": commit.stdout.strip() if commit.returncode == 0 else "", "changed": bool(changes.stdout.strip()) if changes.returncode == 0 else None,
+    }
 
 
 def claim_for(status: str, holdout_passed: bool, controls_passed: bool, audit_grade: str) -> str:
@@ -86,19 +99,68 @@ def claim_for(status: str, holdout_passed: bool, controls_passed: bool, audit_gr
 
 
 def check_certificate(c: dict) -> None:
-    """Fields, and the rule that strong claims rest on an audited replay with passed controls and holdout."""
+    """Fields, known words, and that each statement follows from the others: a claim from an audited replay with passed controls and
+    holdout, a status from the effect and controls, a minimality from every removal."""
     if set(c) != CERTIFICATE:
         raise EvidenceError(f"fields {sorted(set(c) ^ CERTIFICATE)}")
-    if c["schema_version"] != 1 or c["replay_count"] > c["replay_budget"]:
+    if c["audit_grade"] not in AUDITS or c["status"] not in STATUSES or c["minimality_grade"] not in MINIMALITIES:
+        raise EvidenceError("a grade or status isn't known")
+    if c["schema_version"] != 1 or not 1 <= c["replay_count"] <= c["replay_budget"] or c["speculative_replays"] < 0:
         raise EvidenceError("schema or counts")
     if c["claim"] != claim_for(c["status"], c["holdout_passed"], c["controls_passed"], c["audit_grade"]):
         raise EvidenceError("the claim doesn't follow from the evidence")
     if c["status"] == "TARGET_PASSED" and not (c["controls_passed"] and c["effect"] >= c["required_effect"]):
         raise EvidenceError("a passed status needs passed controls and the required effect")
+    if c["controls_passed"] != all(k["drift"] <= k["limit"] and k["passed"] for k in c["controls"]) or c["claim"] == "STRONG" and not c["controls"]:
+        raise EvidenceError("controls don't say what they are said to")
+    if abs(abs(c["original_score"] - c["counterfactual_score"]) - abs(c["effect"])) > 1e-9 * max(1.0, abs(c["effect"])):
+        raise EvidenceError("the effect isn't the difference of the scores")
+    named = sorted(i for _, _, names in c["patch"]["operations"] for i in names)
+    if c["minimality_grade"] in ("ONE_MINIMAL", "GLOBAL_MINIMUM") and ([r["removed"] for r in c["removals"]] != named or any(r["accepted"] is not False for r in c["removals"])):
+        raise EvidenceError("a minimal patch has every removal refused")
+    if c["minimality_grade"] == "GLOBAL_MINIMUM" and not c["complete_subsets"]:
+        raise EvidenceError("a global minimum needs all subsets")
     if content_hash(c["patch"]) != c["patch_hash"] or (c["patch"]["run_hash"], c["patch"]["contract_hash"]) != (c["run_hash"], c["contract_hash"]):
         raise EvidenceError("the patch's hash or binding")
 
 
+def tensor_files(tensors: dict[str, np.ndarray]) -> dict[str, bytes]:
+    """A state's tensors as two files: what they are, and their bytes; tied ones carry their bytes once."""
+    rows, data, at = [], [], 0
+    first = {n: group[0] for group in alias_groups(tensors) for n in group}
+    for name in sorted(tensors):
+        t = np.ascontiguousarray(tensors[name])
+        own = first.get(name, name) == name
+        rows.append({"name": name, "dtype": t.dtype.str, "shape": list(t.shape), "alias": None if own else first[name], "start": at, "bytes": t.nbytes if own else 0})
+        if own:
+            data.append(t.tobytes())
+            at += t.nbytes
+    return {"counterfactual.json": canonical_json(rows).encode(), "counterfactual.bin": b"".join(data)}
+
+
+def read_tensors(folder: Path) -> dict[str, np.ndarray]:
+    """The same, after names, kinds, shapes, places and ties are checked."""
+    rows, data = json.loads((folder / "counterfactual.json").read_text()), (folder / "counterfactual.bin").read_bytes()
+    out: dict[str, np.ndarray] = {}
+    at = 0
+    for r in rows:
+        if r["name"] in out or np.dtype(r["dtype"]).kind != "f" or any(n < 1 for n in r["shape"]):
+            raise EvidenceError(f"tensor {r['name']}")
+        if r["alias"] is not None:
+            if r["alias"] not in out or r["bytes"]:
+                raise EvidenceError(f"tensor {r['name']} is tied to none")
+            out[r["name"]] = out[r["alias"]]
+            continue
+        size = int(np.prod(r["shape"])) * np.dtype(r["dtype"]).itemsize
+        if r["start"] != at or r["bytes"] != size or at + size > len(data):
+            raise EvidenceError(f"the bytes of tensor {r['name']}")
+        out[r["name"]] = np.frombuffer(data, r["dtype"], int(np.prod(r["shape"])), at).reshape(r["shape"])
+        at += size
+    if at != len(data):
+        raise EvidenceError("bytes of no tensor")
+    return out
+
+
 def write_bundle(path: str | Path, certificate: dict, artifacts: dict[str, bytes]) -> Path:
     """certificate.json, artifacts and a manifest of hashes, published at once; an existing folder is never replaced."""
     check_certificate(certificate)
@@ -122,12 +184,64 @@ def read_bundle(path: str | Path) -> dict:
     if "ranking.json" in manifest:
         check_ranking(json.loads((folder / "ranking.json").read_text()), certificate)
     if "experiments.json" in manifest:
-        rows = json.loads((folder / "experiments.json").read_text())
-        if len(rows) != certificate["replay_count"]:
-            raise EvidenceError("experiments don't match the replay count")
+        check_experiments(json.loads((folder / "experiments.json").read_text()), certificate)
+    if ("counterfactual.json" in manifest) != ("counterfactual.bin" in manifest):
+        raise EvidenceError("tensors without their bytes, or bytes without tensors")
+    if "counterfactual.json" in manifest and tensor_hash(read_tensors(folder)) != certificate["counterfactual_state"]:
+        raise EvidenceError("the counterfactual tensors aren't those that were certified")
     return certificate
 
 
+def experiment_hash(row: dict) -> str:
+    """What an executed replay of a subset told."""
+    told = {k: row[k] for k in ("subset", "accepted", "effect", "controls", "status")}
+    return hashlib.sha256(json.dumps(told, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def check_experiments(rows: list[dict], certificate: dict) -> None:
+    """As many as were charged, each subset once and as it was told; the patch was accepted, none smaller was, and removals are among them."""
+    seen = {tuple(r["subset"]): r for r in rows}
+    if len(rows) != certificate["replay_count"] or len(seen) != len(rows):
+        raise EvidenceError("experiments don't match the replay count")
+    if any(experiment_hash(r) != r["hash"] or sorted(set(r["subset"])) != r["subset"] or r["accepted"] and not r["controls"] for r in rows):
+        raise EvidenceError("an experiment was changed")
+    named = tuple(sorted(i for _, _, names in certificate["patch"]["operations"] for i in names))
+    if named not in seen or not seen[named]["accepted"] or any(r["accepted"] and len(s) < len(named) for s, r in seen.items()):
+        raise EvidenceError("the patch isn't the smallest accepted subset")
+    for r in certificate["removals"]:
+        left = tuple(i for i in named if i != r["removed"])
+        if left and (left not in seen or seen[left]["accepted"] != r["accepted"]):
+            raise EvidenceError("a removal wasn't executed as told")
+
+
+def check_source(path: str | Path, recording, contract) -> dict:
+    """The certificate of a bundle that holds against the run and contract that it names: hashes, occurrences, tensors' names, kinds,
+    shapes and ties, and the scores of the recorded end."""
+    from tracewell.replay import training as R
+
+    c, folder = read_bundle(path), Path(path)
+    if (c["run_hash"], c["contract_hash"]) != (recording.run_hash(), contract.content_hash()):
+        raise EvidenceError("the bundle is of another run or contract")
+    spans = {s["occurrence_id"]: s for e in recording.events for s in e["spans"]}
+    end = recording.checkpoints[max(recording.checkpoints)]
+    for op, _, names in c["patch"]["operations"]:
+        if set(names) - set(spans) or any(spans[n]["reserved"] != (op == "inject") for n in names):
+            raise EvidenceError("the patch names occurrences that the run doesn't have, or can't change so")
+    if c["original_state"] != end.hashes()["model"]:
+        raise EvidenceError("the recorded end differs")
+    if (folder / "ranking.json").exists() and {r["occurrence_id"] for r in json.loads((folder / "ranking.json").read_text())} - set(spans):
+        raise EvidenceError("the ranking names occurrences that the run doesn't have")
+    if (folder / "counterfactual.json").exists():
+        made = read_tensors(folder)
+        kinds = lambda t: {n: (x.dtype.str, x.shape) for n, x in t.items()}
+        if kinds(made) != kinds(end.model) or alias_groups(made) != alias_groups(end.model):
+            raise EvidenceError("the counterfactual tensors aren't those of the run's model")
+    value, _ = R.evaluate(recording, end, contract, contract.search)
+    if abs(value - c["original_score"]) > 1e-9 * max(1.0, abs(value)):
+        raise EvidenceError("the recorded score differs")
+    return c
+
+
 def check_ranking(rows: list[dict], certificate: dict) -> None:
     """Ranks 1..n per method, and every patched occurrence among the candidates."""
     by: dict[str, list[int]] = {}
@@ -146,18 +260,29 @@ def verify_again(certificate: dict, result: dict, tolerance: float = 0.0) -> boo
     return same and abs(result["effect"] - certificate["effect"]) <= tolerance and result["state_hash"] == certificate["counterfactual_state"]
 
 
-def markdown(path: str | Path) -> str:
+def sections(path: str | Path) -> list[tuple[str, list[str]]]:
+    """Headings and lines of a verified bundle's report."""
     c = read_bundle(path)
-    names = [i for _, _, ids in c["patch"]["operations"] for i in ids]
-    lines = [
-        "# Causal evidence", "", f"- Run `{c['run_hash']}`", f"- Status {c['status']}, claim {c['claim']}", f"- Effect {c['effect']:.6g} (required {c['required_effect']:.6g})", f"- Minimality {c['minimality_grade']}, {c['replay_count']} of {c['replay_budget']} replays, {c['speculative_replays']} speculative",
-        f"- Audit {c['audit_grade']}, controls {'passed' if c['controls_passed'] else 'failed'}, holdout {'passed' if c['holdout_passed'] else 'not passed'}", "", "## Occurrences", "", *(f"- `{n}`" for n in names), "",
+    names = [f"{o}: `{i}`" for o, _, ids in c["patch"]["operations"] for i in ids]
+    return [
+        ("Causal evidence", [f"Run `{c['run_hash']}`", f"Patch `{c['patch_hash']}`", f"Status {c['status']}, claim {c['claim']}", f"Target score {c['original_score']:.6g} to {c['counterfactual_score']:.6g}", f"Effect {c['effect']:.6g} (required {c['required_effect']:.6g})", f"Audit {c['audit_grade']}, holdout {'passed' if c['holdout_passed'] else 'not passed'}"]),
+        ("Occurrences", names),
+        ("Controls", [f"`{k['id']}`: drift {k['drift']:.6g} (limit {k['limit']:.6g}), {'passed' if k['passed'] else 'failed'}" for k in c["controls"]] or ["None declared"]),
+        ("Replays", [f"Minimality {c['minimality_grade']}, {c['replay_count']} of {c['replay_budget']} replays, {c['speculative_replays']} speculative", "Rankings proposed candidates; only executed replays are evidence"]),
+        ("Removals", [f"without `{r['removed']}`: {'accepted' if r['accepted'] else 'refused'}" for r in c["removals"]] or ["None executed"]),
+        ("Warnings", list(c["warnings"]) or ["None recorded"]),
+        ("Environment", [f"{k} {v}" for k, v in sorted(c["environment"].items())] or ["Not recorded"]),
     ]
-    return "\n".join(lines)
+
+
+def markdown(path: str | Path) -> str:
+    return "\n".join(line for i, (title, lines) in enumerate(sections(path)) for line in (("#" if i == 0 else "##") + f" {title}", "", *(f"- {x}" for x in lines), ""))
 
 
 def html_report(path: str | Path) -> str:
-    return "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Causal evidence</title></head><body><pre>" + html.escape(markdown(path)) + "</pre></body></html>\n"
+    code = lambda x: re.sub(r"`([^`]*)`", r"<code>\1</code>", html.escape(x))
+    body = "".join(f"<section><h{1 + (i > 0)}>{html.escape(title)}</h{1 + (i > 0)}><ul>{''.join(f'<li>{code(x)}</li>' for x in lines)}</ul></section>" for i, (title, lines) in enumerate(sections(path)))
+    return f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>Causal evidence</title></head><body>{body}</body></html>\n"
 
 
 def line_chart(points: list[tuple[float, float]], width: int = 480, height: int = 160, title: str = "") -> str:

@@ -5,16 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions import tokens
 from tracewell.functions.canonical import cache_key
 from tracewell.operators.reduction import stale_entries
 from tracewell.replay import training as R
 from tracewell.replay.model import AdamW, ModelConfig, config_dict
-from tracewell.sources import datasets
+from tracewell.sources import datasets, files
 from tracewell.sources.ledger import open_ledger, write_ledger
 
 TENSORS = "step long, part string, name string, dtype string, shape array<int>, data binary, alias string, sha256 string"
@@ -41,7 +43,7 @@ def save(spark: SparkSession, recording: R.Recording, path: str) -> None:
     spark.createDataFrame(tensor_rows(recording), TENSORS).write.option("compression", "zstd").parquet(f"{path}/checkpoints")
     write_ledger(R.ledgers(spark, recording), f"{path}/ledger")
     training = {k: v for k, v in asdict(recording.training).items() if k != "optimizer"}
-    manifest = {"schema_version": 1, "model": config_dict(recording.model), "training": training, "optimizer": asdict(recording.training.optimizer), "run_hash": recording.run_hash(), "cursors": {str(s): c.cursor for s, c in recording.checkpoints.items()}}
+    manifest = {"schema_version": 1, "model": config_dict(recording.model), "training": training, "optimizer": asdict(recording.training.optimizer), "run_hash": recording.run_hash(), "tokenizer": tokens.fingerprint(), "cursors": {str(s): c.cursor for s, c in recording.checkpoints.items()}, "random": {str(s): c.random for s, c in recording.checkpoints.items()}}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/run")
 
 
@@ -50,6 +52,8 @@ def load(spark: SparkSession, path: str) -> R.Recording:
     manifest = json.loads(spark.read.text(f"{path}/run").first()["value"])
     if manifest["schema_version"] != 1:
         raise ValueError("a run of another schema")
+    if manifest["tokenizer"] != tokens.fingerprint():
+        raise ValueError("a run of another tokenizer")
     examples = R.examples_of(spark.read.parquet(f"{path}/examples"))
     ledger = open_ledger(spark, f"{path}/ledger")
     spans: dict[tuple[int, int], list[dict]] = {}
@@ -94,10 +98,24 @@ def _states(spark: SparkSession, path: str, manifest: dict) -> dict[int, R.State
     for step, own in tensors.items():
         model = {k.removeprefix("model/"): t for k, t in own.items() if k.startswith("model/")}
         moments = {n: (own[f"m/{n}"], own[f"v/{n}"]) for n in model if f"m/{n}" in own}
-        out[step] = R.State(model, moments, step, manifest["cursors"][str(step)])
+        out[step] = R.State(model, moments, step, manifest["cursors"][str(step)], manifest["random"][str(step)])
     return dict(sorted(out.items()))
 
 
+def save_audit(path: str | Path, results: list[dict]) -> Path:
+    """Audits of a run in a file of their own, numbered after the last; a run's folder keeps them all."""
+    folder = Path(path) / "audits"
+    folder.mkdir(parents=True, exist_ok=True)
+    last = max((int(f.stem.removeprefix("audit-")) for f in folder.glob("audit-*.json")), default=0)
+    return files.write_json(folder / f"audit-{last + 1:08d}.json", results)
+
+
+def latest_audit(path: str | Path) -> list[dict] | None:
+    """The audits of the greatest file name, or none."""
+    found = sorted((Path(path) / "audits").glob("audit-*.json"))
+    return json.loads(found[-1].read_text()) if found else None
+
+
 class ReplayCache:
     """Results of executed branches by what they depend on; only misses run. Oldest entries go first."""
 
@@ -106,11 +124,15 @@ class ReplayCache:
             raise ValueError("a cache has at least one entry")
         self.spark, self.path, self.most = spark, path, most
 
+    def _there(self) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
     def entries(self) -> DataFrame:
-        try:
-            return self.spark.read.schema("key string, written timestamp, " + R.RESULTS).parquet(self.path)
-        except Exception:  # there is none yet
-            return self.spark.createDataFrame([], "key string, written timestamp, " + R.RESULTS)
+        """What is kept; a cache that can't be read fails, and one that isn't there is empty."""
+        schema = "key string, written timestamp, " + R.RESULTS
+        return self.spark.read.schema(schema).parquet(self.path) if self._there() else self.spark.createDataFrame([], schema)
 
     def keys(self, recording: R.Recording, contract: R.Contract, patches: list[R.Patch]) -> DataFrame:
         """key and index of each patch."""
@@ -137,3 +159,18 @@ class ReplayCache:
 
     def stale(self) -> DataFrame:
         return stale_entries(self.entries(), self.most)
+
+    def prune(self) -> int:
+        """Removes all but the newest entries; how many went. The rest is written beside the cache before it takes its place."""
+        old = self.stale().select("key").cache()
+        n = old.count()
+        if n:
+            kept = f"{self.path}.kept"
+            self.entries().join(old, "key", "left_anti").write.mode("overwrite").parquet(kept)
+            jvm = self.spark.sparkContext._jvm
+            here, there = (jvm.org.apache.hadoop.fs.Path(x) for x in (self.path, kept))
+            system = here.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            system.delete(here, True)
+            system.rename(there, here)
+        old.unpersist()
+        return n
