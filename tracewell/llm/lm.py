@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import bucketed, held_out, release, slices, trim, written
 
 START, END = 0, 1  # hashes of the two marks; of V words two share one with a chance of V**2 / 2**65
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 9_000_000
 #: Shards of a pack, which a task takes one after another, summing each document's parts; buckets of the table of shards, at most.
 TOGETHER, MOST_BUCKETS = 2, 20_000
-#: Documents whose sums are put together in one task.
-RANGE = 20_000
+#: Documents whose sums are put together in one task, and words of shards whose customers are seated in one.
+RANGE, WORDS = 20_000, 300_000
 #: A context or pair whose load is more than this share of a shard's is dealt to several, so there are at most shards / SPLIT of them. They are
 #: found in a sample of about so many tokens a shard, which shapes the shards and no score.
 SPLIT, SAMPLED = 0.25, 1600
@@ -220,7 +220,7 @@ def deal(docs: DataFrame, shards: int, known: Common) -> DataFrame:
     return docs.select("key", "train", "text").mapInArrow(run, "shard int, blob binary")
 
 
-STATE = "pack int, shard int, pairs binary, uses binary, train_tokens long, known_words long, ends long, once long, twice long, contexts array<struct<u:long,customers:long,kinds:long>>, common array<struct<u:long,w:long,customers:long>>"
+STATE = "pack int, shard int, pairs binary, uses binary, words long, train_tokens long, known_words long, ends long, once long, twice long, contexts array<struct<u:long,customers:long,kinds:long>>, common array<struct<u:long,w:long,customers:long>>"
 
 
 def gather(dealt: DataFrame, known: Common) -> DataFrame:
@@ -258,13 +258,13 @@ def gather(dealt: DataFrame, known: Common) -> DataFrame:
         parted = np.isin(context, k.contexts)  # a common pair's context is common too
         signed = lambda h: int(np.int64(h.view(np.int64)))
         row = {
-            "pack": part.column("shard")[0].as_py() // TOGETHER, "shard": part.column("shard")[0].as_py(), "pairs": pack(words, u, w, learned, is_common.astype(np.uint8)), "uses": pack(keys, uses, docs, counts), "train_tokens": int(learned.sum()),
+            "pack": part.column("shard")[0].as_py() // TOGETHER, "shard": part.column("shard")[0].as_py(), "pairs": pack(words, u, w, learned, is_common.astype(np.uint8)), "uses": pack(keys, uses, docs, counts), "words": len(words), "train_tokens": int(learned.sum()),
             "known_words": int(((customers > 0) & ~parted & (context != START)).sum()), "ends": int(learned[words[w] == END].sum()), "once": int((alone == 1).sum()), "twice": int((alone == 2).sum()),
             "contexts": [{"u": signed(h), "customers": int(c), "kinds": int(n)} for h, c, n in zip(context[parted], customers[parted], kinds[parted], strict=True)],
             "common": [{"u": signed(words[u[i]]), "w": signed(words[w[i]]), "customers": int(learned[i])} for i in np.flatnonzero(is_common)],
         }
         numbers = lambda *names: pa.list_(pa.struct([(n, pa.int64()) for n in names]))
-        kind = pa.schema([("pack", pa.int32()), ("shard", pa.int32()), ("pairs", pa.binary()), ("uses", pa.binary()), *((n, pa.int64()) for n in ("train_tokens", "known_words", "ends", "once", "twice")), ("contexts", numbers("u", "customers", "kinds")), ("common", numbers("u", "w", "customers"))])
+        kind = pa.schema([("pack", pa.int32()), ("shard", pa.int32()), ("pairs", pa.binary()), ("uses", pa.binary()), *((n, pa.int64()) for n in ("words", "train_tokens", "known_words", "ends", "once", "twice")), ("contexts", numbers("u", "customers", "kinds")), ("common", numbers("u", "w", "customers"))])
         return pa.Table.from_pylist([row], kind)
 
     return dealt.groupBy("shard").applyInArrow(run, STATE)
@@ -344,8 +344,8 @@ def draw_tables(c: np.ndarray, t: np.ndarray, others: np.ndarray, prior: np.ndar
     return t
 
 
-#: Kinds of rows that shards get: a word's customers and tables in the parent, a parted context's customers and tables, a common
-#: pair's customers and whether this shard sends its tables, a shard's own tables. Turn: the round that they are of.
+#: Kinds of rows that shards get: words with their customers and tables in the parent (packed), a parted context's customers and tables, a
+#: common pair's customers and whether this shard sends its tables, a shard's own tables (packed). Turn: the round that they are of.
 WORD, CONTEXT, PAIR, TABLES = range(4)
 FACTS = "pack int, shard int, kind int, turn int, a long, b long, x long, y long, tables binary"
 
@@ -382,12 +382,14 @@ class Facts:
         """The parent's probability of each word, as of a round."""
         customers, tables = self.parent[turn]
         fresh = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (self.vocabulary + 1)
-        w, c, t = self.numbers(WORD, turn, "a", "x", "y")
         out = np.full(len(words), fresh)
-        own, place = w.view(np.uint64), np.searchsorted(words, w.view(np.uint64))
-        here = place < len(words)
-        here[here] = words[place[here]] == own[here]  # a pack's shards have other words too
-        out[place[here]] += c[here] - ROOT_DISCOUNT * t[here]
+        for i in self._rows.get((WORD, turn), ()):
+            w, c, t = unpack(self._tables[int(i)].as_py())
+            own = w.astype(np.uint64)
+            place = np.searchsorted(words, own)
+            here = place < len(words)
+            here[here] = words[place[here]] == own[here]  # a pack's shards have other words too
+            out[place[here]] += c[here].astype(float) - ROOT_DISCOUNT * t[here]
         return out / (ROOT_STRENGTH + customers)
 
 
@@ -489,7 +491,8 @@ class Model:
 
     def _wholes(self) -> None:
         """Whole contexts and pairs of those that are parted, and what follows from them: counts, discount, the facts that no round changes."""
-        sums = self.state.agg(*(F.sum(n).alias(n) for n in ("train_tokens", "known_words", "ends", "once", "twice"))).first()
+        sums = self.state.agg(*(F.sum(n).alias(n) for n in ("words", "train_tokens", "known_words", "ends", "once", "twice"))).first()
+        self.word_ranges = (sums["words"] or 0) // WORDS + 1
         pairs = self.state.select("pack", "shard", F.explode("common").alias("h")).select("pack", "shard", "h.*")
         whole = pairs.groupBy("u", "w").agg(F.sum("customers").alias("c"), F.min("shard").alias("sender"))
         self.pairs = written(whole, "lm-pairs")
@@ -510,7 +513,7 @@ class Model:
 
     def _round(self, facts: DataFrame, turn: int) -> DataFrame:
         """FACTS of a round: tables by word and by parted context for others, and the shard's own; one for each kind of pair at first."""
-        strength, discount, seed, parent, vocabulary = self.strength, self.discount, self.seed, dict(self.parent), self.vocabulary
+        strength, discount, seed, parent, vocabulary, ranges = self.strength, self.discount, self.seed, dict(self.parent), self.vocabulary, self.word_ranges
         shared = self.state.sparkSession.sparkContext.broadcast(self.common.contexts)
 
         def run(part: pa.Table, own: pa.Table) -> pa.Table:
@@ -524,14 +527,17 @@ class Model:
                 out.append({"pack": shard // TOGETHER, "shard": shard, "kind": TABLES, "turn": turn, "tables": pack(t)})
                 del r, t
                 trim()
-            tables = [pa.Table.from_pylist(out, schema)]
+            own_pack = part.column("pack")[0].as_py()
             for kind, parts in sums.items():
                 a, place = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
                 x = np.bincount(place, np.concatenate([y for _, y in parts]), len(a)).astype(np.int64)
-                n = len(a)
-                same = lambda v: pa.array(np.full(n, v, np.int32))  # noqa: B023, E731
-                tables.append(pa.table([same(part.column("pack")[0].as_py()), pa.nulls(n, pa.int32()), same(kind), same(turn), pa.array(a.view(np.int64)), pa.nulls(n, pa.int64()), pa.array(x), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema))
-            return pa.concat_tables(tables)
+                if kind == CONTEXT:
+                    out += [{"pack": own_pack, "kind": kind, "turn": turn, "a": int(h.view(np.int64)), "x": int(n)} for h, n in zip(a, x, strict=True)]
+                    continue
+                at = range_of(a, ranges)
+                edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
+                out += [{"pack": own_pack, "kind": kind, "turn": turn, "a": int(at[i]), "tables": pack(a[i:j], x[i:j])} for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            return pa.Table.from_pylist(out, schema)
 
         kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
         schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in FACTS.split(", "))])
@@ -548,45 +554,42 @@ class Model:
     def _parent(self, told: DataFrame, last: DataFrame | None, turn: int) -> DataFrame:
         """Seats all tables as customers of the parent; its customers and tables go to the packs that have the word.
 
-        Words come in order, each with its tables of the round before, and a task holds a batch at a time."""
+        Words are dealt by ranges of their hashes, each with its tables of the round before; a task seats a range."""
         vocabulary, seed = self.vocabulary, self.seed
         stirling = log_stirling(ROOT_DISCOUNT, EXACT)
         before = self.parent[turn - 1][1] if turn else float(vocabulary)
 
-        def seat(w: np.ndarray, x: np.ndarray, where: np.ndarray, old: np.ndarray) -> pa.RecordBatch:
-            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            c = np.add.reduceat(x, first)
-            t = np.maximum(np.add.reduceat(old, first), 0)
-            t = np.where(c > 0, np.maximum(t, 1), 0)
-            own = w[first].view(np.uint64)
-            random = lambda k: uniform(np.zeros(len(own), np.uint64), own, seed + 16 * turn + k)
+        def seat(part: pa.Table) -> pa.Table:
+            packs = part.column("pack").to_pylist()
+            blobs = [unpack(b) for b in part.column("tables").to_pylist()]
+            mine = [(p, b) for p, b in zip(packs, blobs, strict=True) if p >= 0]
+            sizes = [len(b[0]) for _, b in mine]
+            words, place = np.unique(np.concatenate([b[0].astype(np.uint64) for _, b in mine]), return_inverse=True)
+            c = np.bincount(place, np.concatenate([b[1] for _, b in mine]), len(words)).astype(np.int64)
+            t = (c > 0).astype(np.int64)
+            for p, b in zip(packs, blobs, strict=True):
+                if p < 0 and len(b[0]):  # tables of the round before, of words that had several; each is here still
+                    t[np.searchsorted(words, b[0].astype(np.uint64))] = b[1]
+            random = lambda k: uniform(np.zeros(len(words), np.uint64), words, seed + 16 * turn + k)
             drawn = draw_tables(c, t, np.maximum(0.0, before - t), np.full(len(c), 1 / (vocabulary + 1)), ROOT_STRENGTH, ROOT_DISCOUNT, stirling, random)
-            once = np.zeros(len(w), bool)
-            once[first] = True
-            many = np.diff(first, append=len(w))
-            here = where >= 0  # rows of the round before have no pack
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in (np.where(here, where, -1).astype(np.int32), w, np.repeat(c, many), np.repeat(drawn, many), once)], ["pack", "a", "x", "y", "once"])
-
-        def run(batches):
-            held = [np.zeros(0, np.int64) for _ in range(4)]  # rows of the last word, which may go on
-            for batch in batches:
-                rows = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("a", "x", "pack", "old"), strict=True)]
-                if len(rows[0]):
-                    end = int(np.searchsorted(rows[0], rows[0][-1]))
-                    if end:
-                        yield seat(*(r[:end] for r in rows))
-                    held = [r[end:] for r in rows]
-            if len(held[0]):
-                yield seat(*held)
-
-        rows = told.where(F.col("kind") == WORD).select("a", "x", F.col("pack").cast("long").alias("pack"), F.lit(0).cast("long").alias("old"))
+            rows, at = [], 0
+            for (p, _), n in zip(mine, sizes, strict=True):
+                own = place[at : at + n]
+                rows.append({"pack": p, "range": part.column("range")[0].as_py(), "tables": pack(words[own], c[own], drawn[own])})
+                at += n
+            several = drawn > 1
+            rows.append({"pack": -1, "range": part.column("range")[0].as_py(), "x": int(c.sum()), "y": int(drawn.sum()), "tables": pack(words[several], drawn[several])})
+            return pa.Table.from_pylist(rows, pa.schema([("pack", pa.int32()), ("range", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("tables", pa.binary())]))
+
+        rows = told.where(F.col("kind") == WORD).select("pack", F.col("a").alias("range"), "tables")
         if last is not None:
-            rows = rows.unionByName(last.where("once AND y > 1").select("a", F.lit(0).cast("long").alias("x"), F.lit(-1).cast("long").alias("pack"), F.col("y").alias("old")))
-        self.roots = written(rows.repartition("a").sortWithinPartitions("a").mapInArrow(run, "pack int, a long, x long, y long, once boolean"), "lm-parent")
-        customers, tables = self.roots.where("once").agg(F.sum("x"), F.sum("y")).first()
+            rows = rows.unionByName(last.where("pack < 0").select("pack", "range", "tables"))
+        self.roots = written(rows.groupBy("range").applyInArrow(seat, "pack int, range long, x long, y long, tables binary"), "lm-parent")
+        customers, tables = self.roots.where("pack < 0").agg(F.sum("x"), F.sum("y")).first()
         self.parent[turn] = (float(customers or 0), float(tables or 0))
         none = lambda kind: F.lit(None).cast(kind)
-        return self.roots.where("pack >= 0").select("pack", none("int").alias("shard"), F.lit(WORD).alias("kind"), F.lit(turn).alias("turn"), "a", none("long").alias("b"), "x", "y", none("binary").alias("tables"))
+        numbers = (none("long").alias(c) for c in ("a", "b", "x", "y"))
+        return self.roots.where("pack >= 0").select("pack", none("int").alias("shard"), F.lit(WORD).alias("kind"), F.lit(turn).alias("turn"), *numbers, "tables")
 
     def scores(self) -> DataFrame:
         """key, n_words, n_known, ends, base, score: sums over the words of each key's texts."""
@@ -646,9 +649,14 @@ def merged(parts: list[tuple]) -> tuple[np.ndarray, ...]:
     return keys, *(np.bincount(place, np.concatenate([p[i] for p in parts]), len(keys)) for i in range(1, 6))
 
 
+def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of equal ranges each hash falls in."""
+    return ((hashes.astype(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
 def _part_rows(ranges: int, keys: np.ndarray, *sums: np.ndarray) -> pa.Table:
     """A row for each range of keys."""
-    at = ((keys.astype(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+    at = range_of(keys, ranges)
     edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
     rows = [(int(at[a]), pack(keys[a:b].astype(np.uint64), *(x[a:b].astype(np.int64) for x in sums[:3])), sums[3][a:b].tobytes(), sums[4][a:b].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
