@@ -24,8 +24,8 @@ BUCKETS = 1 << 17
 GRAMS = (3, 4)
 #: A feature for each word that repeats the one before it, which an average of words can't show.
 AGAIN = b"\x00again"
-#: Labelled rows that the model learns from at most, those with the least hash of their id.
-MOST_ROWS = 4000
+#: Labelled rows that the model learns from at most, those with the least hash of their id, and bytes of their texts; one that doesn't fit is passed over.
+MOST_ROWS, MOST_BYTES = 4000, 64_000_000
 #: Words that a worker remembers; beyond it the memory starts afresh, results are the same.
 REMEMBERED = 250_000
 
@@ -122,13 +122,25 @@ def train(texts: list[str], labels: np.ndarray, size: int = 8, epochs: int = 6,
     return Model(vectors, layer, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, **options) -> Model:
-    """A model of labels.quality by the texts of docs; rows whose label isn't 0 or 1 are left out."""
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, **options) -> Model:
+    """A model of labels.quality by the texts of docs, of at most most_rows labelled rows and most_bytes of text; labels other than 0 and 1 are left out.
+
+    Null texts are empty; rows that repeat, and labels that do, are learned each; without rows the model tells half."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chosen = labels.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_rows)
-    rows = docs.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text").limit(2 * most_rows).collect()  # at most most_rows ids; the second bound is for ids that repeat
-    return train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64), **options)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    order = (F.xxhash64("doc_id"), "doc_id", "label", "hash")
+    chosen = labels.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order[:3]).limit(most_rows)
+    sized = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "hash", F.octet_length("text").alias("n")).orderBy(*order).limit(most_rows).collect()
+    left, wanted = most_bytes, []
+    for r in sized:
+        if r["n"] <= left:
+            left -= r["n"]
+            wanted.append(r)
+    spark = docs.sparkSession
+    ids = spark.createDataFrame(sorted({(r["doc_id"], r["hash"]) for r in wanted}), "doc_id long, hash long")
+    texts = {(r["doc_id"], r["hash"]): r["text"] for r in docs.join(F.broadcast(ids), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).collect()}
+    return train([texts[r["doc_id"], r["hash"]] for r in wanted], np.array([r["label"] for r in wanted], np.int64), **options)
 
 
 class Scores(dict):
