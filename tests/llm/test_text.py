@@ -137,9 +137,14 @@ def test_predictive_sums_to_one(spark, shard_bytes):
     parts = {n for _, customers, n in found.values() if customers > 1500}
     assert parts and (max(parts) > 2) == (shard_bytes < 10**6) and (len(model.common.pairs) > 0) == (shard_bytes < 10**6)
     customers, tables = model.parent[model.burn_in + model.samples]
-    rows = model.roots.where("once AND x > 0").collect()
+    known = {}
+    for r in model.roots.where("pack >= 0").collect():
+        for w, c, n in zip(*lm.unpack(bytes(r["tables"])), strict=True):
+            assert known.setdefault(int(w), (int(c), int(n))) == (int(c), int(n))
+    rows = [x for x in known.values() if x[0]]
     fresh = (lm.ROOT_STRENGTH + lm.ROOT_DISCOUNT * tables) / (model.vocabulary + 1)
-    mass = sum(r["x"] - lm.ROOT_DISCOUNT * r["y"] + fresh for r in rows) + (model.vocabulary + 1 - len(rows)) * fresh
+    mass = sum(c - lm.ROOT_DISCOUNT * n + fresh for c, n in rows) + (model.vocabulary + 1 - len(rows)) * fresh
+    assert sum(c for c, _ in rows) == customers and sum(n for _, n in rows) == tables
     assert len(rows) == model.vocabulary and mass / (lm.ROOT_STRENGTH + customers) == pytest.approx(1, abs=1e-9)
 
 
