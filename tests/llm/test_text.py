@@ -325,6 +325,47 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert kept[1] > 0.99 and kept[0] < 0.2
 
 
+def numpy_determinant(x, random, trials=150):
+    """The least log determinant that concentration steps from random starts find, its centre and scatter."""
+    h, chance, best = math.ceil(quality.SHARE * len(x)), np.diag([c**2 for c in quality.CHANCE.values()]), None
+    for _ in range(trials):
+        rows, last = random.choice(len(x), 6, replace=False), None
+        while True:
+            centre = x[rows].mean(0)
+            scatter = quality.CONSISTENT * np.cov(x[rows].T, bias=True) + chance
+            now = np.linalg.slogdet(scatter)[1]
+            if len(rows) == h and last is not None and now > last - 1e-9:
+                break
+            last = now if len(rows) == h else None
+            away = x - centre
+            rows = np.argsort(np.einsum("ij,jk,ik->i", away, np.linalg.inv(scatter), away))[:h]
+        if best is None or now < best[0]:
+            best = (now, centre, scatter)
+    return best
+
+
+def test_determinants_by_brute_force(spark):
+    random = np.random.default_rng(17)
+    pools, frames = {}, []
+    for name, far in (("near", 6.0), ("far", 40.0), ("many", 12.0)):
+        mix = random.normal(0, 1.5, (4, 4))
+        good = random.normal(0, 1, (420, 4)) @ mix + random.normal(0, 5, 4)
+        bad = random.normal(0, 0.3, (200 if name == "many" else 60, 4)) + good.mean(0) + far * random.normal(0, 1, 4)
+        pools[name] = np.concatenate([good, bad])
+        frames += [(name, *map(float, row)) for row in pools[name]]
+    frame = spark.createDataFrame(frames, "__q_pool string, " + ", ".join(f"__qx_{a} double" for a in quality.NAMES))
+    found = {r["__q_pool"]: r.asDict() for r in quality.determinants(frame).collect()}
+    for name, x in pools.items():
+        logdet, centre, scatter = numpy_determinant(x, random)
+        own = found[name]
+        factor = np.array([[own[f"__ql_{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        mean = np.array([own[f"__qm_{a}"] for a in quality.NAMES])
+        assert own["__q_logdet"] < logdet + 0.15 and own["__q_logdet"] == pytest.approx(np.linalg.slogdet(factor @ factor.T)[1])
+        distance = lambda m, k: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(k), x - m)  # noqa: B023, E731
+        a, b = distance(mean, factor @ factor.T), distance(centre, scatter)
+        assert np.median(np.abs(a / b - 1)) < 0.15 and ((a > quality.CUT) != (b > quality.CUT)).mean() < 0.02
+
+
 def test_rules_run_no_python(spark, data, odd, empty):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     plan = quality.verdicts(docs)._jdf.queryExecution().toString()
@@ -452,6 +493,17 @@ def test_classifier_of_odd_rows(odd, empty, spark):
     assert classifier.score(odd, nothing, F.lit(True)).first()["score"] == pytest.approx(0.5, abs=0.05)
 
 
+def test_scores_by_brute_force():
+    """The score of a text from its words' vectors, averaged, through the softmax layer, as it is written down."""
+    texts = ["good word here", "bad word there again again", "neither", ""]
+    model = classifier.train(texts, np.array([1, 0, 1, 0]), size=4, epochs=3)
+    scores = classifier.Scores(model.scalars(), float(model.bias[1] - model.bias[0]))
+    for text in [*texts, "an unseen text of other words", "x" * 300]:
+        vectors = [np.mean([model.vectors[b] for b in classifier.features(w)], axis=0) for w in classifier.words_of(text)]
+        logits = (np.mean(vectors, axis=0) if vectors else np.zeros(4)) @ model.layer + model.bias
+        assert scores.score(text) == pytest.approx(float(np.exp(logits[1]) / np.exp(logits).sum()), rel=1e-4)
+
+
 def test_training_learns_a_word():
     texts = ["good word here", "bad word here"] * 40
     model = classifier.train(texts, np.array([1, 0] * 40))
