@@ -159,6 +159,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
         for batch in batches:
             for part in slices(batch):
                 yield function(part)
+        trim()
 
     return df.mapInArrow(run, schema)
 
