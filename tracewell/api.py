@@ -110,8 +110,6 @@ def blame(
 
     Rankings propose; only the executed replays are evidence. normalization: whether losses keep their recorded denominators or are
     divided by the weights that are left. lease: a folder where the holdout's one use is kept for all processes."""
-    if not 1 <= candidates <= 1_000_000:
-        raise ValueError("between 1 and 1,000,000 candidates")
     renormalize = normalization == "renormalized"
     end = max(recording.checkpoints)
     stretch = sorted(recording.checkpoints)[-2:]
@@ -121,7 +119,7 @@ def blame(
     seen = contract.search_view()
     ranking = index(spark, recording, seen, methods).cache()
     eligible = R.ledgers(spark, recording)["occurrences"].where(~F.col("reserved")).select("occurrence_id")
-    fused = K.reciprocal_rank_fusion(ranking).join(eligible, "occurrence_id", "left_semi").orderBy(F.desc("rrf"), "occurrence_id").limit(candidates)
+    fused = K.candidates(K.reciprocal_rank_fusion(ranking).join(eligible, "occurrence_id", "left_semi"), candidates)
     names = [r["occurrence_id"] for r in fused.select("occurrence_id").collect()]  # at most candidates rows
     found = search.reduce(R.evaluator(spark, recording, seen, {n: [n] for n in names}, renormalize=renormalize), names, budget, width)
     if found.selected is None:

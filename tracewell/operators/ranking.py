@@ -208,6 +208,13 @@ def reciprocal_rank_fusion(rankings: DataFrame, constant: int = RRF_CONSTANT) ->
     return rankings.groupBy("occurrence_id").agg(F.sum(1 / (constant + F.col("rank"))).alias("rrf"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("method_id", "rank")))).alias("method_ranks"))
 
 
+def candidates(fused: DataFrame, limit: int) -> DataFrame:
+    """The limit best of a fusion, ties by occurrence; between 1 and 1,000,000."""
+    if not 1 <= limit <= 1_000_000:
+        raise ValueError("between 1 and 1,000,000 candidates")
+    return fused.orderBy(F.desc("rrf"), "occurrence_id").limit(limit)
+
+
 def union_rankings(*rankings: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rankings)
 

@@ -99,12 +99,12 @@ def tracin_scores(spark, sf_dir):
     return K.tracin(scaled, behaviors, rates).withColumn("raw_score", F.round("raw_score", 9))
 
 
-@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) / (sqrt(0.01 * CAST(x AS DOUBLE) * CAST(x AS DOUBLE) / (1 - pow(0.999, 10))) + 1e-8), 4) AS DECIMAL(18, 4))), ',') AS preconditioned FROM embeddings")
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) / (sqrt(0.01 * CAST(x AS DOUBLE) * CAST(x AS DOUBLE) / (1 - pow(0.999, 10))) + 1e-8), 8) AS DECIMAL(18, 8))), ',') AS preconditioned FROM embeddings")
 def adam_preconditioned(spark, sf_dir):
     rows = X.table(spark, sf_dir, "embeddings")
     second = F.transform("embedding", lambda x: 0.01 * x.cast("double") * x.cast("double"))
     made = K.adam_precondition(F.col("embedding"), second, F.lit(10))
-    return rows.select("vec_id", F.array_join(F.transform(made, lambda x: F.round(x, 4).cast("decimal(18,4)").cast("string")), ",").alias("preconditioned"))
+    return rows.select("vec_id", F.array_join(F.transform(made, lambda x: F.round(x, 8).cast("decimal(18,8)").cast("string")), ",").alias("preconditioned"))
 
 
 _SIGNS = "signs AS (SELECT r, c, CASE WHEN CAST('0x' || substr(sha256('7:' || r || ':' || c), 1, 1) AS INT) % 2 = 1 THEN 1.0 ELSE -1.0 END / sqrt(8.0) AS s FROM range(0, 8) a(r), range(0, 64) b(c)) "
@@ -117,7 +117,7 @@ def rademacher_projection(spark, sf_dir):
     return out.select("vec_id", F.posexplode("p").alias("dim", "value")).withColumn("value", F.round("value", 8))
 
 
-@query(_VECTORS + f", {_SIGNS}, g AS (SELECT vec_id, r, k, sum(s * (k * x) / (sqrt(0.01 * x * x * k * k / (1 - pow(0.999, k))) + 1e-8)) AS p FROM cells JOIN signs ON i = c, (SELECT unnest([1, 2, 3]) AS k) GROUP BY 1, 2, 3), o AS (SELECT checkpoint AS k, r, sum(s * m) AS p FROM b JOIN signs ON i = c GROUP BY 1, 2)" + "SELECT vec_id AS key, round(sum(g.p * o.p), 5) AS raw_score FROM g JOIN o USING (k, r) GROUP BY 1")
+@query(_VECTORS + f", {_SIGNS}, g AS (SELECT vec_id, r, k, sum(s * (k * x) / (sqrt(0.01 * x * x * k * k / (1 - pow(0.999, k))) + 1e-8)) AS p FROM cells JOIN signs ON i = c, (SELECT unnest([1, 2, 3]) AS k) GROUP BY 1, 2, 3), o AS (SELECT checkpoint AS k, r, sum(s * m) AS p FROM b JOIN signs ON i = c GROUP BY 1, 2)" + "SELECT vec_id AS key, round(sum(g.p * o.p), 8) AS raw_score FROM g JOIN o USING (k, r) GROUP BY 1")
 def trajectory_sketch(spark, sf_dir):
     scaled, behaviors, _ = _gradients(spark, sf_dir)
     matrix = K.projection_matrix(spark, "7", 64, 8)
@@ -126,7 +126,7 @@ def trajectory_sketch(spark, sf_dir):
     left = K.project(moved, matrix, "gradient", "p").select("key", "checkpoint", F.col("p").alias("gradient"))
     right = K.project(behaviors, matrix, "gradient", "p").select("checkpoint", F.col("p").alias("gradient"))
     rates = spark.range(1, 4).select(F.col("id").cast("int").alias("checkpoint"), F.lit(1.0).alias("rate"))
-    return K.tracin(left, right, rates).withColumn("raw_score", F.round("raw_score", 5))
+    return K.tracin(left, right, rates).withColumn("raw_score", F.round("raw_score", 8))
 
 
 @query(_VECTORS + f", {_SIGNS}, o AS (SELECT vec_id, r, sum(x * s) AS p FROM cells JOIN signs ON i = c GROUP BY 1, 2)" + "SELECT a.vec_id, round(sum(a.p * z.p), 8) AS raw_score FROM o a JOIN (SELECT r, p FROM o WHERE vec_id = 0) z USING (r) GROUP BY 1")
@@ -166,7 +166,7 @@ def rrf_fusion(spark, sf_dir):
 @query(_SCORES + "SELECT occurrence_id, round(sum(1.0 / (60 + rank)), 10) AS rrf FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40")
 def fused_candidate_limit(spark, sf_dir):
     fused = K.reciprocal_rank_fusion(_rankings(spark, sf_dir)).select("occurrence_id", F.round("rrf", 10).alias("rrf"))
-    return fused.orderBy(F.desc("rrf"), "occurrence_id").limit(40)
+    return K.candidates(fused, 40)
 
 
 @query(_SCORES + "SELECT method_id, occurrence_id, rank FROM r WHERE rank <= CASE method_id WHEN 'length' THEN 10 WHEN 'words' THEN 5 ELSE 0 END")

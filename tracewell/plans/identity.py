@@ -147,3 +147,12 @@ def semi_join_eligible(spark, sf_dir):
 def set_equality(spark, sf_dir):
     docs = X.table(spark, sf_dir, "documents")
     return R.differences(docs.where("doc_id % 2 = 0").select("lang", "source"), docs.where("doc_id % 2 = 1").select("lang", "source"))
+
+
+@query("SELECT a.conv_id, a.turn, a.text AS prompt, b.text AS completion FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'")
+def conversation_pairs(spark, sf_dir):
+    """Each user turn with the assistant's next one, by an equi join of the table with itself."""
+    turns = X.table(spark, sf_dir, "conversations")
+    left = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"), (F.col("turn") + 1).alias("next"))
+    right = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("next"), F.col("text").alias("completion"))
+    return left.join(right, ["conv_id", "next"]).drop("next")
