@@ -24,8 +24,9 @@ def numbered(rows: DataFrame, bucket: Column, order: list[Column], out: str = "s
 
 
 def duplicate_groups(rows: DataFrame, key: str, row: str, least: int = 1) -> DataFrame:
-    """key, n, members (sorted row numbers) of keys that occur at least so often."""
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(row)).alias("members")).where(F.col("n") >= least)
+    """key, row, n of the rows whose key occurs at least so often, n times. A group is its rows: none is gathered anywhere."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return rows.select(key, row).join(counts, key)
 
 
 POLICIES = ("occurrence", "example", "source", "time_window")
@@ -49,8 +50,9 @@ def group_key(policy: str, window: int = 1) -> Column:
 
 
 def grouped(occurrences: DataFrame, policy: str, window: int = 1) -> DataFrame:
-    """group_id (policy:key) and its sorted distinct occurrence ids."""
-    return occurrences.groupBy(F.concat(F.lit(f"{policy}:"), group_key(policy, window)).alias("group_id")).agg(F.array_sort(F.collect_set("occurrence_id")).alias("occurrence_ids"))
+    """group_id (policy:key), occurrence_id, n: each distinct occurrence of a group, and how many the group has."""
+    members = occurrences.select(F.concat(F.lit(f"{policy}:"), group_key(policy, window)).alias("group_id"), "occurrence_id").distinct()
+    return members.join(members.groupBy("group_id").agg(F.count("*").alias("n")), "group_id")
 
 
 def ordered_digest(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

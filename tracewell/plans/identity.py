@@ -46,24 +46,28 @@ def identity_pattern(spark, sf_dir):
     return _identified(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("example_id").rlike(C.EXAMPLE_ID)).alias("valid"))
 
 
-@query("SELECT sha256(coalesce(text, '')) AS key, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS members FROM documents GROUP BY 1")
+_KEYS = "SELECT sha256(coalesce(text, '')) AS key, doc_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS n FROM documents"
+
+
+def _keyed(spark, sf_dir):
+    return X.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
+
+
+@query(_KEYS)
 def duplicate_groups_all(spark, sf_dir):
-    docs = X.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
-    return R.duplicate_groups(docs, "key", "doc_id").withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    return R.duplicate_groups(_keyed(spark, sf_dir), "key", "doc_id")
 
 
-@query("SELECT sha256(coalesce(text, '')) AS key, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS members FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query(_KEYS + " QUALIFY n > 1")
 def duplicate_groups_multi(spark, sf_dir):
-    docs = X.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
-    return R.duplicate_groups(docs, "key", "doc_id", 2).withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    return R.duplicate_groups(_keyed(spark, sf_dir), "key", "doc_id", 2)
 
 
 def _policy(name, policy, key_sql, window=1):
-    sql = f"WITH {X.OCCURRENCES} SELECT '{policy}:' || {key_sql} AS group_id, count(DISTINCT occurrence_id) AS n, array_to_string(list(DISTINCT occurrence_id ORDER BY occurrence_id), ',') AS occurrence_ids FROM occurrences GROUP BY 1"
+    sql = f"WITH {X.OCCURRENCES}, m AS (SELECT DISTINCT '{policy}:' || {key_sql} AS group_id, occurrence_id FROM occurrences) SELECT group_id, occurrence_id, count(*) OVER (PARTITION BY group_id) AS n FROM m"
 
     def run(spark, sf_dir):
-        out = R.grouped(X.occurrences(spark, sf_dir), policy, window)
-        return out.select("group_id", F.size("occurrence_ids").cast("long").alias("n"), F.array_join("occurrence_ids", ",").alias("occurrence_ids"))
+        return R.grouped(X.occurrences(spark, sf_dir), policy, window)
 
     run.__name__ = name
     query(sql)(run)
