@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import bucketed, held_out, release, slices, trim, written
 
 START, END = 0, 1  # hashes of the two marks; of V words two share one with a chance of V**2 / 2**65
-SHARD_BYTES = 9_000_000
+SHARD_BYTES = 10_500_000
 #: Shards of a pack, which a task takes one after another, summing each document's parts; buckets of the table of shards, at most.
 TOGETHER, MOST_BUCKETS = 2, 20_000
 #: Documents whose sums are put together in one task, and words of shards whose customers are seated in one.
@@ -58,7 +58,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         top = int(a.max()) if len(a) else 0
         a = a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
         out.append(struct.pack("<BBq", a.dtype.itemsize, rising, len(a)) + a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
