@@ -41,6 +41,8 @@ ASIDE = frozenset("nav footer aside button dialog menu".split())
 SAYS_ASIDE = frozenset(
     "ad ads advert adverts advertisement alert alertdialog banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer gdpr menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar".split()
 )
+#: The same, outside of articles and main parts, where a header isn't the article's own; fixed values.
+SAYS_HEADER = frozenset("header masthead topbar".split())
 #: Parts that only say how a block is laid out; fixed values.
 SAYS_LAYOUT = frozenset(
     "area bar block bottom box button buttons col column container content div end first fixed form group holder icon icons inner item items last left link links list main module outer page panel post pre primary region right row secondary section site slot small sticky thread top unit widget widgets wrap wrapper".split()
@@ -66,13 +68,14 @@ CONSTANT, LEAST_PAGES = 0.5, 4
 NOTHING, ALWAYS, SAYS, FORM = range(4)
 
 
-def says_aside(rest: str) -> bool:
+def says_aside(rest: str, outside: bool) -> bool:
     """Whether a class, id or role names an aside: one of its names has an aside's part and else only parts of layout or digits,
-    so that share-buttons counts and share-price doesn't."""
+    so that share-buttons counts and share-price doesn't. outside: of articles and main parts, where headers count too."""
+    asides = SAYS_ASIDE | SAYS_HEADER if outside else SAYS_ASIDE
     for mark in MARK.finditer(rest):
         for name in mark[1].strip("\"'").split():
             parts = [p for p in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if p]
-            if any(p in SAYS_ASIDE for p in parts) and all(p in SAYS_ASIDE or p in SAYS_LAYOUT for p in parts):
+            if any(p in asides for p in parts) and all(p in asides or p in SAYS_LAYOUT for p in parts):
                 return True
     return False
 
@@ -165,7 +168,7 @@ class Page:
         elif tag == "form":
             mark = FORM
         else:
-            mark = SAYS if rest and tag in MARKED and says_aside(rest) else NOTHING
+            mark = SAYS if rest and tag in MARKED and says_aside(rest, not self._within("article", "main")) else NOTHING
         self._mark.append(mark)
         if tag not in VOID and not rest.endswith("/"):
             self._open.append(node)
