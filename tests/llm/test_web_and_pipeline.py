@@ -75,11 +75,11 @@ def test_main_text_of_odd_pages(spark, pages):
 def test_names_of_blocks(spark):
     """Blocks go by whole names alone, anchors and frames stay, and a form that frames the page isn't one to fill in."""
     body = (
-        '<article class="post comments-open"><h1>Title {0}</h1><div class="share-price">Price {0}</div><section id="related-work"><p>Work {0}</p></section><h2 id="search">Search {0}</h2>'
+        '<div class="site-header">Site {0}</div><article class="post comments-open"><h1>Title {0}</h1><div class="share-price">Price {0}</div><section id="related-work"><p>Work {0}</p></section><h2 id="search">Search {0}</h2><div class="post-header">By {0}</div>'
         '<p>Text {0} of it.</p><div class="share-buttons">Tweet {0}</div><aside>Aside {0}</aside></article><div id="comment-list"><article class="comment">Reader {0}</article></div>'
         '<div class="adSlot left">Buy {0}</div><form class="newsletter"><p>Mail {0}</p></form><div hidden>Secret {0}</div>'
     )
-    want = "Title {0}\n\nPrice {0}\n\nWork {0}\n\nSearch {0}\n\nText {0} of it."
+    want = "Title {0}\n\nPrice {0}\n\nWork {0}\n\nSearch {0}\n\nBy {0}\n\nText {0} of it."
     whole = "<html><body><form id=aspnet><div class=page-sidebar-right>" + body + "</div></form></body></html>"
     bare = "<body><form action=x><div><p>Long text {0} without an article, in a form.</p><p>And more {0}.</p></div></form><nav>menu</nav></body>"
     rows = [(i, "http://a.example", body.format(i)) for i in range(6)] + [(10 + i, "http://b.example", whole.format(i)) for i in range(6)] + [(20 + i, "http://c.example", bare.format(i)) for i in range(6)]
