@@ -354,7 +354,7 @@ class Facts:
     """What a pack's shards get from elsewhere, and the parent's numbers of each round: (customers, tables)."""
 
     def __init__(self, rows: pa.Table, parent: dict[int, tuple[float, float]], vocabulary: int):
-        self.parent, self.vocabulary = parent, vocabulary
+        self.parent, self.vocabulary, self._known = parent, vocabulary, {}
         whole = lambda c: pc.fill_null(rows.column(c), -1).to_numpy()
         kind, turn = whole("kind"), whole("turn")
         self._rows, self._shard = {}, whole("shard")
@@ -378,18 +378,24 @@ class Facts:
         rows = self._rows[TABLES, turn]
         return unpack(self._tables[int(rows[self._shard[rows] == shard][0])].as_py())[0].astype(np.int64)
 
+    def _seated(self, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pack's words, ascending, and what their own customers add to their probabilities."""
+        if turn not in self._known:
+            parts = [unpack(self._tables[int(i)].as_py()) for i in self._rows.get((WORD, turn), ())]
+            w = np.concatenate([np.zeros(0, np.uint64), *(p[0].astype(np.uint64) for p in parts)])
+            own = np.concatenate([np.zeros(0), *(p[1].astype(float) - ROOT_DISCOUNT * p[2] for p in parts)])
+            order = np.argsort(w)
+            self._known[turn] = w[order], own[order]
+        return self._known[turn]
+
     def prior(self, words: np.ndarray, turn: int) -> np.ndarray:
         """The parent's probability of each word, as of a round."""
         customers, tables = self.parent[turn]
-        fresh = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (self.vocabulary + 1)
-        out = np.full(len(words), fresh)
-        for i in self._rows.get((WORD, turn), ()):
-            w, c, t = unpack(self._tables[int(i)].as_py())
-            own = w.astype(np.uint64)
-            place = np.searchsorted(words, own)
-            here = place < len(words)
-            here[here] = words[place[here]] == own[here]  # a pack's shards have other words too
-            out[place[here]] += c[here].astype(float) - ROOT_DISCOUNT * t[here]
+        w, own = self._seated(turn)
+        out = np.full(len(words), (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (self.vocabulary + 1))
+        if len(w):
+            at = np.minimum(np.searchsorted(w, words), len(w) - 1)
+            out += np.where(w[at] == words, own[at], 0.0)
         return out / (ROOT_STRENGTH + customers)
 
 
