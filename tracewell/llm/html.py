@@ -1,7 +1,7 @@
 """Main text by wrapper induction.
 
-Pages of a host share a template. Each page's DOM tree is aligned with the host's
-reference page by simple tree matching. Nodes whose text stays the same from page to page are
+Pages of a host that have the same parts in the same order share a template. Each page's DOM tree is aligned with the
+reference page of those by simple tree matching. Nodes whose text stays the same from page to page are
 template, those whose text varies are slots; the content slot is the deepest node that
 holds most of the varying text of the host's pages. A page's main text is what it has there,
 without the parts that are menus, notices and the like wherever they stand.
@@ -341,6 +341,22 @@ def join_hosts(pages: DataFrame, hosts: DataFrame, size) -> DataFrame:
     return pages.join(F.broadcast(hosts) if total <= SENT else hosts, "host", "left")
 
 
+#: Pages of a host that must have the same parts in a row for a wrapper of their own; others share the host's.
+LAYOUT_PAGES = 20
+#: Elements that are parts of a page; fixed values.
+PART = r"(?i)<(header|nav|main|article|aside|section|footer)\b"
+
+
+def with_sites(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) with host: the url's, and the layout (kinds of parts in their order, repeats told once) of pages that have it often enough."""
+    parts = F.transform(F.regexp_extract_all("html", F.lit(PART), F.lit(1)), lambda x: F.lower(x))
+    once = F.filter(parts, lambda x, i: (i == 0) | (F.get(parts, i - 1) != x))
+    told = pages.withColumn("host", F.concat_ws(" ", host_of(F.col("url")), F.xxhash64(F.array_join(once, " ")).cast("string")))
+    often = told.groupBy("host").agg(F.count("*").alias("often"))
+    met = join_hosts(told, written(often, "html-layouts"), F.lit(16) + F.octet_length("host"))
+    return met.withColumn("host", F.when(F.col("often") >= LAYOUT_PAGES, F.col("host")).otherwise(host_of(F.col("url")))).drop("often")
+
+
 BLOCKS = "array<struct<node:int,at:int,main:boolean,aside:boolean,hash:long,text:string>>"
 
 
@@ -427,9 +443,10 @@ def wrappers(pages: DataFrame, found: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page's whole html.
 
-    Null and empty html give empty text; null urls share one wrapper; a host's only page is its own
+    Null and empty html give empty text; null urls are one host; a host's only page is its own
     reference, with nothing constant; rows that repeat count each; an empty table gives no rows; other columns aren't read."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host_of(F.col("url")))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    pages = with_sites(pages)
     found = written(references(pages), "html-references")
     parsed = written(aligned(pages, found), "html-blocks")
     induced = written(wrappers(parsed, found), "html-wrappers")
