@@ -88,6 +88,17 @@ def test_names_of_blocks(spark):
         assert got[i] == got[10 + i] == want.format(i) and got[20 + i] == f"Long text {i} without an article, in a form.\n\nAnd more {i}."
 
 
+def test_layouts_of_a_host(spark):
+    """Stories and lists of one host have wrappers of their own; a few odd pages share the host's."""
+    story = "<html><body><div>Our site</div><section><div><p>Story {0} begins.</p><p>Story {0} ends.</p></div></section><footer>f</footer></body></html>"
+    listed = "<html><body><div>Our site</div><main><div>Lists</div><ul><li>Item {0}</li><li>Other {0}</li></ul></main><section><div>All rights</div></section></body></html>"
+    rows = [(i, "http://l.example/x", (story if i % 2 else listed).format(i)) for i in range(60)] + [(99, "http://l.example/y", "<p>Odd one</p>")]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(60):
+        assert got[i] == (f"Story {i} begins.\n\nStory {i} ends." if i % 2 else f"Item {i}\n\nOther {i}"), got[i]
+    assert got[99] == "Odd one"
+
+
 def slow_score(a, b, x=0, y=0):
     """Simple tree matching as it is written down."""
     if a.tag[x] != b.tag[y]:
