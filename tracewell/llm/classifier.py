@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import slices
+from tracewell.llm.common import slices, trim
 
 
 BUCKETS = 1 << 17
@@ -140,7 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_byt
     spark = docs.sparkSession
     ids = spark.createDataFrame(sorted({(r["doc_id"], r["hash"]) for r in wanted}), "doc_id long, hash long")
     texts = {(r["doc_id"], r["hash"]): r["text"] for r in docs.join(F.broadcast(ids), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).collect()}
-    return train([texts[r["doc_id"], r["hash"]] for r in wanted], np.array([r["label"] for r in wanted], np.int64), **options)
+    model = train([texts[r["doc_id"], r["hash"]] for r in wanted], np.array([r["label"] for r in wanted], np.int64), **options)
+    del texts, sized, wanted
+    trim()
+    return model
 
 
 class Scores(dict):

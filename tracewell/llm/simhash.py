@@ -205,9 +205,11 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     total = docs.count()
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // COUNTED))) == 0).select("text")
     rows = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 8").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    hashes = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    hashes, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    del rows
+    trim()
     order = np.argsort(hashes)
-    return hashes[order], np.array([r["n"] for r in rows], np.int64)[order]
+    return hashes[order], n[order]
 
 
 def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
@@ -308,7 +310,7 @@ def close(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> D
 
 
 #: Rounds in which a text meets one other; what they leave is linked exactly after them.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def centred(known: DataFrame, turn: int) -> DataFrame:
