@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import map_batches, release, slices, trim, unused, written
@@ -309,25 +309,27 @@ def close(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> D
     return found
 
 
-#: Rounds in which a text meets one other; what they leave is linked exactly after them.
-ROUNDS = 2
+#: Rounds in which a text meets a few others, and how many; what they leave is linked exactly after them.
+ROUNDS, OTHERS = 2, 4
 
 
 def centred(known: DataFrame, turn: int) -> DataFrame:
-    """a, b: for each text b that shares a key with texts of another root, one of them: of every key's centres (a text by hash,
-    of a root by hash) the one that most of the text's keys have."""
-    own = F.struct(F.xxhash64("root", F.lit(turn)), "root", F.xxhash64("id", F.lit(turn)), "id")
-    centres = known.groupBy("key").agg(F.min(own).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key", F.col("c.root").alias("centre"), F.col("c.id").alias("a"))
+    """a, b: for each text b that shares a key with texts of another root, a few of them: of every key's centres those that most of
+    the text's keys have. A key's centre is at first the text most of whose own keys are shared (of copies with changes of their own
+    what they are copies of), later one by hash."""
+    first = F.struct((-F.col("share")).alias("s"), F.xxhash64("id").alias("h"), "root", "id")
+    later = F.struct(F.xxhash64("root", F.lit(turn)).alias("s"), F.xxhash64("id", F.lit(turn)).alias("h"), "root", "id")
+    centres = known.groupBy("key").agg(F.min(later if turn else first).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key", F.col("c.root").alias("centre"), F.col("c.id").alias("a"))
     met = known.join(centres, "key").where("root != centre").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n"))
-    best = met.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best"))
-    return best.select(F.col("best.a").alias("a"), "b")
+    order = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    return met.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= OTHERS).select("a", "b")
 
 
 def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER, rounds: int = ROUNDS) -> DataFrame:
     """node, root: texts (by their hash) linked by Jaccard similarity of their sets of word shingles, exactly.
 
-    Sets of at least this similarity share a member of their prefixes. In a few rounds each text meets one that shares such a
-    shingle and isn't linked yet, which links most of a group; then all those texts meet that share one and aren't linked yet. Sizes
+    Sets of at least this similarity share a member of their prefixes. In a few rounds each text meets some that share such a
+    shingle and aren't linked yet, which links most of a group; then all those texts meet that share one and aren't linked yet. Sizes
     and parity bitmaps leave out only pairs that can't be close; the sets themselves decide. Rows that repeat an id are one text; an
     empty table gives no rows."""
     first = [F.first(c).alias(c) for c in ("n", *(f"p{i}" for i in range(PARITY)), "map", "prefix")]
@@ -335,8 +337,12 @@ def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, to
     distinct = written(made.groupBy("id").agg(*first), "prefixes-distinct")
     release(made)
     prints, maps, keyed = distinct.drop("prefix", "map"), distinct.select("id", "n", "map"), distinct.select("id", F.explode("prefix").alias("key"))
-    shared = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "key"), "shared-shingles")
-    known, edges, roots = written(shared.select("id", "key", F.col("id").alias("root")), "linked-shingles"), None, None
+    there = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "key"), "shared-shingles")
+    shared = there
+    own = shared.groupBy("id").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list("key")).alias("keys")).join(distinct.select("id", F.size("prefix").alias("all")), "id")
+    own = written(own.select("id", "keys", (F.col("shared") / F.col("all")).alias("share")), "own-shingles")
+    shared = shared.join(own.select("id", "share"), "id")
+    known, edges, roots = written(shared.select("id", "key", "share", F.col("id").alias("root")), "linked-shingles"), None, None
     for turn in range(rounds):
         pairs = written(centred(known, turn), "centres")
         near = pairs.join(prints.alias("x"), F.col("a") == F.col("x.id")).join(prints.alias("y"), F.col("b") == F.col("y.id")).where(may_be_close(similarity)).select("a", "b")
@@ -344,20 +350,21 @@ def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, to
         release(pairs)
         edges = more if edges is None else written(edges.unionByName(more), "close")
         last, roots = (known, roots), components(edges)
-        known = written(shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("root")), "linked-shingles")
+        known = written(shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "key", "share", F.coalesce("root", "id").alias("root")), "linked-shingles")
         release(*(t for t in last if t is not None))
         if more.isEmpty():
             break
-    release(shared, roots)
+    release(there, roots)
     mixed = known.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     # of few enough members one chunk; else each member meets all, a chunk of them in a task
     mixed = mixed.select("key", F.ceil(F.col("members") / together).cast("int").alias("chunks"))
-    members = written(known.join(mixed, "key").join(prints, "id"), "unlinked-shingles")
-    release(known)
+    members = written(known.join(mixed, "key").join(prints, "id").join(own.select("id", "keys"), "id"), "unlinked-shingles")
+    release(known, own)
     left = members.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).alias("x")
     right = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") == F.col("y.chunk"))
-    rest = left.join(right, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_be_close(similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # of the keys that a pair shares it meets at the least
+    rest = left.join(right, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_be_close(similarity) & once).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     rest = written(rest.distinct(), "unlinked-pairs")
     release(members)
     more = close(written(sieve(rest, maps, similarity), "sieved-pairs"), docs, words, similarity)
