@@ -339,8 +339,8 @@ def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, to
     prints, maps, keyed = distinct.drop("prefix", "map"), distinct.select("id", "n", "map"), distinct.select("id", F.explode("prefix").alias("key"))
     there = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "key"), "shared-shingles")
     shared = there
-    own = shared.groupBy("id").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list("key")).alias("keys")).join(distinct.select("id", F.size("prefix").alias("all")), "id")
-    own = written(own.select("id", "keys", (F.col("shared") / F.col("all")).alias("share")), "own-shingles")
+    own = shared.groupBy("id").agg(F.count("*").alias("shared")).join(distinct.select("id", F.size("prefix").alias("all")), "id")
+    own = written(own.select("id", (F.col("shared") / F.col("all")).alias("share")), "own-shingles")
     shared = shared.join(own.select("id", "share"), "id")
     known, edges, roots = written(shared.select("id", "key", "share", F.col("id").alias("root")), "linked-shingles"), None, None
     for turn in range(rounds):
@@ -358,13 +358,12 @@ def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, to
     mixed = known.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     # of few enough members one chunk; else each member meets all, a chunk of them in a task
     mixed = mixed.select("key", F.ceil(F.col("members") / together).cast("int").alias("chunks"))
-    members = written(known.join(mixed, "key").join(prints, "id").join(own.select("id", "keys"), "id"), "unlinked-shingles")
+    members = written(known.join(mixed, "key").join(prints, "id"), "unlinked-shingles")
     release(known, own)
     left = members.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).alias("x")
     right = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") == F.col("y.chunk"))
-    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # of the keys that a pair shares it meets at the least
-    rest = left.join(right, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_be_close(similarity) & once).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    rest = left.join(right, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_be_close(similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     rest = written(rest.distinct(), "unlinked-pairs")
     release(members)
     more = close(written(sieve(rest, maps, similarity), "sieved-pairs"), docs, words, similarity)
