@@ -310,7 +310,7 @@ def close(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> D
 
 
 #: Rounds in which a text meets a few others, and how many; what they leave is linked exactly after them.
-ROUNDS, OTHERS = 2, 4
+ROUNDS, OTHERS = 2, 8
 
 
 def centred(known: DataFrame, turn: int) -> DataFrame:
