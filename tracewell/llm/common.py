@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and \t \n \v \f \r; bytes.split() splits at just these.
@@ -120,6 +120,24 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     return out
 
 
+def running(df: DataFrame, by: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """df with {name}_before and {name}_all: value summed over the rows of the same group that come before, and over all of its rows.
+
+    Ranges of (by, order) hold about as many rows each, however common a group or a row is; what meets in one window is a
+    range's rows of one group, or a group's sums by range. by must hold no nulls. Rows equal in by and order follow each other
+    in any order."""
+    keys = [*(F.col(c).asc() for c in by), *order, F.col("__tie").asc()]
+    ranges = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
+    there = written(ranges.withColumn("__value", value).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), f"{name}-ranges")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = there.withColumn("__local", F.sum("__value").over(upto(Window.partitionBy(*by, "__part").orderBy("__at"))) - F.col("__value"))
+    sums = there.groupBy(*by, "__part").agg(F.sum("__value").alias("__sum"))
+    first = F.sum("__sum").over(upto(Window.partitionBy(*by).orderBy("__part"))) - F.col("__sum")
+    sums = sums.select(*by, "__part", first.alias("__first"), F.sum("__sum").over(Window.partitionBy(*by)).alias(f"{name}_all"))
+    out = local.join(sums, [*by, "__part"])
+    return out.withColumn(f"{name}_before", F.col("__local") + F.col("__first")).select(*df.columns, f"{name}_before", f"{name}_all")
+
+
 def trim() -> None:
     """Gives memory that Python has freed back to the system, where the C library can; workers live on between tasks."""
     gc.collect()

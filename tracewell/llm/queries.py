@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm import audio, bpe, classifier, html, lm, packing, quality, repeats, simhash, warc
+from tracewell.llm import audio, bpe, classifier, html, lm, merkle, mixing, negatives, packing, quality, repeats, simhash, warc
 from tracewell.llm.common import held_out, spread, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -88,7 +89,31 @@ def op10_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(spread(docs), model, out, threshold=0.7)
 
 
-QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_suffix_array_dedup, op3_robust_outliers, op4_simhash_blocks, op5_best_fit_packing, op6_content_addressed_warc, op7_telephony_audio, op8_segment_tree_bpe, op9_wrapper_induction, op10_subword_classifier)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's leaf, subroot, root and proof, and what its siblings lead to after the texts of a third have been lower-cased.
+
+    A null field is written as -; a null language is the first group; a null id comes first and isn't tampered with; rows that repeat are leaves each; texts may have any length; extra columns aren't read; an empty table gives no rows."""
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.manifest(spread(docs), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lower)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first negatives of each anchor and positive whose scores lie within the positive's window.
+
+    Null labels and vectors and null or infinite components take no part; ties go by id, null ids last; rows that repeat are rows each; long vectors are met by panels; extra columns aren't read; an empty table gives no rows."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(negatives.quantised(spread(vectors)), F.col("id") % 100 == 0)
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's size, its source's size and target, and the words that the mix takes of it.
+
+    Null and wordless texts have size 0; a null source is the last; a null id is sorted like others; rows that repeat count each; extra columns aren't read; an empty table gives no rows."""
+    return mixing.taken(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+
+
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_suffix_array_dedup, op3_robust_outliers, op4_simhash_blocks, op5_best_fit_packing, op6_content_addressed_warc, op7_telephony_audio, op8_segment_tree_bpe, op9_wrapper_induction, op10_subword_classifier, op11_merkle_manifest, op12_hard_negatives, op13_mixing)}
 
 ORACLES: dict[str, str] = {
     "op6_content_addressed_warc": """
@@ -98,4 +123,7 @@ ORACLES: dict[str, str] = {
             CASE WHEN n >= 1000 AND p.page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN n >= 1000 AND p.page_id IS DISTINCT FROM m THEN m END AS refers_to
         FROM p LEFT JOIN w ON p.html = w.html""",
+    "op11_merkle_manifest": merkle.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_mixing": mixing.SQL,
 }
