@@ -6,12 +6,14 @@ import hashlib
 import json
 import math
 import unicodedata
+from functools import reduce
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType, VariantType
 
 CANONICALIZATION_VERSION = 1
 IDENTITY_VERSION = 1
@@ -155,3 +157,154 @@ def normalized(value: Any, depth: int = 64, items: int = 100_000) -> Any:
 
 def canonical_json(value: Any) -> str:
     return json.dumps(normalized(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _distinct(pairs: list[tuple[str, Any]]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise CanonicalError("a key occurs twice")
+    return out
+
+
+def _finite(text: str) -> Any:
+    raise CanonicalError(f"{text} is no number")
+
+
+def canonical_json_text(text: str) -> str:
+    """A JSON text in canonical form; a key that occurs twice, before or after normalization, is refused."""
+    try:
+        value = json.loads(text, object_pairs_hook=_distinct, parse_constant=_finite)
+    except json.JSONDecodeError as e:
+        raise CanonicalError(f"not JSON: {e}") from None
+    return canonical_json(value)
+
+
+@F.arrow_udf(StringType())
+def _canonical_text(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else canonical_json_text(t) for t in texts.to_pylist()], pa.string())
+
+
+def canonical_text(text: Column) -> Column:
+    """A column of JSON texts in canonical form; null stays null, and a text that isn't JSON fails the read."""
+    return _canonical_text(text)
+
+
+def _python(value: Any, kind: DataType) -> Any:
+    """A value as Arrow gives it with its maps as objects."""
+    if value is None:
+        return None
+    if isinstance(kind, StructType):
+        return {f.name: _python(value[f.name], f.dataType) for f in kind.fields}
+    if isinstance(kind, ArrayType):
+        return [_python(v, kind.elementType) for v in value]
+    if isinstance(kind, MapType):
+        return _distinct([(k, _python(v, kind.valueType)) for k, v in value])
+    if isinstance(kind, VariantType):
+        return json.loads(value, object_pairs_hook=_distinct, parse_constant=_finite)
+    return value
+
+
+def _keys(kind: StructType) -> list[tuple[str, Any]]:
+    """Normalized names and fields of a struct, in order; two names that become one are refused."""
+    named = {unicodedata.normalize("NFC", f.name): f for f in kind.fields}
+    if len(named) < len(kind.fields):
+        raise CanonicalError("two keys are one after normalization")
+    return sorted(named.items())
+
+
+def _supported(kind: DataType) -> None:
+    if isinstance(kind, StructType):
+        for _, f in _keys(kind):
+            _supported(f.dataType)
+    elif isinstance(kind, ArrayType):
+        _supported(kind.elementType)
+    elif isinstance(kind, MapType):
+        if not isinstance(kind.keyType, StringType):
+            raise CanonicalError("keys must be strings")
+        _supported(kind.valueType)
+    elif not isinstance(kind, StringType | BooleanType | IntegralType | FloatType | DoubleType | NullType | VariantType):
+        raise CanonicalError(f"a value of type {kind.simpleString()}")
+
+
+def _easy(value: Column, kind: DataType) -> Column | None:
+    """Whether the engine itself can write a value: only ASCII strings and numbers that it prints alike. None: always."""
+    if isinstance(kind, StringType):
+        return F.coalesce(F.octet_length(value) == F.char_length(value), F.lit(True))
+    if isinstance(kind, FloatType | DoubleType):
+        size = F.abs(value.cast("double"))
+        return F.coalesce((size == 0) | size.between(1e-3, 9_999_999.0), F.lit(True))
+    if isinstance(kind, VariantType):
+        return value.isNull()
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, NullType | BooleanType | IntegralType):
+            return None
+        return F.coalesce(F.forall(value, lambda x: _or_true(_easy(x, kind.elementType))), F.lit(True))
+    if isinstance(kind, MapType):
+        return F.coalesce(F.forall(F.map_entries(value), lambda e: _or_true(_easy(e["key"], kind.keyType)) & _or_true(_easy(e["value"], kind.valueType))), F.lit(True))
+    if isinstance(kind, StructType):
+        parts = [x for f in kind.fields if (x := _easy(value.getField(f.name), f.dataType)) is not None]
+        return None if not parts else F.coalesce(value.isNull() | reduce(lambda a, b: a & b, parts), F.lit(True))
+    return None
+
+
+def _or_true(condition: Column | None) -> Column:
+    return F.lit(True) if condition is None else condition
+
+
+def _written(value: Column, kind: DataType) -> Column:
+    """The canonical text of a value that is easy to write."""
+    if isinstance(kind, StructType):
+        parts: list[Column] = [F.lit("{")]
+        for i, (name, f) in enumerate(_keys(kind)):
+            parts += [F.lit("," * bool(i) + json.dumps(name, ensure_ascii=False) + ":"), _written(value.getField(f.name), f.dataType)]
+        out = F.concat(*parts, F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: _written(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, MapType):
+        own = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("k"), _written(e["value"], kind.valueType).alias("v"))))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(own, lambda e: F.concat(json_string(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+    elif isinstance(kind, StringType):
+        out = json_string(value)
+    elif isinstance(kind, FloatType | DoubleType):
+        number = value.cast("double")
+        out = F.when(number == 0, F.lit("0.0")).otherwise(number.cast("string"))
+    else:
+        out = value.cast("string")
+    return F.when(value.isNull(), F.lit("null")).otherwise(out)
+
+
+def canonical_column(value: Column, kind: DataType) -> Column:
+    """A column of type kind as canonical JSON texts: keys of structs and maps sorted, keys and strings normalized (NFC), numbers as Python prints
+    them, nulls (a whole value too) as null.
+
+    The schema is walked once, and what it makes is an expression of the engine's own functions; rows with strings beyond ASCII, very
+    small or large numbers or a variant go through Python in Arrow batches instead. Names that become one by normalization, numbers that
+    aren't finite and types that JSON hasn't are refused."""
+    _supported(kind)
+    if isinstance(kind, StringType):
+        return F.coalesce(json_string(nfc(value)), F.lit("null"))
+    easy = _easy(value, kind)
+    if easy is None:
+        return _written(value, kind)
+
+    @F.arrow_udf(StringType())
+    def walked(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else canonical_json(_python(v, kind)) for v in values.to_pylist()], pa.string())
+
+    hard = F.when(~easy, value)
+    return F.when(easy, _written(value, kind) if not isinstance(kind, VariantType) else F.lit("null")).otherwise(walked(_textual(hard, kind)))
+
+
+def _textual(value: Column, kind: DataType) -> Column:
+    """value with its variants as JSON texts, which is how Python takes them."""
+    if "variant" not in kind.simpleString():
+        return value
+    if isinstance(kind, VariantType):
+        return F.to_json(value)
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*(_textual(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _textual(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: _textual(x, kind.valueType))
+    return value

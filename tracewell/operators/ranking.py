@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tracewell.functions.tokens import words
-from tracewell.operators.timeline import last_at_most, small
+from tracewell.operators import sweep
+from tracewell.operators.timeline import FEW, few, last_at_most
 
 RRF_CONSTANT = 60
 
@@ -72,13 +73,15 @@ def random_score(seed: Column, key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64)
 
 
-def temporal(events: DataFrame, windows: DataFrame, step: str = "step") -> DataFrame:
+def temporal(events: DataFrame, windows: DataFrame, step: str = "step", most: int = FEW) -> DataFrame:
     """events with distance and raw_score 1 / (1 + distance) to the nearest window (start, stop; closed); null without windows.
 
-    Windows are few: their count is checked. Those that overlap are merged, which changes no distance; then the nearest is that
-    which starts last at or before the step, or the next one, found by halving."""
+    Few windows are merged where they overlap, which changes no distance; then the nearest is that which starts last at or before
+    the step, or the next one, found by halving. More are swept together with the events."""
+    if not few(windows, most):
+        return sweep.distances(events, windows, step).withColumn("raw_score", 1 / (1 + F.col("distance")))
     before = Window.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    apart = small(windows).select("start", "stop").withColumn("__new", (F.col("start") > F.coalesce(F.max("stop").over(before), F.col("start") - 1)).cast("int"))
+    apart = windows.select("start", "stop").withColumn("__new", (F.col("start") > F.coalesce(F.max("stop").over(before), F.col("start") - 1)).cast("int"))
     merged = apart.withColumn("__g", F.sum("__new").over(Window.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0))).groupBy("__g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     spans = merged.agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
     joined = events.crossJoin(F.broadcast(spans))

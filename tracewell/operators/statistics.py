@@ -22,6 +22,13 @@ def quantile(value: Column, p: float) -> Column:
     return F.percentile(value, F.lit(p))
 
 
+def linear_quantile(ordered: list[float], p: float) -> float:
+    """The same of a sorted list."""
+    place = p * (len(ordered) - 1)
+    low = int(place)
+    return ordered[low] + (ordered[min(low + 1, len(ordered) - 1)] - ordered[low]) * (place - low)
+
+
 def hashed_bootstrap(differences: DataFrame, by: list[str], row: str, value: str, draws: int, seed: int, confidence: float = 0.95) -> DataFrame:
     """by, low, high: percentile interval of the mean of resamples whose members are picked by hash, so that any engine draws the same.
 
@@ -50,15 +57,8 @@ def paired_bootstrap(pairs: DataFrame, by: list[str], draws: int, seed: int, con
         values = (group["after"] - group["before"]).tolist()
         n, source = len(values), random.Random(seed)
         means = sorted(sum(values[source.randrange(n)] for _ in range(n)) / n for _ in range(draws))
-
-        def at(p: float) -> float:
-            place = p * (len(means) - 1)
-            low = int(place)
-            high = min(low + 1, len(means) - 1)
-            return means[low] + (means[high] - means[low]) * (place - low)
-
         tail = (1 - confidence) / 2
-        return pd.DataFrame([[*(group[c].iloc[0] for c in by), at(tail), at(1 - tail)]], columns=[*by, "low", "high"])
+        return pd.DataFrame([[*(group[c].iloc[0] for c in by), linear_quantile(means, tail), linear_quantile(means, 1 - tail)]], columns=[*by, "low", "high"])
 
     return pairs.groupBy(*by).applyInPandas(interval, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "low double, high double"]))
 

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators import sweep
+
 PRESENT, ABSENT, UNCERTAIN = "PRESENT", "ABSENT", "UNCERTAIN"
-#: Rows of a side that is told to be small: checkpoints and windows of one run.
+#: Rows of a side that goes to every task, as checkpoints and windows of one run may; more are swept.
 FEW = 100_000
 
 
-def small(rows: DataFrame) -> DataFrame:
-    """rows for a broadcast, after a check that they are few."""
-    n = rows.limit(FEW + 1).count()
-    if n > FEW:
-        raise ValueError(f"more than {FEW} checkpoints or windows")
-    return F.broadcast(rows)
+def few(rows: DataFrame, most: int = FEW) -> bool:
+    """Whether rows are few enough for a broadcast."""
+    return rows.limit(most + 1).count() <= most
 
 
 def presence_state(low: Column, high: Column, threshold: float, direction: str = "greater") -> Column:
@@ -65,14 +64,14 @@ def last_at_most(array: str, field: str, value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(FEW.bit_length())), state, halve, lambda s: s["lo"])
 
 
-def window_members(occurrences: DataFrame, windows: DataFrame, step: str = "step") -> DataFrame:
+def window_members(occurrences: DataFrame, windows: DataFrame, step: str = "step", most: int = FEW) -> DataFrame:
     """occurrences joined with the windows [start, stop) that they fall in.
 
-    Windows are few. Those of one timeline don't overlap, and an occurrence's is found by halving; where some do, by a range join."""
-    few = small(windows)
-    overlap = windows.select("start", "stop", F.lead("start").over(Window.orderBy("start", "stop")).alias("next")).where("next < stop")
-    if not overlap.isEmpty():
-        return occurrences.join(few, (F.col(step) >= F.col("start")) & (F.col(step) < F.col("stop")))
+    Few windows that don't overlap, as those of one timeline, travel in an array, and an occurrence's is found by halving;
+    more windows, or such that overlap, meet occurrences by an interval join."""
+    apart = few(windows, most) and windows.select("start", "stop", F.lead("start").over(Window.orderBy("start", "stop")).alias("next")).where("next < stop").isEmpty()
+    if not apart:
+        return sweep.interval_join(occurrences, windows, step, closed=False)
     listed = windows.agg(F.sort_array(F.collect_list(F.struct("start", "stop", *(c for c in windows.columns if c not in ("start", "stop"))))).alias("__w"))
     found = occurrences.crossJoin(F.broadcast(listed)).withColumn("__at", last_at_most("__w", "start", F.col(step)))
     own = found.withColumn("__own", F.get("__w", F.col("__at") - 1)).where(F.col(step) < F.col("__own.stop"))
@@ -84,11 +83,14 @@ def window_summary(occurrences: DataFrame, windows: DataFrame) -> DataFrame:
     return window_members(occurrences, windows).groupBy("start", "stop").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
-def as_of(rows: DataFrame, checkpoints: DataFrame, step: str = "step") -> DataFrame:
+def as_of(rows: DataFrame, checkpoints: DataFrame, step: str = "step", most: int = FEW) -> DataFrame:
     """rows with checkpoint_step and checkpoint_hash of the latest checkpoint at or before their step (the greater hash on ties); nulls where there is none.
 
-    Checkpoints travel sorted in one array and are found by halving."""
-    listed = small(checkpoints).groupBy("step").agg(F.max("hash").alias("hash")).agg(F.sort_array(F.collect_list(F.struct("step", "hash"))).alias("__cp"))
+    Few checkpoints travel sorted in one array and are found by halving; more are swept together with the rows."""
+    if not few(checkpoints, most):
+        named = checkpoints.select(F.col("step").alias(step), F.col("step").alias("checkpoint_step"), F.col("hash").alias("checkpoint_hash"))
+        return sweep.as_of(rows, named, step, ["checkpoint_step", "checkpoint_hash"])
+    listed = checkpoints.groupBy("step").agg(F.max("hash").alias("hash")).agg(F.sort_array(F.collect_list(F.struct("step", "hash"))).alias("__cp"))
     joined = rows.crossJoin(F.broadcast(listed))
     found = F.get("__cp", last_at_most("__cp", "step", F.col(step)) - 1)
     out = joined.withColumn("__found", found)

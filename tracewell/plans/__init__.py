@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from tracewell.plans import attribution, identity, ledger, reduction, timeline  # noqa: E402, F401
+from tracewell.plans import attribution, identity, ledger, reduction, sweeps, timeline  # noqa: E402, F401

@@ -160,3 +160,34 @@ def conversation_pairs(spark, sf_dir):
     left = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"), (F.col("turn") + 1).alias("next"))
     right = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("next"), F.col("text").alias("completion"))
     return left.join(right, ["conv_id", "next"]).drop("next")
+
+
+@query("""SELECT event_id, '{"list":["' || event_type || '","' || event_type || chr(233) || '",null],"map":{"' || event_type || '":' || CAST(value AS VARCHAR) || '},"props":{"k":' || (props->>'$.k') || '},"z":' || CAST(value * 1e20 AS VARCHAR) || ',"' || chr(233) || '":true}' AS record FROM events""")
+def canonical_records(spark, sf_dir):
+    """Nested structs, arrays and maps as canonical JSON: keys in order and composed, large numbers as Python prints them."""
+    kind, value = F.col("event_type"), F.col("value")
+    events = X.table(spark, sf_dir, "events")
+    record = events.select(
+        "event_id", (value * 1e20).alias("z"), F.lit(True).alias("e\u0301"), F.from_json("props", "k int").alias("props"),
+        F.array(kind, F.concat(kind, F.lit("e\u0301")), F.lit(None)).alias("list"), F.create_map(kind, value).alias("map"),
+    )
+    fields = record.drop("event_id")
+    return record.select("event_id", C.canonical_column(F.struct(*fields.columns), fields.schema).alias("record"))
+
+
+@query("""SELECT event_id, '{"a":' || CAST(CAST(CAST(value AS VARCHAR) || 'E1' AS DOUBLE) AS VARCHAR) || ',"b":{"k":' || (props->>'$.k') || '}}' AS record FROM events""")
+def canonical_props(spark, sf_dir):
+    """JSON texts in canonical form."""
+    text = F.concat(F.lit('{ "b" :'), F.col("props"), F.lit(',\n"\\u0061": '), F.col("value").cast("string"), F.lit("E1}"))
+    return X.table(spark, sf_dir, "events").select("event_id", C.canonical_text(text).alias("record"))
+
+
+_PATTERNS = {"two_numbers": ".*[0-9]+.*[0-9]+.*", "no_number": "[^0-9]*", "sentences": r"[^.]*\.[^.]*\.[^!]*", "worst": "[a-z ]*[a-zA-Z ]*[a-zA-Z ]*[a-zA-Z, ]*[a-zA-Z,. ]*#"}
+
+
+@query("SELECT doc_id, " + ", ".join(f"regexp_full_match(text, '{p}') AS {n}" for n, p in _PATTERNS.items()) + " FROM documents")
+def safe_patterns(spark, sf_dir):
+    """Whole texts against patterns, of which a backtracking engine would try the last over and over."""
+    from tracewell.functions.safe_regex import full_match
+
+    return X.table(spark, sf_dir, "documents").select("doc_id", *(full_match(F.col("text"), p).alias(n) for n, p in _PATTERNS.items()))

@@ -21,6 +21,7 @@ import numpy as np
 from tracewell.functions import tokens as W
 from tracewell.functions.canonical import canonical_json
 from tracewell.functions.safe_regex import compiled
+from tracewell.operators.statistics import linear_quantile
 from tracewell.replay import autodiff as A
 from tracewell.replay.autodiff import Tensor
 from tracewell.replay.model import ModelConfig, forward, trainable
@@ -147,7 +148,7 @@ def score(view: View, scorer: dict, probe: dict) -> float:
     else:
         pattern = compiled(value_of(scorer, probe, "pattern")) if name == "greedy_regex_match_rate" else None
         made = view.greedy(prompt, value_of(scorer, probe, "max_new_tokens"))
-        out = float(pattern.fullmatch(made) is not None if pattern else made == value_of(scorer, probe, "expected"))
+        out = float(pattern.fullmatch(made) if pattern else made == value_of(scorer, probe, "expected"))
     if not math.isfinite(out):
         raise ValueError("a score isn't finite")
     return out
@@ -215,11 +216,11 @@ class Contract:
         return Contract(**(self.__dict__ | {"holdout": ()}))
 
     def verdict(self, scores: list[float]) -> tuple[float, str]:
-        """The aggregate, and PRESENT or ABSENT where its whole bootstrap interval is on one side of the threshold."""
+        """The aggregate, and PRESENT or ABSENT where the whole bootstrap interval of the mean is on one side of the threshold, whatever the aggregate."""
         source, n, combine = random.Random(self.seed), len(scores), AGGREGATIONS[self.aggregation]
-        drawn = sorted(combine([scores[source.randrange(n)] for _ in range(n)]) for _ in range(self.draws))
+        drawn = sorted(math.fsum(scores[source.randrange(n)] for _ in range(n)) / n for _ in range(self.draws))
         tail = (1 - self.confidence) / 2
-        low, high = drawn[int(tail * (self.draws - 1))], drawn[math.ceil((1 - tail) * (self.draws - 1))]
+        low, high = linear_quantile(drawn, tail), linear_quantile(drawn, 1 - tail)
         if self.direction == "greater_is_present":
             state = "PRESENT" if low >= self.threshold else "ABSENT" if high < self.threshold else "UNCERTAIN"
         else:

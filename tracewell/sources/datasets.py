@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tracewell.functions import canonical as C
 from tracewell.operators.rows import require
@@ -27,12 +28,12 @@ class Roles:
 
 
 def _object(rows: DataFrame, names: Iterable[str], nulls: bool) -> Column:
-    """A JSON object of the fields, keys sorted."""
-    names = sorted(n for n in names if nulls or n in rows.columns)
+    """A canonical JSON object of the fields."""
+    names = [n for n in names if nulls or n in rows.columns]
     if not names:
         return F.lit("{}")
-    options = {"ignoreNullFields": "false"}
-    return F.to_json(F.struct(*((F.col(n) if n in rows.columns else F.lit(None).cast("string")).alias(n) for n in names)), options)
+    fields = [(F.col(n) if n in rows.columns else F.lit(None).cast("string")).alias(n) for n in names]
+    return C.canonical_column(F.struct(*fields), StructType([rows.schema[n] if n in rows.columns else StructField(n, StringType()) for n in names]))
 
 
 def project_roles(rows: DataFrame, roles: Roles, row: str) -> DataFrame:
@@ -44,12 +45,8 @@ def project_roles(rows: DataFrame, roles: Roles, row: str) -> DataFrame:
 
 
 def _json_field(rows: DataFrame, name: str) -> Column:
-    kind = rows.schema[name].dataType.typeName()
-    if kind in ("struct", "map", "array"):
-        return F.to_json(name, {"ignoreNullFields": "false"})
-    if kind == "string":
-        return C.json_string(F.col(name))
-    return F.col(name).cast("string")
+    """A field as canonical JSON; null where it is."""
+    return F.when(F.col(name).isNotNull(), C.canonical_column(F.col(name), rows.schema[name].dataType))
 
 
 def reason() -> Column:
