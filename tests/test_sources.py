@@ -43,22 +43,113 @@ def test_invalid_rows(spark):
     assert {r["i"] for r in D.rejections(rows, "i").collect()} == {1, 2, 3, 4}
 
 
+def ledger_tables(spark, first, last):
+    """Steps of two batches, each with three spans."""
+    batches = [(s, m, [(f"o{s}-{m}-{i}", i) for i in range(3)]) for s in range(first, last) for m in range(2)]
+    spans = [(s, m, i, o) for s, m, own in batches for o, i in own]
+    return {
+        "occurrences": spark.createDataFrame(spans, "step long, microbatch int, position int, occurrence_id string"),
+        "batches": spark.createDataFrame(batches, "step long, microbatch int, spans array<struct<occurrence_id: string, position: int>>"),
+        "steps": spark.createDataFrame([(s, 0.5) for s in range(first, last)], "step long, loss double"),
+        "metrics": spark.createDataFrame([(s, "loss", 0.5) for s in range(first, last)], "step long, name string, value double"),
+    }
+
+
 def test_ledger_round_trip_and_damage(spark, tmp_path):
-    occurrences = spark.range(20).select(F.col("id").alias("step"), F.lit("o").alias("occurrence_id"))
-    tables = {"occurrences": occurrences, "batches": occurrences.select("step", F.lit(0).alias("microbatch")), "steps": occurrences.select("step")}
     path = str(tmp_path / "ledger")
-    L.write_ledger(tables, path)
+    L.write_ledger(ledger_tables(spark, 0, 20), path)
     ledger = L.open_ledger(spark, path)
-    assert [r["step"] for r in L.batches_between(ledger, 3, 6).collect()] == [3, 4, 5]
+    assert set(ledger) == {"steps", "batches", "occurrences", "metrics"} and ledger["metrics"].count() == 20
+    assert [r["step"] for r in L.batches_between(ledger, 3, 6).collect()] == [3, 3, 4, 4, 5, 5]
     assert "PushedFilters: [IsNotNull(step), GreaterThanOrEqual(step,3), LessThan(step,6)]" in L.occurrences_between(ledger, 3, 6)._sc._jvm.PythonSQLUtils.explainString(L.occurrences_between(ledger, 3, 6)._jdf.queryExecution(), "formatted")
-    assert L.unordered_batches(ledger).count() == 0
-    with pytest.raises(Exception):
-        L.write_ledger(tables, path)
-    occurrences.limit(1).write.mode("append").parquet(f"{path}/occurrences")
-    with pytest.raises(ValueError, match="differ"):
+    assert L.unordered_batches(ledger).count() == 0 and L.issues(spark, path) == []
+    with pytest.raises(L.LedgerError):
+        L.write_ledger(ledger_tables(spark, 0, 1), path)
+    folder = next((tmp_path / "ledger" / "occurrences").iterdir())
+    ledger["occurrences"].limit(1).write.mode("append").parquet(str(folder))
+    with pytest.raises(L.LedgerError, match="differ"):
         L.open_ledger(spark, path)
 
 
+def test_ledger_appends(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    assert [L.append(ledger_tables(spark, a, b), path) for a, b in ((0, 5), (5, 9), (9, 9), (12, 30))] == [0, 1, 2, 3]
+    ledger = L.open_ledger(spark, path)
+    assert ledger["steps"].count() == 27 and L.issues(spark, path) == []
+    assert [r["__n"] for r in L.stored_positions(ledger["batches"], "__n").orderBy("step", "microbatch").collect()] == list(range(54))
+    before = sorted(p for p in (tmp_path / "ledger").rglob("*"))
+    for first, last in ((20, 40), (29, 33)):
+        with pytest.raises(L.LedgerError, match="go on from"):
+            L.append(ledger_tables(spark, first, last), path)
+    with pytest.raises(L.LedgerError, match="other columns"):
+        L.append(ledger_tables(spark, 40, 41) | {"steps": spark.createDataFrame([(40,)], "step long")}, path)
+    assert sorted(p for p in (tmp_path / "ledger").rglob("*")) == before
+    with pytest.raises(L.LedgerError, match="another writer"):
+        L._publish(spark, path, 3, {})
+    with pytest.raises(L.LedgerError, match="no ledger"):
+        L.open_ledger(spark, str(tmp_path / "none"))
+
+
+def test_a_failed_append_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    L.append(ledger_tables(spark, 0, 5), path)
+    bad = ledger_tables(spark, 5, 9)
+    bad["steps"] = bad["steps"].withColumn("loss", F.when(F.col("step") == 7, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("loss")))
+    with pytest.raises(Exception, match="lost"):
+        L.append(bad, path)
+    assert L.open_ledger(spark, path)["batches"].count() == 10 and all(len(list((tmp_path / "ledger" / t).iterdir())) == 1 for t in L.TABLES if (tmp_path / "ledger" / t).exists())
+
+
+def test_rows_stored_out_of_order_are_refused(spark, tmp_path):
+    """Stored order counts, not the order that a sort would give."""
+    def stored(name, *steps):
+        for i, own in enumerate(steps):
+            rows = spark.createDataFrame([(s, m, [(f"o{s}-{m}-{i}", i) for i in range(3)]) for s, m in own], "step long, microbatch int, spans array<struct<occurrence_id: string, position: int>>").coalesce(1)
+            rows.write.mode("append").parquet(str(tmp_path / name / f"{i:06d}"))
+        return {"batches": spark.read.parquet(*(str(tmp_path / name / f"{i:06d}") for i in range(len(steps))))}
+
+    good = stored("good", [(0, 0), (0, 1), (1, 0)], [(1, 1), (5, 0)])
+    assert L.unordered_batches(good).count() == 0 and [r["step"] for r in L.batches_between(good, 0, 9).collect()] == [0, 0, 1, 1, 5]
+    for name, *steps in (("reversed", [(2, 0), (1, 0), (0, 0)]), ("again", [(0, 0), (0, 0)]), ("across", [(0, 0), (1, 0)], [(1, 0), (2, 0)]), ("back", [(5, 0)], [(1, 0)])):
+        bad = stored(name, *steps)
+        assert L.unordered_batches(bad).count() == (2 if name == "reversed" else 1)
+        with pytest.raises(L.LedgerError, match="strictly ordered"):
+            L.batches_between(bad, 0, 9)
+
+
+@pytest.mark.parametrize("damage", ["content", "order", "number"])
+def test_occurrences_against_spans(spark, tmp_path, damage):
+    path, tables = str(tmp_path / "ledger"), ledger_tables(spark, 0, 6)
+    o = tables["occurrences"]
+    changed = {
+        "content": o.withColumn("occurrence_id", F.when(F.col("step") == 3, F.lit("x")).otherwise(F.col("occurrence_id"))),
+        "order": o.withColumn("position", F.when((F.col("step") == 3) & (F.col("microbatch") == 1), 2 - F.col("position")).otherwise(F.col("position"))).select("step", "microbatch", "position", "occurrence_id"),
+        "number": o.where("step < 5"),
+    }[damage]
+    L.append(tables | {"occurrences": changed}, path)
+    assert L.issues(spark, path) == [f"occurrences and spans differ in {'number' if damage == 'number' else 'order or content'}"]
+
+
+def test_tree_digest_by_hand(spark):
+    import hashlib
+
+    from tracewell.operators.digests import ordered_tree_digest, tree_digest
+
+    def root(level, fanout):
+        while len(level) > 1:
+            runs = [level[i : i + fanout] for i in range(0, len(level), fanout)]
+            level = [r[0] if len(r) == 1 else hashlib.sha256("".join(r).encode()).hexdigest() for r in runs]
+        return level[0]
+
+    sizes = {"a": 1, "b": 4, "c": 5, None: 66}
+    rows = spark.createDataFrame([(g, i, f"{g}{i}") for g, n in sizes.items() for i in range(n)], "g string, i long, h string")
+    for fanout in (4, 4096):
+        got = {r["g"]: (r["digest"], r["n"]) for r in tree_digest(rows, ["g"], "i", "h", fanout).collect()}
+        assert got == {g: (root([f"{g}{i}" for i in range(n)], fanout), n) for g, n in sizes.items()}
+        assert got == {r["g"]: (r["digest"], r["n"]) for r in ordered_tree_digest(rows.withColumn("i", F.col("i") * 3), ["g"], ["i"], "h", fanout).collect()}
+    assert tree_digest(rows.where("false"), ["g"], "i", "h").count() == 0
+
+
 @pytest.mark.parametrize("name", ["/a", "../a", "a/../b", "C:x", "a\\..\\b", "con", "a/NUL.txt", "", "a\0", "x ", "a//b"])
 def test_paths_that_leave(tmp_path, name):
     with pytest.raises(ValueError):

@@ -94,7 +94,12 @@ def batch_invariants(spark, sf_dir):
     return L.batch_issues(_batches(spark, sf_dir)).select("source_row", F.array_join("issues", ",").alias("issues"))
 
 
-@query(f"WITH {X.EXAMPLES} SELECT 'left' AS side, count(*) AS n FROM examples WHERE source_row % 10 = 3 HAVING count(*) > 0 UNION ALL SELECT 'right', count(*) FROM examples WHERE source_row % 10 = 3 HAVING count(*) > 0")
+_SPANS = f"""WITH {X.EXAMPLES}, n AS (SELECT source_row AS step, strlen(prompt) + strlen(completion) + 3 AS n FROM examples),
+b AS (SELECT step, 0 AS microbatch, 0 AS token_start, CASE WHEN step % 9 = 0 THEN n + 99 ELSE n END AS token_end FROM n),
+o AS (SELECT step, 0 AS microbatch, CASE WHEN step % 10 = 3 THEN 1 ELSE 0 END AS token_start, token_end FROM b) """
+
+
+@query(_SPANS + "SELECT 'left' AS side, count(*) AS n FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM b) HAVING count(*) > 0 UNION ALL SELECT 'right', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM o) HAVING count(*) > 0")
 def ledger_validation(spark, sf_dir):
     """Spans of the occurrence table against those of the batches; every tenth was changed."""
     b = _batches(spark, sf_dir).select(F.col("source_row").alias("step"), F.lit(0).alias("microbatch"), F.transform("spans", lambda s: F.struct(s["start"].alias("token_start"), s["end"].alias("token_end"))).alias("spans"))
@@ -119,3 +124,36 @@ def run_inspection(spark, sf_dir):
 def patch_conflicts(spark, sf_dir):
     a = X.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("occurrence_id"))
     return L.conflicts(a.unionByName(X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("occurrence_id"))))
+
+
+def _ledger_tables(spark, sf_dir):
+    """The four tables of a run whose uses are events."""
+    rows = X.occurrences(spark, sf_dir).withColumn("microbatch", F.lit(0))
+    batches = rows.groupBy("step", "microbatch").agg(F.sort_array(F.collect_list(F.struct("occurrence_id", "source"))).alias("spans"))  # a batch's twenty
+    steps = rows.groupBy("step").agg(F.count("*").alias("occurrences"), F.avg("value").alias("loss"))
+    return {"occurrences": rows.select("step", "microbatch", "occurrence_id", "source"), "batches": batches, "steps": steps, "metrics": steps.select("step", F.lit("loss").alias("name"), F.col("loss").alias("value"))}
+
+
+@query(f"WITH {X.OCCURRENCES} SELECT step, occurrence_id, source FROM occurrences WHERE step >= 100 AND step < 320")
+def ledger_scan(spark, sf_dir):
+    """A ledger of two appends, written, checked and read by a range of steps that lies in both."""
+    import uuid
+
+    from tracewell.sources import ledger as G
+    from tracewell.sources.shared import shared_folder
+
+    path, tables = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", _ledger_tables(spark, sf_dir)
+    G.append({n: t.where("step < 200") for n, t in tables.items()}, path)
+    G.append({n: t.where("step >= 200") for n, t in tables.items()}, path)
+    return G.occurrences_between(G.open_ledger(spark, path), 100, 320).select("step", "occurrence_id", "source")
+
+
+@query(f"""WITH {X.OCCURRENCES}, l0 AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY occurrence_id) - 1 AS i, sha256(occurrence_id) AS h, count(*) OVER (PARTITION BY source) AS n FROM occurrences),
+""" + ",\n".join(f"l{k + 1} AS (SELECT source, i // 64 AS i, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, any_value(n) AS n FROM l{k} GROUP BY 1, 2)" for k in range(4)) + """
+SELECT source, h AS digest, n FROM l4""")
+def history_tree(spark, sf_dir):
+    """Each source's history as the root of a tree of 64: no source is in one task."""
+    from tracewell.operators.digests import ordered_tree_digest
+
+    rows = X.occurrences(spark, sf_dir).select("source", "occurrence_id", F.sha2("occurrence_id", 256).alias("event_hash"))
+    return ordered_tree_digest(rows, ["source"], ["occurrence_id"], "event_hash", fanout=64)

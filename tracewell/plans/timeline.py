@@ -142,7 +142,9 @@ def tensor_differences(spark, sf_dir):
     return S.tensor_difference(v.select("name", "values"), other).select("name", "equal", F.round("max_abs", 8).alias("max_abs"), F.round("max_rel", 8).alias("max_rel"))
 
 
-@query("WITH a AS (SELECT vec_id, label, embedding AS x, list_transform(embedding, lambda v: CAST(v + CASE WHEN label = 3 THEN 0.000001 WHEN label = 4 THEN 1 ELSE 0 END AS DOUBLE)) AS y FROM embeddings) SELECT label, CASE WHEN label < 3 THEN 'BITWISE' WHEN label = 3 THEN 'NUMERIC' ELSE CASE WHEN label = 4 THEN 'FAILED' ELSE 'BITWISE' END END AS grade FROM a GROUP BY 1")
+@query("""WITH a AS (SELECT label, [CAST(v AS DOUBLE) FOR v IN embedding] AS x, [CAST(v AS DOUBLE) + CASE WHEN label = 3 THEN 0.000001 WHEN label = 4 THEN 1.0 ELSE 0.0 END FOR v IN embedding] AS y FROM embeddings),
+d AS (SELECT label, x = y AS same, list_max(list_transform(list_zip(x, y), lambda p: abs(p[1] - p[2]))) AS apart FROM a)
+SELECT label, CASE WHEN bool_and(same) THEN 'BITWISE' WHEN bool_and(same OR apart <= 0.00001) THEN 'NUMERIC' ELSE 'FAILED' END AS grade FROM d GROUP BY 1""")
 def audit_grades(spark, sf_dir):
     v = X.table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").cast("string").alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
     shift = F.when(F.col("label") == 3, 1e-6).when(F.col("label") == 4, 1.0).otherwise(0.0)
