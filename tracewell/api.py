@@ -88,12 +88,11 @@ def index(spark: SparkSession, recording: R.Recording, contract: R.Contract, met
         if "tracin" in methods:
             parts["tracin"] = _fan_out(K.tracin(gradients, behaviors, rates), occurrences)
         if "trajectory" in methods:
-            matrix = K.projection_matrix(spark, str(seed), size, projected)
             seconds = spark.createDataFrame([(c, [float(x) for n in sorted(s.model) for x in s.moments[n][1].ravel()]) for c, s in recording.checkpoints.items() if s.step], "checkpoint long, second array<double>")
             o = recording.training.optimizer
             moved = gradients.join(F.broadcast(seconds) if size * len(recording.checkpoints) <= K.MOST_ASKED else seconds, "checkpoint").withColumn("gradient", K.adam_precondition(F.col("gradient"), F.col("second"), F.col("checkpoint"), o.beta2, o.eps))
-            left = K.project(moved, matrix, "gradient", "p").select("key", "checkpoint", F.col("p").alias("gradient"))
-            right = K.project(behaviors, matrix, "gradient", "p").select("checkpoint", F.col("p").alias("gradient"))
+            left = K.project(moved, str(seed), projected, "gradient", "p").select("key", "checkpoint", F.col("p").alias("gradient"))
+            right = K.project(behaviors, str(seed), projected, "gradient", "p").select("checkpoint", F.col("p").alias("gradient"))
             parts["trajectory"] = _fan_out(K.tracin(left, right, rates.withColumn("rate", F.lit(1.0))), occurrences)
     named = [rows.select(F.lit(name).alias("method_id"), "occurrence_id", "raw_score") for name, rows in parts.items()]
     return K.ranked(K.union_rankings(*named), ["method_id"])

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tracewell.functions.tokens import words
 from tracewell.operators import sweep
+from tracewell.operators.retrieval import MOST_ASKED, Hashed, blocks
 from tracewell.operators.timeline import FEW, few, last_at_most
 
 RRF_CONSTANT = 60
@@ -94,29 +97,19 @@ def temporal(events: DataFrame, windows: DataFrame, step: str = "step", most: in
 def hashed_vectors(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
     """key, vector: array of (bucket, value), the unit vector of each row's signed hashed words and adjacent pairs, by bucket.
 
-    A row is folded where it stands: features' hashes are sorted and summed by bucket, without a shuffle."""
-    unit = "\x1f"
-    w = rows.select(key, words(F.col(text)).alias("__w"))
-    pairs = F.transform(F.slice("__w", 1, F.greatest(F.size("__w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(unit), F.get("__w", i + 1)))
-    if dim & (dim - 1) == 0 and dim <= 1 << 32:
-        digits = -(-(dim.bit_length() - 1) // 4) or 1  # hex digits that tell the bucket
-        bucket = lambda d: F.conv(F.substring(d, 17 - digits, digits), 16, 10).cast("long") % dim
-    else:
-        bucket = lambda d: (F.conv(F.substring(d, 1, 16), 16, 10).cast("decimal(20,0)") % dim).cast("long")
-    odd = lambda d: F.conv(F.substring(d, 18, 1), 16, 10).cast("long") % 2
-    hashed = w.select(key, F.transform(F.concat("__w", pairs), lambda f: F.sha2(f, 256)).alias("__d")).select(key, F.sort_array(F.transform("__d", lambda d: bucket(d) * 2 + odd(d))).alias("__h"))
-    none = F.array().cast("array<struct<bucket:bigint,value:bigint>>")
-    state = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("v"), none.alias("out"))
-    told = lambda s: F.when((s["b"] >= 0) & (s["v"] != 0), F.concat(s["out"], F.array(F.struct(s["b"].alias("bucket"), s["v"].alias("value"))))).otherwise(s["out"])
-
-    def fold(s: Column, h: Column) -> Column:
-        b, v = F.floor(h / 2).cast("long"), (h % 2) * 2 - 1
-        same = s["b"] == b
-        return F.struct(b.alias("b"), F.when(same, s["v"] + v).otherwise(v).alias("v"), F.when(same, s["out"]).otherwise(told(s)).alias("out"))
-
-    sums = hashed.select(key, F.aggregate("__h", state, fold, told).alias("__s"))
-    norm = F.sqrt(F.aggregate("__s", F.lit(0).cast("long"), lambda t, x: t + x["value"] * x["value"]))
-    return sums.withColumn("__norm", norm).select(key, F.transform("__s", lambda x: F.struct(x["bucket"].alias("bucket"), (x["value"] / F.col("__norm")).alias("value"))).alias("vector"))
+    A batch of rows is hashed by its distinct features and summed by bucket, without a shuffle."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Hashed(dim)
+        for block in blocks(batches):
+            dense = own.units(block.column("w"))
+            x, y = np.nonzero(dense)
+            ends = pa.array(np.searchsorted(x, np.arange(block.num_rows + 1)).astype(np.int32))
+            cells = pa.StructArray.from_arrays([pa.array(y.astype(np.int64)), pa.array(dense[x, y])], ["bucket", "value"])
+            yield pa.RecordBatch.from_arrays([block.column(key), pa.ListArray.from_arrays(ends, cells)], [key, "vector"])
+
+    return rows.select(key, words(F.col(text)).alias("w")).mapInArrow(run, f"`{key}` {kind}, vector array<struct<bucket: bigint, value: double>>")
 
 
 def hashed_embedding(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
@@ -124,40 +117,27 @@ def hashed_embedding(rows: DataFrame, key: str, text: str, dim: int = 256) -> Da
     return hashed_vectors(rows, key, text, dim).select(key, F.explode("vector").alias("e")).select(key, "e.bucket", "e.value")
 
 
-#: Numbers of a matrix of asked vectors that goes to every task, at most.
-MOST_ASKED = 8_000_000
-
-
 def hashed_cosine(rows: DataFrame, asked: DataFrame, key: str, asked_key: str, text: str = "text", dim: int = 256) -> DataFrame:
-    """key, asked_key, raw_score: dot products of the rows' vectors with all asked ones that share a bucket with them.
+    """key, asked_key, raw_score: dot products of the rows' vectors with all asked ones that share a bucket with them. For the best few of each see hashed_topk.
 
     Asked vectors are few: after a check of their number they go to the tasks as a matrix, and a batch of rows is multiplied by it;
     more than that meet by a join on buckets."""
-    left, right = hashed_vectors(rows, key, text, dim), hashed_vectors(asked, asked_key, text, dim)
-    few = right.limit(MOST_ASKED // dim + 1).collect()
-    if len(few) * dim > MOST_ASKED:
+    if not few(asked, MOST_ASKED // dim):
         return sparse_dot(hashed_embedding(rows, key, text, dim), hashed_embedding(asked, asked_key, text, dim), key, asked_key)
-    kind, asked_kind = dict(rows.dtypes)[key], dict(asked.dtypes)[asked_key]
-    matrix = np.zeros((dim, len(few)))
-    for i, r in enumerate(few):
-        for e in r["vector"]:
-            matrix[e["bucket"], i] = e["value"]
-    names = pa.array([r[asked_key] for r in few], to_arrow_type(asked.schema[asked_key].dataType))
+    told = asked.select(asked_key, words(F.col(text)).alias("w")).toArrow()
+    names = pa.array(told[asked_key].to_pylist(), to_arrow_type(asked.schema[asked_key].dataType))
+    matrix = Hashed(dim).units(pa.array(told["w"].to_pylist(), pa.list_(pa.string()))).T.copy()
     there = (matrix != 0).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                vectors = batch.column("vector")
-                flat = vectors.flatten()
-                dense = np.zeros((batch.num_rows, dim))
-                at = np.repeat(np.arange(batch.num_rows), np.diff(vectors.offsets.to_numpy()))
-                dense[at, flat.field("bucket").to_numpy()] = flat.field("value").to_numpy()
-                x, y = np.nonzero((dense != 0).astype(np.float32) @ there > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(x)), names.take(pa.array(y)), pa.array((dense @ matrix)[x, y])], [key, asked_key, "raw_score"])
+        own = Hashed(dim)
+        for block in blocks(batches):
+            dense = own.units(block.column("w"))
+            x, y = np.nonzero((dense != 0).astype(np.float32) @ there > 0)
+            yield pa.RecordBatch.from_arrays([block.column(key).take(pa.array(x)), names.take(pa.array(y)), pa.array((dense @ matrix)[x, y])], [key, asked_key, "raw_score"])
 
-    return left.select(key, "vector").mapInArrow(run, f"`{key}` {kind}, `{asked_key}` {asked_kind}, raw_score double")
+    kinds = dict(rows.dtypes)[key], dict(asked.dtypes)[asked_key]
+    return rows.select(key, words(F.col(text)).alias("w")).mapInArrow(run, f"`{key}` {kinds[0]}, `{asked_key}` {kinds[1]}, raw_score double")
 
 
 def sparse_dot(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -191,19 +171,50 @@ def rademacher_sign(seed: str, row: Column, column: Column) -> Column:
     return F.when(F.conv(F.substring(digest, 1, 1), 16, 10).cast("int") % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
-def projection_matrix(spark, seed: str, source: int, target: int) -> DataFrame:
-    """One row: matrix, an array of target arrays of source signs over sqrt(target)."""
-    cells = spark.range(target).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(source - 1))).alias("c"))
-    signs = cells.select("r", "c", (rademacher_sign(seed, F.col("r"), F.col("c")) / F.sqrt(F.lit(float(target)))).alias("s"))
-    rows = signs.groupBy("r").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "s"))), lambda x: x["s"]).alias("row"))
-    return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "row"))), lambda x: x["row"]).alias("matrix"))
+#: Columns of signs that are made at a time.
+COLUMNS = 1 << 14
 
 
-def project(rows: DataFrame, matrix: DataFrame, vector: str, out: str) -> DataFrame:
-    """rows with out, the matrix times vector; the matrix is one row, refused beyond MOST_ASKED numbers."""
-    if (matrix.select(F.size("matrix") * F.size(F.get("matrix", F.lit(0)))).first()[0] or 0) > MOST_ASKED:
-        raise ValueError("a projection of this size can't be sent to every task")
-    return rows.crossJoin(F.broadcast(matrix)).withColumn(out, F.transform("matrix", lambda r: dot(r, F.col(vector)))).drop("matrix")
+def sign_block(seed: str, target: int, first: int, last: int) -> np.ndarray:
+    """The signs of source components first to last, a row each: the same low bits as rademacher_sign."""
+    made = [hashlib.sha256(f"{seed}:{r}:{c}".encode()).digest()[0] >> 4 & 1 for c in range(first, last) for r in range(target)]
+    return (np.array(made, np.float64) * 2 - 1).reshape(last - first, target)
+
+
+def project(rows: DataFrame, seed: str, target: int, vector: str, out: str, columns: int = COLUMNS, most: int = MOST_ASKED) -> DataFrame:
+    """rows with out: target signed sums of their vector's components over sqrt(target). Vectors of any length, nulls give null.
+
+    Signs are hashes of counters, made in the task a block of components at a time, and vectors are folded by block: no matrix is
+    sent or held whole. The first blocks, up to most numbers, are kept from batch to batch; further ones are made again."""
+    names = [c for c in rows.columns if c != out]
+    kinds = dict(rows.dtypes)
+    width = max(1, min(columns, most // target))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            listed = batch.column("__v")
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(listed), 0), np.int64)
+            flat = np.asarray(pc.fill_null(listed.flatten(), 0.0), np.float64)
+            starts, sums = np.cumsum(sizes) - sizes, np.zeros((len(sizes), target))
+            for first in range(0, int(sizes.max(initial=0)), width):
+                signs = held.get(first)
+                if signs is None:
+                    keep = (len(held) + 1) * width * target <= most
+                    signs = sign_block(seed, target, first, first + width if keep else min(first + width, int(sizes.max())))
+                    if keep:
+                        held[first] = signs
+                for a in range(0, len(sizes), 1024):
+                    own = np.minimum(np.maximum(sizes[a : a + 1024] - first, 0), width)
+                    part = np.zeros((len(own), int(own.max(initial=0))))
+                    at = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+                    part[np.repeat(np.arange(len(own)), own), at] = flat[np.repeat(starts[a : a + 1024] + first, own) + at]
+                    sums[a : a + 1024] += part @ signs[: part.shape[1]]
+            made = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * target), pa.array((sums / np.sqrt(float(target))).ravel()), mask=listed.is_null())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], [*names, out])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{out}` array<double>"])
+    return rows.select(*names, F.transform(vector, lambda x: x.cast("double")).alias("__v")).mapInArrow(run, schema)
 
 
 def reciprocal_rank_fusion(rankings: DataFrame, constant: int = RRF_CONSTANT) -> DataFrame:

@@ -2,46 +2,183 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from tracewell.functions.safe_regex import full_match
+from tracewell.operators.sweep import sweep
+from tracewell.sources.shared import kept
+
+AGGREGATES = ("mean", "min", "max", "median")
+#: Rows of a group whose values one task may hold; quantiles of larger groups are selected by counts.
+HELD = 10_000
+#: Bits of a key that a pass tells; a key has 64.
+DIGIT = 16
+
+
+@F.arrow_udf(LongType())
+def _key(values: pa.Array) -> pa.Array:
+    """Doubles as whole numbers in the same order; both zeros are one, and what isn't a number comes last."""
+    bits = (np.asarray(values.fill_null(0.0), np.float64) + 0.0).view(np.int64)
+    return pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits), mask=np.asarray(values.is_null()))
+
+
+@F.arrow_udf(DoubleType())
+def _value(keys: pa.Array) -> pa.Array:
+    bits = np.asarray(keys.fill_null(0), np.int64)
+    return pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits).view(np.float64), mask=np.asarray(keys.is_null()))
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float], held: int = HELD) -> DataFrame:
+    """by and a column for each of at (name: p): linear between order statistics at p(n - 1). Exact; nulls don't count, a group of nulls alone has none.
+
+    Groups of at most held values take Spark's own percentile. Of larger ones the order statistics are selected by counting: a pass
+    counts the values by the next DIGIT bits of their keys, among those that begin as the sought ones do, and so tells those bits; four
+    passes tell a key. What meets in one place is at most 2 ** DIGIT counts, and a pass reads only rows that the last one left."""
+    groups = [f"__g{i}" for i in range(len(by))]
+    listed = rows.where(F.col(value).isNotNull()).select(*(F.col(c).alias(g) for c, g in zip(by, groups, strict=True)), F.col(value).cast("double").alias("__v"))
+    sizes = listed.groupBy(*groups).agg(F.count("*").alias("__n"))
+    named = lambda df: df.select(*(F.col(g).alias(c) for c, g in zip(by, groups, strict=True)), *at)
+    large = kept(sizes.where(F.col("__n") > held), "large-groups")
+    if large.isEmpty():
+        return named(listed.groupBy(*groups).agg(*(F.percentile("__v", F.lit(p)).alias(n) for n, p in at.items())))
+    small = _met(listed, sizes.where(F.col("__n") <= held), groups).groupBy(*groups).agg(*(F.percentile("__v", F.lit(p)).alias(n) for n, p in at.items()))
+    place = F.explode(F.array(*(F.struct(F.lit(n).alias("__q"), (F.lit(p) * (F.col("__n") - 1)).alias("__p")) for n, p in at.items())))
+    wanted = large.withColumn("__w", place).select(*groups, "__n", "__w.*").withColumn("__low", F.floor("__p")).withColumn("__share", F.col("__p") - F.col("__low"))
+    ranks = wanted.select(*groups, F.explode(F.array("__low", F.least(F.col("__low") + 1, F.col("__n") - 1))).alias("__r")).distinct()
+    sought = kept(ranks.select(*groups, "__r", F.lit(0).cast("long").alias("__begin"), F.col("__r").alias("__left")), "sought")
+    left = _met(listed, large.select(*groups), groups).withColumn("__k", _key("__v")).select(*groups, "__k")
+    for told in range(0, 64, DIGIT):
+        if told:
+            left = kept(_met(left.withColumn("__begin", F.shiftright("__k", 64 - told)), sought.select(*groups, "__begin").distinct(), [*groups, "__begin"]), "left")
+        digit = F.shiftright("__k", 64 - told - DIGIT)
+        counts = left.withColumn("__digit", digit).groupBy(*groups, *(["__begin"] if told else []), "__digit").agg(F.count("*").alias("__c"))
+        if not told:
+            counts = counts.withColumn("__begin", F.lit(0).cast("long"))
+        upto = F.sum("__c").over(Window.partitionBy(*groups, "__begin").orderBy("__digit"))
+        counts = counts.withColumn("__upto", upto)
+        met = _met(sought, counts, [*groups, "__begin"]).where((F.col("__left") < F.col("__upto")) & (F.col("__left") >= F.col("__upto") - F.col("__c")))
+        sought = kept(met.select(*groups, "__r", F.col("__digit").alias("__begin"), (F.col("__left") - F.col("__upto") + F.col("__c")).alias("__left")), "sought")
+    found = sought.select(*groups, "__r", _value("__begin").alias("__x"))
+    low = _met(wanted.withColumn("__r", F.col("__low")), found, [*groups, "__r"]).withColumnRenamed("__x", "__a").drop("__r")
+    both = _met(low.withColumn("__r", F.least(F.col("__low") + 1, F.col("__n") - 1)), found, [*groups, "__r"])
+    between = F.when(F.col("__share") == 0, F.col("__a")).otherwise((1 - F.col("__share")) * F.col("__a") + F.col("__share") * F.col("__x"))
+    selected = both.groupBy(*groups).agg(*(F.max(F.when(F.col("__q") == n, between)).alias(n) for n in at))
+    return named(small.unionByName(selected) if by else selected)
+
+
+def _met(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """left joined with right on columns of these names, nulls being equal; right's other columns are added."""
+    if not names:
+        return left.crossJoin(F.broadcast(right))  # no group: one row
+    other = right.withColumnsRenamed({n: f"__o{i}" for i, n in enumerate(names)})
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__o{i}")) for i, n in enumerate(names)])
+    return left.join(other, same).drop(*(f"__o{i}" for i in range(len(names))))
+
+
+def probe_aggregate(scores: DataFrame, by: list[str], how: str, value: str = "score", held: int = HELD) -> DataFrame:
+    """by, value: the mean, least, greatest or middle score of each group."""
+    if how == "median":
+        return quantiles(scores, by, value, {"value": 0.5}, held)
+    return scores.groupBy(*by).agg({"mean": F.avg, "min": F.min, "max": F.max}[how](value).alias("value"))
 
-AGGREGATES = {"mean": F.avg, "min": F.min, "max": F.max, "median": F.median}
 
+def linear_quantile(ordered: list[float], p: float) -> float:
+    """Linear between the members of a sorted list at p(n - 1)."""
+    place = p * (len(ordered) - 1)
+    low = int(place)
+    return ordered[low] + (ordered[min(low + 1, len(ordered) - 1)] - ordered[low]) * (place - low)
 
-def probe_aggregate(scores: DataFrame, by: list[str], how: str, value: str = "score") -> DataFrame:
-    return scores.groupBy(*by).agg(AGGREGATES[how](value).alias("value"))
 
+#: Draws that one digest tells, sixteen bits each, and 65536 times the chance that a row is drawn at most 0, 1, ... times (Poisson of mean 1); fixed values.
+DRAWS = 16
+DRAWN = (24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535)
 
-def quantile(value: Column, p: float) -> Column:
-    """Linear between order statistics at p(n-1)."""
-    return F.percentile(value, F.lit(p))
 
+def hashed_bootstrap(differences: DataFrame, by: list[str], key: Column, value: str, draws: int, seed: int, confidence: float = 0.95) -> DataFrame:
+    """by, low, high: percentile interval of the mean over resamples in which each row occurs as often as its key's hash says, once on average
+    (the Poisson bootstrap), so that any engine draws the same.
+
+    A row's part in all draws is told where it stands: a task gives one vector of sums a group, and vectors are added."""
+    names = [f"__g{i}" for i in range(len(by))]
+    kinds = dict(differences.dtypes)
+    digests = [F.unhex(F.sha2(F.concat(F.lit(f"{seed}:{d}:"), key), 256)) for d in range(-(-draws // DRAWS))]
+    told = differences.select(*(F.col(c).alias(g) for c, g in zip(by, names, strict=True)), F.col(value).cast("double").alias("__v"), F.concat(*digests).alias("__d")).where("__v IS NOT NULL")
+    times = np.searchsorted(np.array(DRAWN), np.arange(1 << 16), side="right").astype(np.float64)
+    schema = ", ".join([*(f"{g} {kinds[c]}" for c, g in zip(by, names, strict=True)), "__draw int, __s double, __w double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = pa.StructArray.from_arrays([batch.column(g) for g in names], names) if names else None
+            codes, kinds_here = (np.zeros(batch.num_rows, np.int64), 1) if groups is None else _codes(groups)
+            data = np.frombuffer(b"".join(batch.column("__d").to_pylist()), ">u2").reshape(batch.num_rows, -1)[:, :draws]
+            weights, v = times[data], np.asarray(batch.column("__v"))
+            for g in range(kinds_here):
+                at = np.flatnonzero(codes == g)
+                own = weights[at]
+                first = pa.array(np.full(draws, at[0]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).take(first) for n in names), pa.array(np.arange(draws, dtype=np.int32)), pa.array(v[at] @ own), pa.array(own.sum(0))], [*names, "__draw", "__s", "__w"])
+
+    sums = told.mapInArrow(run, schema).groupBy(*names, "__draw").agg((F.sum("__s") / F.sum("__w")).alias("__m"))
+    return _interval(sums, by, names, confidence)
 
-def linear_quantile(ordered: list[float], p: float) -> float:
-    """The same of a sorted list."""
-    place = p * (len(ordered) - 1)
-    low = int(place)
-    return ordered[low] + (ordered[min(low + 1, len(ordered) - 1)] - ordered[low]) * (place - low)
 
+def _codes(groups: pa.StructArray) -> tuple[np.ndarray, int]:
+    """A number for each row's group, and how many there are."""
+    seen: dict = {}
+    codes = np.array([seen.setdefault(tuple(g.values()), len(seen)) for g in groups.to_pylist()], np.int64)
+    return codes, len(seen)
 
-def hashed_bootstrap(differences: DataFrame, by: list[str], row: str, value: str, draws: int, seed: int, confidence: float = 0.95) -> DataFrame:
-    """by, low, high: percentile interval of the mean of resamples whose members are picked by hash, so that any engine draws the same.
 
-    row numbers each group's rows from 0. Sums of a draw are counted before the shuffle."""
-    n = Window.partitionBy(*by)
-    rows = differences.withColumn("__n", F.count("*").over(n))
-    slots = rows.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("__draw").cast("string"), F.col(row).cast("string")), 256)
-    picks = slots.select(*by, "__draw", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("__n")).alias(row))
-    values = differences.select(*by, row, F.col(value).alias("__v"))
-    means = picks.join(values, [*by, row]).groupBy(*by, "__draw").agg(F.avg("__v").alias("m"))
+def _interval(means: DataFrame, by: list[str], names: list[str], confidence: float) -> DataFrame:
+    """by, low, high of a group's draws, of which there are few."""
     tail = (1 - confidence) / 2
-    return means.groupBy(*by).agg(quantile(F.col("m"), tail).alias("low"), quantile(F.col("m"), 1 - tail).alias("high"))
+    out = means.groupBy(*names).agg(F.percentile("__m", F.lit(tail)).alias("low"), F.percentile("__m", F.lit(1 - tail)).alias("high"))
+    return out.select(*(F.col(g).alias(c) for c, g in zip(by, names, strict=True)), "low", "high")
+
+
+def dealt_bootstrap(differences: DataFrame, by: list[str], value: str, draws: int, seed: int, confidence: float = 0.95, block: int = 1 << 16) -> DataFrame:
+    """by, low, high: percentile interval of the mean over resamples of exactly a group's size, with replacement.
+
+    Rows are numbered within their group and cut into blocks. A draw's rows are dealt to the blocks by conditional binomials, each
+    block's share of what is left, from random numbers that every block can make for itself; a block then picks its share among
+    its rows and gives one vector of sums, and vectors are added. What a block must walk are the blocks before it, not their rows."""
+    names = [f"__g{i}" for i in range(len(by))]
+    kinds = dict(differences.dtypes)
+    listed = differences.where(F.col(value).isNotNull()).select(*(F.col(c).alias(g) for c, g in zip(by, names, strict=True)), F.col(value).cast("double").alias("__v"))
+    one = F.lit(1).cast("long")
+    placed = sweep(listed, names, ["__v"], {"__i": ("sum", one)})
+    sizes = listed.groupBy(*names).agg(F.count("*").alias("__n"))
+    dealt = _met(placed, sizes, names).withColumn("__block", F.floor((F.col("__i") - 1) / block))
+    schema = ", ".join([*(f"{g} {kinds[c]}" for c, g in zip(by, names, strict=True)), "__draw int, __s double"])
+
+    def pick(table: pa.Table) -> pa.Table:
+        row = table.slice(0, 1).to_pylist()[0]
+        n, mine = row["__n"], row["__block"]
+        group = int.from_bytes(hashlib.sha256(repr([row[g] for g in names]).encode()).digest()[:8])
+        left, own = np.full(draws, n), np.zeros(draws, np.int64)
+        for b in range(mine + 1):
+            size, rest = min(block, n - b * block), n - b * block
+            own = left if size == rest else np.random.default_rng([seed, group, b]).binomial(left, size / rest)
+            left = left - own
+        values = np.sort(np.asarray(table["__v"]))
+        source = np.random.default_rng([seed, group, mine, 1])
+        sums = np.array([values[source.integers(0, len(values), int(k))].sum() for k in own])
+        return pa.table({**{g: table[g].combine_chunks().take(pa.array(np.zeros(draws, np.int64))) for g in names}, "__draw": pa.array(np.arange(draws, dtype=np.int32)), "__s": pa.array(sums)})
+
+    sums = _met(dealt.groupBy(*names, "__block").applyInArrow(pick, schema).groupBy(*names, "__draw").agg(F.sum("__s").alias("__s")), sizes, names)
+    return _interval(sums.withColumn("__m", F.col("__s") / F.col("__n")), by, names, confidence)
 
 
 def paired_bootstrap(pairs: DataFrame, by: list[str], draws: int, seed: int, confidence: float = 0.95) -> DataFrame:

@@ -41,9 +41,9 @@ def sweep(rows: DataFrame, by: list[str], order: list[str], before: dict[str, tu
     asked = [(n, *_FOLDS[f], c, upto, earlier) for n, (f, c) in before.items()] + [(n, *_FOLDS[f], c, since, later) for n, (f, c) in after.items()]
     parts = there.groupBy(*by, "__part").agg(*(whole(c).alias(f"__p_{n}") for n, _, whole, _, c, _, _ in asked))
     groups = [*by, "__part"]
-    carried = parts.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(groups)), *(fold(F.col(f"__p_{n}")).over(outer).alias(f"__c_{n}") for n, fold, _, _, _, _, outer in asked))
+    carried = parts.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(groups)), *(fold(F.col(f"__p_{n}")).over(outer).alias(f"__c_{n}") for n, fold, _, _, _, _, outer in asked))
     own = there.select("*", *(fold(c).over(inner).alias(n) for n, fold, _, _, c, inner, _ in asked))
-    met = own.join(carried, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(groups)]), "left")
+    met = own.join(carried, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(groups)]), "left")
     for n, _, _, meet, *_ in asked:
         met = met.withColumn(n, meet(F.col(n), F.col(f"__c_{n}")))
     return met.select(*rows.columns, *(a[0] for a in asked))

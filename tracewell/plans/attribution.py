@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.tokens import words
 from tracewell.operators import ranking as K
+from tracewell.operators import retrieval as V
 from tracewell.plans import fixtures as X
 from tracewell.plans import query
 
@@ -27,7 +28,7 @@ def _scored(spark, sf_dir):
 
 @query(_BM25 + "SELECT query_id, doc_id, raw_score, rank FROM r WHERE rank <= 20")
 def bm25_topk(spark, sf_dir):
-    return K.ranked(_scored(spark, sf_dir), ["query_id"], key="doc_id", most=20)
+    return V.bm25_topk(X.table(spark, sf_dir, "documents"), _queries(spark, sf_dir), "doc_id", "query_id", 20)
 
 
 @query(_BM25 + "SELECT query_id, doc_id, raw_score FROM s")
@@ -78,6 +79,12 @@ def hashed_cosine(spark, sf_dir):
     return scores.withColumn("raw_score", F.round("raw_score", 8) + 0.0)
 
 
+@query(f"WITH t AS (SELECT doc_id AS k, {X.TERMS.format('text')} AS w FROM documents UNION ALL SELECT -1 - item_id, {X.TERMS.format('text')} FROM benchmark)" + _HASHED.format(_FEATURES) + ", s AS (SELECT -1 - b.k AS query_id, a.k AS doc_id, round(sum(a.value * b.value), 8) + 0.0 AS raw_score FROM e a JOIN e b USING (bucket) WHERE a.k >= 0 AND b.k < 0 GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20")
+def hashed_topk(spark, sf_dir):
+    """The twenty documents nearest to each benchmark text; no table of all pairs."""
+    return V.hashed_topk(X.table(spark, sf_dir, "documents"), _queries(spark, sf_dir), "doc_id", "query_id", 20)
+
+
 def _gradients(spark, sf_dir):
     """Each vector at three checkpoints, scaled; a behavior gradient for each checkpoint is the mean vector of a label."""
     vectors = X.table(spark, sf_dir, "embeddings")
@@ -112,26 +119,24 @@ _SIGNS = "signs AS (SELECT r, c, CASE WHEN CAST('0x' || substr(sha256('7:' || r
 
 @query(_VECTORS + f", {_SIGNS}" + "SELECT vec_id, CAST(r AS INT) AS dim, round(sum(x * s), 8) AS value FROM cells JOIN signs ON i = c GROUP BY 1, 2")
 def rademacher_projection(spark, sf_dir):
-    matrix = K.projection_matrix(spark, "7", 64, 8)
-    out = K.project(X.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), matrix, "embedding", "p")
+    out = K.project(X.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "7", 8, "embedding", "p")
     return out.select("vec_id", F.posexplode("p").alias("dim", "value")).withColumn("value", F.round("value", 8))
 
 
 @query(_VECTORS + f", {_SIGNS}, g AS (SELECT vec_id, r, k, sum(s * (k * x) / (sqrt(0.01 * x * x * k * k / (1 - pow(0.999, k))) + 1e-8)) AS p FROM cells JOIN signs ON i = c, (SELECT unnest([1, 2, 3]) AS k) GROUP BY 1, 2, 3), o AS (SELECT checkpoint AS k, r, sum(s * m) AS p FROM b JOIN signs ON i = c GROUP BY 1, 2)" + "SELECT vec_id AS key, round(sum(g.p * o.p), 8) AS raw_score FROM g JOIN o USING (k, r) GROUP BY 1")
 def trajectory_sketch(spark, sf_dir):
     scaled, behaviors, _ = _gradients(spark, sf_dir)
-    matrix = K.projection_matrix(spark, "7", 64, 8)
     second = F.transform("gradient", lambda x: 0.01 * x * x)
     moved = scaled.withColumn("gradient", K.adam_precondition(F.col("gradient"), second, F.col("checkpoint")))
-    left = K.project(moved, matrix, "gradient", "p").select("key", "checkpoint", F.col("p").alias("gradient"))
-    right = K.project(behaviors, matrix, "gradient", "p").select("checkpoint", F.col("p").alias("gradient"))
+    left = K.project(moved, "7", 8, "gradient", "p").select("key", "checkpoint", F.col("p").alias("gradient"))
+    right = K.project(behaviors, "7", 8, "gradient", "p").select("checkpoint", F.col("p").alias("gradient"))
     rates = spark.range(1, 4).select(F.col("id").cast("int").alias("checkpoint"), F.lit(1.0).alias("rate"))
     return K.tracin(left, right, rates).withColumn("raw_score", F.round("raw_score", 8))
 
 
 @query(_VECTORS + f", {_SIGNS}, o AS (SELECT vec_id, r, sum(x * s) AS p FROM cells JOIN signs ON i = c GROUP BY 1, 2)" + "SELECT a.vec_id, round(sum(a.p * z.p), 8) AS raw_score FROM o a JOIN (SELECT r, p FROM o WHERE vec_id = 0) z USING (r) GROUP BY 1")
 def projected_inner_product(spark, sf_dir):
-    out = K.project(X.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), K.projection_matrix(spark, "7", 64, 8), "embedding", "p")
+    out = K.project(X.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "7", 8, "embedding", "p")
     first = out.where("vec_id = 0").select(F.col("p").alias("q"))
     return out.crossJoin(F.broadcast(first)).select("vec_id", F.round(K.dot(F.col("p"), F.col("q")), 8).alias("raw_score"))
 

@@ -80,24 +80,29 @@ def probe_aggregates(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.025), 8) AS low, round(quantile_cont(value, 0.5), 8) AS mid, round(quantile_cont(value, 0.975), 8) AS high FROM events GROUP BY 1")
 def linear_quantiles(spark, sf_dir):
-    v = F.col("value")
-    return X.table(spark, sf_dir, "events").groupBy("event_type").agg(*(F.round(S.quantile(v, p), 8).alias(n) for n, p in (("low", 0.025), ("mid", 0.5), ("high", 0.975))))
+    out = S.quantiles(X.table(spark, sf_dir, "events"), ["event_type"], "value", {"low": 0.025, "mid": 0.5, "high": 0.975})
+    return out.select("event_type", *(F.round(n, 8).alias(n) for n in ("low", "mid", "high")))
 
 
-_BOOT = """WITH d AS (SELECT l_returnflag AS g, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS i, l_discount - l_tax AS v FROM lineitem),
-n AS (SELECT g, count(*) AS n FROM d GROUP BY 1),
-p AS (SELECT d.g, k, CAST('0x' || substr(sha256('5:' || k || ':' || i), 1, 8) AS UBIGINT) % n AS j FROM d JOIN n ON d.g = n.g, range(0, 50) t(k)),
-m AS (SELECT p.g, k, avg(v) AS m FROM p JOIN d ON d.g = p.g AND d.i = p.j GROUP BY 1, 2) """
+@query("SELECT l_linenumber, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) AS {n}" for n, p in (("least", 0), ("decile", 0.1), ("quartile", 0.25), ("middle", 0.5), ("most", 0.999))) + " FROM lineitem GROUP BY 1")
+def price_quantiles(spark, sf_dir):
+    """Order statistics of large groups, selected by counts: no group's values meet anywhere."""
+    at = {"least": 0.0, "decile": 0.1, "quartile": 0.25, "middle": 0.5, "most": 0.999}
+    out = S.quantiles(X.table(spark, sf_dir, "lineitem"), ["l_linenumber"], "l_extendedprice", at, held=1000)
+    return out.select("l_linenumber", *(F.round(n, 6).alias(n) for n in at))
+
+
+_DRAWS = range(64)
+_KEY = "l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey"
+_BOOT = f"""WITH d AS (SELECT l_returnflag AS g, l_discount - l_tax AS v, {", ".join(f"sha256('5:{d}:' || {_KEY}) AS h{d}" for d in range(4))} FROM lineitem),
+u AS (SELECT g, v, k, CAST('0x' || substr(CASE k // 16 WHEN 0 THEN h0 WHEN 1 THEN h1 WHEN 2 THEN h2 ELSE h3 END, 4 * (k % 16) + 1, 4) AS INTEGER) AS u FROM d, range(0, 64) t(k)),
+m AS (SELECT g, k, sum(v * w) / sum(w) AS m FROM (SELECT g, v, k, {" + ".join(f"CAST(u >= {t} AS INTEGER)" for t in S.DRAWN)} AS w FROM u) GROUP BY 1, 2) """
 
 
 @query(_BOOT + "SELECT g, round(quantile_cont(m, 0.025), 8) AS low, round(quantile_cont(m, 0.975), 8) AS high FROM m GROUP BY 1")
 def bootstrap_interval(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = X.table(spark, sf_dir, "lineitem")
-    at = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) - 1
-    d = rows.select(F.col("l_returnflag").alias("g"), at.cast("long").alias("i"), (F.col("l_discount") - F.col("l_tax")).alias("v"))
-    out = S.hashed_bootstrap(d, ["g"], "i", "v", draws=50, seed=5)
+    rows = X.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_discount") - F.col("l_tax")).alias("v"), *(F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    out = S.hashed_bootstrap(rows, ["g"], F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "v", draws=len(_DRAWS), seed=5)
     return out.select("g", F.round("low", 8).alias("low"), F.round("high", 8).alias("high"))
 
 
