@@ -72,6 +72,83 @@ def test_main_text_of_odd_pages(spark, pages):
     assert html.main_text(frame).count() == frame.count() and html.main_text(frame.where("false")).count() == 0
 
 
+def extracted(spark, host, sources, **options):
+    rows = [(i, f"http://{host}.example/{i}", s) for i, s in enumerate(sources)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect()}
+    return [got[i] for i in range(len(sources))]
+
+
+def framed(body):
+    return f'<html><body><div class="top"><a href="/">Home</a><a href="/b">About us</a></div>{body}<div class="site-footer">Imprint</div></body></html>'
+
+
+@pytest.mark.parametrize("attribute", ['title="The hidden valley"', 'data-note="display:none was here"', "class=valley title='aria-hidden=true'", 'alt=" hidden "', 'title=" class=comments "', 'data-x="a" title="id=ad"'])
+def test_values_of_attributes_hide_nothing(spark, attribute):
+    bodies = [f"<article {attribute}><h1>Head {i}</h1><p>Story {i} of a valley.</p></article>" for i in range(6)]
+    assert extracted(spark, "v", [framed(b) for b in bodies]) == [f"Head {i}\n\nStory {i} of a valley." for i in range(6)]
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'hidden=""', "class=x hidden", 'aria-hidden="true"', "aria-hidden=TRUE", 'style="color:red; display : none"', "HIDDEN"])
+def test_attributes_hide(spark, attribute):
+    bodies = [f"<article><h1>Head {i}</h1><p>Story {i} of a valley.</p><div {attribute}>Secret {i}</div></article>" for i in range(6)]
+    assert extracted(spark, "v", [framed(b) for b in bodies]) == [f"Head {i}\n\nStory {i} of a valley." for i in range(6)]
+
+
+STORY = "<p>Part one of story {0}, which goes on for a while and then some.</p><p>Part two of story {0}, number {1}, has an end as well.</p>"
+TOLD = "Part one of story {0}, which goes on for a while and then some.\n\nPart two of story {0}, number {1}, has an end as well."
+
+
+@pytest.mark.parametrize("head", ["<h1>Head {0}</h1>", "<div><h1>Head {0}</h1></div>", "<h2>Head {0}</h2>", "<div><span>Head {0}</span></div>"])
+def test_a_heading_beside_the_content_is_kept(spark, head):
+    pages = [framed(f'<div id="x">{head.format(i)}<div class="story">{STORY.format(i, i * i)}</div></div>') for i in range(8)]
+    assert extracted(spark, "h", pages) == [f"Head {i}\n\n{TOLD.format(i, i * i)}" for i in range(8)]
+
+
+def test_a_lead_beside_the_story_is_kept_and_links_and_templates_are_not(spark):
+    lead, links = '<div class="lead"><p>Lead {0} says in a line what it is about.</p></div>', '<div class="x9"><a href="/{0}">Other page {0}</a><a href="/q{0}">And one more {0}</a></div>'
+    pages = [framed(f'<div>{lead.format(i)}<div class="story">{STORY.format(i, i * i)}</div>{links.format(i)}<div>Call us on 123</div></div>') for i in range(8)]
+    assert extracted(spark, "l", pages) == [f"Lead {i} says in a line what it is about.\n\n{TOLD.format(i, i * i)}" for i in range(8)]
+
+
+@pytest.mark.parametrize("name", ["search", "menu", "share", "alert"])
+def test_chapters_have_names_too(spark, name):
+    """A chapter with a heading and paragraphs, whose anchor is such a word, is text; a widget of that name isn't, nor are readers' comments."""
+    body = '<article><h1>Head {0}</h1><p>Begin {0}.</p><section id="{1}"><h2>On it {0}</h2><p>What to know of it, {0} times and more.</p></section><div class="{1}"><p>Widget {0}</p></div><div id="{1}"><span>Find {0}</span></div><section id="comments"><h3>Comments</h3><p>Reader {0} disagrees with it.</p></section></article>'
+    assert extracted(spark, "c", [framed(body.format(i, name)) for i in range(6)]) == [f"Head {i}\n\nBegin {i}.\n\nOn it {i}\n\nWhat to know of it, {i} times and more." for i in range(6)]
+
+
+def test_pages_on_either_side_of_the_parameters(spark):
+    """From least_pages pages on texts that stay the same are template; from layout_pages on a layout has a wrapper of its own."""
+    page = lambda i: framed(f"<div><div>Our constant slogan</div><div>{STORY.format(i, i * i)}</div></div>")
+    for n in (3, 4):
+        got = extracted(spark, "s", [page(i) for i in range(n)])
+        assert [t.endswith(TOLD.format(i, i * i)) for i, t in enumerate(got)] == [True] * n and ("Imprint" in got[0] or "slogan" in got[0]) is (n == 3)
+    assert extracted(spark, "s", [page(i) for i in range(4)], least_pages=2) == extracted(spark, "s", [page(i) for i in range(4)])
+    other = lambda i: framed(f"<section><p>Short {i} and other.</p></section>")
+    mixed = [page(i) if i % 2 else other(i) for i in range(12)]
+    want = [TOLD.format(i, i * i) if i % 2 else f"Short {i} and other." for i in range(12)]
+    assert extracted(spark, "m", mixed, layout_pages=6) == want
+
+
+def test_extraction_against_brute_force(spark):
+    """Small random templates: what varies outside links and named asides is the text, block by block, in page order."""
+    random = np.random.default_rng(11)
+    for case in range(4):
+        parts = []  # (html of page i, text of page i or None)
+        for n in range(int(random.integers(2, 5))):
+            kind = random.integers(0, 5)
+            parts.append([
+                ("<p>Paragraph {n}-{i} with some words of its own, {n} and {i}.</p>", "Paragraph {n}-{i} with some words of its own, {n} and {i}."),
+                ("<h2>Section {n} {i}</h2>", "Section {n} {i}"), ("<div>Always the same {n}</div>", None),
+                ('<ul class="sidebar"><li>Side {n} {i}</li></ul>', None), ('<div><a href="/{i}">Link {n} {i}</a></div>', None),
+            ][kind])
+        parts.append(("<div>" + "<p>The story {i} is long enough to be what holds the most, with words and words, part {n}.</p>" * 3 + "</div>", "\n\n".join(["The story {i} is long enough to be what holds the most, with words and words, part {n}."] * 3)))
+        random.shuffle(parts)
+        pages = [framed("<div>" + "".join(h.format(n=n, i=i) for n, (h, _) in enumerate(parts)) + "</div>") for i in range(7)]
+        want = ["\n\n".join(t.format(n=n, i=i) for n, (_, t) in enumerate(parts) if t) for i in range(7)]
+        assert extracted(spark, f"b{case}", pages) == want
+
+
 def test_names_of_blocks(spark):
     """Blocks go by whole names alone, anchors and frames stay, and a form that frames the page isn't one to fill in."""
     body = (

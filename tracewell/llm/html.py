@@ -3,7 +3,8 @@
 Pages of a host that have the same parts in the same order share a template. Each page's DOM tree is aligned with the
 reference page of those by simple tree matching. Nodes whose text stays the same from page to page are
 template, those whose text varies are slots; the content slot is the deepest node that
-holds most of the varying text of the host's pages. A page's main text is what it has there,
+holds most of the varying text of the host's pages, and nodes beside it that have running text of their own on
+most pages, as headings and leads have, are slots too. A page's main text is what it has there,
 without the parts that are menus, notices and the like wherever they stand.
 """
 
@@ -43,6 +44,8 @@ SAYS_ASIDE = frozenset(
 )
 #: The same, outside of articles and main parts, where a header isn't the article's own; fixed values.
 SAYS_HEADER = frozenset("header masthead topbar".split())
+#: Those of them that also name chapters, which have a heading and paragraphs, when an id alone says so inside an article.
+NAMES_CHAPTER = frozenset("alert banner breadcrumbs dialog menu nav navigation notification pagination search share sharing social toolbar".split())
 #: Parts that only say how a block is laid out; fixed values.
 SAYS_LAYOUT = frozenset(
     "area bar block bottom box button buttons col column container content div end first fixed form group holder icon icons inner item items last left link links list main module outer page panel post pre primary region right row secondary section site slot small sticky thread top unit widget widgets wrap wrapper".split()
@@ -51,50 +54,75 @@ SAYS_LAYOUT = frozenset(
 MARKED = frozenset("div section aside ul ol dl table header footer form nav menu article span details dialog figure".split())
 #: Descendants that make a block the frame of a page, whatever it is called; a form frames an article too.
 FRAMES = frozenset("main h1".split())
+#: Headings of chapters.
+HEADINGS = frozenset("h2 h3 h4 h5 h6".split())
 #: Comments; elements whose content is not text of the page, whole; tags with their attributes; declarations.
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(?P<raw>script|style|title|noscript|template|textarea|iframe|object|svg|math|select|canvas|audio|video)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>",
     re.S | re.I,
 )
-MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']*))?""")
+#: What attributes that hide or name a block have in them; only where they are found are attributes told apart.
+MAY_HIDE = re.compile(r"hidden|display\s*:\s*none", re.I)
+MAY_NAME = re.compile(r"\b(?:class|id|role)\s*=", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+
+
+def attributes(rest: str) -> Iterator[tuple[str, str]]:
+    """Names in lower case and values of a start tag's attributes."""
+    for name, value in ATTRIBUTE.findall(rest):
+        yield name.lower(), value.strip("\"'") if value[:1] in "\"'" else value
+
+
+def hides(rest: str) -> bool:
+    """Whether an attribute hides the element; what attributes say about it in their values doesn't."""
+    return any(name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NO_DISPLAY.search(value) for name, value in attributes(rest))
+
+
 #: Share of a host's varying text that a child must hold to be descended into.
 HOLDS = 0.7
 #: Share of a host's pages in which a text stands at one node, from which it is template; fewer pages than LEAST_PAGES tell nothing.
 CONSTANT, LEAST_PAGES = 0.5, 4
 
 
-NOTHING, ALWAYS, SAYS, FORM = range(4)
+NOTHING, ALWAYS, SAYS, FORM, CHAPTER = range(5)
 
 
-def says_aside(rest: str, outside: bool) -> bool:
+def says_aside(rest: str, outside: bool) -> tuple[bool, bool]:
     """Whether a class, id or role names an aside: one of its names has an aside's part and else only parts of layout or digits,
-    so that share-buttons counts and share-price doesn't. outside: of articles and main parts, where headers count too."""
-    asides = SAYS_ASIDE | SAYS_HEADER if outside else SAYS_ASIDE
-    for mark in MARK.finditer(rest):
-        for name in mark[1].strip("\"'").split():
+    so that share-buttons counts and share-price doesn't. outside: of articles and main parts, where headers count too.
+    Also whether ids alone say so, and only with names that chapters have."""
+    asides, found, chapter = SAYS_ASIDE | SAYS_HEADER if outside else SAYS_ASIDE, False, not outside
+    for key, value in attributes(rest):
+        if key not in ("class", "id", "role"):
+            continue
+        for name in value.split():
             parts = [p for p in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if p]
             if any(p in asides for p in parts) and all(p in asides or p in SAYS_LAYOUT for p in parts):
-                return True
-    return False
+                found, chapter = True, chapter and key == "id" and all(p in NAMES_CHAPTER for p in parts)
+    return found, found and chapter
 
 
 class Page:
-    """The tree of a page: tag, parent, children and aside of each node, and blocks (node, text).
+    """The tree of a page: tag, parent, children and aside of each node, blocks (node, text), and linked: whether links hold most of a block.
 
     Asides are hidden blocks, elements that never hold main text, blocks that say so unless a main part or a first heading
-    stands inside them, and forms unless these or an article do, or half of the text that stands in no other aside."""
+    stands inside them (or, where they may be chapters, a heading and mostly paragraphs), and forms unless a main part, a first
+    heading or an article does, or half of the text that stands in no other aside."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.children = ["#"], [-1], [[]]
         self._mark = [0]  # of each node
         self.blocks: list[tuple[int, str]] = []
-        self._open, self._live, self._text = [0], Counter(), []
+        self.linked: list[bool] = []
+        self._open, self._live, self._text, self._links = [0], Counter(), [], 0
         at = 0
         for found in TOKEN.finditer(source):
             if found.start() > at:
                 self._text.append(source[at : found.start()])
+                if self._live["a"]:
+                    self._links += found.start() - at
             at = found.end()
             tag = found["tag"]
             if tag is None:
@@ -111,12 +139,18 @@ class Page:
     def _asides(self) -> list[bool]:
         n = len(self.tag)
         frames, article, size, aside = [False] * n, [False] * n, [0] * n, [False] * n
+        prose, headed = [0] * n, [False] * n
         for node, text in self.blocks:
             size[node] += len(text)
+            if self.tag[node] == "p":
+                prose[node] += len(text)
         for node in range(n - 1, 0, -1):  # children have higher numbers than their parents
             mark, parent = self._mark[node], self.parent[node]
-            aside[node] = mark == ALWAYS or mark == SAYS and not frames[node]
+            told = mark == CHAPTER and not (headed[node] and 2 * prose[node] > size[node])
+            aside[node] = mark == ALWAYS or (mark == SAYS or told) and not frames[node]
             if not aside[node]:
+                prose[parent] += prose[node]
+                headed[parent] |= headed[node] or self.tag[node] in HEADINGS
                 frames[parent] |= frames[node] or self.tag[node] in FRAMES
                 article[parent] |= article[node] or self.tag[node] == "article"
                 size[parent] += size[node]
@@ -132,7 +166,8 @@ class Page:
             if text:
                 node = next(n for n in reversed(self._open) if n == 0 or self.tag[n] in BLOCK)
                 self.blocks.append((node, text))
-            self._text = []
+                self.linked.append(2 * self._links > len(text))
+            self._text, self._links = [], 0
 
     def _close(self, depth: int) -> None:
         self._live.subtract(self.tag[n] for n in self._open[depth:])
@@ -163,12 +198,13 @@ class Page:
         self.parent.append(parent)
         self.children.append([])
         self.children[parent].append(node)
-        if tag in ASIDE or tag == "header" and not self._within("article", "main") or rest and tag not in ("html", "body") and HIDDEN.search(rest):
+        if tag in ASIDE or tag == "header" and not self._within("article", "main") or rest and tag not in ("html", "body") and MAY_HIDE.search(rest) and hides(rest):
             mark = ALWAYS
         elif tag == "form":
             mark = FORM
         else:
-            mark = SAYS if rest and tag in MARKED and says_aside(rest, not self._within("article", "main")) else NOTHING
+            says, chapter = says_aside(rest, not self._within("article", "main")) if rest and tag in MARKED and MAY_NAME.search(rest) else (False, False)
+            mark = CHAPTER if chapter else SAYS if says else NOTHING
         self._mark.append(mark)
         if tag not in VOID and not rest.endswith("/"):
             self._open.append(node)
@@ -347,17 +383,17 @@ LAYOUT_PAGES = 20
 PART = r"(?i)<(header|nav|main|article|aside|section|footer)\b"
 
 
-def with_sites(pages: DataFrame) -> DataFrame:
+def with_sites(pages: DataFrame, layout_pages: int = LAYOUT_PAGES) -> DataFrame:
     """pages (page_id, url, html) with host: the url's, and the layout (kinds of parts in their order, repeats told once) of pages that have it often enough."""
     parts = F.transform(F.regexp_extract_all("html", F.lit(PART), F.lit(1)), lambda x: F.lower(x))
     once = F.filter(parts, lambda x, i: (i == 0) | (F.get(parts, i - 1) != x))
     told = pages.withColumn("host", F.concat_ws(" ", host_of(F.col("url")), F.xxhash64(F.array_join(once, " ")).cast("string")))
     often = told.groupBy("host").agg(F.count("*").alias("often"))
     met = join_hosts(told, written(often, "html-layouts"), F.lit(16) + F.octet_length("host"))
-    return met.withColumn("host", F.when(F.col("often") >= LAYOUT_PAGES, F.col("host")).otherwise(host_of(F.col("url")))).drop("often")
+    return met.withColumn("host", F.when(F.col("often") >= layout_pages, F.col("host")).otherwise(host_of(F.col("url")))).drop("often")
 
 
-BLOCKS = "array<struct<node:int,at:int,main:boolean,aside:boolean,hash:long,text:string>>"
+BLOCKS = "array<struct<node:int,at:int,main:boolean,aside:boolean,linked:boolean,hash:long,text:string>>"
 
 
 def references(pages: DataFrame) -> DataFrame:
@@ -383,7 +419,7 @@ def references(pages: DataFrame) -> DataFrame:
 
 def aligned(pages: DataFrame, found: DataFrame) -> DataFrame:
     """page_id, url, host, blocks: of each block the reference node that it matches, or else (at) that of its innermost matched
-    ancestor, paragraphs and the like left out; whether it is in an article or main part, or aside; its text."""
+    ancestor, paragraphs and the like left out; whether it is in an article or main part, or aside, or mostly links; its text."""
     both = join_hosts(pages, found.select("host", "reference"), F.octet_length("reference"))
 
     def run(batches):
@@ -404,65 +440,75 @@ def aligned(pages: DataFrame, found: DataFrame) -> DataFrame:
                     tag, parent = page.tag[node], page.parent[node]
                     at.append(match[node] if node in match and tag not in LEAF else at[parent])
                     main.append(main[parent] or tag == "article" or tag == "main")
-                out.append([{"node": match.get(n, at[n]), "at": at[n], "main": main[n], "aside": page.aside[n], "hash": zlib.crc32(text.encode()) | len(text) << 32, "text": text} for n, text in page.blocks])
-            kind = pa.list_(pa.struct([("node", pa.int32()), ("at", pa.int32()), ("main", pa.bool_()), ("aside", pa.bool_()), ("hash", pa.int64()), ("text", pa.string())]))
+                out.append([{"node": match.get(n, at[n]), "at": at[n], "main": main[n], "aside": page.aside[n], "linked": linked, "hash": zlib.crc32(text.encode()) | len(text) << 32, "text": text} for (n, text), linked in zip(page.blocks, page.linked, strict=True)])
+            kind = pa.list_(pa.struct([("node", pa.int32()), ("at", pa.int32()), ("main", pa.bool_()), ("aside", pa.bool_()), ("linked", pa.bool_()), ("hash", pa.int64()), ("text", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(out, kind)], ["page_id", "url", "host", "blocks"])
 
     return both.mapInArrow(run, f"page_id long, url string, host string, blocks {BLOCKS}")
 
 
-def wrappers(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """host, slot and stop (the reference nodes of the content slot), template (nodes and hashes of constant texts), from all of a host's pages.
+def wrappers(pages: DataFrame, found: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, slot and stop (the reference nodes of the content slot), beside (nodes out of it that are slots too), template (nodes and hashes of constant texts), from all of a host's pages.
 
-    A node's mass is the varying text in its subtree; the slot is the innermost node that holds enough of the whole."""
-    blocks = pages.select("host", F.explode("blocks").alias("b")).where(~F.col("b.aside")).select("host", "b.node", "b.at", "b.hash", F.char_length("b.text").cast("long").alias("size"))
+    A node's mass is the varying text in its subtree that isn't mostly links; the slot is the innermost node that holds enough of the whole. Nodes beside it are
+    slots where most pages have varying text there that isn't mostly links; on fewer pages than least_pages any such node is."""
+    blocks = pages.select("host", F.explode("blocks").alias("b")).where(~F.col("b.aside")).select("host", "b.node", "b.at", "b.hash", F.char_length("b.text").cast("long").alias("size"), (~F.col("b.linked")).cast("long").alias("runs"))
     counts = written(pages.groupBy("host").agg(F.count("*").alias("pages")), "html-counts")
-    texts = blocks.groupBy("host", "node", "at", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    constant = (F.col("pages") >= LEAST_PAGES) & (F.col("n") >= CONSTANT * F.col("pages"))
+    texts = blocks.groupBy("host", "node", "at", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("runs").alias("runs"))
+    constant = (F.col("pages") >= least_pages) & (F.col("n") >= CONSTANT * F.col("pages"))
     told = join_hosts(written(texts, "html-texts"), counts, F.lit(16) + F.octet_length("host")).withColumn("constant", constant)
     template = told.where("constant").groupBy("host").agg(F.collect_set(F.struct("node", "hash")).alias("template"))  # of a page's texts at most twice as many
-    mass = told.where("NOT constant").groupBy("host", "at").agg(F.sum("size").alias("size")).groupBy("host").agg(F.collect_list(F.struct("at", "size")).alias("masses"))  # a reference's nodes at most
+    # links count only where all that varies is links; copies of a block are told apart by its hash, so it is linked or not alike
+    per = told.where("NOT constant").groupBy("host", "node", "at").agg(F.sum("size").alias("size"), F.sum(F.when(F.col("runs") > 0, F.col("size")).otherwise(0)).alias("running"), (F.sum("runs") >= CONSTANT * F.max("pages")).alias("often"))
+    mass = per.groupBy("host").agg(F.collect_list(F.struct("node", "at", "size", "running", "often")).alias("masses"))  # a reference's nodes at most
     rows = found.select("host", "ends").join(mass, "host", "left").join(template, "host", "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        slots, stops = [], []
+        slots, stops, besides = [], [], []
         for ends, masses in zip(batch.column("ends").to_pylist(), batch.column("masses").to_pylist(), strict=True):
             before = np.zeros(len(ends) + 1, np.int64)
+            of = "running" if any(m["running"] for m in masses or ()) else "size"
             for m in masses or ():
-                before[m["at"] + 1] += m["size"]
+                before[m["at"] + 1] += m[of]
             before = np.cumsum(before)
             held = before[np.array(ends)] - before[:-1]
             slot = int(np.flatnonzero(held >= HOLDS * held[0])[-1]) if held[0] else None
             slots.append(slot)
             stops.append(None if slot is None else ends[slot])
-        return pa.RecordBatch.from_arrays([batch.column("host"), pa.array(slots, pa.int32()), pa.array(stops, pa.int32()), batch.column("template")], ["host", "slot", "stop", "template"])
+            besides.append(sorted({m["node"] for m in masses or () if slot is not None and m["often"] and not slot <= m["at"] < ends[slot]}))
+        return pa.RecordBatch.from_arrays([batch.column("host"), pa.array(slots, pa.int32()), pa.array(stops, pa.int32()), pa.array(besides, pa.list_(pa.int32())), batch.column("template")], ["host", "slot", "stop", "beside", "template"])
 
-    return map_batches(rows, run, "host string, slot int, stop int, template array<struct<node:int,hash:long>>")
+    return map_batches(rows, run, "host string, slot int, stop int, beside array<int>, template array<struct<node:int,hash:long>>")
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page's whole html.
+def main_text(pages: DataFrame, layout_pages: int = LAYOUT_PAGES, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """page_id, url, text, n_chars of every page's whole html. Pages of one layout have a wrapper of their own where a host has layout_pages
+    of them, and share the host's otherwise; texts are template only where a wrapper has least_pages pages.
 
     Null and empty html give empty text; null urls are one host; a host's only page is its own
     reference, with nothing constant; rows that repeat count each; an empty table gives no rows; other columns aren't read."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    pages = with_sites(pages)
+    pages = with_sites(pages, layout_pages)
     found = written(references(pages), "html-references")
     parsed = written(aligned(pages, found), "html-blocks")
-    induced = written(wrappers(parsed, found), "html-wrappers")
+    induced = written(wrappers(parsed, found, least_pages), "html-wrappers")
     joined = join_hosts(parsed, induced, 64 + 16 * F.coalesce(F.size("template"), F.lit(0)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for blocks, slot, stop, template in zip(*(batch.column(c).to_pylist() for c in ("blocks", "slot", "stop", "template")), strict=True):
+        for blocks, slot, stop, beside, template in zip(*(batch.column(c).to_pylist() for c in ("blocks", "slot", "stop", "beside", "template")), strict=True):
+            slots = frozenset(beside or ())
             constant = {(t["node"], t["hash"]) for t in template or ()}
             usable = [b for b in blocks or () if not b["aside"]]
             varying = [b for b in usable if (b["node"], b["hash"]) not in constant]
             # constant lines of an article are its own; elsewhere in the slot they are template
-            chosen = [] if slot is None else [b for b in usable if slot <= b["at"] < stop and (b["main"] or (b["node"], b["hash"]) not in constant)]
+            inside = [] if slot is None else [b for b in usable if slot <= b["at"] < stop and (b["main"] or (b["node"], b["hash"]) not in constant)]
+            own = {id(b) for b in inside}
+            # headings and leads beside the slot, if the page has something in it
+            chosen = [b for b in usable if id(b) in own or b["node"] in slots and not b["linked"] and (b["node"], b["hash"]) not in constant] if inside else []
             # without a slot, or on a page that lacks it: nothing varies on this host, or this page is of another make
             chosen = chosen or [b for b in usable if b["main"]] or varying or usable
             texts.append("\n\n".join(b["text"] for b in chosen))
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return map_batches(joined.select("page_id", "url", "blocks", "slot", "stop", "template"), run, "page_id long, url string, text string, n_chars long")
+    return map_batches(joined.select("page_id", "url", "blocks", "slot", "stop", "beside", "template"), run, "page_id long, url string, text string, n_chars long")
