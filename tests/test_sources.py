@@ -192,3 +192,20 @@ def test_output_placement(tmp_path):
     with pytest.raises(ValueError):
         P.outside(tmp_path / "run/x", tmp_path / "run")
     assert json.loads(P.write_json(tmp_path / "x.json", {"b": 1}).read_text()) == {"b": 1}
+
+
+def test_lines_are_numbered_and_named(spark, tmp_path):
+    """Numbers go on over files and splits, blank lines count, and a bad line is told by its number."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        for name, n in (("a", 50), ("b", 1), ("c", 30)):
+            (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"v": "{name}{i}"}}\n' + "\n" * (i % 3 == 0) for i in range(n)))
+        got = D.numbered_lines(spark, str(tmp_path)).orderBy("file_row").collect()
+        assert [r["file_row"] for r in got] == list(range(len(got))) and [r["value"] for r in got if r["value"]] == [f'{{"v": "{x}{i}"}}' for x, n in (("a", 50), ("b", 1), ("c", 30)) for i in range(n)]
+        assert [r["line"] for r in got if r["file"].endswith("c.jsonl")] == list(range(1, 41))
+        path = tmp_path / "bad.jsonl"
+        path.write_text('{"v": "x"}\n\n' + '{"v": "some more text"}\n' * 30 + "[1]\n")
+        with pytest.raises(Exception, match="line 33 of bad.jsonl is not a JSON object"):
+            D.read_json_lines(spark, str(path), "v string").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

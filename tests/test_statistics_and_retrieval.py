@@ -125,3 +125,25 @@ def test_projection_by_counters(spark):
         got = {x["id"]: x for x in K.project(frame, "s", 6, "v", "p", columns, most).collect()}
         for i, v in enumerate(vectors):
             assert got[i]["other"] == "x" and (got[i]["p"] is None if v is None else got[i]["p"] == pytest.approx(np.array(v) @ matrix[: len(v)] / math.sqrt(6)))
+
+
+def test_holm_of_large_families(spark):
+    r = np.random.default_rng(3)
+    rows = [(g, i, float(r.choice([0.01, 0.02, r.random()]))) for g in ("a", "b", None) for i in range(200 if g != "b" else 3)]
+    tests = spark.createDataFrame(rows, "family string, test_id int, p double")
+    got = {(x["family"], x["test_id"]): x["adjusted"] for x in S.holm(tests, ["family"], held=10).collect()}
+    assert got == pytest.approx({(x["family"], x["test_id"]): x["adjusted"] for x in S.holm(tests, ["family"]).collect()})
+    own = sorted((p, i) for g, i, p in rows if g == "a")
+    most = 0.0
+    for n, (p, i) in enumerate(own):
+        most = max(most, (len(own) - n) * p)
+        assert got["a", i] == pytest.approx(min(1.0, most))
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 5, 9, 10, 11])
+def test_stale_entries(spark, most):
+    from tracewell.operators.reduction import stale_entries
+
+    rows = [(f"k{i}", w) for i, w in enumerate([5, 5, 3, 9, 3, 3, 1, 9, 5, 2])]
+    want = [k for k, _ in sorted(rows, key=lambda x: (-x[1], x[0]))[most:]]
+    assert sorted(r["key"] for r in stale_entries(spark.createDataFrame(rows, "key string, written int"), most).collect()) == sorted(want)

@@ -21,33 +21,22 @@ from tracewell.operators.timeline import FEW, few, last_at_most
 RRF_CONSTANT = 60
 
 
-#: Rows of a ranking that one task sorts, about; parts of a method at most.
-SORTED, MOST_PARTS = 1_000_000, 4096
+#: Rows of a ranking that one task sorts.
+SORTED = 1_000_000
 
 
 def ranked(scores: DataFrame, by: list[str], score: str = "raw_score", key: str = "occurrence_id", most: int | None = None, sorted_rows: int = SORTED) -> DataFrame:
     """rank 1..n by falling score, then key; without ties.
 
-    With most, only ranks up to it: a filter on row_number that Spark pushes below the shuffle as a group limit. Without, a
-    ranking that is too long for a task is cut at places that a sample tells (ties by key), each part is numbered apart, and what
-    comes before it is added: whatever the sample, ranks are the same."""
+    With most, only ranks up to it: a filter on row_number that Spark pushes below the shuffle as a group limit. Without, rankings
+    that are too long for a task are swept by range."""
     order = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(key))
     if most is not None:
         return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    parts = min(MOST_PARTS, scores.count() // sorted_rows + 1)
-    if parts == 1:
+    if few(scores, sorted_rows):
         return scores.withColumn("rank", F.row_number().over(order))
-    place = F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"))
-    some = scores.where(F.pmod(F.xxhash64(key), F.lit(max(1, sorted_rows // 100))) == 0)
-    listed = some.groupBy(*by).agg(F.sort_array(F.collect_list(place)).alias("__all"))  # a hundred for each part
-    step = F.greatest(F.lit(1), F.ceil(F.size("__all") / parts)).cast("int")
-    cuts = listed.select(*by, F.filter("__all", lambda x, i: (i % step == 0) & (i > 0)).alias("__cuts"))
-    dealt = scores.join(F.broadcast(cuts), by, "left").withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda c: c <= place)), F.lit(0))).drop("__cuts")
-    counts = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(F.col(score).desc(), F.col(key)))
-    met = dealt.withColumn("__in", inside).join(F.broadcast(counts.select(*by, "__part", before.alias("__before"))), [*by, "__part"])  # a row a part
-    return met.withColumn("rank", (F.col("__before") + F.col("__in")).cast("int")).drop("__part", "__in", "__before")
+    place = scores.withColumn("__falling", -F.col(score))
+    return sweep.sweep(place, by, ["__falling", key], {"rank": ("sum", F.lit(1).cast("long"))}).withColumn("rank", F.col("rank").cast("int")).drop("__falling")
 
 
 def bm25(documents: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text", query: str = "query_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -70,5 +70,13 @@ def negative_results(cases: DataFrame) -> DataFrame:
 
 
 def stale_entries(cache: DataFrame, most: int) -> DataFrame:
-    """Entries to prune: all but the most recently written."""
-    return cache.withColumn("place", F.row_number().over(Window.orderBy(F.col("written").desc(), "key"))).where(F.col("place") > most).drop("place")
+    """Entries (key, written) to prune: all but the most recently written, of those written together the first by key.
+
+    The last entry that stays is found among the first most, which are taken part by part; the others are held against it."""
+    if most < 1:
+        return cache
+    stay = cache.select("written", "key").orderBy(F.col("written").desc(), "key").limit(most)
+    last = stay.agg(F.count("*").alias("__n"), F.min("written").alias("__w"))
+    tied = stay.join(F.broadcast(last), F.col("written") == F.col("__w")).groupBy("__n", "__w").agg(F.max("key").alias("__k"))
+    later = (F.col("written") < F.col("__w")) | (F.col("written") == F.col("__w")) & (F.col("key") > F.col("__k"))
+    return cache.crossJoin(F.broadcast(tied)).where((F.col("__n") == most) & later).drop("__w", "__k", "__n")  # one row

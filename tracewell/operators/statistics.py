@@ -200,8 +200,15 @@ def paired_bootstrap(pairs: DataFrame, by: list[str], draws: int, seed: int, con
     return pairs.groupBy(*by).applyInPandas(interval, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "low double, high double"]))
 
 
-def holm(tests: DataFrame, by: list[str], p: str = "p", order: str = "test_id") -> DataFrame:
-    """tests with adjusted: running maximum of (m - rank) p over falling significance, at most 1."""
+def holm(tests: DataFrame, by: list[str], p: str = "p", order: str = "test_id", held: int = 1_000_000) -> DataFrame:
+    """tests with adjusted: running maximum of (m - rank) p over falling significance, at most 1.
+
+    Where a family has more than held tests, ranks and running maxima are swept by range; no family then meets in one task."""
+    sizes = tests.groupBy(*by).agg(F.count("*").alias("__m"))
+    if (sizes.agg(F.max("__m")).first()[0] or 0) > held:
+        ranked = sweep(tests, by, [p, order], {"__r": ("sum", F.lit(1).cast("long"))})
+        met = _met(ranked, sizes, by).withColumn("__a", (F.col("__m") - F.col("__r") + 1) * F.col(p))
+        return sweep(met, by, ["__r"], {"__most": ("max", F.col("__a"))}).withColumn("adjusted", F.least(F.lit(1.0), F.col("__most"))).select(*tests.columns, "adjusted")
     ranked = Window.partitionBy(*by).orderBy(p, order)
     m = F.count(F.lit(1)).over(Window.partitionBy(*by))
     step = tests.withColumn("__a", (m - F.row_number().over(ranked) + 1) * F.col(p))

@@ -64,21 +64,22 @@ RUN = f"WITH {OCCURRENCES}, {CHECKPOINTS}, {POINTS}, {WINDOWS} "
 TERMS = "regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+')"
 
 
+def kinds(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The event types of the table, in order: the candidate groups, at most twelve."""
+    found = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().limit(13).collect()]
+    if len(found) > 12:
+        raise ValueError("between 1 and 12 groups")
+    return sorted(found)
+
+
 def subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """subset, accepted, effect, controls_passed, recall, seconds: every subset of the five event types with a made-up additive effect and two interactions."""
-    from tracewell.operators.rows import all_subsets
-
-    names = ["click", "error", "login", "purchase", "view"]
-    rows = all_subsets(spark, names).where("size > 0")
-    own = F.aggregate("subset", F.lit(0.0), lambda s, x: s + F.char_length(x) / 10.0)
-    both = F.when(F.array_contains("subset", "click") & F.array_contains("subset", "error"), 0.5).otherwise(0.0)
-    clash = F.when(F.array_contains("subset", "login") & F.array_contains("subset", "view"), -1.0).otherwise(0.0)
-    value = F.round(own + both + clash, 6)
-    return rows.select("subset", value.alias("effect"), (value >= 1.0).alias("accepted"), (F.size("subset") < 5).alias("controls_passed"), F.round(F.least(F.lit(1.0), value), 6).alias("recall"), (F.size("subset") * 0.5).alias("seconds"))
-
-
-SUBSETS = """names AS (SELECT * FROM (VALUES (0, 'click'), (1, 'error'), (2, 'login'), (3, 'purchase'), (4, 'view')) t(i, n)),
-masks AS (SELECT unnest(range(1, 32)) AS m),
-listed AS (SELECT m, list(n ORDER BY n) AS subset, sum(length(n) / 10.0) AS own FROM masks, names WHERE (m >> i) & 1 = 1 GROUP BY m),
-valued AS (SELECT subset, CAST(round(own + CASE WHEN list_contains(subset, 'click') AND list_contains(subset, 'error') THEN 0.5 ELSE 0 END - CASE WHEN list_contains(subset, 'login') AND list_contains(subset, 'view') THEN 1 ELSE 0 END, 6) AS DOUBLE) AS effect FROM listed),
-subsets AS (SELECT subset, effect, effect >= 1.0 AS accepted, len(subset) < 5 AS controls_passed, CAST(round(least(1.0, effect), 6) AS DOUBLE) AS recall, CAST(len(subset) * 0.5 AS DOUBLE) AS seconds FROM valued)"""
+    """subset, accepted, effect, controls_passed, recall, seconds: each set of event types that a user had on some day, with the mean value of such days as its effect."""
+    days = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_set("event_type")).alias("subset"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.count("*").alias("n"))  # a set of few kinds
+    per = days.groupBy("subset").agg(F.sum("cents").alias("cents"), F.count("*").alias("days"), F.max("n").alias("most"))
+    value = F.round(F.col("cents") / 100.0 / F.col("days"), 6)
+    return per.select("subset", value.alias("effect"), (value >= 100.0).alias("accepted"), (F.col("most") <= 6).alias("controls_passed"), F.round(F.least(F.lit(1.0), F.col("days") / 50.0), 6).alias("recall"), (F.col("days") * 0.5).alias("seconds"))
+
+
+SUBSETS = """days AS (SELECT user_id, CAST(ts AS DATE) AS day, list(DISTINCT event_type ORDER BY event_type) AS subset, sum(CAST(round(value * 100) AS BIGINT)) AS cents, count(*) AS n FROM events GROUP BY 1, 2),
+subsets AS (SELECT subset, CAST(round(CAST(sum(cents) AS DOUBLE) / 100.0 / count(*), 6) AS DOUBLE) AS effect, round(CAST(sum(cents) AS DOUBLE) / 100.0 / count(*), 6) >= 100.0 AS accepted, max(n) <= 6 AS controls_passed,
+CAST(round(least(1.0, count(*) / 50.0), 6) AS DOUBLE) AS recall, CAST(count(*) * 0.5 AS DOUBLE) AS seconds FROM days GROUP BY 1)"""

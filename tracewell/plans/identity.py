@@ -131,10 +131,12 @@ def two_hop_lookup(spark, sf_dir):
     return items.join(X.table(spark, sf_dir, "labels").select("doc_id"), "doc_id").join(docs, "doc_id").select("item_id", "doc_id", "source", "text_hash")
 
 
-@query("SELECT source, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS doc_ids FROM documents JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY 1")
+@query("SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n FROM documents JOIN labels USING (doc_id) WHERE quality = 0")
 def family_attach(spark, sf_dir):
+    """Each member with its family and the family's size; no family is gathered."""
     both = X.table(spark, sf_dir, "documents").select("doc_id", "source").join(X.table(spark, sf_dir, "labels").where("quality = 0").select("doc_id"), "doc_id")
-    return both.groupBy("source").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("doc_ids"))
+    sizes = both.groupBy(F.col("source").alias("family")).agg(F.count("*").alias("n"))
+    return both.join(sizes, F.col("source").eqNullSafe(F.col("family"))).select("doc_id", "source", "n")
 
 
 @query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")

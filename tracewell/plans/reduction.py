@@ -16,9 +16,9 @@ def _text(name):
     return F.array_join(name, "|")
 
 
-@query(f"WITH {X.SUBSETS} SELECT {_T('subset')} AS subset, len(subset) AS size FROM subsets UNION ALL SELECT '', 0")
+@query(f"WITH k AS (SELECT list(DISTINCT event_type ORDER BY event_type) AS k FROM events) SELECT {_T('list_filter(k, lambda x: (m >> (list_position(k, x) - 1)) & 1 = 1)')} AS subset, CAST(bit_count(m) AS BIGINT) AS size FROM k, range(0, CAST(pow(2, (SELECT len(k) FROM k)) AS BIGINT)) t(m)")
 def all_subsets(spark, sf_dir):
-    return R.all_subsets(spark, ["click", "error", "login", "purchase", "view"]).select(_text("subset").alias("subset"), F.col("size").cast("long").alias("size"))
+    return R.all_subsets(spark, X.kinds(spark, sf_dir)).select(_text("subset").alias("subset"), F.col("size").cast("long").alias("size"))
 
 
 _PAIRS = """, p AS (SELECT a.subset AS l, b.subset AS r, a.accepted AS la, b.accepted AS ra, list_sort(a.subset || b.subset) AS u FROM subsets a, subsets b WHERE NOT list_has_any(a.subset, b.subset) AND (len(a.subset) < len(b.subset) OR (len(a.subset) = len(b.subset) AND array_to_string(a.subset, '|') < array_to_string(b.subset, '|')))),
@@ -83,7 +83,7 @@ def storage_projection(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").agg(F.count("*").alias("occurrences"), size.alias("bytes"), F.round(size * 1000000.0 / F.count("*"), 4).alias("bytes_per_million"), F.round(F.count("*") / 12.5, 6).alias("per_second"))
 
 
-@query(_S + f"SELECT {_T('subset')} AS subset, {_T("list_filter(['click', 'error', 'login', 'purchase', 'view'], lambda x: NOT list_contains(subset, x))")} AS complement FROM subsets")
+@query(_S + f", k AS (SELECT list(DISTINCT event_type ORDER BY event_type) AS k FROM events) SELECT {_T('subset')} AS subset, {_T('list_filter(k, lambda x: NOT list_contains(subset, x))')} AS complement FROM subsets, k")
 def complements(spark, sf_dir):
-    every = F.array(*(F.lit(n) for n in ("click", "error", "login", "purchase", "view")))
+    every = F.array(*(F.lit(n) for n in X.kinds(spark, sf_dir)))
     return X.subsets(spark, sf_dir).select(_text("subset").alias("subset"), F.array_join(F.array_except(every, "subset"), "|").alias("complement"))

@@ -157,10 +157,11 @@ def audit_grades(spark, sf_dir):
     return S.audit_grade(S.tensor_difference(v.select("name", "values"), other).join(v.select("name", "label"), "name"), ["label"])
 
 
-@query("SELECT n AS step, s AS schedule, round(0.1 * CASE WHEN n < 10 THEN greatest(n, 1) / 10.0 WHEN s = 'constant' THEN 1.0 WHEN s = 'linear' THEN 1 - least(1.0, (n - 10) / 90.0) ELSE (1 + cos(pi() * least(1.0, (n - 10) / 90.0))) / 2 END, 10) AS rate FROM range(0, 120) a(n), (VALUES ('constant'), ('linear'), ('cosine')) b(s)")
+@query(X.RUN + ", r AS (SELECT DISTINCT step AS n FROM occurrences) SELECT n AS step, s AS schedule, round(0.1 * CASE WHEN n < 10 THEN greatest(n, 1) / 10.0 WHEN s = 'constant' THEN 1.0 WHEN s = 'linear' THEN 1 - least(1.0, (n - 10) / 390.0) ELSE (1 + cos(pi() * least(1.0, (n - 10) / 390.0))) / 2 END, 10) AS rate FROM r, (VALUES ('constant'), ('linear'), ('cosine')) b(s)")
 def learning_rates(spark, sf_dir):
-    steps = spark.range(120).select(F.col("id").alias("step"))
-    parts = [steps.select("step", F.lit(s).alias("schedule"), F.round(T.learning_rate(F.col("step"), 0.1, 100, 10, s), 10).alias("rate")) for s in ("constant", "linear", "cosine")]
+    """The rate of every recorded step under each schedule."""
+    steps = X.occurrences(spark, sf_dir).select("step").distinct()
+    parts = [steps.select("step", F.lit(s).alias("schedule"), F.round(T.learning_rate(F.col("step"), 0.1, 400, 10, s), 10).alias("rate")) for s in ("constant", "linear", "cosine")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

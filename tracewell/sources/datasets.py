@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -71,14 +71,27 @@ def size_guard(spark: SparkSession, path: str, most: int = MOST_BYTES) -> None:
         raise ValueError(f"{path} has {size} bytes; at most {most} are read")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, line (from 1) and file_row (from 0, over all files in the order of their names) of every line.
+
+    Lines are numbered where they are read; only a row for each split meets in one place."""
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__id"))
+    splits = read.groupBy("file", "__split").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.orderBy("file", "__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = splits.select("file", "__split", "__first", before(Window.partitionBy("file")).alias("__lines"), before(Window.partitionBy()).alias("__rows"))
+    inside = F.col("__id") - F.col("__first")
+    return read.join(F.broadcast(told), ["file", "__split"]).select("value", "file", (F.col("__lines") + inside + 1).alias("line"), (F.col("__rows") + inside).alias("file_row"))
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects, one a line, blank lines skipped; any other line fails the read. file_row keeps the order."""
+    """Objects, one a line, blank lines skipped; any other line fails the read and is named. file_row is the line's number over all files, from 0."""
     size_guard(spark, path)
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    parsed = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
     is_object = F.trim("value").startswith("{") & F.col("r").isNotNull() & F.is_valid_utf8("value") & (F.try_parse_json("value").isNotNull())
-    checked = parsed.withColumn("r", F.when(is_object, F.col("r")).otherwise(F.raise_error(F.lit("a line is not a JSON object")).cast(parsed.schema["r"].dataType)))
-    return checked.select("r.*", F.monotonically_increasing_id().alias("file_row"))
+    named = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" of "), F.element_at(F.split("file", "/"), -1), F.lit(" is not a JSON object"))
+    checked = parsed.withColumn("r", F.when(is_object, F.col("r")).otherwise(F.raise_error(named).cast(parsed.schema["r"].dataType)))
+    return checked.select("r.*", "file_row")
 
 
 def read_dataset(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
