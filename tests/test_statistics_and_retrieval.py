@@ -147,3 +147,17 @@ def test_stale_entries(spark, most):
     rows = [(f"k{i}", w) for i, w in enumerate([5, 5, 3, 9, 3, 3, 1, 9, 5, 2])]
     want = [k for k, _ in sorted(rows, key=lambda x: (-x[1], x[0]))[most:]]
     assert sorted(r["key"] for r in stale_entries(spark.createDataFrame(rows, "key string, written int"), most).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("context", [10, 37, 500])
+def test_packing_by_jumps(spark, context):
+    """As folded in one task: lengths at, below and above the context, runs that one sequence holds, a null run."""
+    from tracewell.operators.ledger import pack_lengths
+
+    r = np.random.default_rng(context)
+    rows = [(g, 7 * i, int(n)) for g, own in (("a", r.integers(1, 50, 300)), ("b", r.integers(1, 12, 41)), (None, [10] * 20), ("one", [3]), ("cut", [400, 5, 600])) for i, n in enumerate(own)]
+    frame = spark.createDataFrame(rows, "run_id string, source_row long, length long")
+    got = pack_lengths(frame, context, None, held=0)
+    want = pack_lengths(frame, context, None)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert pack_lengths(frame.where("false"), context, None).count() == 0

@@ -6,13 +6,69 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.sweep import as_of, sweep
+from tracewell.sources.shared import kept
 
-def pack_lengths(examples: DataFrame, context: int, sequences: int | None, run: str = "run_id") -> DataFrame:
+
+#: Rows of a run that one task folds; larger runs are packed by jumps.
+HELD = 100_000
+
+
+def pack_lengths(examples: DataFrame, context: int, sequences: int | None, run: str = "run_id", held: int = HELD) -> DataFrame:
     """Greedy cyclic packing of each run: its next sequences of at most context tokens; where sequences is None, those that hold one epoch.
 
     examples: run, source_row, length (before truncation). Rows go in order, over and over; one that doesn't fit begins
-    the next sequence, one of the whole context ends its own. A run is folded in one task, on lengths alone.
-    Gives run, sequence, source_row, epoch, token_start, token_end, left_truncated."""
+    the next sequence, one of the whole context ends its own. Gives run, sequence, source_row, epoch, token_start, token_end, left_truncated.
+    An epoch of a run of more than held rows is packed by many tasks: see jumped."""
+    if sequences is not None:
+        return _folded(examples, context, sequences, run)
+    size = F.least(F.col("length"), F.lit(context)).cast("long")
+    runs = examples.groupBy(F.col(run).alias("__run")).agg(F.count("*").alias("__rows"), F.sum(size).alias("__total"))
+    large = (F.col("__rows") > held) & (F.col("__total") > context)
+    if runs.where(large).isEmpty():
+        return _folded(examples, context, None, run)
+    met = kept(examples.select(run, "source_row", "length").join(runs, F.col(run).eqNullSafe(F.col("__run"))).drop("__run"), "runs")
+    return jumped(met.where(large), context, run).unionByName(_folded(met.where(~large), context, None, run))
+
+
+def jumped(examples: DataFrame, context: int, run: str) -> DataFrame:
+    """One epoch of runs whose rows (run, source_row, length, __rows and __total of the run) are more than a sequence holds.
+
+    Running sums tell for every row which one would begin the next sequence if it began one: the first whose end is beyond
+    what the sequence holds. From the first row such jumps lead from sequence to sequence; jumps of twice as many sequences are two
+    jumps joined, so all that begin one are found in as many joins as the number of sequences has bits. Every row then belongs to the last
+    that begins a sequence at or before it."""
+    one, cut = F.lit(1).cast("long"), F.greatest(F.lit(0), F.col("length") - context).cast("long")
+    sized = examples.withColumn("__size", F.least(F.col("length"), F.lit(context)).cast("long")).withColumn("left_truncated", cut)
+    placed = sweep(sized, [run], ["source_row"], {"__i": ("sum", one), "__end": ("sum", F.col("__size"))}).withColumn("__i", F.col("__i") - 1)
+    again = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))  # the last sequence goes on into the next epoch
+    rows = placed.withColumn("epoch", again).withColumn("__i", F.col("__i") + F.col("epoch") * F.col("__rows")).withColumn("__end", F.col("__end") + F.col("epoch") * F.col("__total"))
+    rows = kept(rows.select(run, "source_row", "epoch", "left_truncated", "__rows", "__i", "__size", "__end"), "packing-rows")
+    ends = rows.select(run, F.col("__end").alias("__t"), F.lit(0).alias("__side"), one.alias("__one"))
+    begins = rows.where("epoch = 0").select(run, (F.col("__end") - F.col("__size") + context).alias("__t"), F.lit(1).alias("__side"), "__i", "__rows")
+    counted = sweep(ends.unionByName(begins, allowMissingColumns=True), [run], ["__t", "__side"], {"__next": ("sum", F.col("__one"))})
+    first = kept(counted.where("__side = 1").select(run, "__i", "__next", "__rows"), "packing-jumps")
+    jump, found, step = first.where("__next < __rows").select(run, "__i", "__next"), first.where("__i = 0").select(run, "__i", F.lit(0).cast("long").alias("sequence")), 1
+    while True:
+        on = jump.select(F.col(run).alias("__run"), F.col("__i").alias("__from"), F.col("__next").alias("__to"))
+        landed = lambda left, at, on=on: left.join(on, left[run].eqNullSafe(on["__run"]) & (left[at] == on["__from"]))
+        more = kept(landed(found, "__i").select(run, F.col("__to").alias("__i"), (F.col("sequence") + step).alias("sequence")), "packing-sequences")
+        if more.isEmpty():
+            break
+        found = found.unionByName(more)
+        jump = kept(landed(jump, "__next").select(run, "__i", F.col("__to").alias("__next")), "packing-jumps")
+        step *= 2
+    named = found.select(F.col(run).alias("__run"), F.col("__i").alias("__begin"), "sequence")
+    known = rows.join(named, rows[run].eqNullSafe(named["__run"]) & (rows["__i"] == named["__begin"])).where("epoch = 0").select(run, "__i", "sequence", "__begin", (F.col("__end") - F.col("__size")).alias("__base"))
+    told = as_of(rows, known, "__i", ["__begin", "sequence", "__base"], [run])
+    start = F.col("__end") - F.col("__size") - F.col("__base")
+    # of the next epoch only what still fits
+    inside = told.where(F.col("__end") - F.col("__base") <= context)
+    return inside.select(run, "sequence", "source_row", "epoch", start.alias("token_start"), (start + F.col("__size")).alias("token_end"), "left_truncated")
+
+
+def _folded(examples: DataFrame, context: int, sequences: int | None, run: str) -> DataFrame:
+    """The packing of each run, on lengths alone, in one task."""
     kind = examples.schema[run].dataType.simpleString()
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:

@@ -52,6 +52,22 @@ def deterministic_packing(spark, sf_dir):
     return L.pack_lengths(rows, context=2048, sequences=None)
 
 
+_EPOCHS = f"""WITH RECURSIVE {X.EXAMPLES}, e AS (SELECT source AS run, row_number() OVER (PARTITION BY source ORDER BY source_row) - 1 AS i, source_row, least(strlen(prompt) + strlen(completion) + 3, 2048) AS n, greatest(0, strlen(prompt) + strlen(completion) + 3 - 2048) AS cut FROM examples),
+k AS (SELECT run, count(*) AS rows FROM e GROUP BY 1),
+p AS (SELECT run, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS sequence, CAST(0 AS BIGINT) AS token_start, n AS token_end FROM e WHERE i = 0
+UNION ALL SELECT p.run, p.i + 1, p.sequence + CASE WHEN p.token_end + e.n > 2048 THEN 1 ELSE 0 END, CASE WHEN p.token_end + e.n > 2048 THEN 0 ELSE p.token_end END, CASE WHEN p.token_end + e.n > 2048 THEN e.n ELSE p.token_end + e.n END
+FROM p JOIN k ON p.run = k.run JOIN e ON e.run = p.run AND e.i = (p.i + 1) % k.rows WHERE p.i < 2 * k.rows),
+m AS (SELECT p.run, max(sequence) AS last FROM p JOIN k ON p.run = k.run AND p.i < k.rows GROUP BY 1)
+SELECT p.run AS run_id, sequence, e.source_row, p.i // k.rows AS epoch, CAST(token_start AS BIGINT) AS token_start, CAST(token_end AS BIGINT) AS token_end, CAST(cut AS BIGINT) AS left_truncated FROM p JOIN k ON p.run = k.run JOIN m ON p.run = m.run AND sequence <= last JOIN e ON e.run = p.run AND e.i = p.i % k.rows"""
+
+
+@query(_EPOCHS)
+def epoch_packing(spark, sf_dir):
+    """One epoch of a run for each source, packed by jumps over many tasks."""
+    rows = X.examples(spark, sf_dir).select(F.col("source").alias("run_id"), "source_row", W.sft_length(F.col("prompt"), F.col("completion")).alias("length"))
+    return L.pack_lengths(rows, context=2048, sequences=None, held=0)
+
+
 @query(f"WITH {X.EXAMPLES}, o AS (SELECT source_row, strlen(completion) + 1 AS c, sample_weight AS w FROM examples) SELECT source_row, round(c * w, 6) AS kept, CAST(0 AS DOUBLE) AS removed, round(c * w * 0.5, 6) AS halved FROM o")
 def token_interventions(spark, sf_dir):
     """Weight sums before and after a removal and a halving of the whole span."""
