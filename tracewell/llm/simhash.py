@@ -161,8 +161,10 @@ def classes(docs: DataFrame, words: int = 3, max_bits: int = 3, agree: int = 3,
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Longs of a shingle set's parity bitmap. Documents whose shingles are counted for the order of prefixes, and shingles that it tells apart.
-PARITY, COUNTED, COMMON = 8, 20_000, 50_000
+#: Longs of a shingle set's parity bitmap. Texts that make a shingle common, and how many common ones (the most common) the order of prefixes tells apart.
+PARITY, LEAST_COMMON, COMMON = 8, 8, 250_000
+#: Prefixes have the lower fifth of a text's hashes, and some more where common ones are passed over: hashes below this are counted.
+COUNTED = 0.35
 
 
 class Shingles:
@@ -191,23 +193,29 @@ def arrays(parts: list[np.ndarray]) -> pa.Array:
 
 
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) of shingles that several of some COUNTED texts have, and in how many they are.
+    """Hashes (ascending) of the most common shingles, and in how many texts they are.
 
-    They only order the prefixes, and any order finds the same pairs."""
+    They only order the prefixes, and any order finds the same pairs; counts are over all texts, so that what many share stays out of
+    prefixes at every size, and texts that share it alone don't meet."""
+    limit = np.uint64(int(COUNTED * 2**64))
 
     def run(batches):
         of = Shingles(words)
         for batch in batches:
             for part in slices(batch):
-                found = [of(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
-
-    total = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // COUNTED))) == 0).select("text")
-    rows = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 8").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    hashes, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
-    del rows
-    trim()
+                found = [own[: np.searchsorted(own, limit)] for own in map(of, part.column("text").to_pylist())]
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+        of.known.clear()
+        trim()
+
+    counts = docs.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COMMON)
+    counts = written(counts, "common-shingles")
+    many = counts.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).toArrow()
+    fit = np.cumsum(np.asarray(many["c"], np.int64)) <= COMMON
+    rows = counts.where(F.col("n") >= int(np.asarray(many["n"])[fit].min() if fit.any() else 1 << 62)).toArrow()
+    release(counts)
+    hashes, n = np.asarray(rows["h"], np.int64).view(np.uint64), np.asarray(rows["n"], np.int64)
     order = np.argsort(hashes)
     return hashes[order], n[order]
 
@@ -273,6 +281,14 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, own array<long>")
 
 
+def may_share(similarity: float):
+    """Condition on x and y, where they first share a shingle at positions at: after it enough are left of both to be close.
+
+    A pair of at least this similarity meets it at the first shingle in the order of prefixes that both have."""
+    both = F.col("x.n") + F.col("y.n")
+    return F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= both * (similarity / (1 + similarity)) - 1e-9
+
+
 def may_be_close(similarity: float):
     """Condition on x and y that each pair of at least this similarity meets, by sizes and parity bitmaps."""
     apart = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITY)), F.lit(0))
@@ -329,20 +345,20 @@ def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, to
     """node, root: texts (by their hash) linked by Jaccard similarity of their sets of word shingles, exactly.
 
     Sets of at least this similarity share a member of their prefixes. In a few rounds each text meets some that share such a
-    shingle and aren't linked yet, which links most of a group; then all those texts meet that share one and aren't linked yet. Sizes
-    and parity bitmaps leave out only pairs that can't be close; the sets themselves decide. Rows that repeat an id are one text; an
+    shingle and aren't linked yet, which links most of a group; then all those texts meet that share one and aren't linked yet. The
+    order of prefixes has shingles by the number of texts that have them, so texts meet over what few share. Positions, sizes and parity bitmaps leave out only pairs that can't be close; the sets themselves decide. Rows that repeat an id are one text; an
     empty table gives no rows."""
     first = [F.first(c).alias(c) for c in ("n", *(f"p{i}" for i in range(PARITY)), "map", "prefix")]
     made = written(prefixes(docs, words, similarity), "prefixes")
     distinct = written(made.groupBy("id").agg(*first), "prefixes-distinct")
     release(made)
-    prints, maps, keyed = distinct.drop("prefix", "map"), distinct.select("id", "n", "map"), distinct.select("id", F.explode("prefix").alias("key"))
+    prints, maps, keyed = distinct.drop("prefix", "map"), distinct.select("id", "n", "map"), distinct.select("id", F.posexplode("prefix").alias("at", "key"))
     there = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "key"), "shared-shingles")
     shared = there
     own = shared.groupBy("id").agg(F.count("*").alias("shared")).join(distinct.select("id", F.size("prefix").alias("all")), "id")
     own = written(own.select("id", (F.col("shared") / F.col("all")).alias("share")), "own-shingles")
     shared = shared.join(own.select("id", "share"), "id")
-    known, edges, roots = written(shared.select("id", "key", "share", F.col("id").alias("root")), "linked-shingles"), None, None
+    known, edges, roots = written(shared.select("id", "key", "at", "share", F.col("id").alias("root")), "linked-shingles"), None, None
     for turn in range(rounds):
         pairs = written(centred(known, turn), "centres")
         near = pairs.join(prints.alias("x"), F.col("a") == F.col("x.id")).join(prints.alias("y"), F.col("b") == F.col("y.id")).where(may_be_close(similarity)).select("a", "b")
@@ -350,7 +366,7 @@ def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, to
         release(pairs)
         edges = more if edges is None else written(edges.unionByName(more), "close")
         last, roots = (known, roots), components(edges)
-        known = written(shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "key", "share", F.coalesce("root", "id").alias("root")), "linked-shingles")
+        known = written(shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "key", "at", "share", F.coalesce("root", "id").alias("root")), "linked-shingles")
         release(*(t for t in last if t is not None))
         if more.isEmpty():
             break
@@ -363,7 +379,7 @@ def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, to
     left = members.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).alias("x")
     right = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") == F.col("y.chunk"))
-    rest = left.join(right, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_be_close(similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    rest = left.join(right, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_share(similarity) & may_be_close(similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     rest = written(rest.distinct(), "unlinked-pairs")
     release(members)
     more = close(written(sieve(rest, maps, similarity), "sieved-pairs"), docs, words, similarity)
