@@ -5,7 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tracewell.functions.canonical import canonical_column
 from tracewell.operators.sweep import as_of, sweep
 from tracewell.sources.shared import kept
 
@@ -120,6 +122,50 @@ def batch_issues(batch: DataFrame) -> DataFrame:
     return batch.withColumn("issues", F.array_compact(F.array(*(F.when(~F.coalesce(good, F.lit(False)), F.lit(name)) for name, good in checks.items()))))
 
 
+#: What an event's identity covers.
+HASHED = ("step", "microbatch", "sequences", "denominator", "reserved_slots")
+
+
+def event_hash(events: DataFrame) -> Column:
+    """SHA-256 of the canonical JSON of what was recorded of a batch."""
+    fields = [events.schema[c] for c in HASHED]
+    return F.sha2(canonical_column(F.struct(*HASHED), StructType(fields)), 256)
+
+
+def event_issues(events: DataFrame) -> DataFrame:
+    """events with issues: which rules a recorded batch breaks that its sequences alone (batch_issues) don't show.
+
+    events: step, microbatch, sequences (array of packed_id, input_ids, loss_weights, padding_tokens and spans: an array of
+    occurrence_id, packed_id, token_start, token_end, completion, reserved, original_weight, injection), denominator, reserved_slots (null:
+    none were declared), loss (may be null), event_hash (null: not told). A reserved row is one whole sequence that does nothing, but has
+    the weights that its completion would have; reserved rows are the last of their batch, as many as were declared."""
+    n, slots, rows = F.size("sequences"), F.col("reserved_slots"), F.col("sequences")
+    spans = F.flatten(F.transform(rows, lambda q: q["spans"]))
+    names = F.transform(spans, lambda s: s["occurrence_id"])
+    is_reserved = lambda q: F.exists(q["spans"], lambda s: s["reserved"])
+    active = F.aggregate(rows, F.lit(0.0), lambda t, q: t + loss_denominator(q["loss_weights"]))
+    every = lambda check: F.forall(rows, lambda q: ~is_reserved(q) | check(q, F.get(q["spans"], F.lit(0))))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    weight = lambda s: finite(s["original_weight"]) & s["original_weight"].between(0, 1000)
+    meant = lambda s: F.transform(s["completion"], lambda c: F.when(c, s["original_weight"]).otherwise(0.0))
+    checks = {
+        "negative place": (F.col("step") >= 0) & (F.col("microbatch") >= 0),
+        "no sequences": n > 0,
+        "occurrence empty or repeated": F.forall(names, lambda x: x.isNotNull() & (x != "")) & (F.size(F.array_distinct(names)) == F.size(names)),
+        "wrong packed sequence": F.forall(rows, lambda q: F.forall(q["spans"], lambda s: s["packed_id"] == q["packed_id"])),
+        "reserved slots outside the batch": slots.isNull() | (slots >= 0) & (slots < n),
+        "reserved rows are not the declared last ones": F.transform(rows, is_reserved) == F.transform(rows, lambda _, i: i >= n - F.coalesce(slots, F.lit(0))),
+        "reserved row not whole": every(lambda q, s: (F.size(q["spans"]) == 1) & (s["token_start"] == 0) & (s["token_end"] == F.size(q["input_ids"]) - q["padding_tokens"]) & q["packed_id"].startswith("noop_")),
+        "injection weights": every(lambda q, s: weight(s) & (s["injection"] == meant(s)) & F.exists(s["injection"], lambda w: w > 0)) & F.forall(spans, lambda s: s["reserved"] | (F.coalesce(F.size(s["injection"]), F.lit(0)) == 0)),
+        "reserved row has loss": every(lambda q, s: F.forall(q["loss_weights"], lambda w: w == 0)),
+        "no active loss beside reserved rows": (F.coalesce(slots, F.lit(0)) == 0) | (active > 0),
+        "denominator": F.abs(active - F.col("denominator")) <= 1e-5,
+        "loss not finite": F.col("loss").isNull() | finite(F.col("loss")),
+        "event hash": F.col("event_hash").isNull() | (F.col("event_hash") == event_hash(events)),
+    }
+    return events.withColumn("issues", F.array_compact(F.array(*(F.when(~F.coalesce(good, F.lit(False)), F.lit(name)) for name, good in checks.items()))))
+
+
 def intervene(weights: Column, start: Column, end: Column, operation: str, factor: float | None = None, restored: Column | None = None) -> Column:
     """Token weights with a span's set to zero, multiplied or restored (from the weights that its reserved row would have)."""
     if operation == "remove":
