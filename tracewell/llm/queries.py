@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import audio, bpe, classifier, html, lm, merkle, mixing, negatives, packing, quality, repeats, simhash, warc
-from tracewell.llm.common import held_out, spread, table
+from tracewell.llm.common import held_out, spread, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -60,10 +60,11 @@ def op6_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of what is read back from each text stored as mu-law samples, and features of its decoded sound.
+    """Digests of what is read back from a table of media, each text stored as mu-law samples, and features of its decoded sound.
 
     Null and empty texts are 64 zero bytes; equal texts have equal values; a null id stays null; extra columns aren't read; an empty table gives no rows."""
-    return audio.read_back(audio.store(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    media = written(audio.store(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "media")
+    return audio.read_back(media)
 
 
 def op8_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
