@@ -36,9 +36,10 @@ SHARD_BYTES = 10_500_000
 TOGETHER, MOST_BUCKETS = 2, 20_000
 #: Documents whose sums are put together in one task, and words of shards whose customers are seated in one.
 RANGE, WORDS = 20_000, 300_000
-#: A context or pair whose load is more than this share of a shard's is dealt to several, so there are at most shards / SPLIT of them. They are
+#: A context or pair whose load is more than this share of a shard's is dealt to several, so there are at most shards / SPLIT of them; every task
+#: knows them, so beyond MOST_COMMON of a kind only those are dealt that have more than a MOST_COMMON-th of all tokens. They are
 #: found in a sample of about so many tokens a shard, which shapes the shards and no score.
-SPLIT, SAMPLED = 0.25, 1600
+SPLIT, SAMPLED, MOST_COMMON = 0.25, 1600, 1_000_000
 #: Tokens gathered before a map task deals them out.
 DEAL = 1_500_000
 #: Customers of a word up to which its tables are drawn exactly.
@@ -144,18 +145,20 @@ def common(docs: DataFrame, size: int, shards: int) -> Common:
     counts = docs.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(every)) == 0).select("text").mapInArrow(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
     counts = written(counts, "lm-sample")
     total = counts.where("kind = 0").agg(F.sum("n")).first()[0] or 1
-    many = counts.where(F.col("n") > max(8, SPLIT * total / shards)).orderBy("h").collect()  # at most shards / SPLIT of a kind
+    many = counts.where(F.col("n") > max(8, SPLIT * total / shards, total / MOST_COMMON)).toArrow()  # at most MOST_COMMON of a kind: their counts sum to total
     release(counts)
+    of, hashes, n = np.asarray(many["kind"], np.int64), np.asarray(many["h"], np.int64).view(np.uint64), np.asarray(many["n"], np.float64)
     out = []
     for kind in (0, 1):
-        rows = sorted((int(r["h"]) % (1 << 64), math.ceil(r["n"] * shards / total / SPLIT)) for r in many if r["kind"] == kind)
-        out += [np.array([h for h, _ in rows], np.uint64), np.array([n for _, n in rows], np.uint64)]
+        own = np.flatnonzero(of == kind)
+        own = own[np.argsort(hashes[own])]
+        out += [hashes[own], np.ceil(n[own] * shards / total / SPLIT).astype(np.uint64)]
     return Common(*out)
 
 
 def deal(docs: DataFrame, shards: int, known: Common) -> DataFrame:
     """shard, blob: (words' hashes, documents' keys, train flags, contexts, next words, documents, counts) of its pairs."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most shards / SPLIT of contexts and of pairs
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most MOST_COMMON contexts and pairs
 
     def shard_of(u: np.ndarray, w: np.ndarray, key: np.ndarray) -> np.ndarray:
         k = shared.value
