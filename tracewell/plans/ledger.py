@@ -105,7 +105,13 @@ def _batches(spark, sf_dir):
     )
 
 
-@query(f"WITH {X.EXAMPLES} SELECT source_row, concat_ws(',', CASE WHEN source_row % 9 = 0 THEN 'span outside' END, CASE WHEN source_row % 9 = 0 THEN 'mask length' END, CASE WHEN source_row % 7 = 0 THEN 'denominator' END) AS issues FROM examples")
+_BROKEN = f"""WITH {X.EXAMPLES}, n AS (SELECT source_row, strlen(prompt) AS p, strlen(completion) AS c, strlen(prompt) + strlen(completion) + 3 AS n, CASE WHEN source_row % 4 = 0 THEN 5 ELSE 0 END AS pad FROM examples),
+b AS (SELECT source_row, n + pad AS tokens, pad, 0 AS span_start, CASE WHEN source_row % 9 = 0 THEN n + 99 ELSE n END AS span_end, 1 + p + (n - 1 - p) AS prompt_mask, p + 2 + c + 1 AS completion_mask,
+CAST(c + 1 AS DOUBLE) AS active, CAST(c + 1 + CASE WHEN source_row % 7 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS declared FROM n) """
+
+
+@query(_BROKEN + """SELECT source_row, concat_ws(',', CASE WHEN NOT (span_start >= 0 AND span_start < span_end AND span_end <= tokens - pad) THEN 'span outside' END,
+CASE WHEN prompt_mask <> span_end - span_start OR completion_mask <> span_end - span_start THEN 'mask length' END, CASE WHEN abs(active - declared) > 0.00001 THEN 'denominator' END) AS issues FROM b""")
 def batch_invariants(spark, sf_dir):
     return L.batch_issues(_batches(spark, sf_dir)).select("source_row", F.array_join("issues", ",").alias("issues"))
 
