@@ -159,12 +159,10 @@ def _ledger_tables(spark, sf_dir):
 @query(f"WITH {X.OCCURRENCES} SELECT step, occurrence_id, source FROM occurrences WHERE step >= 100 AND step < 320")
 def ledger_scan(spark, sf_dir):
     """A ledger of two appends, written, checked and read by a range of steps that lies in both."""
-    import uuid
-
     from tracewell.sources import ledger as G
-    from tracewell.sources.shared import shared_folder
+    from tracewell.sources.shared import scratch
 
-    path, tables = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", _ledger_tables(spark, sf_dir)
+    path, tables = scratch(spark, "ledger"), _ledger_tables(spark, sf_dir)
     G.append({n: t.where("step < 200") for n, t in tables.items()}, path)
     G.append({n: t.where("step >= 200") for n, t in tables.items()}, path)
     return G.occurrences_between(G.open_ledger(spark, path), 100, 320).select("step", "occurrence_id", "source")

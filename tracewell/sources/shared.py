@@ -21,13 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _kept[path] = spark
+    return path
+
+
 def kept(rows: DataFrame, name: str) -> DataFrame:
     """rows as a Parquet table in the shared folder, until the driver's Python ends."""
-    spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(rows.sparkSession, name)
     rows.write.option("compression", "zstd").parquet(path)
-    _kept[path] = spark
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _clean() -> None:
