@@ -16,13 +16,14 @@ def row_hash(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def tree_digest(rows: DataFrame, by: list[str], position: str, value: str, fanout: int = FANOUT) -> DataFrame:
+def tree_digest(rows: DataFrame, by: list[str], position: str, value: str, fanout: int = FANOUT, most: int | None = None) -> DataFrame:
     """by, digest, n: the root over each group's values, hex digests at positions 0 to n - 1.
 
     A node is the SHA-256 of up to fanout digests below it, in order and one after another; a lone one is the root itself.
-    Levels are made one above the other, a node's members in one place and never a group's. Nulls in by are a group."""
+    Levels are made one above the other, a node's members in one place and never a group's. Nulls in by are a group. most: what no
+    group has more of; else rows are counted."""
     level = rows.select(*by, F.col(position).cast("long").alias("__at"), F.col(value).alias("__h"), F.lit(1).cast("long").alias("__n"))
-    count = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    count = (rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) if most is None else most
     while True:
         node = F.transform(F.sort_array(F.collect_list(F.struct("__at", "__h"))), lambda x: x["__h"])
         level = level.groupBy(*by, F.floor(F.col("__at") / fanout).alias("__up")).agg(node.alias("__m"), F.sum("__n").alias("__n"))

@@ -75,18 +75,19 @@ def _files(spark: SparkSession, folder: str) -> dict[str, int]:
     return {f.getPath().getName(): f.getLen() for f in system.listStatus(target) if f.getPath().getName().endswith(".parquet")}
 
 
-def _told(spark: SparkSession, folder: str) -> dict[str, dict]:
-    """Each file's bytes, rows and root; a file without rows has no root."""
+def _told(spark: SparkSession, folder: str, most: int) -> dict[str, dict]:
+    """Each file's bytes, rows and root; a file without rows has no root. most: rows of the segment."""
     stored = spark.read.parquet(folder)
     rows = stored.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("_metadata.row_index").alias("at"), row_hash(*stored.columns).alias("h"))
-    roots = {r["file"]: r for r in tree_digest(rows, ["file"], "at", "h").collect()}  # a row a file
+    roots = {r["file"]: r for r in tree_digest(rows, ["file"], "at", "h", most=most).collect()}  # a row a file
     return {name: {"bytes": size, "rows": roots[name]["n"] if name in roots else 0, "root": roots[name]["digest"] if name in roots else None} for name, size in _files(spark, folder).items()}
 
 
-def _ends(rows: DataFrame, keys: list[str]) -> tuple[list | None, list | None]:
+def _ends(rows: DataFrame, keys: list[str]) -> tuple[int, list | None, list | None]:
+    """Rows, and the least and greatest key."""
     key = F.struct(*keys)
-    first, last = rows.agg(F.min(key), F.max(key)).first()
-    return first and list(first), last and list(last)
+    n, first, last = rows.agg(F.count("*"), F.min(key), F.max(key)).first()
+    return n, first and list(first), last and list(last)
 
 
 def append(tables: dict[str, DataFrame], path: str) -> int:
@@ -108,11 +109,11 @@ def append(tables: dict[str, DataFrame], path: str) -> int:
             told["columns"] = [list(f) for f in rows.dtypes]
             keys = [c for c in ORDER[table] if c in rows.columns]
             rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("errorifexists").option("compression", "zstd").parquet(folder)
-            first, last = _ends(spark.read.schema(rows.schema).parquet(folder), keys)
+            n, first, last = _ends(spark.read.schema(rows.schema).parquet(folder), keys)
             ends = [s["last"] for s in told["segments"] if s["last"]]
             if first and ends and table in ("steps", "batches") and first <= ends[-1] or first and ends and first < ends[-1]:
                 raise LedgerError(f"{table} go on from {ends[-1]}, not {first}")
-            files = _told(spark, folder)
+            files = _told(spark, folder, n)
             told["segments"].append({"name": name, "first": first, "last": last, "files": files})
             told["rows"] += sum(f["rows"] for f in files.values())
         _publish(spark, path, number, found)
@@ -139,7 +140,7 @@ def open_ledger(spark: SparkSession, path: str, verify: bool = True) -> dict[str
         told = found["tables"][table]
         for s in told["segments"] if verify else ():
             folder = _segment(path, table, s["name"])
-            if _files(spark, folder) != {f: x["bytes"] for f, x in s["files"].items()} or _told(spark, folder) != s["files"]:
+            if _files(spark, folder) != {f: x["bytes"] for f, x in s["files"].items()} or _told(spark, folder, sum(x["rows"] for x in s["files"].values())) != s["files"]:
                 raise LedgerError(f"files of {table} differ from the manifest")
         schema = ", ".join(f"`{n}` {k}" for n, k in told["columns"])
         out[table] = spark.read.schema(schema).parquet(*(_segment(path, table, s["name"]) for s in told["segments"]))
