@@ -17,6 +17,7 @@ from tracewell.functions.tokens import words
 from tracewell.operators import sweep
 from tracewell.operators.retrieval import MOST_ASKED, Hashed, blocks
 from tracewell.operators.timeline import FEW, few, last_at_most
+from tracewell.sources.shared import spread
 
 RRF_CONSTANT = 60
 
@@ -98,7 +99,7 @@ def hashed_vectors(rows: DataFrame, key: str, text: str, dim: int = 256) -> Data
             cells = pa.StructArray.from_arrays([pa.array(y.astype(np.int64)), pa.array(dense[x, y])], ["bucket", "value"])
             yield pa.RecordBatch.from_arrays([block.column(key), pa.ListArray.from_arrays(ends, cells)], [key, "vector"])
 
-    return rows.select(key, words(F.col(text)).alias("w")).mapInArrow(run, f"`{key}` {kind}, vector array<struct<bucket: bigint, value: double>>")
+    return spread(rows.select(key, text)).select(key, words(F.col(text)).alias("w")).mapInArrow(run, f"`{key}` {kind}, vector array<struct<bucket: bigint, value: double>>")
 
 
 def hashed_embedding(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
@@ -126,7 +127,7 @@ def hashed_cosine(rows: DataFrame, asked: DataFrame, key: str, asked_key: str, t
             yield pa.RecordBatch.from_arrays([block.column(key).take(pa.array(x)), names.take(pa.array(y)), pa.array((dense @ matrix)[x, y])], [key, asked_key, "raw_score"])
 
     kinds = dict(rows.dtypes)[key], dict(asked.dtypes)[asked_key]
-    return rows.select(key, words(F.col(text)).alias("w")).mapInArrow(run, f"`{key}` {kinds[0]}, `{asked_key}` {kinds[1]}, raw_score double")
+    return spread(rows.select(key, text)).select(key, words(F.col(text)).alias("w")).mapInArrow(run, f"`{key}` {kinds[0]}, `{asked_key}` {kinds[1]}, raw_score double")
 
 
 def sparse_dot(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tracewell.functions.tokens import words
-from tracewell.sources.shared import kept
+from tracewell.sources.shared import kept, spread
 
 #: Rows that meet all asked texts at once, features that a task remembers, numbers of a matrix that goes to every task.
 BLOCK, KNOWN, MOST_ASKED = 512, 1 << 18, 8_000_000
@@ -127,7 +127,7 @@ def hashed_topk(rows: DataFrame, asked: DataFrame, key: str, asked_key: str, k:
             if best.key is not None:
                 yield _named(best, names, key, asked_key)
 
-        one = rows.select(key, words(F.col(text)).alias("w")).mapInArrow(run, f"`{asked_key}` {kinds[1]}, `{key}` {kinds[0]}, raw_score double")
+        one = spread(rows.select(key, text)).select(key, words(F.col(text)).alias("w")).mapInArrow(run, f"`{asked_key}` {kinds[1]}, `{key}` {kinds[0]}, raw_score double")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return rows.sparkSession.createDataFrame([], f"`{asked_key}` {kinds[1]}, `{key}` {kinds[0]}, raw_score double, rank int")
@@ -149,7 +149,7 @@ def postings(rows: DataFrame, terms: pa.Array, key: str, text: str) -> DataFrame
             lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (cells % max(1, len(terms)), tf)]
             yield pa.RecordBatch.from_arrays([block.column(key), pa.array(sizes.astype(np.int32), mask=np.asarray(listed.is_null())), *lists], [key, "len", "terms", "tf"])
 
-    return rows.select(key, words(F.col(text)).alias("w")).mapInArrow(run, f"`{key}` {kind}, len int, terms array<int>, tf array<int>")
+    return spread(rows.select(key, text)).select(key, words(F.col(text)).alias("w")).mapInArrow(run, f"`{key}` {kind}, len int, terms array<int>, tf array<int>")
 
 
 def bm25_topk(rows: DataFrame, asked: DataFrame, key: str, asked_key: str, k: int, text: str = "text", k1: float = 1.5, b: float = 0.75, digits: int = 8) -> DataFrame:

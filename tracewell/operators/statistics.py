@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, LongType
 
 from tracewell.functions.safe_regex import full_match
 from tracewell.operators.sweep import sweep
-from tracewell.sources.shared import kept
+from tracewell.sources.shared import kept, spread
 
 AGGREGATES = ("mean", "min", "max", "median")
 #: Rows of a group whose values one task may hold; quantiles of larger groups are selected by counts.
@@ -112,7 +112,7 @@ def hashed_bootstrap(differences: DataFrame, by: list[str], key: Column, value:
     names = [f"__g{i}" for i in range(len(by))]
     kinds = dict(differences.dtypes)
     digests = [F.unhex(F.sha2(F.concat(F.lit(f"{seed}:{d}:"), key), 256)) for d in range(-(-draws // DRAWS))]
-    told = differences.select(*(F.col(c).alias(g) for c, g in zip(by, names, strict=True)), F.col(value).cast("double").alias("__v"), F.concat(*digests).alias("__d")).where("__v IS NOT NULL")
+    told = spread(differences).select(*(F.col(c).alias(g) for c, g in zip(by, names, strict=True)), F.col(value).cast("double").alias("__v"), F.concat(*digests).alias("__d")).where("__v IS NOT NULL")
     times = np.searchsorted(np.array(DRAWN), np.arange(1 << 16), side="right").astype(np.float64)
     schema = ", ".join([*(f"{g} {kinds[c]}" for c, g in zip(by, names, strict=True)), "__draw int, __s double, __w double"])
 

@@ -35,6 +35,12 @@ def kept(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in no fewer partitions than the session works on at a time, so that one small file doesn't make one task."""
+    parallel = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= parallel else rows.repartition(parallel)
+
+
 def _clean() -> None:
     for path, spark in _kept.items():
         try:
