@@ -1,9 +1,14 @@
 """Joins by order against plain loops, and their plans."""
 
+import datetime as dt
+import time
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell import plans
 from tracewell.operators import ranking as K
 from tracewell.operators import sweep
 from tracewell.operators import timeline as T
@@ -83,3 +88,26 @@ def test_beyond_the_broadcast(spark):
     assert as_rows(K.temporal(events, windows)) == as_rows(K.temporal(events, windows, most=2))
     marks = spark.createDataFrame([(5, "x"), (5, "y"), (17, "a"), (40, "b")], "step long, hash string")
     assert as_rows(T.as_of(events, marks)) == as_rows(T.as_of(events, marks, most=2))
+
+
+def test_what_follows_takes_time_as_rows_do(spark):
+    """Many rows of one range: a fold of what follows each doesn't look at all of it again."""
+    rows = spark.range(0, 300_000, 1, 1).select(F.col("id").alias("t"))
+    spans = rows.where("t % 1000 = 999").select(F.col("t").alias("start"), (F.col("t") + 10).alias("stop"))
+    began = time.monotonic()
+    found = sweep.distances(rows, spans, "t").agg(F.sum("distance"), F.max("distance"), F.count("distance")).first()
+    assert time.monotonic() - began < 60
+    a_gap = sum(min(i - 10, 1000 - i) for i in range(11, 1000))  # from the end of a span to the next
+    assert tuple(found) == (sum(range(1, 1000)) + 299 * a_gap, 999, 300_000)
+
+
+def test_nearest_errors_equals_sql(spark, tmp_path):
+    """Events before the first error, without a time, of one time, and without any error."""
+    at = lambda s: None if s is None else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(1, 0, "view"), (2, 10, "error"), (3, 310, "view"), (4, None, "view"), (5, 320, "error"), (6, None, "error"), (7, 320, "view"), (8, 320, "error"), (9, 390, "view"), (10, 10, "view")]
+    made = spark.createDataFrame([(i, at(s), k) for i, s, k in rows], "event_id long, ts timestamp_ntz, event_type string").coalesce(1)
+    for name, events in (("some", made), ("none", made.where("event_type <> 'error'"))):
+        events.write.parquet(f"{tmp_path}/{name}/events.parquet")
+        view = f"(SELECT * FROM '{tmp_path}/{name}/events.parquet/*.parquet')"
+        want = duckdb.connect().sql(plans.ORACLES["nearest_errors"].replace("FROM events", f"FROM {view}")).fetchall()
+        assert sorted(map(tuple, plans.QUERIES["nearest_errors"](spark, f"{tmp_path}/{name}").collect())) == sorted(want)

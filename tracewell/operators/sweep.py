@@ -23,6 +23,8 @@ _FOLDS = {
     "max": (F.max, F.max, lambda own, carried: F.greatest(own, carried)),
     "sum": (F.sum, F.sum, lambda own, carried: F.coalesce(own, F.lit(0)) + F.coalesce(carried, F.lit(0))),
 }
+#: The fold of rows met backwards that gives what a fold gives forwards.
+_BACK = {"first": "last", "last": "first"}
 
 
 def sweep(rows: DataFrame, by: list[str], order: list[str], before: dict[str, tuple[str, Column]], after: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
@@ -34,11 +36,12 @@ def sweep(rows: DataFrame, by: list[str], order: list[str], before: dict[str, tu
     keys = [F.col(c).asc() for c in (*by, *order)] + [F.col("__tie").asc()]
     ranges = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
     there = kept(ranges.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "sweep")
-    inside = Window.partitionBy(*by, "__part").orderBy("__at")
-    across = Window.partitionBy(*by).orderBy("__part")
-    upto, since = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
-    earlier, later = across.rowsBetween(Window.unboundedPreceding, -1), across.rowsBetween(1, Window.unboundedFollowing)
-    asked = [(n, *_FOLDS[f], c, upto, earlier) for n, (f, c) in before.items()] + [(n, *_FOLDS[f], c, since, later) for n, (f, c) in after.items()]
+    inside, across = Window.partitionBy(*by, "__part"), Window.partitionBy(*by)
+    upto, since = (inside.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("__at"), F.desc("__at")))
+    earlier, later = (across.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("__part"), F.desc("__part")))
+    # what follows is folded backwards: Spark folds a frame without an end anew for each row, which grows with the square of a range
+    back = lambda f: (_FOLDS[_BACK.get(f, f)][0], *_FOLDS[f][1:])
+    asked = [(n, *_FOLDS[f], c, upto, earlier) for n, (f, c) in before.items()] + [(n, *back(f), c, since, later) for n, (f, c) in after.items()]
     parts = there.groupBy(*by, "__part").agg(*(whole(c).alias(f"__p_{n}") for n, _, whole, _, c, _, _ in asked))
     groups = [*by, "__part"]
     carried = parts.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(groups)), *(fold(F.col(f"__p_{n}")).over(outer).alias(f"__c_{n}") for n, fold, _, _, _, _, outer in asked))
