@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tracewell.llm import audio, bpe, packing
+from tracewell.llm import audio, bpe, packing, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -160,3 +160,13 @@ def test_audio_of_odd_rows(odd, empty):
             assert (r["pcm_bytes"], r["pcm_sha256"]) == (2 * len(pcm), hashlib.sha256(pcm.tobytes()).hexdigest())
             (adpcm,) = audio.decode_ima([padded], 64)
             assert r["feature"] == f"pcm {audio.feature(pcm)} alaw {audio.feature(audio.TABLES[audio.ALAW][np.frombuffer(padded, np.uint8)])} ima {audio.feature(adpcm)}"
+
+
+def test_audio_query_gives_the_decoded_sound(spark, data):
+    """The samples themselves come with their digest, those that decode_media gives of the stored files."""
+    got = {r["doc_id"]: r for r in queries.op7_telephony_audio(spark, data).collect()}
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    want = {r["doc_id"]: r for r in audio.decode_media(audio.store(docs)).collect()}
+    assert got.keys() == want.keys() and len(got) == docs.count()
+    for i, r in got.items():
+        assert bytes(r["pcm"]) == bytes(want[i]["pcm"]) and hashlib.sha256(r["pcm"]).hexdigest() == r["pcm_sha256"] and len(r["pcm"]) == r["pcm_bytes"] == 4 * r["payload_bytes"]

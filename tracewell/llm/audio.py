@@ -182,13 +182,13 @@ def store(docs: DataFrame, tag: int = MULAW, rate: int = 8000) -> DataFrame:
 
 
 def read_back(stored: DataFrame, rate: int = 16000, block: int = 64) -> DataFrame:
-    """Digests of the payload read from each stored file and of its resampled PCM (what decode_media stores), and features of what the
-    payload is as mu-law (that PCM), as A-law codes and as IMA ADPCM blocks.
+    """pcm (each stored file decoded to 16-bit samples at rate, as decode_media gives them), digests of it and of the payload read from
+    the file, and features of what the payload is as mu-law (that PCM), as A-law codes and as IMA ADPCM blocks.
 
     Null and empty texts: 64 zero bytes. Equal texts have equal values; a null id stays null; an
     empty table gives no rows; other columns aren't read."""
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256", "pcm"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -199,8 +199,8 @@ def read_back(stored: DataFrame, rate: int = 16000, block: int = 64) -> DataFram
             pcm = to_pcm(media, rate)
             stored_pcm = pcm.astype("<i2").tobytes()
             told = f"pcm {feature(pcm)} alaw {feature(TABLES[ALAW][np.frombuffer(data, np.uint8)])} ima {feature(adpcm)}"
-            rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), told, len(stored_pcm), hashlib.sha256(stored_pcm).hexdigest()))
+            rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), told, len(stored_pcm), hashlib.sha256(stored_pcm).hexdigest(), stored_pcm))
         columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], ["doc_id", "n_bytes", *names])
 
-    return map_batches(stored.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string")
+    return map_batches(stored.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string, pcm binary")

@@ -60,7 +60,7 @@ def op6_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of what is read back from a table of media, each text stored as mu-law samples, and features of its decoded sound.
+    """Digests of what is read back from a table of media, each text stored as mu-law samples, its decoded sound as 16-bit samples at 16 kHz, and features of that.
 
     Null and empty texts are 64 zero bytes; equal texts have equal values; a null id stays null; extra columns aren't read; an empty table gives no rows."""
     media = written(audio.store(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "media")
