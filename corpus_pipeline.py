@@ -57,7 +57,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @tidied
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more. SimHash blocks find them first, the
+    sets decide, and a join of the sets finds those whose fingerprints are too far apart.
 
     The least doc_id of a group stays, a null one last; null, empty and wordless texts are copies of each other; of rows that
     repeat one stays; an empty table stays empty; other columns come through as they are."""

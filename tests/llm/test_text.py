@@ -556,3 +556,22 @@ def test_a_group_about_the_similarity_links_as_brute_force(spark):
     for together in (16, 2048):
         roots = {r["node"]: r["root"] for r in simhash.near_components(frame, together=together).collect()}
         assert [roots.get(i, i) for i in range(150)] == want
+
+
+def test_near_copies_meet_by_fingerprints_first(spark, monkeypatch):
+    """Blocks of fingerprints give the pairs of few bits and of equal prints; those that aren't similar are linked by none, and the pipeline's stage asks them."""
+    random = np.random.default_rng(6)
+    texts = []
+    for _ in range(20):
+        words = [f"w{x}" for x in random.integers(0, 9000, 400)]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join(words[3:]), " ".join(words).upper()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t, 5)) for t in texts]
+    pairs = {tuple(sorted(map(int, r))) for r in simhash.alike(frame, 5, 3, 3).collect()}
+    assert len(pairs) >= 20 and all((prints[a] ^ prints[b]).bit_count() <= 3 for a, b in pairs)
+    edges = spark.createDataFrame(sorted(pairs), "a long, b long")
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == components(list(range(len(texts))), prints, 3)
+    asked = []
+    monkeypatch.setattr(simhash, "links", lambda *a, own=simhash.links: asked.append(a) or own(*a))
+    assert simhash.keep_one(frame.withColumnRenamed("id", "doc_id")).count() == 20 and len(asked) == 1

@@ -341,10 +341,24 @@ def centred(known: DataFrame, turn: int) -> DataFrame:
     return met.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= OTHERS).select("a", "b")
 
 
-def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER, rounds: int = ROUNDS) -> DataFrame:
+def alike(docs: DataFrame, words: int, max_bits: int, agree: int, together: int = TOGETHER) -> DataFrame:
+    """a, b: texts (id, of each the text) of one fingerprint, each with the least id of it, and the least ids of fingerprints that links gives."""
+    prints = written(fingerprints(docs.select(F.col("id").alias("doc_id"), "text"), words).groupBy("doc_id").agg(F.first("fp").alias("fp")), "fingerprints")
+    heads = written(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "fingerprint-heads")
+    same = prints.join(heads, "fp").where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    left, right = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")) for c in "ab")
+    near = links(heads.select("fp"), max_bits, agree, together).distinct().join(left, "a").join(right, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    found = written(same.unionByName(near), "alike")
+    release(prints, heads)
+    return found
+
+
+def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER, rounds: int = ROUNDS, max_bits: int = 3, agree: int = 3) -> DataFrame:
     """node, root: texts (by their hash) linked by Jaccard similarity of their sets of word shingles, exactly.
 
-    Sets of at least this similarity share a member of their prefixes. In a few rounds each text meets some that share such a
+    First come texts whose fingerprints differ in at most max_bits bits, met by blocks (alike), where their sets are that similar.
+    Fingerprints tell of few changes alone, so what they leave is linked by the sets:
+    sets of at least this similarity share a member of their prefixes. In a few rounds each text meets some that share such a
     shingle and aren't linked yet, which links most of a group; then all those texts meet that share one and aren't linked yet. The
     order of prefixes has shingles by the number of texts that have them, so texts meet over what few share. Positions, sizes and parity bitmaps leave out only pairs that can't be close; the sets themselves decide. Rows that repeat an id are one text; an
     empty table gives no rows."""
@@ -358,17 +372,27 @@ def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, to
     own = shared.groupBy("id").agg(F.count("*").alias("shared")).join(distinct.select("id", F.size("prefix").alias("all")), "id")
     own = written(own.select("id", (F.col("shared") / F.col("all")).alias("share")), "own-shingles")
     shared = shared.join(own.select("id", "share"), "id")
-    known, edges, roots = written(shared.select("id", "key", "at", "share", F.col("id").alias("root")), "linked-shingles"), None, None
-    for turn in range(rounds):
-        pairs = written(centred(known, turn), "centres")
+
+    def checked(pairs: DataFrame) -> DataFrame:
         near = pairs.join(prints.alias("x"), F.col("a") == F.col("x.id")).join(prints.alias("y"), F.col("b") == F.col("y.id")).where(may_be_close(similarity)).select("a", "b")
-        more = close(written(sieve(near, maps, similarity), "sieved-centres"), docs, words, similarity)
+        found = close(written(sieve(near, maps, similarity), "sieved-pairs"), docs, words, similarity)
         release(pairs)
-        edges = more if edges is None else written(edges.unionByName(more), "close")
+        return found
+
+    def linked(roots: DataFrame) -> DataFrame:
+        return written(shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "key", "at", "share", F.coalesce("root", "id").alias("root")), "linked-shingles")
+
+    edges = checked(alike(docs, words, max_bits, agree, together))
+    roots = components(edges)
+    known = linked(roots)
+    for turn in range(rounds):
+        more = checked(written(centred(known, turn), "centres"))
+        before, edges = edges, written(edges.unionByName(more), "close")
         last, roots = (known, roots), components(edges)
-        known = written(shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "key", "at", "share", F.coalesce("root", "id").alias("root")), "linked-shingles")
-        release(*(t for t in last if t is not None))
-        if more.isEmpty():
+        known = linked(roots)
+        none = more.isEmpty()
+        release(*last, before, more)
+        if none:
             break
     release(there, roots)
     mixed = known.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
@@ -384,8 +408,8 @@ def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, to
     release(members)
     more = close(written(sieve(rest, maps, similarity), "sieved-pairs"), docs, words, similarity)
     release(rest, distinct)
-    found = components(more if edges is None else edges.unionByName(more))
-    release(*(t for t in (edges, more) if t is not None))
+    found = components(edges.unionByName(more))
+    release(edges, more)
     return found
 
 
