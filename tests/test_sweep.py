@@ -111,3 +111,17 @@ def test_nearest_errors_equals_sql(spark, tmp_path):
         view = f"(SELECT * FROM '{tmp_path}/{name}/events.parquet/*.parquet')"
         want = duckdb.connect().sql(plans.ORACLES["nearest_errors"].replace("FROM events", f"FROM {view}")).fetchall()
         assert sorted(map(tuple, plans.QUERIES["nearest_errors"](spark, f"{tmp_path}/{name}").collect())) == sorted(want)
+
+
+def test_few_marks_do_not_travel_with_rows(spark):
+    """Many checkpoints and windows, none of them in every row, in time that follows the rows; nulls and times before the first find none."""
+    rows = spark.range(0, 400_000, 1, 4).select(F.when(F.col("id") != 77, F.col("id") - 5).alias("step"))
+    marks = spark.range(20_000).select((F.col("id") * 20).alias("step"), F.col("id").cast("string").alias("hash"))
+    spans = marks.select(F.col("step").alias("start"), (F.col("step") + 5).alias("stop"))
+    began = time.monotonic()
+    found = T.as_of(rows, marks)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    assert found.where("checkpoint_step IS NULL").count() == 6 and found.where("checkpoint_step <> step - step % 20 OR checkpoint_hash <> step DIV 20").count() == 0
+    assert T.window_members(rows, spans).where("start = step - step % 20 AND step < stop").count() == T.window_members(rows, spans).count() == sum(i % 20 < 5 for i in range(399_995) if i != 72)
+    distances = K.temporal(rows, spans).where("step >= 0 AND distance <> least(greatest(0, step % 20 - 5), 20 - step % 20) AND step < 399980")
+    assert distances.count() == 0 and time.monotonic() - began < 60

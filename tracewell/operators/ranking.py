@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tracewell.functions.tokens import words
 from tracewell.operators import sweep
 from tracewell.operators.retrieval import MOST_ASKED, Hashed, blocks
-from tracewell.operators.timeline import FEW, few, last_at_most
+from tracewell.operators.timeline import FEW, beside, few, few_of
 from tracewell.sources.shared import spread
 
 RRF_CONSTANT = 60
@@ -70,18 +71,16 @@ def temporal(events: DataFrame, windows: DataFrame, step: str = "step", most: in
     """events with distance and raw_score 1 / (1 + distance) to the nearest window (start, stop; closed); null without windows.
 
     Few windows are merged where they overlap, which changes no distance; then the nearest is that which starts last at or before
-    the step, or the next one, found by halving. More are swept together with the events."""
-    if not few(windows, most):
+    the step, or the next one, found by halving in a task. More are swept together with the events."""
+    told = few_of(windows.select("start", "stop").where("start IS NOT NULL"), most)
+    if told is None:
         return sweep.distances(events, windows, step).withColumn("raw_score", 1 / (1 + F.col("distance")))
-    before = Window.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    apart = windows.select("start", "stop").withColumn("__new", (F.col("start") > F.coalesce(F.max("stop").over(before), F.col("start") - 1)).cast("int"))
-    merged = apart.withColumn("__g", F.sum("__new").over(Window.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0))).groupBy("__g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    spans = merged.agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
-    joined = events.crossJoin(F.broadcast(spans))
-    at = last_at_most("__spans", "start", F.col(step))
-    last, after = F.get("__spans", F.col("__at") - 1), F.get("__spans", F.col("__at"))
-    nearest = F.least(F.when(last.isNotNull(), F.greatest(F.lit(0), F.col(step) - last["stop"])), after["start"] - F.col(step)).cast("long")
-    return joined.withColumn("__at", at).withColumn("distance", nearest).withColumn("raw_score", 1 / (1 + F.col("distance"))).drop("__spans", "__at")
+    told = told.take(pc.sort_indices(told, [("start", "ascending")]))
+    reach = list(accumulate(told["stop"].to_pylist(), lambda a, b: b if a is None or b is not None and b > a else a))
+    marks = pa.table({"start": told["start"], "reach": pa.array(reach, told["stop"].type)})  # how far the windows that began by then reach
+    placed = beside(events, step, marks, "start", {"__reach": "reach"}, {"__next": "start"})
+    nearest = F.least(F.when(F.col("__reach").isNotNull(), F.greatest(F.lit(0), F.col(step) - F.col("__reach"))), F.col("__next") - F.col(step)).cast("long")
+    return placed.withColumn("distance", nearest).withColumn("raw_score", 1 / (1 + F.col("distance"))).drop("__reach", "__next")
 
 
 def hashed_vectors(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:

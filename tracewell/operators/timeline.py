@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from tracewell.operators import sweep
 
@@ -51,31 +58,49 @@ def monotone(points: DataFrame, by: list[str], rising: bool = True, step: str =
     return points.withColumn("__good", good).groupBy(*by).agg(F.bool_and("__good").alias("monotone"))
 
 
-def last_at_most(array: str, field: str, value: Column) -> Column:
-    """How many members of a sorted array have a field of at most value: the last of them is at one less. By halving."""
-    state = F.struct(F.lit(0).alias("lo"), F.size(array).alias("hi"))
+def few_of(rows: DataFrame, most: int = FEW) -> pa.Table | None:
+    """rows where they are few enough to go to every task, else None."""
+    told = rows.limit(most + 1).toArrow()
+    return told if told.num_rows <= most else None
+
+
+def beside(rows: DataFrame, step: str, marks: pa.Table, at: str, last: dict[str, str], after: dict[str, str] | None = None) -> DataFrame:
+    """rows with columns of the last mark whose at isn't beyond their step, and of the mark after that (out: column of marks). Null where there is none.
+
+    Marks are few; they go to each task once, where a batch of rows is placed among them by halving."""
+    after = after or {}
+    marks = marks.take(pc.sort_indices(marks, [(at, "ascending")])).combine_chunks()
+    times = marks[at].to_numpy()
+    kinds = from_arrow_schema(marks.schema)
+    schema = StructType([*rows.schema.fields, *(StructField(out, kinds[c].dataType) for out, c in (*last.items(), *after.items()))])
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        at = F.get(array, mid)[field]
-        go_on = s["lo"] < s["hi"]
-        return F.struct(F.when(go_on & (at <= value), mid + 1).otherwise(s["lo"]).alias("lo"), F.when(go_on & (at > value), mid).otherwise(s["hi"]).alias("hi"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(step)
+            place = np.full(batch.num_rows, -1)
+            place[np.asarray(own.is_valid())] = np.searchsorted(times, own.drop_null().to_numpy(zero_copy_only=False), "right")
+            one = pa.array(place - 1, mask=place < 1)
+            two = pa.array(place, mask=(place < 0) | (place == len(times)))
+            told = [*(marks[c].take(one).combine_chunks() for c in last.values()), *(marks[c].take(two).combine_chunks() for c in after.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], schema.names)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(FEW.bit_length())), state, halve, lambda s: s["lo"])
+    return rows.mapInArrow(run, schema)
 
 
 def window_members(occurrences: DataFrame, windows: DataFrame, step: str = "step", most: int = FEW) -> DataFrame:
     """occurrences joined with the windows [start, stop) that they fall in.
 
-    Few windows that don't overlap, as those of one timeline, travel in an array, and an occurrence's is found by halving;
+    Few windows that don't overlap, as those of one timeline, go to every task, and an occurrence's is found by halving;
     more windows, or such that overlap, meet occurrences by an interval join."""
-    apart = few(windows, most) and windows.select("start", "stop", F.lead("start").over(Window.orderBy("start", "stop")).alias("next")).where("next < stop").isEmpty()
-    if not apart:
+    told = few_of(windows.where("start IS NOT NULL"), most)
+    if told is not None:
+        ordered = told.take(pc.sort_indices(told, [("start", "ascending"), ("stop", "ascending")]))
+        starts, stops = (ordered[c].to_pylist() for c in ("start", "stop"))
+    if told is None or any(a is not None and b < a for a, b in zip(stops, starts[1:], strict=False)):
         return sweep.interval_join(occurrences, windows, step, closed=False)
-    listed = windows.agg(F.sort_array(F.collect_list(F.struct("start", "stop", *(c for c in windows.columns if c not in ("start", "stop"))))).alias("__w"))
-    found = occurrences.crossJoin(F.broadcast(listed)).withColumn("__at", last_at_most("__w", "start", F.col(step)))
-    own = found.withColumn("__own", F.get("__w", F.col("__at") - 1)).where(F.col(step) < F.col("__own.stop"))
-    return own.select(*occurrences.columns, *(F.col(f"__own.{c}").alias(c) for c in windows.columns))
+    names = {f"__w_{c}": c for c in windows.columns}
+    own = beside(occurrences, step, ordered, "start", names).where(F.col(step) < F.col("__w_stop"))
+    return own.select(*occurrences.columns, *(F.col(w).alias(c) for w, c in names.items()))
 
 
 def window_summary(occurrences: DataFrame, windows: DataFrame) -> DataFrame:
@@ -86,15 +111,12 @@ def window_summary(occurrences: DataFrame, windows: DataFrame) -> DataFrame:
 def as_of(rows: DataFrame, checkpoints: DataFrame, step: str = "step", most: int = FEW) -> DataFrame:
     """rows with checkpoint_step and checkpoint_hash of the latest checkpoint at or before their step (the greater hash on ties); nulls where there is none.
 
-    Few checkpoints travel sorted in one array and are found by halving; more are swept together with the rows."""
-    if not few(checkpoints, most):
+    Few checkpoints go to every task and are found by halving; more are swept together with the rows."""
+    told = few_of(checkpoints.where("step IS NOT NULL").groupBy("step").agg(F.max("hash").alias("hash")), most)
+    if told is None:
         named = checkpoints.select(F.col("step").alias(step), F.col("step").alias("checkpoint_step"), F.col("hash").alias("checkpoint_hash"))
         return sweep.as_of(rows, named, step, ["checkpoint_step", "checkpoint_hash"])
-    listed = checkpoints.groupBy("step").agg(F.max("hash").alias("hash")).agg(F.sort_array(F.collect_list(F.struct("step", "hash"))).alias("__cp"))
-    joined = rows.crossJoin(F.broadcast(listed))
-    found = F.get("__cp", last_at_most("__cp", "step", F.col(step)) - 1)
-    out = joined.withColumn("__found", found)
-    return out.withColumn("checkpoint_step", F.col("__found.step")).withColumn("checkpoint_hash", F.col("__found.hash")).drop("__cp", "__found")
+    return beside(rows, step, told, "step", {"checkpoint_step": "step", "checkpoint_hash": "hash"})
 
 
 def chosen_checkpoints(checkpoints: DataFrame, steps: list[int] | str) -> DataFrame:

@@ -60,7 +60,7 @@ def _windows(spark, sf_dir):
 @query(X.RUN + "SELECT occurrence_id, min(greatest(0, start - step, step - stop)) AS distance, round(1.0 / (1 + min(greatest(0, start - step, step - stop))), 9) AS raw_score FROM occurrences, (SELECT start, stop FROM windows WHERE kind = 'ABSENT_TO_PRESENT') GROUP BY 1")
 def temporal_scores(spark, sf_dir):
     rows, windows = _windows(spark, sf_dir)
-    return K.temporal(rows, windows).where("distance IS NOT NULL").select("occurrence_id", "distance", F.round("raw_score", 9).alias("raw_score"))
+    return K.temporal(rows.select("occurrence_id", "step"), windows).where("distance IS NOT NULL").select("occurrence_id", "distance", F.round("raw_score", 9).alias("raw_score"))
 
 
 _HASHED = """, f AS ({0}), h AS (SELECT k, CAST('0x' || substr(sha256(f), 9, 8) AS UBIGINT) % 256 AS bucket, sum(CASE WHEN CAST('0x' || substr(sha256(f), 18, 1) AS INT) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM f GROUP BY 1, 2 HAVING v <> 0),

@@ -23,12 +23,12 @@ def transition_windows(spark, sf_dir):
 def occurrences_per_window(spark, sf_dir):
     rows = X.occurrences(spark, sf_dir)
     windows = T.transitions(X.points(rows), ["run"]).select("start", "stop")
-    return T.window_summary(rows, windows).withColumn("sources", F.array_join("sources", ","))
+    return T.window_summary(rows.select("step", "source"), windows).withColumn("sources", F.array_join("sources", ","))
 
 
 @query(X.RUN + "SELECT occurrence_id, max(c.step) AS checkpoint_step, arg_max(hash, c.step) AS checkpoint_hash FROM occurrences o JOIN checkpoints c ON c.step <= o.step GROUP BY 1")
 def asof_checkpoint(spark, sf_dir):
-    rows = X.occurrences(spark, sf_dir)
+    rows = X.occurrences(spark, sf_dir).select("occurrence_id", "step")
     return T.as_of(rows, X.checkpoints(rows)).select("occurrence_id", "checkpoint_step", "checkpoint_hash")
 
 
