@@ -125,3 +125,16 @@ def test_few_marks_do_not_travel_with_rows(spark):
     assert T.window_members(rows, spans).where("start = step - step % 20 AND step < stop").count() == T.window_members(rows, spans).count() == sum(i % 20 < 5 for i in range(399_995) if i != 72)
     distances = K.temporal(rows, spans).where("step >= 0 AND distance <> least(greatest(0, step % 20 - 5), 20 - step % 20) AND step < 399980")
     assert distances.count() == 0 and time.monotonic() - began < 60
+
+
+def test_totals_sweep_times_alone(spark, monkeypatch):
+    """Many points and intervals of few times: what is swept are the times, and sums keep their types."""
+    points = spark.range(50_000).select((F.col("id") % 30).cast("int").alias("t"), (F.col("id") / 4).cast("decimal(12,2)").alias("v"))
+    spans = spark.range(20_000).select("id", (F.col("id") % 40 - 5).cast("int").alias("start"), (F.col("id") % 40 - 5 + F.col("id") % 9).cast("int").alias("stop"))
+    swept = []
+    monkeypatch.setattr(sweep, "sweep", lambda rows, *a, own=sweep.sweep: swept.append(rows.count()) or own(rows, *a))
+    made = sweep.interval_totals(points, spans, "t", sums={"v": F.col("v")})
+    own = points.groupBy("t").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    want = spans.join(own, (F.col("t") >= F.col("start")) & (F.col("t") <= F.col("stop")), "left").groupBy(*spans.columns).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    assert made.count() == 20_000 and made.exceptAll(want.select(*spans.columns, "n", F.col("v").cast(dict(made.dtypes)["v"]))).isEmpty()
+    assert dict(made.dtypes)["v"] == dict(points.agg(F.sum("v").alias("v")).dtypes)["v"] and swept == [30 + len({i - 5 for i in range(40)}) + len({i % 40 - 5 + i % 9 for i in range(20_000)})]

@@ -79,29 +79,41 @@ def distances(rows: DataFrame, spans: DataFrame, at: str, by: list[str] | None =
     return found.select("__row.*", F.when(F.col("__t").isNotNull(), near).alias("distance"))
 
 
-def _ranked(points: DataFrame, intervals: DataFrame, at: str, by: list[str], closed: bool, sums: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Points (__row) with __n before them and themselves; intervals (__row) with struct __low and __high of what came before start and by stop."""
+def _ranked(points: DataFrame, intervals: DataFrame, at: str, by: list[str], closed: bool) -> tuple[DataFrame, DataFrame]:
+    """Points (__row) with __n before them and themselves; intervals (__row) with __n_low and __n_high, those before start and by stop."""
     numbered = intervals.where("start <= stop").select(*by, F.monotonically_increasing_id().alias("__id"), F.struct(*intervals.columns).alias("__i"))
     end = lambda name, side: F.struct(F.col(f"__i.{name}").alias("__t"), F.lit(side).alias("__side"), F.lit(name == "start").alias("__low"))
     ends = numbered.withColumn("__end", F.explode(F.array(end("start", 0), end("stop", 2 if closed else 0)))).select(*by, "__id", "__end.*", F.when(F.col("__end.__low"), F.col("__i")).alias("__interval"))
-    own = points.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*points.columns).alias("__row"), F.lit(1).cast("long").alias("__one"), *(c.alias(f"__s_{n}") for n, c in sums.items()))
+    own = points.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*points.columns).alias("__row"), F.lit(1).cast("long").alias("__one"))
     both = own.unionByName(ends, allowMissingColumns=True)
-    folds = {"__n": ("sum", F.col("__one"))} | {f"__t_{n}": ("sum", F.col(f"__s_{n}")) for n in sums}
-    done = kept(sweep(both, [], [*by, "__t", "__side"], folds), "intervals")  # one order for all groups: what lies between an interval's ends is of its own
-    told = done.where("__side <> 1").groupBy("__id").agg(F.first("__interval", ignorenulls=True).alias("__row"), *(F.max(F.when(F.col("__low") == low, F.col(c))).alias(f"{c}_{'low' if low else 'high'}") for c in folds for low in (True, False)))
+    done = kept(sweep(both, [], [*by, "__t", "__side"], {"__n": ("sum", F.col("__one"))}), "intervals")  # one order for all groups: what lies between an interval's ends is of its own
+    told = done.where("__side <> 1").groupBy("__id").agg(F.first("__interval", ignorenulls=True).alias("__row"), *(F.max(F.when(F.col("__low") == low, F.col("__n"))).alias(f"__n_{'low' if low else 'high'}") for low in (True, False)))
     return done.where("__side = 1"), told
 
 
 def interval_totals(points: DataFrame, intervals: DataFrame, at: str, by: list[str] | None = None, closed: bool = True, sums: dict[str, Column] | None = None) -> DataFrame:
     """intervals (start, stop, ...) with n, and each of sums, of the points of their group within; those that end before they start have none.
 
-    Sums are differences of running sums, exact for whole numbers and decimals; no pair is made, however much intervals overlap."""
+    Sums are differences of running sums, exact for whole numbers and decimals; no pair is made, however much intervals overlap.
+    Only times are swept, each once: points of one time are summed before, and intervals look the sums of their ends up."""
     by, sums = by or [], sums or {}
-    _, ends = _ranked(points, intervals, at, by, closed, sums)
-    names = {"n": "__n"} | {n: f"__t_{n}" for n in sums}
-    good = ends.select("__row.*", *((F.col(f"{c}_high") - F.col(f"{c}_low")).alias(n) for n, c in names.items()))
-    none = intervals.where("NOT coalesce(start <= stop, false)").select(*intervals.columns, *(F.lit(0).cast(dict(good.dtypes)[n]).alias(n) for n in names))
-    return good.unionByName(none)
+    asked = {"n": F.lit(1).cast("long"), **sums}
+    kinds = dict(points.select(*(F.sum(c).alias(n) for n, c in asked.items())).dtypes)
+    own = points.where(F.col(at).isNotNull()).groupBy(*by, F.col(at).alias("__t")).agg(*(F.sum(c).alias(f"__s_{n}") for n, c in asked.items())).withColumn("__side", F.lit(1))
+    good = intervals.where("start <= stop")
+    last = 2 if closed else 0
+    times = good.select(*by, F.explode(F.array(*(F.struct(F.col(c).alias("t"), F.lit(side).alias("side")) for c, side in (("start", 0), ("stop", last))))).alias("__end"))
+    ends = times.select(*by, F.col("__end.t").alias("__t"), F.col("__end.side").alias("__side")).distinct()
+    both = own.unionByName(ends, allowMissingColumns=True)
+    done = sweep(both, [], [*by, "__t", "__side"], {f"__t_{n}": ("sum", F.col(f"__s_{n}")) for n in asked})  # one order for all groups: what lies between an interval's ends is of its own
+    told = kept(done.where("__side <> 1").select(*by, "__t", "__side", *(f"__t_{n}" for n in asked)), "intervals")
+    for end, side in (("start", 0), ("stop", last)):
+        here = told.where(F.col("__side") == side).select(*(F.col(c).alias(f"__{end}_by{i}") for i, c in enumerate(by)), F.col("__t").alias(f"__{end}"), *(F.col(f"__t_{n}").alias(f"__{end}_{n}") for n in asked))
+        same = [F.col(c).eqNullSafe(F.col(f"__{end}_by{i}")) for i, c in enumerate(by)]
+        good = good.join(here, reduce(lambda a, b: a & b, same, F.col(end) == F.col(f"__{end}")))
+    found = good.select(*intervals.columns, *((F.col(f"__stop_{n}") - F.col(f"__start_{n}")).cast(kinds[n]).alias(n) for n in asked))
+    none = intervals.where("NOT coalesce(start <= stop, false)").select(*intervals.columns, *(F.lit(0).cast(kinds[n]).alias(n) for n in asked))
+    return found.unionByName(none)
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, by: list[str] | None = None, closed: bool = True) -> DataFrame:
@@ -110,7 +122,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, by: list[str
     Points are numbered in order, an interval knows the numbers that it spans, and both meet by cells of CELL numbers: an equi
     join that looks at the pairs of the result and at most two cells more for each interval."""
     by = by or []
-    own, ends = _ranked(points, intervals, at, by, closed, {})
+    own, ends = _ranked(points, intervals, at, by, closed)
     inside = own.select("__row", (F.col("__n") - 1).alias("__i")).withColumn("__cell", F.floor(F.col("__i") / CELL))
     spans = ends.where("__n_low < __n_high").select(F.col("__row").alias("__span"), "__n_low", "__n_high")
     cells = spans.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__n_low") / CELL), F.floor((F.col("__n_high") - 1) / CELL))))
