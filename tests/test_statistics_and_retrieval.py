@@ -161,3 +161,18 @@ def test_packing_by_jumps(spark, context):
     want = pack_lengths(frame, context, None)
     assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     assert pack_lengths(frame.where("false"), context, None).count() == 0
+
+
+def test_bm25_scores_are_made_where_rows_lie(spark):
+    """The same with few terms, which shuffle no pair, as with many; repeated and null keys are one text each, null and empty texts have no score."""
+    r = np.random.default_rng(9)
+    text = lambda n: " ".join(f"t{x}" for x in r.zipf(1.4, n) % 60)
+    rows = [(i, text(int(r.integers(1, 90)))) for i in range(150)] + [(200, "t1 t2 only"), (200, "t1 t2 only"), (None, "t1 t3"), (None, "t2 t5"), (201, None), (202, ""), (203, "nothing asked")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    asked = spark.createDataFrame([(f"q{i}", text(8)) for i in range(9)] + [("none", ""), (None, "t1 t2")], "q string, text string")
+    few, many = (K.bm25(docs, asked, "id", "text", "q", most=m) for m in (K.TERMS, 0))
+    as_rows = lambda df: {(x["q"], x["id"]): x["raw_score"] for x in df.select("q", "id", "raw_score").collect()}
+    one, two = as_rows(few), as_rows(many)
+    assert few.count() == len(one) and one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one) and any(k[1] == 200 for k in one)
+    plain = K.bm25(docs.where("id < 150"), asked, "id", "text", "q")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plain

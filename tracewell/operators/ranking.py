@@ -16,13 +16,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tracewell.functions.tokens import words
 from tracewell.operators import sweep
-from tracewell.operators.retrieval import MOST_ASKED, Hashed, blocks
+from tracewell.operators.retrieval import MOST_ASKED, Hashed, blocks, bm25_all
 from tracewell.operators.timeline import FEW, beside, few, few_of
 from tracewell.sources.shared import spread
 
 RRF_CONSTANT = 60
 
 
+#: Terms of queries that go to every task.
+TERMS = 200_000
 #: Rows of a ranking that one task sorts.
 SORTED = 1_000_000
 
@@ -41,24 +43,25 @@ def ranked(scores: DataFrame, by: list[str], score: str = "raw_score", key: str
     return sweep.sweep(place, by, ["__falling", key], {"rank": ("sum", F.lit(1).cast("long"))}).withColumn("rank", F.col("rank").cast("int")).drop("__falling")
 
 
-def bm25(documents: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text", query: str = "query_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(documents: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text", query: str = "query_id", k1: float = 1.5, b: float = 0.75, most: int = TERMS) -> DataFrame:
     """query, doc, raw_score: Okapi BM25 of every document for each query's distinct terms.
 
-    Terms are counted before the shuffle, and only those that a query asks for leave the scan; idf is ln(1 + (N - df + 0.5) / (df + 0.5)).
-    Documents without a term aren't listed (their score is zero). Queries are few and broadcast after their terms are counted."""
+    idf is ln(1 + (N - df + 0.5) / (df + 0.5)). Documents without a term aren't listed (their score is zero). Queries of few terms go to
+    every task, where a document meets them all; of more, terms are counted before the shuffle and joined."""
     asked = queries.select(F.col(query), F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
+    told = few_of(asked.withColumnRenamed("term", "t"), most)
+    if told is not None:
+        return bm25_all(documents, told, doc, query, dict(queries.dtypes)[query], text, k1, b)
     terms = asked.select("term").distinct()
     listed = documents.select(F.col(doc), words(F.col(text)).alias("w"))
     lengths = listed.select(doc, F.size("w").alias("len"))
     corpus = lengths.agg(F.count("*").alias("n_docs"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
-    few = asked.count() <= 200_000
-    small = F.broadcast if few else (lambda x: x)
-    tf = listed.select(doc, F.size("w").alias("len"), F.explode("w").alias("term")).join(small(terms), "term").groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    tf = listed.select(doc, F.size("w").alias("len"), F.explode("w").alias("term")).join(terms, "term").groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))  # from the same exchange
     weighed = tf.join(df, "term").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return weighed.select(doc, "term", part.alias("part")).join(small(asked), "term").groupBy(query, doc).agg(F.sum("part").alias("raw_score"))
+    return weighed.select(doc, "term", part.alias("part")).join(asked, "term").groupBy(query, doc).agg(F.sum("part").alias("raw_score"))
 
 
 def random_score(seed: Column, key: Column) -> Column:

@@ -152,6 +152,68 @@ def postings(rows: DataFrame, terms: pa.Array, key: str, text: str) -> DataFrame
     return spread(rows.select(key, text)).select(key, words(F.col(text)).alias("w")).mapInArrow(run, f"`{key}` {kind}, len int, terms array<int>, tf array<int>")
 
 
+def _asked(listed: pa.Table, asked_key: str) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """Distinct terms and keys of asked texts (asked_key, t), and the asked texts of each term, by term, with where each term's start."""
+    terms, names = pc.unique(listed["t"]), pc.unique(listed[asked_key])
+    term, text_of = np.asarray(pc.index_in(listed["t"], terms), np.int64), np.asarray(pc.index_in(listed[asked_key], names), np.int64)
+    order = np.argsort(term, kind="stable")
+    return terms, names, text_of[order], np.searchsorted(term[order], np.arange(len(terms) + 1))
+
+
+def _idf(told: DataFrame, n: int, terms: int) -> np.ndarray:
+    """ln(1 + (n - df + 0.5) / (df + 0.5)) of each term of postings."""
+    counts = told.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).toArrow()  # a row an asked term
+    df = np.zeros(terms)
+    df[np.asarray(counts["t"])] = np.asarray(counts["df"])
+    return np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _weights(block: pa.RecordBatch, idf: np.ndarray, average: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and weight of each posting of a block."""
+    sizes = np.asarray(pc.list_value_length(block.column("terms")), np.int64)
+    at, tf = np.asarray(block.column("terms").flatten(), np.int64), np.asarray(block.column("tf").flatten(), np.float64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, at, idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * np.asarray(pc.fill_null(block.column("len"), 0), np.float64)[row] / average))
+
+
+def bm25_all(rows: DataFrame, listed: pa.Table, key: str, asked_key: str, kind: str, text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """asked_key (of type kind), key, raw_score: Okapi BM25 of every row that has a term of an asked text, whose terms are listed (asked_key, t).
+
+    A row is scored where its postings lie, so no pair is shuffled; rows that repeat a key are put together first, as one text."""
+    schema = f"`{asked_key}` {kind}, `{key}` {dict(rows.dtypes)[key]}, raw_score double"
+    terms, names, askers, starts = _asked(listed, asked_key)
+    if not len(terms):
+        return rows.sparkSession.createDataFrame([], schema)
+    told = kept(postings(rows, terms, key, text), "postings")
+    n, average = told.agg(F.count("*"), F.greatest(F.avg("len"), F.lit(1.0))).first()
+    again = told.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n")).where("__n > 1")
+    if not again.isEmpty():
+        same = F.col(key).eqNullSafe(F.col("__k"))
+        cells = told.join(again, same, "left_semi").select(key, "len", F.explode(F.arrays_zip("terms", "tf")).alias("c"))
+        cells = cells.groupBy(key, "c.terms").agg(F.sum("c.tf").cast("int").alias("tf"), F.max("len").alias("len"))
+        merged = cells.groupBy(key).agg(F.max("len").alias("len"), F.collect_list(F.struct("terms", "tf")).alias("c"))  # the terms of one text
+        told = told.join(again, same, "left_anti").unionByName(merged.select(key, "len", "c.terms", "c.tf"))
+    idf = _idf(told, n, len(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, 64):
+            row, at, weight = _weights(block, idf, average, k1, b)
+            each = starts[at + 1] - starts[at]
+            cells = np.repeat(row, each) * len(names) + askers[np.repeat(starts[at], each) + _upto(each)]
+            if block.num_rows * len(names) <= MOST_ASKED:
+                score = np.bincount(cells, weights=np.repeat(weight, each), minlength=block.num_rows * len(names))
+                found = np.unique(cells) if not score.all() else np.arange(len(score))
+                score = score[found]
+            else:
+                found, of = np.unique(cells, return_inverse=True)
+                score = np.bincount(of, weights=np.repeat(weight, each), minlength=len(found))
+            for start in range(0, len(found), 1 << 16):
+                part = found[start : start + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(part % len(names))), block.column(key).take(pa.array(part // len(names))), pa.array(score[start : start + (1 << 16)])], [asked_key, key, "raw_score"])
+
+    return told.mapInArrow(run, schema)
+
+
 def bm25_topk(rows: DataFrame, asked: DataFrame, key: str, asked_key: str, k: int, text: str = "text", k1: float = 1.5, b: float = 0.75, digits: int = 8) -> DataFrame:
     """asked_key, key, raw_score, rank: for each asked text the k rows of greatest Okapi BM25, rounded, among those with one of its terms; ties by key.
 
@@ -160,28 +222,18 @@ def bm25_topk(rows: DataFrame, asked: DataFrame, key: str, asked_key: str, k: in
     if pairs.limit(MOST_ASKED + 1).count() > MOST_ASKED:
         raise ValueError(f"asked texts have more than {MOST_ASKED} terms; ask in parts")
     listed = pairs.toArrow()
-    terms, names = pc.unique(listed["t"]), pc.unique(listed[asked_key])
+    terms, names, askers, starts = _asked(listed, asked_key)
     schema = f"`{asked_key}` {dict(asked.dtypes)[asked_key]}, `{key}` {dict(rows.dtypes)[key]}, raw_score double"
     if not len(terms):
         return rows.sparkSession.createDataFrame([], schema + ", rank int")
-    # the asked texts of each term, by term
-    term, text_of = np.asarray(pc.index_in(listed["t"], terms), np.int64), np.asarray(pc.index_in(listed[asked_key], names), np.int64)
-    order = np.argsort(term, kind="stable")
-    askers, starts = text_of[order], np.searchsorted(term[order], np.arange(len(terms) + 1))
     told = kept(postings(rows, terms, key, text), "postings")
     n, average = told.agg(F.count("*"), F.greatest(F.avg("len"), F.lit(1.0))).first()
-    counts = told.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).toArrow()  # a row an asked term
-    df = np.zeros(len(terms))
-    df[np.asarray(counts["t"])] = np.asarray(counts["df"])
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    idf = _idf(told, n, len(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(names), k)
         for block in blocks(batches):
-            sizes = np.asarray(pc.list_value_length(block.column("terms")), np.int64)
-            at, tf = np.asarray(block.column("terms").flatten(), np.int64), np.asarray(block.column("tf").flatten(), np.float64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            weight = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * np.asarray(pc.fill_null(block.column("len"), 0), np.float64)[row] / average))
+            row, at, weight = _weights(block, idf, average, k1, b)
             most = np.zeros(len(terms))  # of each term in this block
             np.maximum.at(most, at, weight)
             seen = np.flatnonzero(most)
