@@ -493,6 +493,22 @@ def test_classifier_of_odd_rows(odd, empty, spark):
     assert classifier.score(odd, nothing, F.lit(True)).first()["score"] == pytest.approx(0.5, abs=0.05)
 
 
+def test_driver_gets_no_text_to_learn_from(spark, monkeypatch):
+    """Features are made on the executors, and the model is that of the chosen rows in their order."""
+    rows = [(i, f"{'good' if i % 2 else 'bad'} word {i} here {i % 5}") for i in range(60)]
+    docs, labels = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    order = [r["doc_id"] for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").collect()][:50]
+    wanted = classifier.train([dict(rows)[i] for i in order], np.array([i % 2 for i in order]), epochs=3)
+
+    def refuse(texts):
+        raise AssertionError(f"the driver makes features of {len(texts)} texts")
+
+    monkeypatch.setattr(classifier, "matrix", refuse)
+    model = classifier.fit(docs, labels, most_rows=50, epochs=3)
+    for name in ("vectors", "layer", "bias"):
+        assert getattr(model, name).shape == getattr(wanted, name).shape and np.allclose(getattr(model, name), getattr(wanted, name), atol=1e-5)
+
+
 def test_scores_by_brute_force():
     """The score of a text from its words' vectors, averaged, through the softmax layer, as it is written down."""
     texts = ["good word here", "bad word there again again", "neither", ""]

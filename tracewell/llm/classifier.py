@@ -2,7 +2,7 @@
 
 A word's vector is the mean of the learned vectors of its hashed whole form and character
 n-grams; a document's is the mean of its words'; a softmax layer gives the class. Training is numpy stochastic
-gradient descent over a bounded sample of labelled rows. To score, each vector meets
+gradient descent over a bounded sample of labelled rows, in one task of an executor. To score, each vector meets
 the softmax layer once: a word then has one number, the difference of its two logits.
 """
 
@@ -137,13 +137,24 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_byt
         if r["n"] <= left:
             left -= r["n"]
             wanted.append(r)
-    spark = docs.sparkSession
-    ids = spark.createDataFrame(sorted({(r["doc_id"], r["hash"]) for r in wanted}), "doc_id long, hash long")
-    texts = {(r["doc_id"], r["hash"]): r["text"] for r in docs.join(F.broadcast(ids), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).collect()}
-    model = train([texts[r["doc_id"], r["hash"]] for r in wanted], np.array([r["label"] for r in wanted], np.int64), **options)
-    del texts, sized, wanted
-    trim()
-    return model
+    if not wanted:
+        return train([], np.zeros(0, np.int64), **options)
+    rows = [(r["doc_id"], r["hash"], r["label"]) for r in wanted]
+    ids = docs.sparkSession.createDataFrame(sorted({r[:2] for r in rows}), "doc_id long, hash long")
+
+    def run(batches):
+        texts = {}
+        for batch in batches:
+            texts.update(zip(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "hash")), strict=True), batch.column("text").to_pylist(), strict=True))
+        model = train([texts[r[:2]] for r in rows], np.array([r[2] for r in rows], np.int64), **options)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.vectors, model.layer, model.bias)], ["vectors", "layer", "bias"])
+        texts.clear()
+        trim()
+
+    # one task, since a step needs the one before; the driver gets the model, and no text
+    texts = docs.join(F.broadcast(ids), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).repartition(1)
+    vectors, layer, bias = (np.frombuffer(x, np.float32).copy() for x in texts.mapInArrow(run, "vectors binary, layer binary, bias binary").collect()[0])
+    return Model(vectors.reshape(BUCKETS, -1), layer.reshape(-1, 2), bias)
 
 
 class Scores(dict):
