@@ -54,6 +54,10 @@ class Model:
     def scalars(self) -> np.ndarray:
         return self.vectors @ (self.layer[:, 1] - self.layer[:, 0])
 
+    def projected(self) -> Model:
+        """A model that scores alike, of vectors of one number."""
+        return Model(self.scalars()[:, None], np.array([[0, 1]], np.float32), self.bias)
+
 
 def matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bounds, buckets and weights of each text's features; weights sum to 1 a text that has words."""
@@ -123,22 +127,29 @@ def train(texts: list[str], labels: np.ndarray, size: int = 8, epochs: int = 6,
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, **options) -> Model:
-    """A model of labels.quality by the texts of docs, of at most most_rows labelled rows and most_bytes of text; labels other than 0 and 1 are left out.
+    """A projected model of labels.quality by the texts of docs, of at most most_rows labelled rows and most_bytes of text; labels other than 0 and 1 are left out.
 
     Null texts are empty; rows that repeat, and labels that do, are learned each; without rows the model tells half."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     order = (F.xxhash64("doc_id"), "doc_id", "label", "hash")
-    chosen = labels.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order[:3]).limit(most_rows)
-    sized = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "hash", F.octet_length("text").alias("n")).orderBy(*order).limit(most_rows).collect()
+    share = 3.0 * most_rows / max(1, labels.count())
+    while True:
+        # least hashes are sought among the least alone, so that tasks don't send most_rows each; among more where those are too few
+        near = labels.where(F.xxhash64("doc_id") < int(share * 2**64) - 2**63) if share < 1 else labels
+        chosen = near.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order[:3]).limit(most_rows)
+        sized = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "hash", F.octet_length("text").alias("n")).orderBy(*order).limit(most_rows).collect()
+        if len(sized) == most_rows or share >= 1:
+            break
+        share *= 4
     left, wanted = most_bytes, []
     for r in sized:
         if r["n"] <= left:
             left -= r["n"]
             wanted.append(r)
     if not wanted:
-        return train([], np.zeros(0, np.int64), **options)
+        return train([], np.zeros(0, np.int64), **options).projected()
     rows = [(r["doc_id"], r["hash"], r["label"]) for r in wanted]
     ids = docs.sparkSession.createDataFrame(sorted({r[:2] for r in rows}), "doc_id long, hash long")
 
@@ -146,15 +157,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_byt
         texts = {}
         for batch in batches:
             texts.update(zip(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "hash")), strict=True), batch.column("text").to_pylist(), strict=True))
-        model = train([texts[r[:2]] for r in rows], np.array([r[2] for r in rows], np.int64), **options)
+        model = train([texts[r[:2]] for r in rows], np.array([r[2] for r in rows], np.int64), **options).projected()
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.vectors, model.layer, model.bias)], ["vectors", "layer", "bias"])
         texts.clear()
         trim()
 
-    # one task, since a step needs the one before; the driver gets the model, and no text
+    # one task, since a step needs the one before; the driver gets a number a bucket, and no text
     texts = docs.join(F.broadcast(ids), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).repartition(1)
     vectors, layer, bias = (np.frombuffer(x, np.float32).copy() for x in texts.mapInArrow(run, "vectors binary, layer binary, bias binary").collect()[0])
-    return Model(vectors.reshape(BUCKETS, -1), layer.reshape(-1, 2), bias)
+    return Model(vectors[:, None], layer.reshape(-1, 2), bias)
 
 
 class Scores(dict):
